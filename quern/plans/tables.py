@@ -22,7 +22,8 @@ def document_samples(docs: DataFrame) -> DataFrame:
         .alias("type"),
         F.substring_index("text", "\n", 1).alias("instruction"),
         F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("code"),
-        F.when(F.col("doc_id") % 2 == 0, F.upper("text")).alias("original_code"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# original\n"), "text"))
+        .alias("original_code"),
         F.when(F.col("doc_id") % 3 == 0, F.lower("lang")).alias("fixed_code"),
     )
 

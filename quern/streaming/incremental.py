@@ -16,13 +16,15 @@ def read_arrivals(
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def distinct_within(arrivals: DataFrame, key: str, arrived_at: str, horizon: str) -> DataFrame:
+def distinct_within(
+    arrivals: DataFrame, key: str, row_id: str, arrived_at: str, horizon: str
+) -> DataFrame:
     """One row per key among rows that arrive within the horizon of each other.
 
-    Streams have no map-side fold, so a hot key is first thinned out over ``SPREAD`` slots; at
-    most one copy per slot goes on to the second step.
+    Streams have no map-side fold, so a hot key is first thinned out over ``SPREAD`` slots by the
+    row's own id; at most one copy per slot goes on to the second step.
     """
-    slot = F.pmod(F.xxhash64(arrived_at, F.monotonically_increasing_id()), F.lit(SPREAD))
+    slot = F.pmod(F.xxhash64(row_id, arrived_at), F.lit(SPREAD))
     return (
         arrivals.withWatermark(arrived_at, horizon).withColumn("_slot", slot)
         .dropDuplicatesWithinWatermark([key, "_slot"])
@@ -31,15 +33,17 @@ def distinct_within(arrivals: DataFrame, key: str, arrived_at: str, horizon: str
     )
 
 
-def distinct_texts(arrivals: DataFrame, text: str, arrived_at: str, horizon: str) -> DataFrame:
+def distinct_texts(
+    arrivals: DataFrame, text: str, row_id: str, arrived_at: str, horizon: str
+) -> DataFrame:
     hashed = arrivals.withColumn("code_hash", F.md5(text))
-    return distinct_within(hashed, "code_hash", arrived_at, horizon)
+    return distinct_within(hashed, "code_hash", row_id, arrived_at, horizon)
 
 
 def clean_arrivals(sources: DataFrame, arrived_at: str, horizon: str) -> DataFrame:
     """The batch cleaning job on a stream: (file_path, source, read_error, original_size, time)."""
     stamped = cleaned_files(clean(sources, keep=(arrived_at,)))
-    return distinct_texts(stamped, "source", arrived_at, horizon)
+    return distinct_texts(stamped, "source", "file_path", arrived_at, horizon)
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
