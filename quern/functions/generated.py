@@ -86,7 +86,9 @@ def space_out(c: Column | str) -> Column:
         (r"if\(", "if ("),
         (r"elif\(", "elif ("),
         (r"while\(", "while ("),
-        (r"(self\.)?([a-zA-Z_][a-zA-Z0-9_]*)=([a-zA-Z0-9_\"'])", "$1$2 = $3"),
+        # name=value: each run of word characters is tried once, from its start or from where the
+        # last match ended, which keeps the rule linear on text without blanks.
+        (rf"(?:\G|(?<!{word}))([0-9]*+[a-zA-Z_]{word}*+)=([a-zA-Z0-9_\"'])", "$1 = $2"),
     ]
     return _chain(col(c), rules)
 
@@ -111,7 +113,7 @@ def reindent(c: Column | str) -> Column:
     block = "|".join(word.rstrip() + r"\x20" if word.endswith(" ") else word for word in BLOCK_WORDS)
     header = rf"(?:class\x20|def\x20)[^\n]*|(?:{block})[^\n]*(?<=:)"
     flat = _chain(col(c), [
-        (rf"(?mdU)^{blanks}+|{blanks}+$", ""),
+        (rf"(?mdU)^{blanks}++|(?<!{blanks}){blanks}++$", ""),
         (r"\n{2,}", "\n"),
         (r"\A\n|\n\z", ""),
         (rf"\n(?={block})", "\n\n"),

@@ -16,6 +16,7 @@ import re
 import sys
 import tokenize
 import warnings
+from collections import deque
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -31,6 +32,7 @@ QUIET_TOKENS = frozenset({
 # Fixed value: comments that declare the file's encoding are left as they are.
 CODING_COMMENT = r"#.*coding[:=]\s*[-\w.]+"
 IMPORTS = (ast.Import, ast.ImportFrom)
+STATEMENT_FIELDS = frozenset({"body", "handlers", "cases", "orelse", "finalbody"})
 DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
@@ -38,8 +40,9 @@ def _tokens(text):
     return tokenize.generate_tokens(io.StringIO(text).readline)
 
 
-def _code_lines(text):
-    starts = (t.start[0] for t in _tokens(text) if t.type not in QUIET_TOKENS and t.string.strip())
+def _code_lines(tokens):
+    """Number of lines on which a token other than layout or a comment starts."""
+    starts = (t.start[0] for t in tokens if t.type not in QUIET_TOKENS and t.string.strip())
     return len(set(starts))
 
 
@@ -47,21 +50,28 @@ def _problem(exc):
     return f"{type(exc).__name__}: {exc}"
 
 
-def _lint(text):
-    """Syntax check and code-line count.  `failed` marks errors other than a syntax error."""
+def _parsed(text):
+    """(tree, facts): `failed` marks errors other than a syntax error."""
     try:
-        ast.parse(text)
+        return ast.parse(text), dict(syntax_ok=True, failed=False)
     except SyntaxError as exc:
-        return dict(syntax_ok=False, error_line=exc.lineno, error=exc.msg, failed=False)
-    except Exception as exc:
-        return dict(syntax_ok=False, error=_problem(exc), failed=True)
-    try:
-        return dict(syntax_ok=True, failed=False, code_lines=_code_lines(text))
+        return None, dict(syntax_ok=False, error_line=exc.lineno, error=exc.msg, failed=False)
     except Exception as exc:
-        return dict(syntax_ok=True, error=_problem(exc), failed=True)
+        return None, dict(syntax_ok=False, error=_problem(exc), failed=True)
+
+
+def _lint(text):
+    tree, facts = _parsed(text)
+    if tree is not None:
+        try:
+            facts["code_lines"] = _code_lines(_tokens(text))
+        except Exception as exc:
+            facts.update(error=_problem(exc), failed=True)
+    return facts
 
 
 def _spaced_comment(token):
+    """A comment gets one blank after its hash sign; other tokens stay as they are."""
     if token.type != tokenize.COMMENT:
         return token
     shebang = token.start[0] == 1 and token.string.startswith("#!")
@@ -70,11 +80,13 @@ def _spaced_comment(token):
     return token._replace(string=f"# {token.string[1:].strip()}".rstrip())
 
 
-def _tidy_text(text):
-    """One blank after `#`, no tabs, no trailing white space, one newline at the end."""
-    spaced = tokenize.untokenize([_spaced_comment(t) for t in _tokens(text)])
-    lines = (line.expandtabs(4).rstrip() for line in spaced.splitlines())
-    return "\n".join(lines).rstrip() + "\n"
+def _tidied(tokens):
+    """(text, same_lines): spaced comments, no tabs, no trailing white space, one newline at the
+    end.  `same_lines` tells that no line was split, so counts of lines still hold."""
+    spaced = tokenize.untokenize(map(_spaced_comment, tokens))
+    lines = spaced.splitlines()
+    text = "\n".join([line.expandtabs(4).rstrip() for line in lines]).rstrip() + "\n"
+    return text, len(lines) <= spaced.count("\n") + 1
 
 
 def _comment_block(lines, lineno):
@@ -88,6 +100,17 @@ def _comment_block(lines, lineno):
     return " ".join(filter(None, reversed(found)))
 
 
+def _statements(tree):
+    """All statements, breadth first.  Expressions hold none, so they are not entered."""
+    queue = deque([tree])
+    while queue:
+        node = queue.popleft()
+        yield node
+        for name in node._fields:
+            if name in STATEMENT_FIELDS:
+                queue.extend(getattr(node, name))
+
+
 class _Offsets:
     """Turns the parser's (line, UTF-8 column) positions into character offsets."""
 
@@ -117,12 +140,11 @@ def _import_roots(node):
     return [node.module.partition(".")[0]] if node.module else []
 
 
-def _outline(text):
+def _outline(text, tree):
     """Counts, imports and the definitions of one source, in the parser's breadth-first order."""
-    tree = ast.parse(text)
     lines, offsets = text.splitlines(), _Offsets(text)
     functions, classes, roots, n_functions = [], [], set(), 0
-    for node in ast.walk(tree):
+    for node in _statements(tree):
         if isinstance(node, IMPORTS):
             roots.update(_import_roots(node))
         elif isinstance(node, ast.ClassDef):
@@ -139,24 +161,46 @@ def _outline(text):
             ))
         n_functions += isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef))
     return dict(
-        code_lines=_code_lines(text), function_count=n_functions, imports=sorted(roots),
-        docstring=ast.get_docstring(tree), functions=functions, classes=classes,
+        function_count=n_functions, imports=sorted(roots), docstring=ast.get_docstring(tree),
+        functions=functions, classes=classes,
     )
 
 
 def _outline_or_error(text):
     try:
-        return _outline(text)
+        return _outline(text, ast.parse(text))
     except Exception as exc:
         return dict(error=_problem(exc))
 
 
-def _tidy(text):
-    try:
-        tidied = _tidy_text(text)
-        return dict(text=tidied, **_outline(tidied))
-    except Exception as exc:
-        return dict(error=_problem(exc))
+def _cleaner(min_code_lines):
+    """Check, tidy and describe one source in one go.
+
+    `redacted` is NULL if redaction changed nothing; the tokens are then used twice.  A text that
+    was tidy already is not parsed again and is not sent back.
+    """
+    def clean(text, redacted):
+        tree, facts = _parsed(text)
+        if tree is None:
+            return facts
+        try:
+            tokens = list(_tokens(text))
+            facts["code_lines"] = facts["line_count"] = _code_lines(tokens)
+            if facts["code_lines"] < min_code_lines:
+                return facts
+            if redacted is not None:
+                tokens = list(_tokens(redacted))
+                facts["line_count"] = _code_lines(tokens)
+            tidied, same_lines = _tidied(tokens)
+            if tidied != text:
+                tree = ast.parse(tidied)
+                facts["text"] = tidied
+            if not same_lines:
+                facts["line_count"] = _code_lines(_tokens(tidied))
+            return facts | _outline(tidied, tree)
+        except Exception as exc:
+            return facts | dict(error=_problem(exc), failed=True)
+    return clean
 
 
 def _kind(node):
@@ -172,7 +216,7 @@ def _snippet(text):
         tree = ast.parse(text)
         return dict(
             syntax_ok=True, top_kinds=[_kind(node) for node in tree.body],
-            import_count=sum(isinstance(node, IMPORTS) for node in ast.walk(tree)),
+            import_count=sum(isinstance(node, IMPORTS) for node in _statements(tree)),
             top_level_defs=sum(isinstance(node, DEFINITIONS) for node in tree.body),
         )
     except Exception:
@@ -199,16 +243,25 @@ def _decode(content):
 
 
 def _per_row(work, returns):
-    """Arrow UDF that applies `work` to each non-null value of a batch."""
+    """Arrow UDF that applies `work` to each row of a batch whose first value is not NULL."""
     arrow_type = to_arrow_type(returns)
 
-    def batch(values: pa.Array) -> pa.Array:
+    def rows(*columns):
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            rows = [None if v is None else work(v) for v in values.to_pylist()]
-        return pa.array(rows, type=arrow_type)
+            values = zip(*(column.to_pylist() for column in columns))
+            done = [None if first is None else work(first, *more) for first, *more in values]
+        return pa.array(done, type=arrow_type)
+
+    def one(a: pa.Array) -> pa.Array:
+        return rows(a)
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return rows(a, b)
 
-    return F.arrow_udf(batch, returns).asNondeterministic()
+    def call(*columns: Column) -> Column:
+        return F.arrow_udf([one, two][len(columns) - 1], returns).asNondeterministic()(*columns)
+    return call
 
 
 # Workers get these functions by value, so the package need not be installed on them.
@@ -216,15 +269,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def lint(source: Column) -> Column:
-    return _per_row(_lint, schemas.LINT)(source)
+    return _per_row(_lint, schemas.LINTED)(source)
 
 
-def tidy(source: Column) -> Column:
-    return _per_row(_tidy, schemas.TIDIED)(source)
+def clean(source: Column, redacted: Column, min_code_lines: int) -> Column:
+    return _per_row(_cleaner(min_code_lines), schemas.CLEANED)(source, redacted)
 
 
 def outline(source: Column) -> Column:
-    return _per_row(_outline_or_error, schemas.OUTLINE)(source)
+    return _per_row(_outline_or_error, schemas.OUTLINED)(source)
 
 
 def snippet_facts(code: Column) -> Column:

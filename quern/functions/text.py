@@ -21,7 +21,9 @@ REDACTIONS = [
     ("PRIVATE KEY-----", r"(?sdU)-----BEGIN.*?PRIVATE KEY-----.*?-----END.*?PRIVATE KEY-----",
      "<REDACTED_PRIVATE_KEY>"),
     ("AKIA", r"(?dU)\bAKIA[A-Z0-9]{16}\b", "<REDACTED_AWS_KEY>"),
-    ("@", r"(?dU)\b[\w\.-]+@[\w\.-]+\.\w+\b", "<REDACTED_EMAIL>"),
+    # Mail addresses: \b[\w\.-]+@[\w\.-]+\.\w+\b, tried once per run of such characters.
+    ("@", r"(?dU)(?:\G|(?<![\w\.-]))([\.-]*?)\b[\w\.-]++@[\w\.-]+\.\w+\b",
+     "$1<REDACTED_EMAIL>"),
     (".", r"(?dU)\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<REDACTED_IP>"),
 ]
 

@@ -13,10 +13,7 @@ MIN_CODE_LINES = 10
 PASSED = "passed"
 # Every outcome a file can have, in report order.
 OUTCOMES = [PASSED, "syntax_error", "too_short", "cleaning_error"]
-MANIFEST_COLUMNS = [
-    "file_path", "original_size", "cleaned_size", "line_count", "function_count", "imports",
-    "cleaned_at",
-]
+OUTLINE = ["line_count", "function_count", "imports", "docstring", "functions", "classes"]
 
 
 def read_sources(raw: DataFrame) -> DataFrame:
@@ -65,30 +62,25 @@ def clean(
     """One row per file with its outcome; cleaned text and facts where it passed.  ``keep`` names
     further columns to carry along.
 
-    Two Python stages with native steps between them.  A rejected file enters the second one as
-    NULL, so it costs nothing there.
+    Redaction is native and comes first, so that one Python stage does the rest.  Unchanged texts
+    cross to Python once and do not come back.
     """
-    linted = lint_sources(sources)
-    first_reject = (
-        F.when(F.col("read_error").isNotNull() | F.col("lint.failed"), "cleaning_error")
-        .when(~F.col("lint.syntax_ok"), "syntax_error")
-        .when(F.col("lint.code_lines") < min_code_lines, "too_short")
+    redacted = sources.withColumn("_redacted", redact("source"))
+    changed = F.when(F.col("_redacted") != F.col("source"), F.col("_redacted"))
+    done = redacted.withColumn("_done", pysource.clean(F.col("source"), changed, min_code_lines))
+    outcome = (
+        F.when(F.col("read_error").isNotNull() | F.col("_done.failed"), "cleaning_error")
+        .when(~F.col("_done.syntax_ok"), "syntax_error")
+        .when(F.col("_done.code_lines") < min_code_lines, "too_short")
+        .otherwise(PASSED)
     )
-    tidied = (
-        linted.withColumn("_first", first_reject)
-        .withColumn("_redacted", F.when(F.col("_first").isNull(), redact("source")))
-        .withColumn("tidied", pysource.tidy(F.col("_redacted")))
-    )
-    outcome = F.coalesce(
-        "_first", F.when(F.col("tidied.error").isNotNull(), "cleaning_error"), F.lit(PASSED)
-    )
-    return tidied.withColumn("outcome", outcome).select(
+    return done.withColumn("outcome", outcome).select(
         "file_path", "outcome", "original_size",
-        F.col("lint.error_line").alias("error_line"),
-        F.coalesce("read_error", "lint.error", "tidied.error").alias("error"),
-        F.col("lint.code_lines").alias("code_lines"),
-        F.col("tidied.text").alias("source"),
-        F.col("tidied").dropFields("text", "error").alias("outline"),
+        F.col("_done.error_line").alias("error_line"),
+        F.coalesce("read_error", "_done.error").alias("error"),
+        F.col("_done.code_lines").alias("code_lines"),
+        F.when(F.col("outcome") == PASSED, F.coalesce("_done.text", "source")).alias("source"),
+        F.struct(*[F.col(f"_done.{name}") for name in OUTLINE]).alias("outline"),
         *keep,
     )
 
@@ -107,7 +99,7 @@ def manifest(cleaned: DataFrame) -> DataFrame:
     return passed(cleaned).select(
         "file_path", "original_size",
         F.octet_length("source").cast("bigint").alias("cleaned_size"),
-        F.col("outline.code_lines").alias("line_count"),
+        F.col("outline.line_count").alias("line_count"),
         F.col("outline.function_count").alias("function_count"),
         F.col("outline.imports").alias("imports"),
         F.current_timestamp().alias("cleaned_at"),

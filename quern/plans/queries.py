@@ -16,7 +16,7 @@ from quern.operators import (
 )
 from quern.operators.ordering import first_rows, keep_first, number_rows, top_per_group
 from quern.plans import corpus, tables
-from quern.session import scratch_path, spool
+from quern.session import scratch_path, spool, spread
 from quern.sources import files, sinks
 from quern.streaming import incremental
 
@@ -160,7 +160,8 @@ def redact_counts(spark, folder):
 
 
 def _sources(spark, folder) -> DataFrame:
-    return cleaning.as_sources(corpus.code_files(_docs(spark, folder)), "file_path", "source")
+    docs = spread(_docs(spark, folder), "doc_id")
+    return cleaning.as_sources(corpus.code_files(docs), "file_path", "source")
 
 
 def _cleaned(spark, folder) -> DataFrame:
@@ -592,7 +593,7 @@ COMPACT_SQL = (
 
 @register
 def repair_code(spark, folder):
-    compact = _docs(spark, folder).select(
+    compact = spread(_docs(spark, folder), "doc_id").select(
         "doc_id", F.expr(corpus.by_template(corpus.SOURCES)).alias("source")
     )
     return compact.select("doc_id", repair_compact(F.expr(COMPACT_SQL)).alias("code"))

@@ -33,10 +33,6 @@ EVAL_CASE = _struct(case_id=T.LongType(), instruction=T.StringType(), expected=S
 LOSS = _struct(sample_id=T.LongType(), loss=T.DoubleType(), n_tokens=T.LongType())
 
 # What the Python-source stages return (see functions/pysource.py).
-LINT = _struct(
-    syntax_ok=T.BooleanType(), error_line=T.IntegerType(), error=T.StringType(),
-    failed=T.BooleanType(), code_lines=T.IntegerType(),
-)
 FUNCTION_DEF = _struct(
     ord=T.IntegerType(), name=T.StringType(), args=STRINGS, docstring=T.StringType(),
     comments=T.StringType(), top=T.BooleanType(), start=T.IntegerType(), length=T.IntegerType(),
@@ -45,13 +41,17 @@ CLASS_DEF = _struct(
     ord=T.IntegerType(), name=T.StringType(), methods=STRINGS, docstring=T.StringType(),
     top=T.BooleanType(), start=T.IntegerType(), length=T.IntegerType(),
 )
-OUTLINE_FIELDS = dict(
-    error=T.StringType(), code_lines=T.IntegerType(), function_count=T.IntegerType(),
-    imports=STRINGS, docstring=T.StringType(), functions=T.ArrayType(FUNCTION_DEF),
-    classes=T.ArrayType(CLASS_DEF),
+LINT = dict(
+    syntax_ok=T.BooleanType(), error_line=T.IntegerType(), error=T.StringType(),
+    failed=T.BooleanType(), code_lines=T.IntegerType(),
+)
+OUTLINE = dict(
+    function_count=T.IntegerType(), imports=STRINGS, docstring=T.StringType(),
+    functions=T.ArrayType(FUNCTION_DEF), classes=T.ArrayType(CLASS_DEF),
 )
-OUTLINE = _struct(**OUTLINE_FIELDS)
-TIDIED = _struct(text=T.StringType(), **OUTLINE_FIELDS)
+LINTED = _struct(**LINT)
+OUTLINED = _struct(error=T.StringType(), **OUTLINE)
+CLEANED = _struct(**LINT, text=T.StringType(), line_count=T.IntegerType(), **OUTLINE)
 SNIPPET = _struct(
     syntax_ok=T.BooleanType(), top_kinds=STRINGS, import_count=T.IntegerType(),
     top_level_defs=T.IntegerType(),
