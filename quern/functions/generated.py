@@ -51,7 +51,7 @@ def clean_generated(c: Column | str) -> Column:
     c = _chain(c, [(f"{word}({follower})", f"{word} $1") for word, follower in GLUED_WORDS])
     c = _chain(c, [
         # Indentation: each leading white-space character of a line counts as one blank.
-        (rf"(?mdU)(?:^|\G)[{SPACE_CLASS}&&[^\n]]", " "),
+        (rf"(?md)(?:^|\G)[{SPACE_CLASS}&&[^\n]]", " "),
         # Runs of blanks after the indentation shrink to one.
         (r"(?<=[^ \n]) +", " "),
         (r"\n{3,}", "\n\n"),
@@ -113,7 +113,7 @@ def reindent(c: Column | str) -> Column:
     block = "|".join(word.rstrip() + r"\x20" if word.endswith(" ") else word for word in BLOCK_WORDS)
     header = rf"(?:class\x20|def\x20)[^\n]*|(?:{block})[^\n]*(?<=:)"
     flat = _chain(col(c), [
-        (rf"(?mdU)^{blanks}++|(?<!{blanks}){blanks}++$", ""),
+        (rf"(?md)^{blanks}++|(?<!{blanks}){blanks}++$", ""),
         (r"\n{2,}", "\n"),
         (r"\A\n|\n\z", ""),
         (rf"\n(?={block})", "\n\n"),

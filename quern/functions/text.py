@@ -12,8 +12,10 @@ from pyspark.sql import Column, functions as F
 
 # Every character that str.isspace() accepts; all of them are below U+3001.
 SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
-# The same set for use inside a Java character class under the U flag.
-SPACE_CLASS = r"\s\x1c-\x1f"
+# The same set for use inside a Java character class.
+SPACE_CLASS = (
+    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # What is redacted, in this order, and the text put in its place.  Each pattern
 # comes with a literal that every match must contain; the regex runs only where it occurs.
@@ -46,7 +48,7 @@ def strip(c: Column | str) -> Column:
 
 def collapse_spaces(c: Column | str) -> Column:
     """Each run of white space becomes one blank; none is left at the ends."""
-    return F.trim(F.regexp_replace(col(c), f"(?U)[{SPACE_CLASS}]+", " "))
+    return F.trim(F.regexp_replace(col(c), f"[{SPACE_CLASS}]+", " "))
 
 
 def unify_newlines(c: Column | str) -> Column:

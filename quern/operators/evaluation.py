@@ -13,7 +13,7 @@ HEAVY = 10_000
 
 
 def words(texts: DataFrame, key: str, text: str) -> DataFrame:
-    parts = F.split(col(text), f"(?U)[{SPACE_CLASS}]+")
+    parts = F.split(col(text), f"[{SPACE_CLASS}]+")
     return texts.select(key, F.explode(parts).alias("token")).filter(F.col("token") != "")
 
 
@@ -39,7 +39,7 @@ def unigram_losses(texts: DataFrame, corpus: DataFrame, key: str, text: str) ->
     mass, used = totals.select("mass").scalar(), totals.select("used").scalar()
     heavy = counts.filter(F.col("used") * HEAVY >= used).drop("used")
     rare = counts.filter((F.col("used") > 0) & (F.col("used") * HEAVY < used)).drop("used")
-    occurrences = words(texts, key, text).join(F.broadcast(heavy), "token", "left")
+    every = words(texts, key, text)
 
     def cost(seen: Column) -> Column:
         return -F.log((seen + 1) / mass)
@@ -48,10 +48,10 @@ def unigram_losses(texts: DataFrame, corpus: DataFrame, key: str, text: str) ->
         return rows.groupBy(key).agg(
             F.sum(cost(F.col("seen"))).alias("cost"), F.count(F.lit(1)).alias("n")
         )
-    common = per_text(occurrences.filter(F.col("seen").isNotNull()))
-    seldom = per_text(
-        occurrences.filter(F.col("seen").isNull()).drop("seen").join(rare, "token")
-    )
+    # At most HEAVY words, together no longer than HEAVY words of average length.
+    heavy = F.broadcast(heavy)
+    common = per_text(every.join(heavy, "token"))
+    seldom = per_text(every.join(heavy, "token", "left_anti").join(rare, "token"))
     return common.unionByName(seldom).groupBy(key).agg(
         (F.sum("cost") / F.sum("n")).alias("loss"), F.sum("n").alias("n_tokens")
     )

@@ -169,6 +169,14 @@ def judge_text(items: DataFrame, rules: Rules, shape: Column) -> DataFrame:
     return checked.withColumn("score", F.when(F.col("reason").isNull(), score))
 
 
+def without_rejected_text(judged: DataFrame) -> DataFrame:
+    """What a hand-over table needs: texts of candidates only, reasons of all."""
+    keep = F.col("reason").isNull()
+    return judged.withColumns(
+        {name: F.when(keep, F.col(name)) for name in ("instruction", "code")}
+    )
+
+
 def candidates(judged: DataFrame) -> DataFrame:
     """Samples without a reason, one per exact code; the smallest source line wins."""
     kept = judged.filter(F.col("reason").isNull()).drop("reason")

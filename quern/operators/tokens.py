@@ -151,7 +151,8 @@ def padded_batches(
     Row numbers and batch lengths are worked out on (key, length) alone; the ids move once, to
     meet their target length.
     """
-    lengths = tokenised.select(key, F.size("input_ids").alias("n_tokens"))
+    length = F.col("n_tokens") if "n_tokens" in tokenised.columns else F.size("input_ids")
+    lengths = tokenised.select(key, length.alias("n_tokens"))
     batch = F.floor((F.col("row_no") - 1) / rows)
     numbered = number_rows(lengths, [key]).select(key, "n_tokens", batch.alias("batch_id"))
     longest = numbered.groupBy("batch_id").agg(F.max("n_tokens").alias("pad_to"))

@@ -46,10 +46,19 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return tables.documents(spark, folder)
 
 
+def _wide_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for CPU-heavy steps."""
+    return spread(_docs(spark, folder), "doc_id")
+
+
 def _doc_samples(spark: SparkSession, folder: str) -> DataFrame:
     return tables.document_samples(_docs(spark, folder))
 
 
+def _wide_samples(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.document_samples(_wide_docs(spark, folder))
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return tables.dialogue_pairs(tables.table(spark, folder, "conversations"))
 
@@ -141,12 +150,12 @@ SECRET_SQL = (
 
 @register
 def redact_pii(spark, folder):
-    return _with_secrets(_docs(spark, folder)).select("doc_id", redact("text").alias("text"))
+    return _with_secrets(_wide_docs(spark, folder)).select("doc_id", redact("text").alias("text"))
 
 
 @register
 def redact_counts(spark, folder):
-    redacted = _with_secrets(_docs(spark, folder)).select("lang", redact("text").alias("text"))
+    redacted = _with_secrets(_wide_docs(spark, folder)).select("lang", redact("text").alias("text"))
 
     def hits(placeholder: str) -> Column:
         gone = F.length("text") - F.length(F.replace("text", F.lit(placeholder), F.lit("")))
@@ -160,8 +169,8 @@ def redact_counts(spark, folder):
 
 
 def _sources(spark, folder) -> DataFrame:
-    docs = spread(_docs(spark, folder), "doc_id")
-    return cleaning.as_sources(corpus.code_files(docs), "file_path", "source")
+    files_ = corpus.code_files(_wide_docs(spark, folder))
+    return cleaning.as_sources(files_, "file_path", "source")
 
 
 def _cleaned(spark, folder) -> DataFrame:
@@ -300,7 +309,7 @@ def exact_dedupe_first(spark, folder):
 
 
 def _judged_docs(spark, folder) -> DataFrame:
-    items = _doc_samples(spark, folder)
+    items = _wide_samples(spark, folder)
     return selection.judge_text(items, PROSE, F.col("lang")).select(
         "source_line", "type", "instruction", "code", "shape", "reason", "score"
     )
@@ -353,7 +362,7 @@ def _flat_report(report: DataFrame) -> DataFrame:
 
 @register
 def selection_report(spark, folder):
-    judged = _judged_docs(spark, folder)
+    judged = spool(selection.without_rejected_text(_judged_docs(spark, folder)), "judged")
     pool = spool(selection.candidates(judged).drop("code", "instruction"), "pool")
     keys = selection.balanced_keys(pool, PROSE_TARGET, major="en", minor="de")
     return _flat_report(selection.selection_report(judged, pool, keys))
@@ -398,7 +407,7 @@ def blank_rejects(spark, folder):
 
 @register
 def token_ids(spark, folder):
-    tokenised = tokens.tokenise(_doc_samples(spark, folder), ["doc_id"])
+    tokenised = tokens.tokenise(_wide_samples(spark, folder), ["doc_id"])
     return tokenised.withColumn(
         "input_ids", F.array_join(F.transform("input_ids", lambda i: i.cast("string")), " ")
     )
@@ -416,12 +425,12 @@ def token_type_counts(spark, folder):
 
 @register
 def length_report(spark, folder):
-    return tokens.length_report(tokens.tokenise(_doc_samples(spark, folder)))
+    return tokens.length_report(tokens.tokenise(_wide_samples(spark, folder)))
 
 
 @register
 def attention_mask(spark, folder):
-    tokenised = tokens.tokenise(_doc_samples(spark, folder), ["doc_id"])
+    tokenised = tokens.tokenise(_wide_samples(spark, folder), ["doc_id"])
     given = (
         F.when(F.col("doc_id") % 3 == 0, F.array_repeat(F.lit(0), F.size("input_ids")))
         .when(F.col("doc_id") % 3 == 1, F.array_repeat(F.lit(0), 3))
@@ -436,7 +445,7 @@ def attention_mask(spark, folder):
 
 @register
 def pad_batches(spark, folder):
-    tokenised = tokens.tokenise(_doc_samples(spark, folder), ["doc_id"])
+    tokenised = tokens.tokenise(_wide_samples(spark, folder), ["doc_id"])
     batches = tokens.padded_batches(tokenised, "doc_id", pad_id=byte_tokens.EOS_ID)
     return batches.select(
         "doc_id", "batch_id", "pad_to", "padding", F.size("input_ids").alias("n_ids"),
@@ -483,7 +492,7 @@ def format_counts(spark, folder):
 
 @register
 def completion_mask(spark, folder):
-    masked = formats.completion_masks(_doc_samples(spark, folder), ["doc_id"])
+    masked = formats.completion_masks(_wide_samples(spark, folder), ["doc_id"])
     return formats.mask_counts(masked, ["doc_id"])
 
 
@@ -498,19 +507,19 @@ def eval_prompts(spark, folder):
 
 @register
 def roundtrip_audit(spark, folder):
-    return audit.roundtrip(_docs(spark, folder), ["doc_id"], "text")
+    return audit.roundtrip(_wide_docs(spark, folder), ["doc_id"], "text")
 
 
 @register
 def roundtrip_summary(spark, folder):
-    return audit.roundtrip_summary(audit.roundtrip(_docs(spark, folder), ["doc_id"], "text"))
+    return audit.roundtrip_summary(audit.roundtrip(_wide_docs(spark, folder), ["doc_id"], "text"))
 
 
 @register
 def format_token_counts(spark, folder):
     marked = F.replace(F.replace("source", F.lit(" "), F.lit("Ġ")), F.lit("\n"), F.lit("Ċ"))
     pieces = F.regexp_extract_all(marked, F.lit("Ċ+Ġ*|Ġ+|[^ĊĠ]+"), F.lit(0))
-    counted = corpus.code_files(_docs(spark, folder)).select(
+    counted = corpus.code_files(_wide_docs(spark, folder)).select(
         "file_path", audit.format_token_counts(pieces).alias("c")
     )
     return counted.select("file_path", "c.*")
@@ -533,7 +542,7 @@ def first_samples(spark, folder):
 
 
 def _losses(spark, folder) -> DataFrame:
-    docs = _docs(spark, folder)
+    docs = _wide_docs(spark, folder)
     return evaluation.unigram_losses(docs, docs, "doc_id", "text")
 
 
@@ -593,7 +602,7 @@ COMPACT_SQL = (
 
 @register
 def repair_code(spark, folder):
-    compact = spread(_docs(spark, folder), "doc_id").select(
+    compact = _wide_docs(spark, folder).select(
         "doc_id", F.expr(corpus.by_template(corpus.SOURCES)).alias("source")
     )
     return compact.select("doc_id", repair_compact(F.expr(COMPACT_SQL)).alias("code"))
