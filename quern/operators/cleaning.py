@@ -43,12 +43,14 @@ def read_sources(raw: DataFrame) -> DataFrame:
     )
 
 
-def as_sources(table: DataFrame, path: str, text: str) -> DataFrame:
+def as_sources(
+    table: DataFrame, path: str, text: str, keep: Sequence[str] = ()
+) -> DataFrame:
     """A table that holds source text already."""
     return table.select(
         F.col(path).alias("file_path"), F.col(text).alias("source"),
         F.lit(None).cast("string").alias("read_error"),
-        F.octet_length(text).cast("bigint").alias("original_size"),
+        F.octet_length(text).cast("bigint").alias("original_size"), *keep,
     )
 
 

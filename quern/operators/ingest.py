@@ -48,13 +48,31 @@ def python_files(contents: DataFrame) -> DataFrame:
     return contents.filter((F.col("type") == "file") & F.endswith("path", F.lit(".py")))
 
 
+def _from_base64(name: str) -> Column:
+    """Bytes of base64 text, which may be broken into lines; NULL if it is malformed."""
+    return F.try_to_binary(F.translate(name, "\r\n\t ", ""), F.lit("base64"))
+
+
 def decoded_files(contents: DataFrame) -> DataFrame:
-    """Base64 contents as text; rows in another encoding are left out."""
-    text = utf8_text(F.unbase64("content"))
+    """Base64 contents as text; rows in another encoding are left out.  ``source`` is NULL where
+    the contents are no valid base64."""
+    text = utf8_text(_from_base64("content"))
     kept = contents.filter(F.col("encoding") == "base64")
     return kept.withColumn("source", text).drop("content", "encoding")
 
 
+def complete_repos(fetched: DataFrame) -> DataFrame:
+    """Fetched repositories without a file that failed to decode, also those without any Python
+    file: their state may be stored."""
+    failed = (
+        (F.col("type") == "file") & F.endswith("path", F.lit(".py"))
+        & (F.col("encoding") == "base64")
+        & _from_base64("content").isNull()
+    )
+    counted = fetched.groupBy("repo", "updated_at").agg(F.count_if(failed).alias("failed"))
+    return counted.filter(F.col("failed") == 0).drop("failed")
+
+
 def guard_paths(files: DataFrame) -> DataFrame:
     """Adds ``path_ok``: the path stays inside its repository's folder."""
     return files.withColumn("path_ok", path_stays_inside("path"))

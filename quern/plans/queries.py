@@ -645,12 +645,12 @@ def stream_dedupe(spark, folder):
 def stream_clean(spark, folder):
     schema = _docs(spark, folder).schema
     arrivals = incremental.read_arrivals(spark, folder, schema, "documents.parquet")
-    stamped = arrivals.select(
+    arrived = arrivals.select(
         F.expr(corpus.FILE_PATH).alias("file_path"),
         F.expr(corpus.by_template(corpus.SOURCES)).alias("source"),
-        F.lit(None).cast("string").alias("read_error"), F.lit(0).cast("bigint").alias("original_size"),
         F.timestamp_seconds(F.col("doc_id") + 1).alias("arrived_at"),
     )
+    stamped = cleaning.as_sources(arrived, "file_path", "source", keep=("arrived_at",))
     cleaned = incremental.clean_arrivals(stamped, "arrived_at", "10000 days")
     out = scratch_path(spark, "stream")
     incremental.run_available(cleaned.select("code_hash", "source"), out, out + "-state")
