@@ -17,8 +17,10 @@ def source_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFr
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern).load(root)
     )
-    base = root.rstrip("/") + "/"
-    relative = F.substring_index("path", F.lit(base), -1)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(folder).toString().rstrip("/") + "/"
+    relative = F.substr("path", F.lit(len(base) + 1))
     return files.select(relative.alias("file_path"), "content")
 
 
