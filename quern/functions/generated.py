@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from quern.functions.text import SPACE_CLASS, bind, col, strip
+from quern.functions.text import SPACE_CLASS, bind, col, replace_where, strip
 
 # Words that generated text glues to what follows, with the first character that
 # shows it.
@@ -48,7 +48,9 @@ def restore_marks(c: Column | str) -> Column:
 
 def clean_generated(c: Column | str) -> Column:
     c = restore_marks(c)
-    c = _chain(c, [(f"{word}({follower})", f"{word} $1") for word, follower in GLUED_WORDS])
+    c = replace_where(
+        c, [(word, f"{word}({follower})", f"{word} $1") for word, follower in GLUED_WORDS]
+    )
     c = _chain(c, [
         # Indentation: each leading white-space character of a line counts as one blank.
         (rf"(?md)(?:^|\G)[{SPACE_CLASS}&&[^\n]]", " "),
@@ -72,32 +74,32 @@ def strip_markup(c: Column | str) -> Column:
 def space_out(c: Column | str) -> Column:
     """Blanks after keywords, around operators and after commas and colons."""
     word = "[a-zA-Z0-9_]"
-    rules = [(f"({k})([A-Za-z_])", "$1 $2") for k in KEYWORDS]
+    rules = [(k, f"({k})([A-Za-z_])", "$1 $2") for k in KEYWORDS]
     rules += [
-        (r":([A-Za-z_])", ": $1"),
-        (r"\)\(", ") ("),
-        (r"\)->", ") -> "),
-        (r"->([A-Za-z_])", "-> $1"),
+        (":", r":([A-Za-z_])", ": $1"),
+        (")(", r"\)\(", ") ("),
+        (")->", r"\)->", ") -> "),
+        ("->", r"->([A-Za-z_])", "-> $1"),
     ]
-    rules += [(rf"({word})\Q{op}\E({word})", f"$1 {op} $2") for op in OPERATORS]
+    rules += [(op, rf"({word})\Q{op}\E({word})", f"$1 {op} $2") for op in OPERATORS]
     rules += [
-        (r",([A-Za-z_])", ", $1"),
-        (r",([0-9])", ", $1"),
-        (r"if\(", "if ("),
-        (r"elif\(", "elif ("),
-        (r"while\(", "while ("),
+        (",", r",([A-Za-z_])", ", $1"),
+        (",", r",([0-9])", ", $1"),
+        ("if(", r"if\(", "if ("),
+        ("elif(", r"elif\(", "elif ("),
+        ("while(", r"while\(", "while ("),
         # name=value: each run of word characters is tried once, from its start or from where the
         # last match ended, which keeps the rule linear on text without blanks.
-        (rf"(?:\G|(?<!{word}))([0-9]*+[a-zA-Z_]{word}*+)=([a-zA-Z0-9_\"'])", "$1 = $2"),
+        ("=", rf"(?:\G|(?<!{word}))([0-9]*+[a-zA-Z_]{word}*+)=([a-zA-Z0-9_\"'])", "$1 = $2"),
     ]
-    return _chain(col(c), rules)
+    return replace_where(c, rules)
 
 
 def break_one_liner(c: Column | str) -> Column:
     """A text without any newline gets one before every block word."""
-    rules = [(f"({word})", "\n$1") for word in BLOCK_WORDS]
+    rules = [(word, f"({word})", "\n$1") for word in BLOCK_WORDS]
     return bind(col(c), lambda text: F.when(F.contains(text, F.lit("\n")), text).otherwise(
-        _chain(text, rules)
+        replace_where(text, rules)
     ))
 
 

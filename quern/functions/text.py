@@ -57,18 +57,24 @@ def unify_newlines(c: Column | str) -> Column:
     ).otherwise(text))
 
 
-def redact(c: Column | str) -> Column:
-    """Replace key blocks, access keys, mail addresses and IPv4 addresses by placeholders."""
-    def step(needle: str, pattern: str, placeholder: str) -> Callable[[Column], Column]:
+def replace_where(c: Column | str, rules: Sequence[tuple[str, str, str]]) -> Column:
+    """Regex replacements in order: (literal, pattern, replacement).  Every match of the pattern
+    contains the literal, so texts without it skip the regex."""
+    def step(needle: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
         return lambda text: F.when(
-            F.contains(text, F.lit(needle)), F.regexp_replace(text, pattern, placeholder)
+            F.contains(text, F.lit(needle)), F.regexp_replace(text, pattern, replacement)
         ).otherwise(text)
     c = col(c)
-    for rule in REDACTIONS:
+    for rule in rules:
         c = bind(c, step(*rule))
     return c
 
 
+def redact(c: Column | str) -> Column:
+    """Replace key blocks, access keys, mail addresses and IPv4 addresses by placeholders."""
+    return replace_where(c, REDACTIONS)
+
+
 def matches_any(c: Column | str, patterns: Sequence[str]) -> Column:
     """True if one of the patterns is found, ignoring case, with ``^`` and ``$`` per line."""
     if not patterns:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import platform
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -98,6 +99,7 @@ def cleaned_files(cleaned: DataFrame) -> DataFrame:
 
 
 def manifest(cleaned: DataFrame) -> DataFrame:
+    """One row per passed file.  The Python version is kept since syntax rules depend on it."""
     return passed(cleaned).select(
         "file_path", "original_size",
         F.octet_length("source").cast("bigint").alias("cleaned_size"),
@@ -105,6 +107,7 @@ def manifest(cleaned: DataFrame) -> DataFrame:
         F.col("outline.function_count").alias("function_count"),
         F.col("outline.imports").alias("imports"),
         F.current_timestamp().alias("cleaned_at"),
+        F.lit(platform.python_version()).alias("python_version"),
     )
 
 

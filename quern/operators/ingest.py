@@ -13,6 +13,8 @@ MIN_STARS = 100
 MIN_FORKS = 10
 PUSHED_AFTER = datetime(2025, 1, 1)
 MAX_REPOS = 50
+# A key row takes well under 200 bytes.
+BROADCAST_REPOS = 100_000
 
 
 def top_repos(

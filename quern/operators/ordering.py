@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.session import spool
 
+# Rows of well under 200 bytes each.
+BROADCAST_SHARDS = 1_000_000
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -63,26 +65,36 @@ def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFram
     return df.orderBy(*order).limit(max(n, 0))
 
 
-def add_offsets(spooled: DataFrame, shard: Sequence[str], within: str, name: str) -> DataFrame:
+def add_offsets(
+    spooled: DataFrame, shard: Sequence[str], within: str, name: str, max_shards: int | None = None
+) -> DataFrame:
     """Global 1-based number from a row's place in its shard.
 
     ``within`` grows along each shard by one per row but may start anywhere.  The table of shard
-    sizes has one row per shard (input block or range partition).
+    sizes has one row per shard (input block or range partition).  It is broadcast if their
+    number, counted unless a bound is known, allows it; beyond that both sides are shuffled by
+    shard, which is even, since a shard is never larger than an input split or partition.
     """
     before = Window.orderBy(*shard).rowsBetween(Window.unboundedPreceding, -1)
     sizes = spooled.groupBy(*shard).agg(F.count(F.lit(1)).alias("_n"), F.min(within).alias("_low"))
     shifts = sizes.select(
         *shard, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low") + 1).alias("_shift")
     )
+    if max_shards is None:
+        shifts = spool(shifts, "shifts")
+        max_shards = shifts.count()
+    if max_shards <= BROADCAST_SHARDS:
+        shifts = F.broadcast(shifts)
     numbered = spooled.join(shifts, list(shard)).withColumn(name, F.col(within) + F.col("_shift"))
     return numbered.drop(*shard, within, "_shift")
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
     """1-based position of each row in the given order, without sorting in one task."""
+    shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.repartitionByRange(shards, *order).sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
         .withColumn("_shard", F.shiftright("_place", 33))
     )
-    return add_offsets(spool(placed, "numbered"), ["_shard"], "_place", name)
+    return add_offsets(spool(placed, "numbered"), ["_shard"], "_place", name, shards)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.bytes import byte_length, encode
 from quern.functions.text import filled, strip, text_or_empty
@@ -155,8 +155,8 @@ def padded_batches(
     lengths = tokenised.select(key, length.alias("n_tokens"))
     batch = F.floor((F.col("row_no") - 1) / rows)
     numbered = number_rows(lengths, [key]).select(key, "n_tokens", batch.alias("batch_id"))
-    longest = numbered.groupBy("batch_id").agg(F.max("n_tokens").alias("pad_to"))
-    plan = numbered.join(longest, "batch_id").select(key, "batch_id", "pad_to")
+    longest = F.max("n_tokens").over(Window.partitionBy("batch_id"))
+    plan = numbered.select(key, "batch_id", longest.alias("pad_to"))
     padding = F.col("pad_to") - F.size("input_ids")
     return tokenised.join(plan, key).select(
         key, "batch_id", "pad_to", padding.alias("padding"),

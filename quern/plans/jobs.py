@@ -19,17 +19,20 @@ def _stored(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Dat
 
 
 def ingest_job(
-    spark: SparkSession, listing: str, contents: str, state: str, out: str, **search
+    spark: SparkSession, listing: str, contents: str, state: str, out: str,
+    max_results: int = ingest.MAX_REPOS, **search,
 ) -> None:
     """Search, skip unchanged repositories, land their Python files, write the new state.
 
     A repository without Python files is recorded too; one with a file that failed to decode is
     not, so it is tried again.
     """
-    wanted = ingest.top_repos(spark.read.schema(schemas.REPO_LISTING).parquet(listing), **search)
+    listed = spark.read.schema(schemas.REPO_LISTING).parquet(listing)
+    wanted = ingest.top_repos(listed, max_results=max_results, **search)
     known = spark.read.schema(schemas.CRAWL_STATE).parquet(state)
-    # At most the search cap rows.
-    changed = F.broadcast(ingest.changed_repos(wanted, known).select("repo", "updated_at"))
+    changed = ingest.changed_repos(wanted, known).select("repo", "updated_at")
+    if max_results <= ingest.BROADCAST_REPOS:
+        changed = F.broadcast(changed)
     fetched = spark.read.schema(schemas.REPO_CONTENTS).parquet(contents).join(changed, "repo")
     decoded = ingest.decoded_files(ingest.python_files(fetched))
     landed = ingest.guard_paths(decoded.filter(F.col("source").isNotNull()))

@@ -545,6 +545,13 @@ SELECT lang, count(*) AS docs,
   sum(len(regexp_extract_all(t, '<REDACTED_EMAIL>'))) AS mails,
   sum(len(regexp_extract_all(t, '<REDACTED_IP>'))) AS addresses
 FROM (SELECT lang, {redacted(f'concat(text, {SECRET_SQL})')} AS t FROM documents) GROUP BY lang""",
+    "read_sources": f"""
+SELECT source || '/' || doc_id AS file_path,
+  CASE WHEN doc_id % 4 = 1 THEN '# coding: latin-1' || chr(10) ELSE '' END || text AS source,
+  CASE doc_id % 4 WHEN 0 THEN {bytes_of('text')} WHEN 1 THEN 18 + length(text)
+    WHEN 2 THEN 3 + {bytes_of('text')}
+    ELSE {bytes_of('text')} + length(text) - length(replace(text, chr(10), '')) END AS original_size
+FROM documents""",
     "lint_sources": f"""
 WITH {FILES}, {FACTS}
 SELECT file_path, k <> 2 AS syntax_ok,
@@ -679,6 +686,14 @@ SELECT doc_id, n AS n_ids, p AS prompt_tokens, n - least(p, n) AS trained, least
 FROM ({MASKS.format(rows=DOC_SAMPLES + " WHERE doc_id % 5 > 1")})""",
     "eval_prompts": f"""
 SELECT item_id, {prompt_sql('text')} AS prompt FROM benchmark""",
+    "roundtrip_audit": f"""
+SELECT doc_id, length(text) AS text_chars, n AS n_tokens, n >= 2048 AS cut, true AS same,
+  len(list_filter(kept, lambda b: b < '80' OR b > 'BF')) AS decoded_chars,
+  list_contains(kept, '0A') AS has_newline, false AS has_indent
+FROM (SELECT *, list_transform(range(1, n + 1),
+    lambda q: substr(h, CAST(2 * q - 1 AS BIGINT), 2)) AS kept
+  FROM (SELECT doc_id, text, least({bytes_of('text')}, 2048) AS n,
+      substr(hex(text), 1, 4096) AS h FROM documents))""",
     "roundtrip_summary": f"""
 SELECT count(*) AS texts, count(*) AS same, count(*) FILTER ({bytes_of('text')} >= 2048) AS cut,
   count(*) FILTER (strlen(split_part(text, chr(10), 1)) < least(2048, strlen(text))) AS has_newline,

@@ -177,6 +177,13 @@ def _cleaned(spark, folder) -> DataFrame:
     return cleaning.clean(_sources(spark, folder))
 
 
+@register
+def read_sources(spark, folder):
+    return cleaning.read_sources(tables.raw_files(_docs(spark, folder))).select(
+        "file_path", "source", "original_size"
+    )
+
+
 @register
 def lint_sources(spark, folder):
     return cleaning.lint_sources(_sources(spark, folder)).select(

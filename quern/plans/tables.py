@@ -73,3 +73,18 @@ def encoded_contents(docs: DataFrame) -> DataFrame:
         F.when(F.col("doc_id") % 11 == 0, "none").otherwise("base64").alias("encoding"),
         F.base64(F.encode("text", "UTF-8")).alias("content"),
     )
+
+
+def raw_files(docs: DataFrame) -> DataFrame:
+    """Documents as bytes of source files: UTF-8, Latin-1 with a declaration, UTF-8 with a byte
+    order mark, and UTF-8 with other line ends."""
+    slot = F.col("doc_id") % 4
+    declared = F.concat(F.lit("# coding: latin-1\n"), "text")
+    utf8 = F.encode("text", "UTF-8")
+    return docs.select(
+        F.concat("source", F.lit("/"), "doc_id").alias("file_path"),
+        F.when(slot == 0, utf8).when(slot == 1, F.encode(declared, "ISO-8859-1"))
+        .when(slot == 2, F.concat(F.unhex(F.lit("EFBBBF")), utf8))
+        .otherwise(F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8"))
+        .alias("content"),
+    )

@@ -22,7 +22,7 @@ REPO_CONTENTS = _struct(
 MANIFEST = _struct(
     file_path=T.StringType(), original_size=T.LongType(), cleaned_size=T.LongType(),
     line_count=T.IntegerType(), function_count=T.IntegerType(), imports=STRINGS,
-    cleaned_at=T.TimestampType(),
+    cleaned_at=T.TimestampType(), python_version=T.StringType(),
 )
 SAMPLE = _struct(
     type=T.StringType(), instruction=T.StringType(), code=T.StringType(),

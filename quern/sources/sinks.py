@@ -20,15 +20,21 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def _write_by_repo(files: DataFrame, path: str) -> None:
+    """One folder per repository.  Rebalancing keeps small repositories in one file each and
+    splits a repository that holds much of the data."""
+    write_table(files.hint("rebalance", "repo"), path, ("repo",))
+
+
 def write_landed(files: DataFrame, path: str) -> None:
-    """Accepted files by repository.  Each repository may span many part files."""
-    write_table(files.filter("path_ok").drop("path_ok"), path, ("repo",))
+    """Accepted files by repository."""
+    _write_by_repo(files.filter("path_ok").drop("path_ok"), path)
 
 
 def write_cleaned(cleaned: DataFrame, path: str) -> None:
     """Cleaned text under the file's relative path, by top folder."""
     folder = F.substring_index("file_path", "/", 1)
-    write_table(cleaned.select("file_path", "source").withColumn("repo", folder), path, ("repo",))
+    _write_by_repo(cleaned.select("file_path", "source").withColumn("repo", folder), path)
 
 
 def append_rejects(rejects: DataFrame, path: str) -> None:
