@@ -24,6 +24,8 @@ def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
     before the shuffle.
     """
     rest = [c for c in df.columns if c not in by]
+    if rest == list(order) and len(rest) == 1:
+        return df.groupBy(*by).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
     return df.groupBy(*by).agg(first).select(*by, "_first.*").select(*df.columns)
 

@@ -540,10 +540,10 @@ FROM ({DOC_SAMPLES})""",
     "redact_pii": f"SELECT doc_id, {redacted(f'concat(text, {SECRET_SQL})')} AS text FROM documents",
     "redact_counts": f"""
 SELECT lang, count(*) AS docs,
-  sum(len(regexp_extract_all(t, '<REDACTED_PRIVATE_KEY>'))) AS key_blocks,
-  sum(len(regexp_extract_all(t, '<REDACTED_AWS_KEY>'))) AS access_keys,
-  sum(len(regexp_extract_all(t, '<REDACTED_EMAIL>'))) AS mails,
-  sum(len(regexp_extract_all(t, '<REDACTED_IP>'))) AS addresses
+  CAST(sum(len(regexp_extract_all(t, '<REDACTED_PRIVATE_KEY>'))) AS BIGINT) AS key_blocks,
+  CAST(sum(len(regexp_extract_all(t, '<REDACTED_AWS_KEY>'))) AS BIGINT) AS access_keys,
+  CAST(sum(len(regexp_extract_all(t, '<REDACTED_EMAIL>'))) AS BIGINT) AS mails,
+  CAST(sum(len(regexp_extract_all(t, '<REDACTED_IP>'))) AS BIGINT) AS addresses
 FROM (SELECT lang, {redacted(f'concat(text, {SECRET_SQL})')} AS t FROM documents) GROUP BY lang""",
     "read_sources": f"""
 SELECT source || '/' || doc_id AS file_path,
@@ -650,14 +650,14 @@ SELECT doc_id, type, instruction, n_tokens, original_tokens, truncated,
   || CASE WHEN truncated THEN '' ELSE ' 256' END AS input_ids
 FROM (SELECT *, substr(hex(code), 1, 4096) AS h FROM ({TOKENS}))""",
     "token_stats": f"""
-SELECT count(*) FILTER (NOT is_blank) AS samples, sum(n) FILTER (NOT is_blank) AS total_tokens,
+SELECT count(*) FILTER (NOT is_blank) AS samples, CAST(sum(n) FILTER (NOT is_blank) AS BIGINT) AS total_tokens,
   max(n) FILTER (NOT is_blank) AS max_tokens, min(n) FILTER (NOT is_blank) AS min_tokens,
   round(avg(n) FILTER (NOT is_blank), 2) AS avg_tokens, count(*) FILTER (is_blank) AS skipped,
   count(*) FILTER (NOT is_blank AND {bytes_of('code')} >= 2048) AS truncated
 FROM (SELECT *, least({bytes_of('code')} + 1, 2048) AS n FROM ({TYPED}))""",
     "token_type_counts": f"SELECT type, count(*) AS samples FROM ({TOKENS}) GROUP BY type",
     "length_report": f"""
-SELECT count(*) AS samples, sum(n_tokens) AS total_tokens, max(n_tokens) AS max_tokens,
+SELECT count(*) AS samples, CAST(sum(n_tokens) AS BIGINT) AS total_tokens, max(n_tokens) AS max_tokens,
   min(n_tokens) AS min_tokens, round(avg(n_tokens), 2) AS avg_tokens FROM ({TOKENS})""",
     "attention_mask": f"""
 SELECT doc_id, n_tokens AS n_ids, n_tokens AS n_mask,
@@ -697,7 +697,7 @@ FROM (SELECT *, list_transform(range(1, n + 1),
     "roundtrip_summary": f"""
 SELECT count(*) AS texts, count(*) AS same, count(*) FILTER ({bytes_of('text')} >= 2048) AS cut,
   count(*) FILTER (strlen(split_part(text, chr(10), 1)) < least(2048, strlen(text))) AS has_newline,
-  0 AS has_indent, 1.0 AS same_share FROM documents""",
+  0 AS has_indent, CAST(1 AS DOUBLE) AS same_share FROM documents""",
     "format_token_counts": f"""
 SELECT file_path, len(list_filter(tokens, lambda t: contains(t, 'Ċ'))) AS newline_tokens,
   len(list_filter(tokens, lambda t: contains(t, 'Ġ'))) AS space_tokens,
@@ -718,7 +718,7 @@ SELECT doc_id, text FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 1
     "unigram_losses": f"WITH {LOSSES} SELECT doc_id, round(loss, 6) AS loss, n_tokens FROM losses",
     "perplexity_weighted": f"""
 WITH {LOSSES}, t AS (SELECT sum(n_tokens) AS n, sum(loss * n_tokens) / sum(n_tokens) AS m FROM losses)
-SELECT n AS n_tokens, round(m, 6) AS mean_loss, round(exp(m), 3) AS perplexity FROM t""",
+SELECT CAST(n AS BIGINT) AS n_tokens, round(m, 6) AS mean_loss, round(exp(m), 3) AS perplexity FROM t""",
     "perplexity_batch_mean": f"""
 WITH {LOSSES},
 numbered AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM losses),
@@ -733,8 +733,8 @@ FROM (SELECT conv_id, turn, role, {GENERATED_SQL} AS text FROM conversations)"""
     "repair_code": REPAIR,
     "expected_hits": f"SELECT *, hits = wanted AS passed FROM ({HITS})",
     "expected_pass_rate": f"""
-SELECT turn, count(*) AS cases, count(*) FILTER (hits = wanted) AS passed, sum(hits) AS hits,
-  sum(wanted) AS wanted FROM ({HITS}) GROUP BY turn""",
+SELECT turn, count(*) AS cases, count(*) FILTER (hits = wanted) AS passed, CAST(sum(hits) AS BIGINT) AS hits,
+  CAST(sum(wanted) AS BIGINT) AS wanted FROM ({HITS}) GROUP BY turn""",
     "stream_dedupe": "SELECT DISTINCT md5(text) AS code_hash, text FROM documents",
     "stream_clean": f"""
 WITH {FILES} SELECT DISTINCT md5(clean) AS code_hash, clean AS source FROM cleaned""",

@@ -637,9 +637,9 @@ def expected_pass_rate(spark, folder):
 @register
 def stream_dedupe(spark, folder):
     schema = _docs(spark, folder).schema
-    arrivals = incremental.read_arrivals(spark, folder, schema, "documents.parquet").withColumn(
-        "arrived_at", F.timestamp_seconds(F.col("doc_id") + 1)
-    )
+    arrivals = incremental.read_arrivals(
+        spark, f"{folder}/documents.parquet*", schema
+    ).withColumn("arrived_at", F.timestamp_seconds(F.col("doc_id") + 1))
     distinct = incremental.distinct_texts(
         arrivals, "text", "doc_id", "arrived_at", "10000 days"
     )
@@ -651,7 +651,7 @@ def stream_dedupe(spark, folder):
 @register
 def stream_clean(spark, folder):
     schema = _docs(spark, folder).schema
-    arrivals = incremental.read_arrivals(spark, folder, schema, "documents.parquet")
+    arrivals = incremental.read_arrivals(spark, f"{folder}/documents.parquet*", schema)
     arrived = arrivals.select(
         F.expr(corpus.FILE_PATH).alias("file_path"),
         F.expr(corpus.by_template(corpus.SOURCES)).alias("source"),

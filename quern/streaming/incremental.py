@@ -10,10 +10,9 @@ from quern.operators.cleaning import clean, cleaned_files
 SPREAD = 32
 
 
-def read_arrivals(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet"
-) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def read_arrivals(spark: SparkSession, files: str, schema: T.StructType) -> DataFrame:
+    """Parquet files that match a glob, or all files in the folders that match."""
+    return spark.readStream.schema(schema).parquet(files)
 
 
 def distinct_within(
