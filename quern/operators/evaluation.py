@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions.prompts import prompt
 from quern.functions.text import SPACE_CLASS, col
+from quern.session import spool
 
 # At most this many tokens can each make up 1/HEAVY of the corpus, so at most this many rows
 # are broadcast.
@@ -32,7 +33,10 @@ def unigram_losses(texts: DataFrame, corpus: DataFrame, key: str, text: str) ->
         tallies = tally(corpus, 1, 1)
     else:
         tallies = tally(corpus, 1, 0).unionByName(tally(texts, 0, 1))
-    counts = tallies.groupBy("token").agg(F.sum("seen").alias("seen"), F.sum("used").alias("used"))
+    # Read by four later steps, so it is written once.
+    counts = spool(tallies.groupBy("token").agg(
+        F.sum("seen").alias("seen"), F.sum("used").alias("used")
+    ), "vocabulary")
     totals = counts.agg(
         (F.sum("seen") + F.count_if(F.col("seen") > 0)).alias("mass"), F.sum("used").alias("used")
     )
