@@ -1,4 +1,5 @@
-"""Command line: ``spark-submit --py-files quern.zip -m quern <job> ...`` or ``python -m quern``."""
+"""Command line: ``python -m quern <job> ...``, or ``spark-submit --py-files quern.zip
+quern/__main__.py <job> ...`` on a cluster."""
 
 from __future__ import annotations
 
