@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from quern.plans.oracles import ORACLES
+from quern.plans.queries import QUERIES
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
