@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 SHORT = 24
@@ -31,6 +33,12 @@ class Vocabulary:
                 self.byte_ids[int(piece[1:-1], 16)] = i
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 self.ids[piece] = i
+        self.byte_of = {i: bytes([byte]) for byte, i in enumerate(self.byte_ids)}
+        # What each id is written as, for decoding many at once.
+        self.written = np.array(
+            [self.byte_of.get(i, piece.replace(MARK, " ").encode()) for i, piece in enumerate(self.pieces)],
+            object,
+        )
         if any(MARK in piece.lstrip(MARK) for piece in self.ids):
             raise ValueError("a piece of this vocabulary spans blanks inside")
         self.longest = max(map(len, self.ids))
@@ -65,7 +73,7 @@ class Vocabulary:
         """The segment cut where no piece can span: everywhere in a long one, at the end of a
         short one (a word and the mark after it)."""
         pairs = self.pairs
-        if len(segment) <= SHORT:
+        if len(segment) <= SHORT and "\n" not in segment:
             if len(segment) > 1 and segment[-2:] not in pairs:
                 return [segment[:-1], segment[-1]]
             return [segment]
