@@ -5,19 +5,23 @@ weights of hashed text features that all grades share, and ordered thresholds be
 ``P(grade <= k) = logistic(threshold[k] - score)``.  From these follow the expected grade and the
 tail probability ``P(grade >= keep)``, by which documents are selected.
 
-Features are the distinct words of the whole text without case and outer marks, their first letters,
-and a few shares (capitals, repeated neighbours, words with symbols, table bars) in steps, each hashed to one of
-``BUCKETS`` weights.  A feature counts by presence, divided by the fourth root of the number of
-features, so long texts neither drown a telling word nor pile up chance.
+Features are the first three and four letters of each distinct word of the whole text, without case
+and outer marks, and a few shares (capitals, repeated neighbours, words with symbols, table bars) in
+steps, each hashed to one of ``BUCKETS`` weights.  Beginnings of words stand in for all forms of a
+word.  They count by presence, divided by the fourth root of their number, so long texts neither
+drown a telling word nor pile up chance; shares count fully.
 
-Ratings here: the grades of ``labels`` are 0 (poor quality), 1 (good but toxic), 2 (good).
+Ratings here: the grades of ``labels`` are 0 (toxic), 1 (poor quality), 2 (good).  Toxic is the lowest,
+so that any number of toxic words can pull a text down.
 
 The model is fitted in the driver on a bounded sample: about ``sample_rows`` rated documents, chosen
-by a hash of the id.  Only their feature hashes are collected.  Every document is scored whole.
+by a hash of the id.  Only their feature hashes are collected, and only features of at least
+``LEAST_DOCUMENTS`` of them get a weight.  Every document is scored whole.
 
-Cases: texts that are NULL or hold no word get expected grade 0, probability 0 and are not kept; ratings with NULLs, of unknown documents, or
-beyond the first per document (by smallest grade) are not used; without ratings every text with words
-is kept; repeated rows give repeated rows; other columns are ignored.
+Cases: texts that are NULL or hold no word get expected grade 0, probability 0 and are not kept;
+ratings with NULLs or of unknown documents are not used, and of several for one document the smallest
+grade counts; without ratings every text with words is kept; repeated rows give repeated rows; other
+columns are ignored, or kept if whole documents are asked for.
 """
 
 from __future__ import annotations
@@ -30,20 +34,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quern.llm.common import Memo
 
 BUCKETS = 1 << 18
 GRADES = 3
+LEAST = 0.6
 SAMPLE_ROWS = 12_000
-ROUNDS = 250
+ROUNDS = 200
 RATE = 0.1
-PENALTY = 2e-6
+PENALTY = 1e-4
 STEPS = 10
-PREFIX = 4
+PREFIXES = (3, 4)
 SHARES = 6
-LEAST_DOCUMENTS = 4
+LEAST_DOCUMENTS = 10
 OUTER = ".,;:!?\"'()[]{}<>*#$%&|~^_=+-/\\`"
 
 
@@ -51,8 +56,15 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % BUCKETS
 
 
-_word_buckets = Memo(lambda word: (_bucket("w:" + word), _bucket("p:" + word[:PREFIX])), 300_000)
-_stripped = Memo(lambda word: _word_buckets[word.strip(OUTER).lower()], 400_000)
+_prefix_bucket = Memo(lambda prefix: _bucket("p:" + prefix), 200_000)
+
+
+def _word_buckets(word: str) -> tuple[int, ...]:
+    plain = word.strip(OUTER).lower()
+    return tuple(_prefix_bucket[plain[:size]] for size in PREFIXES)
+
+
+_of_word = Memo(_word_buckets, 400_000)
 
 
 @lru_cache(maxsize=4096)
@@ -87,7 +99,7 @@ def features(text: str | None) -> list[int]:
         _share(name, math.ceil(STEPS * value / total)) for name, value in shares.items()
     ]
     steps.append(_share("words", min(12, total.bit_length())))
-    return [*set(chain.from_iterable(map(_stripped.__getitem__, counts))), *steps]
+    return [*set(chain.from_iterable(map(_of_word.__getitem__, counts))), *steps]
 
 
 def values_of(sizes: np.ndarray) -> np.ndarray:
@@ -171,7 +183,7 @@ def fit(
 
 def label_grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, grade) from quality and toxic marks, one row per document."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     known = F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col(id_col).isNotNull()
     return labels.filter(known).groupBy(id_col).agg(F.min(grade).alias("grade"))
 
@@ -204,7 +216,7 @@ def fit_on(
 
 
 def quality(
-    docs: DataFrame, model: Model | None, keep_grade: int = GRADES - 1, least: float = 0.5,
+    docs: DataFrame, model: Model | None, keep_grade: int = GRADES - 1, least: float = LEAST,
     id_col: str = "doc_id", text_col: str = "text", whole: bool = False,
 ) -> DataFrame:
     """Per document ``expected_grade``, ``p_keep`` = P(grade >= keep_grade) and ``keep``.
@@ -238,7 +250,3 @@ def quality(
     schema = docs.schema if whole else T.StructType([chosen.schema[id_col]]).add(
         "expected_grade", "double").add("p_keep", "double").add("keep", "boolean")
     return chosen.mapInArrow(run, schema)
-
-
-def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0

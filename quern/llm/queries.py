@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import language_id, secret_scan, token_counts
+from quern.llm import (
+    exact_top_k, language_id, packing, quality_classifier, secret_scan, sentence_pieces,
+    simhash_dedup, substring_dedup, token_counts, vector_forest,
+)
 from quern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +22,11 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op1_sentence_pieces(spark, folder):
+    return sentence_pieces.encoding_digest(table(spark, folder, "documents"))
+
+
 @register
 def op2_language_id(spark, folder):
     return language_id.language_predictions(table(spark, folder, "documents"))
@@ -32,3 +40,54 @@ def op3_secret_scan(spark, folder):
 @register
 def op4_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"))
+
+
+@register
+def op5_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    grades = quality_classifier.label_grades(table(spark, folder, "labels"))
+    return quality_classifier.quality(docs, quality_classifier.fit_on(docs, grades))
+
+
+@register
+def op6_exact_top_k(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return exact_top_k.exact_top_k(vectors, F.col("id") % 100 == 0)
+
+
+@register
+def op7_packing(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@register
+def op8_substring_dedup(spark, folder):
+    return substring_dedup.repeat_digest(table(spark, folder, "documents"))
+
+
+@register
+def op9_nearest_vectors(spark, folder):
+    return vector_forest.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@register
+def op10_simhash_dedup(spark, folder):
+    return simhash_dedup.fingerprint_digest(table(spark, folder, "documents"))
+
+
+ORACLES["op6_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id AS id, list_transform(embedding, lambda c: floor(CAST(c AS DOUBLE) * 1024)) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+    SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 100 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
+    FROM s
+)
+SELECT * FROM r WHERE "rank" <= 10
+"""
