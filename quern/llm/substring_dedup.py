@@ -123,7 +123,7 @@ def _runs(*sorted_keys: np.ndarray) -> np.ndarray:
 def _rows(batch: int, buckets: np.ndarray, pack, total: int) -> pa.Table:
     """One row per bucket of the entries, which are sorted by bucket."""
     heads = _runs(buckets)
-    tails = np.r_[heads[1:], total]
+    tails = np.append(heads, total)[1:]
     return pa.table({
         "_bucket": pa.array(buckets[heads], pa.int32()),
         "_batch": pa.array(np.full(len(heads), batch), pa.int32()),
