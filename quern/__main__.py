@@ -31,8 +31,15 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--keep-eos", action="store_true")
     one = job("format", "jsonl", "out")
     one.add_argument("--style", choices=sorted(jobs.STYLES), default="text")
-    one = job("incremental-clean", "arrivals", "out", "checkpoint")
-    one.add_argument("--horizon", default="30 days")
+    job("publish", "cleaned", "out")
+    one = job("batches", "table", "out")
+    one.add_argument("--rows", type=int, default=jobs.tokens.BATCH_ROWS)
+    one.add_argument("--pad-id", type=int, default=0)
+    job("masks", "jsonl", "out")
+    job("audit", "jsonl", "out")
+    job("perplexity", "losses", "out")
+    job("evaluate", "cases", "answers", "out")
+    job("incremental-clean", "arrivals", "out", "checkpoint")
     return top
 
 

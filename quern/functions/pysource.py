@@ -86,7 +86,7 @@ def _tidied(tokens):
     spaced = tokenize.untokenize(map(_spaced_comment, tokens))
     lines = spaced.splitlines()
     text = "\n".join([line.expandtabs(4).rstrip() for line in lines]).rstrip() + "\n"
-    return text, len(lines) <= spaced.count("\n") + 1
+    return text, len(lines) == spaced.count("\n") + (not spaced.endswith("\n"))
 
 
 def _comment_block(lines, lineno):

@@ -15,8 +15,8 @@ INDENT = "    "
 
 
 def roundtrip(texts: DataFrame, key: Sequence[str], text: str, limit: int = MAX_TOKENS) -> DataFrame:
-    """Decode what was encoded and compare, row by row.  A text that reaches the limit counts as
-    cut and is compared by its kept bytes only."""
+    """Decode what was encoded and compare, row by row.  ``same`` compares with the whole text,
+    ``kept_same`` with the bytes within the limit; a text that reaches it counts as cut."""
     ids = byte_tokens.encode(text, limit, add_eos=False)
     decoded = texts.select(*key, text, ids.alias("ids")).withColumn(
         "decoded", byte_tokens.decode("ids")
@@ -25,7 +25,8 @@ def roundtrip(texts: DataFrame, key: Sequence[str], text: str, limit: int = MAX_
     return decoded.select(
         *key, F.length(text).alias("text_chars"), F.size("ids").alias("n_tokens"),
         F.length("decoded").alias("decoded_chars"), (F.size("ids") >= limit).alias("cut"),
-        (F.col("decoded") == F.make_valid_utf8(kept.cast("string"))).alias("same"),
+        (F.col("decoded") == F.col(text)).alias("same"),
+        (F.col("decoded") == F.make_valid_utf8(kept.cast("string"))).alias("kept_same"),
         F.contains("decoded", F.lit("\n")).alias("has_newline"),
         F.contains("decoded", F.lit(INDENT)).alias("has_indent"),
     )
@@ -35,8 +36,9 @@ def roundtrip_summary(rows: DataFrame) -> DataFrame:
     def count(name: str) -> Column:
         return F.count_if(name).alias(name)
     return rows.agg(
-        F.count(F.lit(1)).alias("texts"), *[count(n) for n in ("same", "cut", "has_newline", "has_indent")],
-        F.round(F.avg(F.col("same").cast("int")), 6).alias("same_share"),
+        F.count(F.lit(1)).alias("texts"), *[count(n) 
+          for n in ("same", "kept_same", "cut", "has_newline", "has_indent")],
+        F.round(F.avg(F.when(~F.col("cut"), F.col("same").cast("int"))), 6).alias("same_share"),
     )
 
 
@@ -67,6 +69,12 @@ def format_token_counts(tokens: Column | str) -> Column:
     )
 
 
+def _indents(text: str) -> Column:
+    """Runs of blanks and newlines that look like indentation: four blanks or more, a newline with
+    a blank after it, or an empty line."""
+    return F.regexp_count(F.col(text), F.lit("\n[\n ][\n ]*| {4,}"))
+
+
 def trained_part(masked: DataFrame, key: Sequence[str]) -> DataFrame:
     """Text of the ids that carry a label, and whether it holds newlines and indentation."""
     pairs = F.arrays_zip(F.col("input_ids").alias("id"), F.col("labels").alias("label"))
@@ -80,6 +88,8 @@ def trained_part(masked: DataFrame, key: Sequence[str]) -> DataFrame:
         *key, F.size("ids").alias("trained"), F.contains("text", F.lit("\n")).alias("has_newline"),
         F.contains("text", F.lit(INDENT)).alias("has_indent"),
         count(ord("\n")).alias("newline_tokens"), count(ord(" ")).alias("space_tokens"),
+        _indents("text").alias("indent_tokens"),
+        F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")).alias("ids_md5"),
     )
 
 

@@ -63,7 +63,7 @@ def clean(
     sources: DataFrame, min_code_lines: int = MIN_CODE_LINES, keep: Sequence[str] = ()
 ) -> DataFrame:
     """One row per file with its outcome; cleaned text and facts where it passed.  ``keep`` names
-    further columns to carry along.
+    further columns to carry along.  A file without text is a cleaning error.
 
     Redaction is native and comes first, so that one Python stage does the rest.  Unchanged texts
     cross to Python once and do not come back.
@@ -72,15 +72,18 @@ def clean(
     changed = F.when(F.col("_redacted") != F.col("source"), F.col("_redacted"))
     done = redacted.withColumn("_done", pysource.clean(F.col("source"), changed, min_code_lines))
     outcome = (
-        F.when(F.col("read_error").isNotNull() | F.col("_done.failed"), "cleaning_error")
+        F.when(F.col("source").isNull() | F.col("_done.failed"), "cleaning_error")
         .when(~F.col("_done.syntax_ok"), "syntax_error")
         .when(F.col("_done.code_lines") < min_code_lines, "too_short")
-        .otherwise(PASSED)
+        .when(F.col("_done.syntax_ok"), PASSED)
+        .otherwise("cleaning_error")
     )
     return done.withColumn("outcome", outcome).select(
         "file_path", "outcome", "original_size",
         F.col("_done.error_line").alias("error_line"),
-        F.coalesce("read_error", "_done.error").alias("error"),
+        F.coalesce(
+            "read_error", "_done.error", F.when(F.col("source").isNull(), "no text")
+        ).alias("error"),
         F.col("_done.code_lines").alias("code_lines"),
         F.when(F.col("outcome") == PASSED, F.coalesce("_done.text", "source")).alias("source"),
         F.struct(*[F.col(f"_done.{name}") for name in OUTLINE]).alias("outline"),

@@ -13,51 +13,79 @@ from quern.session import spool
 HEAVY = 10_000
 
 
-def words(texts: DataFrame, key: str, text: str) -> DataFrame:
+def words(texts: DataFrame, key: Column | str, text: str) -> DataFrame:
     parts = F.split(col(text), f"(?U)[{SPACE_CLASS}]+")
     return texts.select(key, F.explode(parts).alias("token")).filter(F.col("token") != "")
 
 
-def unigram_losses(texts: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """Mean negative log-likelihood per text under the corpus' word counts with add-one
-    smoothing: (key, loss, n_tokens).
+def _cost(seen: Column, mass: Column) -> Column:
+    """Negative log-likelihood of a word under add-one smoothing."""
+    return -F.log((seen + 1) / mass)
 
-    Words that are frequent in the texts would be hot join keys.  They are few by definition, so
-    they are broadcast; only occurrences of other words are shuffled to meet their counts.
-    """
-    def tally(source: DataFrame, seen: int, used: int) -> DataFrame:
-        return words(source, key, text).select(
-            "token", F.lit(seen).alias("seen"), F.lit(used).alias("used")
-        )
-    if texts is corpus:
-        tallies = tally(corpus, 1, 1)
-    else:
-        tallies = tally(corpus, 1, 0).unionByName(tally(texts, 0, 1))
-    # Read by four later steps, so it is written once.
-    counts = spool(tallies.groupBy("token").agg(
-        F.sum("seen").alias("seen"), F.sum("used").alias("used")
-    ), "vocabulary")
-    totals = counts.agg(
-        (F.sum("seen") + F.count_if(F.col("seen") > 0)).alias("mass"), F.sum("used").alias("used")
+
+def _vocabulary(used: DataFrame, corpus: DataFrame | None, text: str) -> DataFrame:
+    """(token, seen, used): occurrences in the corpus and in the texts.  The counts of the texts
+    serve for both if no corpus is given."""
+    if corpus is None:
+        return used.select("token", F.col("used").alias("seen"), "used")
+    tokens = words(corpus, F.lit(0).alias("_"), text).select(
+        "token", F.lit(1).alias("seen"), F.lit(0).alias("used")
     )
-    mass, used = totals.select("mass").scalar(), totals.select("used").scalar()
-    heavy = counts.filter(F.col("used") * HEAVY >= used).drop("used")
-    rare = counts.filter((F.col("used") > 0) & (F.col("used") * HEAVY < used)).drop("used")
-    every = words(texts, key, text)
+    both = tokens.unionByName(used.select("token", F.lit(0).alias("seen"), "used"))
+    return both.groupBy("token").agg(F.sum("seen").alias("seen"), F.sum("used").alias("used"))
+
 
-    def cost(seen: Column) -> Column:
-        return -F.log((seen + 1) / mass)
+def _mass() -> Column:
+    return F.sum("seen") + F.count_if(F.col("seen") > 0)
+
+
+def unigram_losses(
+    texts: DataFrame, key: str, text: str, corpus: DataFrame | None = None
+) -> DataFrame:
+    """Mean negative log-likelihood per text under the word counts of ``corpus`` (the texts
+    themselves, if it is not given): (key, loss, n_tokens).  A text without words has loss NULL.
+
+    Texts are split once, into a table of words per text.  Words that are frequent in the texts
+    would be hot join keys.  They are few by definition, so they are broadcast; only other words
+    are shuffled to meet their counts.
+    """
+    own = spool(
+        words(texts, key, text).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")), "words"
+    )
+    used = own.groupBy("token").agg(F.sum("n").alias("used"))
+    counts = spool(_vocabulary(used, corpus, text), "vocabulary")
+    totals = counts.agg(_mass().alias("mass"), F.sum("used").alias("used"))
+    mass, all_used = totals.select("mass").scalar(), totals.select("used").scalar()
+    heavy = counts.filter(F.col("used") * HEAVY >= all_used).drop("used")
+    rare = counts.filter(
+        (F.col("used") > 0) & (F.col("used") * HEAVY < all_used)
+    ).drop("used")
 
     def per_text(rows: DataFrame) -> DataFrame:
         return rows.groupBy(key).agg(
-            F.sum(cost(F.col("seen"))).alias("cost"), F.count(F.lit(1)).alias("n")
+            F.sum(_cost(F.col("seen"), mass) * F.col("n")).alias("cost"), F.sum("n").alias("n")
         )
     # At most HEAVY words, together no longer than HEAVY words of average length.
     heavy = F.broadcast(heavy)
-    common = per_text(every.join(heavy, "token"))
-    seldom = per_text(every.join(heavy, "token", "left_anti").join(rare, "token"))
-    return common.unionByName(seldom).groupBy(key).agg(
-        (F.sum("cost") / F.sum("n")).alias("loss"), F.sum("n").alias("n_tokens")
+    common = per_text(own.join(heavy, "token"))
+    seldom = per_text(own.join(heavy, "token", "left_anti").join(rare, "token"))
+    every = texts.select(key, F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("n"))
+    return common.unionByName(seldom).unionByName(every).groupBy(key).agg(
+        F.try_divide(F.sum("cost"), F.sum("n")).alias("loss"), F.sum("n").alias("n_tokens")
+    )
+
+
+def unigram_perplexity(texts: DataFrame, text: str, corpus: DataFrame | None = None) -> DataFrame:
+    """The weighted perplexity of all texts, from the vocabulary alone: no text is joined."""
+    used = words(texts, F.lit(0).alias("_"), text).groupBy("token").agg(
+        F.count(F.lit(1)).alias("used")
+    )
+    counts = spool(_vocabulary(used, corpus, text), "vocabulary")
+    mass = counts.agg(_mass().alias("mass")).scalar()
+    n = F.sum("used")
+    mean = F.try_divide(F.sum(_cost(F.col("seen"), mass) * F.col("used")), n)
+    return counts.agg(n.alias("n_tokens"), mean.alias("mean_loss")).withColumn(
+        "perplexity", F.exp("mean_loss")
     )
 
 
@@ -82,7 +110,7 @@ def batch_losses(numbered: DataFrame, rows: int) -> DataFrame:
     """Token-weighted loss of each batch of consecutive rows (``row_no`` from 1)."""
     batch = F.floor((F.col("row_no") - 1) / rows)
     return numbered.groupBy(batch.alias("batch_id")).agg(
-        (F.sum(F.col("loss") * F.col("n_tokens")) / F.sum("n_tokens")).alias("loss"),
+        F.try_divide(F.sum(F.col("loss") * F.col("n_tokens")), F.sum("n_tokens")).alias("loss"),
         F.sum("n_tokens").alias("n_tokens"),
     )
 

@@ -59,6 +59,17 @@ def drop_empty(formatted: DataFrame, *columns: str) -> DataFrame:
     return formatted
 
 
+def empty_rejects(formatted: DataFrame, key: str, *columns: str) -> DataFrame:
+    """What ``drop_empty`` leaves out."""
+    empty = F.lit(False)
+    for name in columns:
+        empty = empty | (strip(F.col(name)) == "")
+    return formatted.filter(empty).select(
+        F.lit("format").alias("stage"), F.col(key).cast("string").alias("key"),
+        F.lit("empty_text").alias("reason"), F.lit(None).cast("string").alias("detail"),
+    )
+
+
 def format_counts(formatted: DataFrame, *columns: str) -> DataFrame:
     """Rows before, skipped and kept by ``drop_empty``."""
     kept = F.lit(True)

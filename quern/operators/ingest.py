@@ -63,16 +63,28 @@ def decoded_files(contents: DataFrame) -> DataFrame:
     return kept.withColumn("source", text).drop("content", "encoding")
 
 
-def complete_repos(fetched: DataFrame) -> DataFrame:
-    """Fetched repositories without a file that failed to decode, also those without any Python
-    file: their state may be stored."""
-    failed = (
-        (F.col("type") == "file") & F.endswith("path", F.lit(".py"))
-        & (F.col("encoding") == "base64")
-        & _from_base64("content").isNull()
+def landed(fetched: DataFrame) -> DataFrame:
+    """Python files of fetched repositories, decoded once: ``source`` and, for those that can't be
+    kept, ``reason``."""
+    files = guard_paths(decoded_files(python_files(fetched)))
+    reason = F.when(F.col("source").isNull(), "undecodable_content").when(
+        ~F.col("path_ok"), "refused_path"
     )
-    counted = fetched.groupBy("repo", "updated_at").agg(F.count_if(failed).alias("failed"))
-    return counted.filter(F.col("failed") == 0).drop("failed")
+    return files.withColumn("reason", reason)
+
+
+def landing_rejects(files: DataFrame) -> DataFrame:
+    return files.filter(F.col("reason").isNotNull()).select(
+        F.lit("ingest").alias("stage"), F.concat_ws("/", "repo", "path").alias("key"), "reason",
+        F.lit(None).cast("string").alias("detail"),
+    )
+
+
+def complete_state(fetched: DataFrame, files: DataFrame) -> DataFrame:
+    """Fetched repositories whose files all decoded, also those without any Python file: their
+    state may be stored."""
+    failed = files.filter(F.col("reason") == "undecodable_content").select("repo").distinct()
+    return fetched.select("repo", "updated_at").distinct().join(failed, "repo", "left_anti")
 
 
 def guard_paths(files: DataFrame) -> DataFrame:

@@ -14,18 +14,15 @@ from quern.session import spool
 
 # Rows of well under 200 bytes each.
 BROADCAST_SHARDS = 1_000_000
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the one with the smallest order key (which should be unique).
 
     An aggregate, not a window: a key with a third of all rows shrinks to one row per map task
-    before the shuffle.
+    before the shuffle.  A NULL order key comes before all others.
     """
     rest = [c for c in df.columns if c not in by]
-    if rest == list(order) and len(rest) == 1:
-        return df.groupBy(*by).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
     return df.groupBy(*by).agg(first).select(*by, "_first.*").select(*df.columns)
 
@@ -43,15 +40,12 @@ def top_per_group(
     """The first ``k`` rows of each group with their rank, 1 to k.
 
     Ranking happens twice: first within (group, slot), where the slot follows the input partition,
-    then within the group.  Spark puts a group limit before each shuffle, so a task sends at most
-    ``k`` rows per group, those spread over ``spread`` tasks, and the last step sees at most
-    ``k * spread`` rows per group.
+    then within the group.  Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 unless
+    set) Spark puts a group limit before each shuffle, so a task sends at most ``k`` rows per
+    group.  The last step sees at most ``k * spread`` rows per group.
     """
     if k <= 0:
         return df.withColumn(rank, F.lit(0)).limit(0)
-    conf = df.sparkSession.conf
-    if int(conf.get(GROUP_LIMIT)) < k:
-        conf.set(GROUP_LIMIT, str(k))
     slot = F.pmod(F.spark_partition_id(), F.lit(spread))
     first = Window.partitionBy(*group, "_slot").orderBy(*order)
     last = Window.partitionBy(*group).orderBy(*order)

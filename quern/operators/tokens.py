@@ -31,12 +31,39 @@ def with_code(samples: DataFrame) -> DataFrame:
     )
 
 
-def blank_rejects(samples: DataFrame, key: str) -> DataFrame:
-    return with_code(samples).filter("is_blank").select(
+def _reject(key: str, reason: Column | str, detail: Column) -> list[Column]:
+    reason = F.lit(reason) if isinstance(reason, str) else reason
+    return [
         F.lit("tokens").alias("stage"), F.col(key).cast("string").alias("key"),
-        F.lit("blank_code").alias("reason"),
-        F.concat_ws(": ", "type", F.substring("instruction", 1, 80)).alias("detail"),
-    )
+        reason.alias("reason"), detail.alias("detail"),
+    ]
+
+
+def _about() -> Column:
+    return F.concat_ws(": ", "type", F.substring("instruction", 1, 80))
+
+
+def blank_rejects(samples: DataFrame, key: str) -> DataFrame:
+    return with_code(samples).filter("is_blank").select(*_reject(key, "blank_code", _about()))
+
+
+def line_rejects(samples: DataFrame, key: str, corrupt: str) -> DataFrame:
+    """``blank_rejects`` of parsed lines, and the lines that are no JSON object."""
+    bad = F.col(corrupt).isNotNull()
+    return blank_rejects(samples.filter(~bad), key).unionByName(samples.filter(bad).select(
+        *_reject(key, "json_decode_error", F.substring(corrupt, 1, 80))
+    ))
+
+
+def token_rejects(tokenised: DataFrame, key: str) -> DataFrame:
+    """Samples the tokenizer failed on, and samples that were cut (those stay in the table)."""
+    failed = F.col("error").isNotNull() if "error" in tokenised.columns else F.lit(False)
+    detail = F.col("error") if "error" in tokenised.columns else F.lit(None).cast("string")
+    reason = F.when(failed, "tokenizer_error").when(F.col("truncated"), "cut_to_limit")
+    cut = F.format_string("%s of %s tokens", "n_tokens", "original_tokens")
+    return tokenised.select(
+        *_reject(key, reason, F.when(failed, detail).otherwise(cut))
+    ).filter(F.col("reason").isNotNull())
 
 
 def tokenise(
@@ -60,7 +87,8 @@ def tokenise_with(
     key: Sequence[str] = (), limit: int = MAX_TOKENS,
 ) -> DataFrame:
     """As ``tokenise`` with any tokenizer.  ``load`` runs once per worker task and returns a
-    function from text to ids; rows on which it fails get no ids and are dropped."""
+    function from text to ids.  Rows on which it fails have no ids and tell why in ``error``;
+    ``token_rejects`` records them."""
     if eos_id is None:
         raise ValueError("the tokenizer has no end-of-text id")
 
@@ -68,27 +96,29 @@ def tokenise_with(
         encode_text = load()
 
         def ids(text):
+            if text is None:
+                return None
             try:
-                return None if text is None else [*encode_text(text), eos_id]
-            except Exception:
-                return []
+                return {"ids": [*encode_text(text), eos_id]}
+            except Exception as exc:
+                return {"error": f"{type(exc).__name__}: {exc}"}
         for part in parts:
-            yield pa.array([ids(text) for text in part.to_pylist()], type=pa.list_(pa.int32()))
+            yield pa.array([ids(text) for text in part.to_pylist()], type=made)
 
     from collections.abc import Iterator
     batches.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    full = F.arrow_udf(batches, "array<int>").asNondeterministic()
+    made = pa.struct([("ids", pa.list_(pa.int32())), ("error", pa.string())])
+    full = F.arrow_udf(batches, "struct<ids: array<int>, error: string>").asNondeterministic()
     return (
-        with_code(samples).filter(~F.col("is_blank")).withColumn("_full", full(F.col("code")))
-        .select(
+        with_code(samples).filter(~F.col("is_blank")).withColumn("_made", full(F.col("code")))
+        .withColumn("_full", F.col("_made.ids")).select(
             *key, F.coalesce("type", F.lit("unknown")).alias("type"),
             F.slice("_full", 1, limit).alias("input_ids"),
             filled("instruction").alias("instruction"),
-            F.least(F.size("_full"), F.lit(limit)).alias("n_tokens"),
+            F.size(F.slice("_full", 1, limit)).alias("n_tokens"),
             F.size("_full").alias("original_tokens"),
-            (F.size("_full") > limit).alias("truncated"),
+            (F.size("_full") > limit).alias("truncated"), F.col("_made.error").alias("error"),
         )
-        .filter(F.size("input_ids") > 0)
     )
 
 
@@ -102,16 +132,18 @@ def sizes(samples: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
 
 
 def token_stats(sized: DataFrame) -> DataFrame:
-    """Count, total, longest, shortest and mean length; skipped and cut rows."""
+    """Count, total, longest, shortest and mean length; skipped, failed and cut rows."""
     def zero(c: Column) -> Column:
         return F.coalesce(c, F.lit(0))
-    kept = F.when(~F.col("is_blank"), F.col("n_tokens"))
+    failed = F.col("error").isNotNull() if "error" in sized.columns else F.lit(False)
+    blank = F.col("is_blank") if "is_blank" in sized.columns else F.lit(False)
+    kept = F.when(~blank & ~failed, F.col("n_tokens"))
     return sized.agg(
         F.count(kept).alias("samples"), zero(F.sum(kept)).alias("total_tokens"),
         zero(F.max(kept)).alias("max_tokens"), zero(F.min(kept)).alias("min_tokens"),
         F.round(zero(F.avg(kept)), 2).alias("avg_tokens"),
-        F.count_if("is_blank").alias("skipped"),
-        F.count_if(F.col("truncated") & ~F.col("is_blank")).alias("truncated"),
+        F.count_if(blank).alias("skipped"), F.count_if(failed).alias("errors"),
+        F.count_if(F.col("truncated") & kept.isNotNull()).alias("truncated"),
     )
 
 

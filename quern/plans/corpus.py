@@ -200,6 +200,9 @@ def test_{id}(a):
         seen.add(item)
         total = total + item
     return total
+
+
+# {cmt}
 ''',
     8: '''from . import sibling
 from .pkg.mod import thing
@@ -233,6 +236,14 @@ def tail_{id}(rows):
 }
 
 
+def odd_files(docs: DataFrame) -> DataFrame:
+    """(file_path, source): a file without text for every fiftieth document."""
+    path = F.concat(F.lit("odd/none_"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return docs.filter(F.col("doc_id") % 50 == 0).select(
+        path.alias("file_path"), F.lit(None).cast("string").alias("source")
+    )
+
+
 def code_files(docs: DataFrame) -> DataFrame:
     """(file_path, source) for every document."""
     return docs.select(

@@ -1,14 +1,15 @@
 """End-to-end jobs from paths to paths.  Every stage writes one full table and derives its other
-outputs from that table, so nothing expensive runs twice."""
+outputs from that table, so nothing expensive runs twice.  Rows that a stage leaves out end in its
+``rejects``; a job that runs again replaces them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern import schemas
-from quern.operators import cleaning, formats, ingest, samples, selection, tokens
+from quern.operators import audit, cleaning, evaluation, formats, ingest, samples, selection, tokens
 from quern.operators.ordering import number_rows
-from quern.session import spool, spread
+from quern.session import spool
 from quern.sources import files, sinks
 from quern.streaming import incremental
 
@@ -18,6 +19,10 @@ def _stored(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _reject(rejects: DataFrame, out: str) -> None:
+    sinks.write_rejects(rejects.withColumn("at", F.current_timestamp()), f"{out}/rejects")
+
+
 def ingest_job(
     spark: SparkSession, listing: str, contents: str, state: str, out: str,
     max_results: int = ingest.MAX_REPOS, **search,
@@ -25,54 +30,85 @@ def ingest_job(
     """Search, skip unchanged repositories, land their Python files, write the new state.
 
     A repository without Python files is recorded too; one with a file that failed to decode is
-    not, so it is tried again.
+    not, so it is tried again.  Contents are joined and decoded once; files, rejects and state
+    derive from that table.
     """
     listed = spark.read.schema(schemas.REPO_LISTING).parquet(listing)
     wanted = ingest.top_repos(listed, max_results=max_results, **search)
     known = spark.read.schema(schemas.CRAWL_STATE).parquet(state)
-    changed = ingest.changed_repos(wanted, known).select("repo", "updated_at")
-    if max_results <= ingest.BROADCAST_REPOS:
-        changed = F.broadcast(changed)
-    fetched = spark.read.schema(schemas.REPO_CONTENTS).parquet(contents).join(changed, "repo")
-    decoded = ingest.decoded_files(ingest.python_files(fetched))
-    landed = ingest.guard_paths(decoded.filter(F.col("source").isNotNull()))
-    sinks.write_landed(landed.select("repo", "path", "source", "path_ok"), f"{out}/files")
-    state_after = ingest.updated_state(known, ingest.complete_repos(fetched))
+    changed = spool(
+        ingest.changed_repos(wanted, known).select("repo", "updated_at"), "changed"
+    )
+    keys = F.broadcast(changed) if max_results <= ingest.BROADCAST_REPOS else changed
+    fetched = spark.read.schema(schemas.REPO_CONTENTS).parquet(contents).join(keys, "repo")
+    decoded = _stored(
+        ingest.landed(fetched).select("repo", "path", "source", "path_ok", "reason"),
+        f"{out}/decoded",
+    )
+    sinks.write_landed(decoded.filter("reason is null").drop("reason"), f"{out}/files")
+    _reject(ingest.landing_rejects(decoded), out)
+    seen = spark.read.schema(schemas.REPO_CONTENTS).parquet(contents).select("repo").distinct()
+    state_after = ingest.updated_state(
+        known, ingest.complete_state(changed.join(seen, "repo", "left_semi"), decoded)
+    )
     sinks.write_table(state_after, f"{out}/state")
 
 
 def clean_job(spark: SparkSession, raw: str, out: str) -> DataFrame:
     """Tree of ``*.py`` files to cleaned text, manifest, rejects and outcome counts."""
-    sources = cleaning.read_sources(spread(files.source_tree(spark, raw), "file_path"))
+    sources = cleaning.read_sources(files.source_tree(spark, raw))
     cleaned = _stored(cleaning.clean(sources), f"{out}/files", ("outcome",))
     sinks.write_table(cleaning.manifest(cleaned), f"{out}/manifest")
-    sinks.append_rejects(cleaning.rejects(cleaned), f"{out}/rejects")
+    _reject(cleaning.rejects(cleaned).drop("at"), out)
     outcomes = cleaning.outcome_counts(cleaned)
     sinks.write_report(outcomes, f"{out}/outcomes")
     return outcomes
 
 
+def publish_job(spark: SparkSession, cleaned: str, out: str) -> None:
+    """Cleaned files under their relative path, in one folder per repository."""
+    sinks.write_cleaned(cleaning.cleaned_files(spark.read.parquet(f"{cleaned}/files")), out)
+
+
 def samples_job(spark: SparkSession, cleaned: str, out: str) -> DataFrame:
-    """Cleaned files to distinct samples with line numbers, rejects and counts."""
+    """Cleaned files to distinct samples with line numbers, rejects and counts.
+
+    Line numbers are worked out on the order key alone and joined to the samples, whose text is
+    sorted within its range partitions once, to write the lines.
+    """
     sources = cleaning.cleaned_files(spark.read.parquet(f"{cleaned}/files"))
     checked = _stored(samples.check(samples.extract(sources)), f"{out}/checked")
-    numbered = _stored(
-        number_rows(samples.distinct_samples(checked), samples.ORDER, "source_line"),
-        f"{out}/samples",
+    distinct = spool(samples.distinct_samples(checked), "distinct")
+    numbers = number_rows(distinct.select(*samples.ORDER), samples.ORDER, "source_line")
+    numbered = _stored(distinct.join(numbers, samples.ORDER), f"{out}/samples")
+    sinks.write_json_samples(
+        numbered.repartitionByRange("source_line").sortWithinPartitions("source_line"),
+        f"{out}/samples_jsonl",
     )
-    sinks.write_json_samples(numbered.orderBy("source_line"), f"{out}/samples_jsonl")
-    sinks.append_rejects(samples.rejects(checked), f"{out}/rejects")
+    _reject(samples.rejects(checked).drop("at"), out)
     counts = samples.sample_counts(checked)
     sinks.write_table(counts, f"{out}/counts")
     return counts
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Samples with their line number: a table of ``samples_job``, or JSON lines of any origin."""
+    if path.rstrip("/").endswith("samples"):
+        table = spark.read.parquet(path)
+        extra = [f.name for f in schemas.SAMPLE.fields if f.name not in table.columns]
+        missing = {name: F.lit(None).cast("string") for name in [*extra, files.CORRUPT]}
+        return table.withColumns(missing).select(
+            "source_line", *schemas.SAMPLE.names, files.CORRUPT
+        )
+    return files.json_lines(spark, path)
+
+
 def select_job(
     spark: SparkSession, jsonl: str, out: str, target: int = 1000, seed: int = 42,
     rules: selection.Rules = selection.Rules(),
 ) -> DataFrame:
     """Sample lines to the best ``target`` samples and a report."""
-    lines = files.json_lines(spark, jsonl)
+    lines = _lines(spark, jsonl)
     judged = selection.judge(lines, rules, F.col(files.CORRUPT).isNotNull())
     judged = spool(selection.without_rejected_text(judged.select(
         "source_line", "type", "instruction", "code", "reason", "shape", "score"
@@ -89,20 +125,71 @@ def tokens_job(
     spark: SparkSession, jsonl: str, out: str, limit: int = tokens.MAX_TOKENS,
     keep_eos: bool = False,
 ) -> DataFrame:
-    """Samples to token ids and their statistics."""
-    lines = files.json_lines(spark, jsonl).drop(files.CORRUPT)
-    sinks.write_table(
-        tokens.tokenise(lines, ["source_line"], limit, keep_eos), f"{out}/tokens"
-    )
-    sinks.append_rejects(
-        tokens.blank_rejects(lines, "source_line").withColumn("at", F.current_timestamp()),
-        f"{out}/rejects",
+    """Samples to token ids, their statistics and rejects."""
+    lines = spool(_lines(spark, jsonl), "lines")
+    good = lines.filter(F.col(files.CORRUPT).isNull())
+    stored = _stored(tokens.tokenise(good, ["source_line"], limit, keep_eos), f"{out}/tokens")
+    _reject(
+        tokens.line_rejects(lines, "source_line", files.CORRUPT)
+        .unionByName(tokens.token_rejects(stored, "source_line")), out,
     )
-    stats = tokens.token_stats(tokens.sizes(lines, limit))
+    stats = tokens.token_stats(tokens.sizes(good, limit))
     sinks.write_report(stats, f"{out}/stats")
     return stats
 
 
+def batches_job(
+    spark: SparkSession, table: str, out: str, rows: int = tokens.BATCH_ROWS, pad_id: int = 0
+) -> DataFrame:
+    """A token table to padded batches with masks, and a report of its lengths."""
+    tokenised = files.token_table(spark, table)
+    sinks.write_table(tokens.padded_batches(tokenised, "source_line", rows, pad_id), f"{out}/batches")
+    report = tokens.length_report(tokenised)
+    sinks.write_report(report, f"{out}/report")
+    return report
+
+
+def masks_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
+    """Samples to ids and labels of their completions, with an audit of the trained part."""
+    lines = _lines(spark, jsonl).filter(F.col(files.CORRUPT).isNull())
+    masked = _stored(formats.completion_masks(lines, ["source_line"]), f"{out}/masked")
+    report = audit.trained_part(masked, ["source_line"]).agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("trained").alias("trained"),
+        *[F.sum(n).alias(n) for n in ("newline_tokens", "space_tokens", "indent_tokens")],
+    )
+    sinks.write_report(report, f"{out}/report")
+    return report
+
+
+def audit_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
+    """Round trip of every sample through the tokenizer."""
+    lines = _lines(spark, jsonl).filter(F.col(files.CORRUPT).isNull() & F.col("code").isNotNull())
+    rows = _stored(audit.roundtrip(lines, ["source_line"], "code"), f"{out}/roundtrip")
+    report = audit.roundtrip_summary(rows)
+    sinks.write_report(report, f"{out}/report")
+    return report
+
+
+def perplexity_job(spark: SparkSession, losses: str, out: str) -> DataFrame:
+    """Weighted perplexity of a table of losses (sample_id, loss, n_tokens)."""
+    report = evaluation.weighted_perplexity(spark.read.schema(schemas.LOSS).parquet(losses))
+    sinks.write_report(report, f"{out}/report")
+    return report
+
+
+def evaluate_job(spark: SparkSession, cases: str, answers: str, out: str) -> DataFrame:
+    """Expected strings of cases (case_id, instruction, expected) in answers (case_id, answer)."""
+    asked = spark.read.schema(schemas.EVAL_CASE).json(cases)
+    told = spark.read.schema("case_id long, answer string").json(answers)
+    checked = _stored(
+        evaluation.expected_hits(asked.join(told, "case_id", "left"), "answer", "expected"),
+        f"{out}/checked",
+    )
+    report = evaluation.pass_rate(checked)
+    sinks.write_report(report, f"{out}/report")
+    return report
+
+
 STYLES = {
     "prompt-completion": (formats.prompt_completion, ("prompt", "completion")),
     "text": (formats.single_text, ("text",)),
@@ -111,11 +198,13 @@ STYLES = {
 
 
 def format_job(spark: SparkSession, jsonl: str, out: str, style: str = "text") -> DataFrame:
-    """Samples to training texts; fails if none is left."""
+    """Samples to training texts, rejects and counts; fails if no text is left."""
     build, columns = STYLES[style]
-    built = build(files.json_samples(spark, jsonl))
+    lines = _lines(spark, jsonl).filter(F.col(files.CORRUPT).isNull())
+    built = _stored(build(lines).select("source_line", *columns), f"{out}/built")
     kept = formats.require_rows(formats.drop_empty(built, *columns).select(*columns))
     kept.write.mode("overwrite").json(f"{out}/texts")
+    _reject(formats.empty_rejects(built, "source_line", *columns), out)
     counts = formats.format_counts(built, *columns)
     sinks.write_report(counts, f"{out}/counts")
     return counts
@@ -124,11 +213,8 @@ def format_job(spark: SparkSession, jsonl: str, out: str, style: str = "text") -
 ARRIVAL_SCHEMA = "file_path string, source string, arrived_at timestamp"
 
 
-def incremental_clean_job(
-    spark: SparkSession, arrivals: str, out: str, checkpoint: str, horizon: str = "30 days"
-) -> None:
-    """Clean what has arrived since the last run and append texts not seen within the horizon."""
+def incremental_clean_job(spark: SparkSession, arrivals: str, out: str, checkpoint: str) -> None:
+    """Clean what has arrived since the last run: new texts, rejects and outcomes."""
     stream = spark.readStream.schema(ARRIVAL_SCHEMA).parquet(arrivals)
     sources = cleaning.as_sources(stream, "file_path", "source", keep=("arrived_at",))
-    cleaned = incremental.clean_arrivals(sources, "arrived_at", horizon)
-    incremental.run_available(cleaned, out, checkpoint)
+    incremental.run_available(sources, incremental.clean_step(out), checkpoint)

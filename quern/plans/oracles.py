@@ -6,13 +6,53 @@ are not computed by the code under test.
 
 from __future__ import annotations
 
-from quern.functions.generated import BLOCK_WORDS, KEYWORDS, OPERATORS
-from quern.functions.naming import VERB_BY_PREFIX
 from quern.plans.corpus import FILE_PATH, SOURCES, by_template, sql_text
 from quern.plans.queries import (
-    CODE_TARGET, COMPACT_SQL, EOS_TEXT, EVENT_CUT, GENERATED_SQL, PART_NAME_SQL, PROSE_TARGET,
-    SECRET_SQL, SOURCE_CAP,
+    CHOKES_ON, CODE_TARGET, COMPACT_SQL, EOS_TEXT, EVENT_CUT, GENERATED_SQL, PART_NAME_SQL,
+    PROSE_TARGET, SECRET_SQL, SOURCE_CAP,
 )
+from quern.plans.tables import BLANK_IDS
+
+
+# Fixed values, restated so that a wrong entry in the code shows.
+KEYWORDS = [
+    "def", "class", "if", "elif", "else", "for", "while", "try", "except", "finally", "with",
+    "return", "yield", "raise", "import", "from", "print", "assert", "pass", "break", "continue",
+    "global", "nonlocal", "del",
+]
+OPERATORS = [
+    "<=", ">=", "==", "!=", "<<", ">>", "**", "//",
+    "=", "+", "-", "*", "/", "%", "<", ">", "&", "|", "^",
+]
+BLOCK_WORDS = [
+    "def ", "class ", "if ", "elif ", "else:", "for ", "while ", "try:", "except ", "finally:",
+    "with ", "@",
+]
+VERB_BY_PREFIX = {
+    "get": "获取",
+    "set": "设置",
+    "is_": "判断是否为",
+    "has_": "检查是否包含",
+    "calc": "计算",
+    "find": "查找",
+    "parse": "解析",
+    "validate": "验证",
+    "generate": "生成",
+    "create": "创建",
+    "init": "初始化",
+    "clean": "清理",
+    "process": "处理",
+    "load": "加载",
+    "save": "保存",
+    "read": "读取",
+    "write": "写入",
+    "open": "打开",
+    "close": "关闭",
+    "start": "启动",
+    "stop": "停止",
+    "run": "运行",
+    "test": "测试",
+}
 
 
 def redacted(text: str) -> str:
@@ -45,11 +85,17 @@ DOC_SAMPLES = """
 SELECT doc_id, lang, source, doc_id + 1 AS source_line,
   CASE doc_id % 5 WHEN 0 THEN 'completion' WHEN 1 THEN 'bug_fix' ELSE 'code_comment' END AS type,
   split_part(text, chr(10), 1) AS instruction,
-  CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS code,
+  text AS code,
   CASE WHEN doc_id % 2 = 0 THEN '# original' || chr(10) || text END AS original_code,
-  CASE WHEN doc_id % 3 = 0 THEN lower(lang) END AS fixed_code
+  CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '# fixed' END AS fixed_code
 FROM documents
 """
+SOME_BLANK = f"""
+SELECT * FROM ({DOC_SAMPLES})
+UNION ALL
+SELECT doc_id + {BLANK_IDS}, lang, source, source_line, type, instruction, ' ' || chr(10),
+  NULL, '' FROM ({DOC_SAMPLES}) WHERE doc_id % 7 = 0
+"""
 
 PAIRS = """
 SELECT u.conv_id, u.turn, u.text AS instruction, a.text AS code
@@ -362,19 +408,52 @@ pool AS (SELECT * FROM scored WHERE reason IS NULL)
 
 # ---------------------------------------------------------------- tokens
 
-TYPED = f"""
+def typed(rows: str) -> str:
+    return f"""
 SELECT *, trim(code, ' ' || chr(10)) = '' AS is_blank FROM (
   SELECT * REPLACE (CASE type
       WHEN 'completion' THEN coalesce(nullif(original_code, ''), code)
       WHEN 'bug_fix' THEN coalesce(nullif(fixed_code, ''), code) ELSE code END AS code)
-  FROM ({DOC_SAMPLES}))
+  FROM ({rows}))
 """
+
+
+def ints(hexes: str) -> str:
+    """A list of two-digit hex strings as numbers."""
+    return f"list_transform({hexes}, lambda b: CAST('0x' || b AS INTEGER))"
+
+
+def pairs_of(text: str, first: str, last: str) -> str:
+    """The hex pairs of the bytes first..last (from 1, end inclusive) of a text."""
+    return (
+        f"list_transform(range(CAST({first} AS BIGINT), CAST({last} AS BIGINT) + 1), lambda q: "
+        f"substr(substr(hex({text}), 1, 4096), CAST(2 * q - 1 AS BIGINT), 2))"
+    )
+
+
+def repeated(value: str, n: str) -> str:
+    return f"list_transform(range(CAST({n} AS BIGINT)), lambda z: {value})"
+
+
+def joined_md5(*lists: str) -> str:
+    return f"md5(array_to_string({' || '.join(lists)}, ' '))"
+
+
+TYPED = typed(DOC_SAMPLES)
 TOKENS = f"""
-SELECT doc_id, type, nullif(instruction, '') AS instruction, code,
+SELECT doc_id, source_line, type, nullif(instruction, '') AS instruction, code,
   least({bytes_of('code')} + 1, 2048) AS n_tokens, {bytes_of('code')} + 1 AS original_tokens,
   {bytes_of('code')} + 1 > 2048 AS truncated
 FROM ({TYPED}) WHERE NOT is_blank
 """
+IDS = (
+    f"({ints(pairs_of('code', '1', 'least(n_tokens, original_tokens - 1)'))}"
+    " || CASE WHEN truncated THEN [] ELSE [256] END)"
+)
+CHOSEN = f"""
+SELECT *, contains(code, '{CHOKES_ON}') AS failed FROM (
+  {TOKENS.replace(TYPED, typed(SOME_BLANK))})
+"""
 
 # --------------------------------------------------------------- prompts
 
@@ -410,8 +489,10 @@ totals AS (SELECT sum(seen) + count(*) AS mass FROM vocabulary),
 losses AS (
   SELECT doc_id, avg(-ln((seen + 1) / mass)) AS loss, count(*) AS n_tokens
   FROM kept JOIN vocabulary USING (token), totals GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id + BLANK_IDS, NULL, 0 FROM documents WHERE doc_id % 7 = 0
 )
-"""
+""".replace("BLANK_IDS", str(BLANK_IDS))
 
 # ------------------------------------------------------- generated texts
 
@@ -460,7 +541,7 @@ IS_BLOCK = " OR ".join(f"starts_with(line, '{word}')" for word in BLOCK_WORDS)
 REPAIR = f"""
 WITH spaced AS (
   SELECT doc_id, {_space_out('compact')} AS code FROM (
-    SELECT doc_id, {COMPACT_SQL} AS compact
+    SELECT doc_id, {{compact}} AS compact
     FROM (SELECT doc_id, {by_template(SOURCES)} AS source FROM documents))
 ),
 broken AS (
@@ -499,7 +580,8 @@ UNTAGGED = (
 HITS = f"""
 SELECT conv_id, turn, len(list_filter(wanted_words, lambda w: contains(code, w))) AS hits,
   len(wanted_words) AS wanted
-FROM (SELECT *, list_distinct(string_split(instruction, ' ')) AS wanted_words FROM ({PAIRS}))
+FROM (SELECT *, CASE WHEN conv_id % 2 = 0 THEN string_split(code, ' ')[1:3]
+  ELSE list_distinct(string_split(instruction, ' ')) END AS wanted_words FROM ({PAIRS}))
 """
 
 VERBS = " ".join(
@@ -563,6 +645,13 @@ WITH {FILES}, {FACTS}
 SELECT file_path, {bytes_of('source')} AS original_size, {bytes_of('clean')} AS cleaned_size,
   line_count, function_count, imports FROM cleaned JOIN facts USING (k)""",
     "clean_outcomes": """
+SELECT count(*) + count(*) FILTER (doc_id % 50 = 0) AS total,
+  count(*) FILTER (doc_id % 10 NOT IN (2, 3)) AS passed,
+  count(*) FILTER (doc_id % 10 = 2) AS syntax_error, count(*) FILTER (doc_id % 10 = 3) AS too_short,
+  count(*) FILTER (doc_id % 50 = 0) AS cleaning_error,
+  count(*) FILTER (doc_id % 10 IN (2, 3)) + count(*) FILTER (doc_id % 50 = 0) AS skipped
+FROM documents""",
+    "report_file": """
 SELECT count(*) AS total, count(*) FILTER (doc_id % 10 NOT IN (2, 3)) AS passed,
   count(*) FILTER (doc_id % 10 = 2) AS syntax_error, count(*) FILTER (doc_id % 10 = 3) AS too_short,
   0 AS cleaning_error, count(*) FILTER (doc_id % 10 IN (2, 3)) AS skipped FROM documents""",
@@ -572,7 +661,33 @@ SELECT 'clean' AS stage, file_path AS key,
   CASE k WHEN 2 THEN 'syntax_error' ELSE 'too_short' END AS reason,
   CASE k WHEN 2 THEN 'line ' || (length(source) - length(replace(source, chr(10), '')) - 1)
     || ': invalid syntax' ELSE '9 code lines' END AS detail
-FROM files WHERE k IN (2, 3)""",
+FROM files WHERE k IN (2, 3)
+UNION ALL
+SELECT 'clean', 'odd/none_' || doc_id || '.py', 'cleaning_error', 'no text'
+FROM documents WHERE doc_id % 50 = 0""",
+    "manifest_table": f"""
+WITH {FILES}, {FACTS}
+SELECT file_path, line_count,
+  CASE WHEN imports = '' THEN 0 ELSE len(string_split(imports, ',')) END AS n_imports
+FROM cleaned JOIN facts USING (k)""",
+    "cleaned_by_repository": f"""
+WITH {FILES} SELECT string_split(file_path, '/')[1] AS repo, file_path, md5(clean) AS source_md5
+FROM cleaned""",
+    "jsonl_reasons": f"""
+WITH numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id) AS k, source_line % 10 AS kind FROM ({DOC_SAMPLES}))
+SELECT 2 * k - 1 AS source_line, NULL AS reason, md5(code) AS code_md5 FROM numbered
+UNION ALL
+SELECT 2 * k, CASE WHEN kind <> 3 THEN 'json_decode_error' END,
+  CASE WHEN kind = 3 THEN md5(code) END FROM numbered WHERE kind NOT IN (4, 9)""",
+    "ingest_rejects": """
+SELECT 'ingest' AS stage, source || '/../' || doc_id || '.py' AS key, 'refused_path' AS reason,
+  NULL AS detail FROM documents WHERE doc_id % 5 = 0
+UNION ALL
+SELECT 'ingest', source || '/broken/' || doc_id || '.py', 'undecodable_content', NULL
+FROM documents WHERE doc_id % 5 = 0""",
+    "source_tree": "SELECT true AS found, true AS relative, true AS filled",
+    "json_load": f"SELECT type, instruction, md5(code) AS code_md5 FROM ({DOC_SAMPLES})",
     "import_counts": """
 SELECT module, count(*) AS files FROM (
   SELECT unnest(CASE doc_id % 10 WHEN 0 THEN ['json', 'os'] WHEN 4 THEN ['logging', 'os']
@@ -588,6 +703,9 @@ SELECT file_path, node_ord, instruction, code FROM picked WHERE kind = 'class'""
     "build_samples": SAMPLES + """
 SELECT file_path, kind, node_ord, 'code_comment' AS type, instruction, marked AS code, code_hash
 FROM written""",
+    "sample_rejects": SAMPLES + """
+SELECT 'samples' AS stage, file_path AS key, reason, kind || ' ' || node_ord AS detail
+FROM checked WHERE reason IS NOT NULL""",
     "sample_counts": SAMPLES + """
 SELECT 'code_comment' AS type, outcome, count(*) AS samples FROM (
   SELECT reason AS outcome FROM checked WHERE reason IS NOT NULL
@@ -639,36 +757,62 @@ FROM chosen""",
 SELECT source_line, coalesce(reason, 'kept') AS reason, shape, score FROM scored""",
     "select_code": CODE_JUDGED + "," + selected("pool", CODE_TARGET, "function", "class") + """
 SELECT shuffle_rank, source_line, shape, score, type, i AS instruction, c AS code FROM chosen""",
-    "code_by_type": f"SELECT doc_id, type, code, is_blank FROM ({TYPED})",
+    "judge_odd_code": """
+SELECT doc_id AS source_line,
+  CASE doc_id % 4 WHEN 0 THEN 'invalid_python' WHEN 1 THEN 'too_many_imports' WHEN 2 THEN 'kept' ELSE 'not_function_or_class' END AS reason,
+  CASE doc_id % 4 WHEN 0 THEN 'invalid' WHEN 3 THEN 'other' ELSE 'function' END AS shape
+FROM documents""",
+    "code_by_type": f"SELECT doc_id, type, code, is_blank FROM ({typed(SOME_BLANK)})",
     "blank_rejects": f"""
 SELECT 'tokens' AS stage, CAST(doc_id AS VARCHAR) AS key, 'blank_code' AS reason,
-  type || ': ' || substr(instruction, 1, 80) AS detail FROM ({TYPED}) WHERE is_blank""",
+  type || ': ' || substr(instruction, 1, 80) AS detail FROM ({typed(SOME_BLANK)}) WHERE is_blank""",
     "token_ids": f"""
 SELECT doc_id, type, instruction, n_tokens, original_tokens, truncated,
-  array_to_string(list_transform(range(1, 1 + least(n_tokens, original_tokens - 1)),
-    lambda p: CAST('0x' || substr(h, CAST(2 * p - 1 AS BIGINT), 2) AS INTEGER)), ' ')
-  || CASE WHEN truncated THEN '' ELSE ' 256' END AS input_ids
-FROM (SELECT *, substr(hex(code), 1, 4096) AS h FROM ({TOKENS}))""",
+  array_to_string({IDS}, ' ') AS input_ids FROM ({TOKENS})""",
+    "token_table": f"""
+SELECT source_line, type, n_tokens, {joined_md5(IDS)} AS ids_md5 FROM ({TOKENS})""",
+    "tokenise_with": f"""
+SELECT doc_id, type, CASE WHEN NOT failed THEN n_tokens END AS n_tokens,
+  CASE WHEN NOT failed THEN original_tokens END AS original_tokens,
+  CASE WHEN NOT failed THEN truncated END AS truncated,
+  CASE WHEN failed THEN 'ValueError: a word I do not know' END AS error,
+  CASE WHEN NOT failed THEN {joined_md5(IDS)} END AS ids_md5 FROM ({CHOSEN})""",
+    "tokenise_with_stats": f"""
+SELECT count(*) FILTER (NOT failed) AS samples,
+  CAST(sum(n_tokens) FILTER (NOT failed) AS BIGINT) AS total_tokens,
+  max(n_tokens) FILTER (NOT failed) AS max_tokens, min(n_tokens) FILTER (NOT failed) AS min_tokens,
+  round(avg(n_tokens) FILTER (NOT failed), 2) AS avg_tokens, 0 AS skipped,
+  count(*) FILTER (failed) AS errors, count(*) FILTER (NOT failed AND truncated) AS truncated
+FROM ({CHOSEN})""",
+    "token_rejects": f"""
+SELECT 'tokens' AS stage, CAST(doc_id AS VARCHAR) AS key,
+  CASE WHEN failed THEN 'tokenizer_error' ELSE 'cut_to_limit' END AS reason,
+  CASE WHEN failed THEN 'ValueError: a word I do not know'
+    ELSE n_tokens || ' of ' || original_tokens || ' tokens' END AS detail
+FROM ({CHOSEN}) WHERE failed OR truncated""",
+    "kept_eos": f"SELECT doc_id, 256 AS last_id, n_tokens AS n_ids FROM ({TOKENS})",
     "token_stats": f"""
 SELECT count(*) FILTER (NOT is_blank) AS samples, CAST(sum(n) FILTER (NOT is_blank) AS BIGINT) AS total_tokens,
   max(n) FILTER (NOT is_blank) AS max_tokens, min(n) FILTER (NOT is_blank) AS min_tokens,
   round(avg(n) FILTER (NOT is_blank), 2) AS avg_tokens, count(*) FILTER (is_blank) AS skipped,
-  count(*) FILTER (NOT is_blank AND {bytes_of('code')} >= 2048) AS truncated
-FROM (SELECT *, least({bytes_of('code')} + 1, 2048) AS n FROM ({TYPED}))""",
+  0 AS errors, count(*) FILTER (NOT is_blank AND {bytes_of('code')} >= 2048) AS truncated
+FROM (SELECT *, least({bytes_of('code')} + 1, 2048) AS n FROM ({typed(SOME_BLANK)}))""",
     "token_type_counts": f"SELECT type, count(*) AS samples FROM ({TOKENS}) GROUP BY type",
     "length_report": f"""
 SELECT count(*) AS samples, CAST(sum(n_tokens) AS BIGINT) AS total_tokens, max(n_tokens) AS max_tokens,
   min(n_tokens) AS min_tokens, round(avg(n_tokens), 2) AS avg_tokens FROM ({TOKENS})""",
     "attention_mask": f"""
-SELECT doc_id, n_tokens AS n_ids, n_tokens AS n_mask,
-  CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 AND n_tokens = 3 THEN 0 ELSE n_tokens END
-    AS attended FROM ({TOKENS})""",
+SELECT doc_id, {joined_md5(IDS)} AS ids_md5, {joined_md5(repeated(
+    "CASE WHEN doc_id % 3 = 0 OR doc_id % 3 = 1 AND n_tokens = 3 THEN 0 ELSE 1 END", "n_tokens"))}
+    AS mask_md5 FROM ({TOKENS})""",
     "pad_batches": f"""
 WITH numbered AS (
   SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch_id FROM ({TOKENS})),
 padded AS (SELECT *, max(n_tokens) OVER (PARTITION BY batch_id) AS pad_to FROM numbered)
-SELECT doc_id, batch_id, pad_to, pad_to - n_tokens AS padding, pad_to AS n_ids,
-  n_tokens AS attended FROM padded""",
+SELECT doc_id, batch_id, pad_to, pad_to - n_tokens AS padding,
+  {joined_md5(IDS, repeated('256', 'pad_to - n_tokens'))} AS ids_md5,
+  {joined_md5(repeated('1', 'n_tokens'), repeated('0', 'pad_to - n_tokens'))} AS mask_md5
+FROM padded""",
     "sft_prompt_completion": f"""
 SELECT conv_id, turn, {prompt_sql('instruction')} AS prompt, {stripped('code')} || chr(10) AS completion
 FROM ({PAIRS})""",
@@ -678,16 +822,25 @@ SELECT conv_id, turn, {FENCED} || chr(10) || '### End of Code ###{EOS_TEXT}' AS
     "sft_system_prompt": f"""
 SELECT conv_id, turn, {SYSTEM} || {prompt_sql('instruction')} AS prompt FROM ({PAIRS})""",
     "format_counts": f"""
-SELECT count(*) AS before, count(*) FILTER (code = '') AS skipped,
-  count(*) FILTER (code <> '') AS kept FROM ({DOC_SAMPLES}) WHERE type = 'code_comment'""",
+SELECT count(*) AS before, count(*) FILTER (code = ' ' || chr(10)) AS skipped,
+  count(*) FILTER (code <> ' ' || chr(10)) AS kept FROM ({SOME_BLANK}) WHERE type = 'code_comment'""",
+    "format_rejects": f"""
+SELECT 'format' AS stage, CAST(doc_id AS VARCHAR) AS key, 'empty_text' AS reason, NULL AS detail
+FROM ({SOME_BLANK}) WHERE type = 'code_comment' AND code = ' ' || chr(10)""",
+    "sft_text_stripped": f"""
+SELECT conv_id, turn, {FENCED} || chr(10) || '### End of Code ###{EOS_TEXT}' AS text FROM ({PAIRS})""",
     "completion_mask": f"""
 SELECT doc_id, n AS n_ids, p AS prompt_tokens, n - least(p, n) AS trained, least(p, n) AS masked,
-  n AS mask_length, true AS prompt_is_prefix
+  n AS mask_length, true AS prompt_is_prefix,
+  {joined_md5(ints(pairs_of('full_text', '1', 'n')))} AS ids_md5,
+  {joined_md5(repeated('-100', 'least(p, n)'), ints(pairs_of('full_text', 'least(p, n) + 1', 'n')))}
+    AS labels_md5
 FROM ({MASKS.format(rows=DOC_SAMPLES + " WHERE doc_id % 5 > 1")})""",
     "eval_prompts": f"""
 SELECT item_id, {prompt_sql('text')} AS prompt FROM benchmark""",
     "roundtrip_audit": f"""
-SELECT doc_id, length(text) AS text_chars, n AS n_tokens, n >= 2048 AS cut, true AS same,
+SELECT doc_id, length(text) AS text_chars, n AS n_tokens, n >= 2048 AS cut, {bytes_of('text')} <= 2048 AS same,
+  true AS kept_same,
   len(list_filter(kept, lambda b: b < '80' OR b > 'BF')) AS decoded_chars,
   list_contains(kept, '0A') AS has_newline, false AS has_indent
 FROM (SELECT *, list_transform(range(1, n + 1),
@@ -695,7 +848,8 @@ FROM (SELECT *, list_transform(range(1, n + 1),
   FROM (SELECT doc_id, text, least({bytes_of('text')}, 2048) AS n,
       substr(hex(text), 1, 4096) AS h FROM documents))""",
     "roundtrip_summary": f"""
-SELECT count(*) AS texts, count(*) AS same, count(*) FILTER ({bytes_of('text')} >= 2048) AS cut,
+SELECT count(*) AS texts, count(*) FILTER ({bytes_of('text')} <= 2048) AS same,
+  count(*) AS kept_same, count(*) FILTER ({bytes_of('text')} >= 2048) AS cut,
   count(*) FILTER (strlen(split_part(text, chr(10), 1)) < least(2048, strlen(text))) AS has_newline,
   0 AS has_indent, CAST(1 AS DOUBLE) AS same_share FROM documents""",
     "format_token_counts": f"""
@@ -708,7 +862,9 @@ FROM (SELECT file_path, {TOKEN_PIECES} AS tokens FROM (
     "trained_part": f"""
 SELECT conv_id, turn, len(tail) AS trained, list_contains(tail, '0A') AS has_newline,
   false AS has_indent, len(list_filter(tail, lambda b: b = '0A')) AS newline_tokens,
-  len(list_filter(tail, lambda b: b = '20')) AS space_tokens
+  len(list_filter(tail, lambda b: b = '20')) AS space_tokens,
+  len(regexp_extract_all(array_to_string(tail, ' '), '0A( 0A| 20)+|20( 20){{3,}}'))
+    AS indent_tokens, {joined_md5(ints('tail'))} AS ids_md5
 FROM (SELECT *, list_transform(range(p + 1, n + 1), lambda q:
     substr(h, CAST(2 * q - 1 AS BIGINT), 2)) AS tail
   FROM (SELECT *, substr(hex(full_text), 1, 4096) AS h FROM ({MASKS.format(rows=PAIRS)})))""",
@@ -718,24 +874,49 @@ SELECT doc_id, text FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 1
     "unigram_losses": f"WITH {LOSSES} SELECT doc_id, round(loss, 6) AS loss, n_tokens FROM losses",
     "perplexity_weighted": f"""
 WITH {LOSSES}, t AS (SELECT sum(n_tokens) AS n, sum(loss * n_tokens) / sum(n_tokens) AS m FROM losses)
+SELECT CAST(n AS BIGINT) AS n_tokens, round(m, 6) AS mean_loss, round(exp(m), 3) AS perplexity FROM t""",
+    "perplexity_of_corpus": f"""
+WITH {LOSSES}, t AS (SELECT sum(n_tokens) AS n, sum(loss * n_tokens) / sum(n_tokens) AS m FROM losses)
 SELECT CAST(n AS BIGINT) AS n_tokens, round(m, 6) AS mean_loss, round(exp(m), 3) AS perplexity FROM t""",
     "perplexity_batch_mean": f"""
 WITH {LOSSES},
 numbered AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM losses),
 batches AS (
   SELECT batch, sum(loss * n_tokens) / sum(n_tokens) AS loss FROM numbered GROUP BY batch)
-SELECT count(*) AS batches, round(avg(loss), 6) AS mean_loss, round(exp(avg(loss)), 3) AS perplexity
+SELECT count(loss) AS batches, round(avg(loss), 6) AS mean_loss, round(exp(avg(loss)), 3) AS perplexity
 FROM batches""",
     "clean_generated_text": f"""
 SELECT conv_id, turn, role, {_clean_generated()} AS text
 FROM (SELECT conv_id, turn, role, {GENERATED_SQL} AS text FROM conversations)""",
     "strip_tags": f"SELECT page_id, {stripped(UNTAGGED)} AS text FROM pages",
-    "repair_code": REPAIR,
+    "repair_code": REPAIR.replace("{compact}", COMPACT_SQL),
+    "clean_response": REPAIR.replace(
+        "{compact}", stripped(f"regexp_replace({COMPACT_SQL}, '<[^>]+>', '', 'g')")
+    ),
     "expected_hits": f"SELECT *, hits = wanted AS passed FROM ({HITS})",
     "expected_pass_rate": f"""
 SELECT turn, count(*) AS cases, count(*) FILTER (hits = wanted) AS passed, CAST(sum(hits) AS BIGINT) AS hits,
   CAST(sum(wanted) AS BIGINT) AS wanted FROM ({HITS}) GROUP BY turn""",
     "stream_dedupe": "SELECT DISTINCT md5(text) AS code_hash, text FROM documents",
+    "stream_rejects": f"""
+SELECT 'clean' AS stage, {FILE_PATH} AS key, CASE WHEN doc_id % 50 = 3 THEN 'cleaning_error'
+  WHEN doc_id % 10 = 2 THEN 'syntax_error' ELSE 'too_short' END AS reason
+FROM documents WHERE doc_id % 10 IN (2, 3)""",
+    "all_rejects": SAMPLES + f""",
+n AS (
+  SELECT 'ingest' AS stage,
+    count(*) FILTER (doc_id % 4 <> 0 AND doc_id % 9 <> 0 AND doc_id % 11 <> 0)
+      + 2 * count(*) FILTER (doc_id % 5 = 0) AS rows_in,
+    count(*) FILTER (doc_id % 4 <> 0 AND doc_id % 9 <> 0 AND doc_id % 11 <> 0) AS kept FROM documents
+  UNION ALL SELECT 'clean', count(*) + count(*) FILTER (doc_id % 50 = 0),
+    count(*) FILTER (doc_id % 10 NOT IN (2, 3)) FROM documents
+  UNION ALL SELECT 'samples', count(*), count(*) FILTER (reason IS NULL) FROM checked
+  UNION ALL SELECT 'tokens', count(*),
+    count(*) FILTER (NOT is_blank AND NOT contains(code, '{CHOKES_ON}')) FROM ({typed(SOME_BLANK)})
+  UNION ALL SELECT 'format', count(*), count(*) FILTER (code <> ' ' || chr(10))
+    FROM ({SOME_BLANK}) WHERE type = 'code_comment'
+)
+SELECT stage, rows_in, kept, rows_in - kept AS rejected, true AS whole FROM n""",
     "stream_clean": f"""
 WITH {FILES} SELECT DISTINCT md5(clean) AS code_hash, clean AS source FROM cleaned""",
 }

@@ -8,15 +8,19 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.functions import bytes as byte_tokens
-from quern.functions.generated import clean_generated, repair_compact, strip_markup
+from quern.functions.generated import (
+    clean_generated, clean_response as response, repair_compact, strip_markup,
+)
 from quern.functions.naming import VERB_BY_PREFIX, function_instruction
-from quern.functions.text import collapse_spaces, redact, sample_json_length, seeded_rank
+from quern.functions.text import (
+    collapse_spaces, redact, sample_json_length, seeded_rank, strip, with_end_marker,
+)
 from quern.operators import (
     audit, cleaning, evaluation, formats, ingest, samples, selection, tokens,
 )
 from quern.operators.ordering import first_rows, keep_first, number_rows, top_per_group
 from quern.plans import corpus, tables
-from quern.session import scratch_path, spool, spread
+from quern.session import scratch_path, spool
 from quern.sources import files, sinks
 from quern.streaming import incremental
 
@@ -35,6 +39,7 @@ CODE_TARGET = 150
 SOURCE_CAP = 7
 EVENT_CUT = "2024-01-29 00:00:00"
 EOS_TEXT = "<|end|>"
+CHOKES_ON = "idiot"
 
 
 def register(query: Query) -> Query:
@@ -46,23 +51,18 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return tables.documents(spark, folder)
 
 
-def _wide_docs(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents for CPU-heavy steps."""
-    return spread(_docs(spark, folder), "doc_id")
-
-
 def _doc_samples(spark: SparkSession, folder: str) -> DataFrame:
     return tables.document_samples(_docs(spark, folder))
 
 
-def _wide_samples(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.document_samples(_wide_docs(spark, folder))
-
-
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return tables.dialogue_pairs(tables.table(spark, folder, "conversations"))
 
 
+def _joined_md5(ids: str) -> Column:
+    return F.md5(F.array_join(F.transform(ids, lambda i: i.cast("string")), " "))
+
+
 def _micros(name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp")).alias(name)
 
@@ -130,6 +130,24 @@ def jsonl_numbered(spark, folder):
     return lines.select("source_line", "type", F.md5("code").alias("code_md5"))
 
 
+@register
+def jsonl_reasons(spark, folder):
+    path = scratch_path(spark, "odd-lines")
+    ordered = tables.odd_lines(_doc_samples(spark, folder)).repartitionByRange("source_line")
+    ordered.sortWithinPartitions("source_line", "place").select("value").write.text(path)
+    lines = files.json_lines(spark, path)
+    return lines.select(
+        "source_line", F.when(F.col(files.CORRUPT).isNotNull(), "json_decode_error").alias("reason"),
+        F.md5("code").alias("code_md5"),
+    )
+
+
+@register
+def ingest_rejects(spark, folder):
+    landed = ingest.landed(tables.odd_contents(_docs(spark, folder)))
+    return ingest.landing_rejects(landed)
+
+
 # -------------------------------------------------------------- cleaning
 
 
@@ -150,12 +168,12 @@ SECRET_SQL = (
 
 @register
 def redact_pii(spark, folder):
-    return _with_secrets(_wide_docs(spark, folder)).select("doc_id", redact("text").alias("text"))
+    return _with_secrets(_docs(spark, folder)).select("doc_id", redact("text").alias("text"))
 
 
 @register
 def redact_counts(spark, folder):
-    redacted = _with_secrets(_wide_docs(spark, folder)).select("lang", redact("text").alias("text"))
+    redacted = _with_secrets(_docs(spark, folder)).select("lang", redact("text").alias("text"))
 
     def hits(placeholder: str) -> Column:
         gone = F.length("text") - F.length(F.replace("text", F.lit(placeholder), F.lit("")))
@@ -169,7 +187,7 @@ def redact_counts(spark, folder):
 
 
 def _sources(spark, folder) -> DataFrame:
-    files_ = corpus.code_files(_wide_docs(spark, folder))
+    files_ = corpus.code_files(_docs(spark, folder))
     return cleaning.as_sources(files_, "file_path", "source")
 
 
@@ -204,14 +222,21 @@ def clean_manifest(spark, folder):
     )
 
 
+def _cleaned_odd(spark, folder) -> DataFrame:
+    """Cleaning of the code corpus and of files without text."""
+    docs = _docs(spark, folder)
+    files_ = corpus.code_files(docs).unionByName(corpus.odd_files(docs))
+    return cleaning.clean(cleaning.as_sources(files_, "file_path", "source"))
+
+
 @register
 def clean_outcomes(spark, folder):
-    return cleaning.outcome_counts(_cleaned(spark, folder))
+    return cleaning.outcome_counts(_cleaned_odd(spark, folder))
 
 
 @register
 def clean_rejects(spark, folder):
-    return cleaning.rejects(_cleaned(spark, folder)).select("stage", "key", "reason", "detail")
+    return cleaning.rejects(_cleaned_odd(spark, folder)).select("stage", "key", "reason", "detail")
 
 
 @register
@@ -316,7 +341,7 @@ def exact_dedupe_first(spark, folder):
 
 
 def _judged_docs(spark, folder) -> DataFrame:
-    items = _wide_samples(spark, folder)
+    items = _doc_samples(spark, folder)
     return selection.judge_text(items, PROSE, F.col("lang")).select(
         "source_line", "type", "instruction", "code", "shape", "reason", "score"
     )
@@ -389,6 +414,29 @@ def judge_code(spark, folder):
     )
 
 
+# Snippets for the syntax rules, each with its document as a comment.
+ODD_SNIPPETS = {
+    0: "# {cmt}\ndef odd_{id}(:\n    return 1\n",
+    1: "import os, sys\nimport re\nimport json\nimport ast\n# {cmt}\ndef odd_{id}(a):\n    return a\n",
+    2: "# {cmt}\ndef odd_{id}(a):\n    return a\n",
+    3: "# {cmt}\nx = {id}\nif x:\n    y = 1\n",
+}
+
+
+@register
+def judge_odd_code(spark, folder):
+    cases = " ".join(f"WHEN {k} THEN {corpus.sql_text(t)}" for k, t in ODD_SNIPPETS.items())
+    rules = selection.Rules(bad_code=(), code_chars=(1, 1 << 30))
+    items = _docs(spark, folder).select(
+        F.col("doc_id").alias("source_line"), F.lit("code_comment").alias("type"),
+        F.lit("an instruction of good length").alias("instruction"),
+        F.expr(f"CASE doc_id % 4 {cases} END").alias("code"),
+    )
+    return selection.judge(items, rules).select(
+        "source_line", F.coalesce("reason", F.lit("kept")).alias("reason"), "shape"
+    )
+
+
 @register
 def select_code(spark, folder):
     pool = spool(selection.candidates(selection.judge(_code_items(spark, folder))), "pool")
@@ -400,21 +448,25 @@ def select_code(spark, folder):
 # ---------------------------------------------------------------- tokens
 
 
+def _some_blank(spark, folder) -> DataFrame:
+    return tables.with_blank_samples(_doc_samples(spark, folder))
+
+
 @register
 def code_by_type(spark, folder):
-    return tokens.with_code(_doc_samples(spark, folder)).select(
+    return tokens.with_code(_some_blank(spark, folder)).select(
         "doc_id", "type", "code", "is_blank"
     )
 
 
 @register
 def blank_rejects(spark, folder):
-    return tokens.blank_rejects(_doc_samples(spark, folder), "doc_id")
+    return tokens.blank_rejects(_some_blank(spark, folder), "doc_id")
 
 
 @register
 def token_ids(spark, folder):
-    tokenised = tokens.tokenise(_wide_samples(spark, folder), ["doc_id"])
+    tokenised = tokens.tokenise(_doc_samples(spark, folder), ["doc_id"])
     return tokenised.withColumn(
         "input_ids", F.array_join(F.transform("input_ids", lambda i: i.cast("string")), " ")
     )
@@ -422,7 +474,40 @@ def token_ids(spark, folder):
 
 @register
 def token_stats(spark, folder):
-    return tokens.token_stats(tokens.sizes(_doc_samples(spark, folder)))
+    return tokens.token_stats(tokens.sizes(_some_blank(spark, folder)))
+
+
+def _choosy_tokenizer():
+    """Byte ids; fails on texts with a certain word."""
+    def encode(text):
+        if CHOKES_ON in text:
+            raise ValueError("a word I do not know")
+        return list(text.encode())
+    return encode
+
+
+def _chosen_tokens(spark, folder) -> DataFrame:
+    return tokens.tokenise_with(
+        _some_blank(spark, folder), _choosy_tokenizer, byte_tokens.EOS_ID, ["doc_id"]
+    )
+
+
+@register
+def tokenise_with(spark, folder):
+    return _chosen_tokens(spark, folder).select(
+        "doc_id", "type", "n_tokens", "original_tokens", "truncated", "error",
+        _joined_md5("input_ids").alias("ids_md5"),
+    )
+
+
+@register
+def tokenise_with_stats(spark, folder):
+    return tokens.token_stats(_chosen_tokens(spark, folder))
+
+
+@register
+def token_rejects(spark, folder):
+    return tokens.token_rejects(_chosen_tokens(spark, folder), "doc_id")
 
 
 @register
@@ -432,31 +517,30 @@ def token_type_counts(spark, folder):
 
 @register
 def length_report(spark, folder):
-    return tokens.length_report(tokens.tokenise(_wide_samples(spark, folder)))
+    return tokens.length_report(tokens.tokenise(_doc_samples(spark, folder)))
 
 
 @register
 def attention_mask(spark, folder):
-    tokenised = tokens.tokenise(_wide_samples(spark, folder), ["doc_id"])
+    tokenised = tokens.tokenise(_doc_samples(spark, folder), ["doc_id"])
     given = (
         F.when(F.col("doc_id") % 3 == 0, F.array_repeat(F.lit(0), F.size("input_ids")))
         .when(F.col("doc_id") % 3 == 1, F.array_repeat(F.lit(0), 3))
     )
     inputs = tokens.model_inputs(tokenised.withColumn("attention_mask", given), ["doc_id"])
-    total = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     return inputs.select(
-        "doc_id", F.size("input_ids").alias("n_ids"), F.size("attention_mask").alias("n_mask"),
-        total.alias("attended"),
+        "doc_id", _joined_md5("input_ids").alias("ids_md5"),
+        _joined_md5("attention_mask").alias("mask_md5"),
     )
 
 
 @register
 def pad_batches(spark, folder):
-    tokenised = tokens.tokenise(_wide_samples(spark, folder), ["doc_id"])
+    tokenised = tokens.tokenise(_doc_samples(spark, folder), ["doc_id"])
     batches = tokens.padded_batches(tokenised, "doc_id", pad_id=byte_tokens.EOS_ID)
     return batches.select(
-        "doc_id", "batch_id", "pad_to", "padding", F.size("input_ids").alias("n_ids"),
-        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"),
+        "doc_id", "batch_id", "pad_to", "padding", _joined_md5("input_ids").alias("ids_md5"),
+        _joined_md5("attention_mask").alias("mask_md5"),
     )
 
 
@@ -493,14 +577,22 @@ def sft_system_prompt(spark, folder):
 
 @register
 def format_counts(spark, folder):
-    built = formats.prompt_completion(_doc_samples(spark, folder))
+    built = formats.prompt_completion(_some_blank(spark, folder))
     return formats.format_counts(built, "prompt", "completion")
 
 
+@register
+def format_rejects(spark, folder):
+    built = formats.prompt_completion(_some_blank(spark, folder))
+    return formats.empty_rejects(built, "doc_id", "prompt", "completion")
+
+
 @register
 def completion_mask(spark, folder):
-    masked = formats.completion_masks(_wide_samples(spark, folder), ["doc_id"])
-    return formats.mask_counts(masked, ["doc_id"])
+    masked = formats.completion_masks(_doc_samples(spark, folder), ["doc_id"])
+    return formats.mask_counts(masked, ["doc_id"]).join(masked.select(
+        "doc_id", _joined_md5("input_ids").alias("ids_md5"), _joined_md5("labels").alias("labels_md5")
+    ), "doc_id")
 
 
 @register
@@ -514,19 +606,19 @@ def eval_prompts(spark, folder):
 
 @register
 def roundtrip_audit(spark, folder):
-    return audit.roundtrip(_wide_docs(spark, folder), ["doc_id"], "text")
+    return audit.roundtrip(_docs(spark, folder), ["doc_id"], "text")
 
 
 @register
 def roundtrip_summary(spark, folder):
-    return audit.roundtrip_summary(audit.roundtrip(_wide_docs(spark, folder), ["doc_id"], "text"))
+    return audit.roundtrip_summary(audit.roundtrip(_docs(spark, folder), ["doc_id"], "text"))
 
 
 @register
 def format_token_counts(spark, folder):
     marked = F.replace(F.replace("source", F.lit(" "), F.lit("Ġ")), F.lit("\n"), F.lit("Ċ"))
     pieces = F.regexp_extract_all(marked, F.lit("Ċ+Ġ*|Ġ+|[^ĊĠ]+"), F.lit(0))
-    counted = corpus.code_files(_wide_docs(spark, folder)).select(
+    counted = corpus.code_files(_docs(spark, folder)).select(
         "file_path", audit.format_token_counts(pieces).alias("c")
     )
     return counted.select("file_path", "c.*")
@@ -549,8 +641,12 @@ def first_samples(spark, folder):
 
 
 def _losses(spark, folder) -> DataFrame:
-    docs = _wide_docs(spark, folder)
-    return evaluation.unigram_losses(docs, docs, "doc_id", "text")
+    """Losses of the documents, and of a text without words for every seventh of them."""
+    docs = _docs(spark, folder).select("doc_id", "text")
+    empty = docs.filter(F.col("doc_id") % 7 == 0).select(
+        (F.col("doc_id") + tables.BLANK_IDS).alias("doc_id"), F.lit(" \n").alias("text")
+    )
+    return evaluation.unigram_losses(docs.unionByName(empty), "doc_id", "text")
 
 
 @register
@@ -569,6 +665,11 @@ def perplexity_weighted(spark, folder):
     return _rounded(evaluation.weighted_perplexity(_losses(spark, folder)))
 
 
+@register
+def perplexity_of_corpus(spark, folder):
+    return _rounded(evaluation.unigram_perplexity(_docs(spark, folder), "text"))
+
+
 @register
 def perplexity_batch_mean(spark, folder):
     numbered = number_rows(_losses(spark, folder), ["doc_id"])
@@ -592,9 +693,21 @@ def clean_generated_text(spark, folder):
     return made.select("conv_id", "turn", "role", clean_generated("text").alias("text"))
 
 
+ECHO = "### Instruction:\nx\n\n###  Response:\n"
+
+
+@register
+def clean_response(spark, folder):
+    compact = _docs(spark, folder).select(
+        "doc_id", F.expr(corpus.by_template(corpus.SOURCES)).alias("source")
+    )
+    echoed = F.concat(F.lit(ECHO), F.expr(COMPACT_SQL))
+    return compact.select("doc_id", response(echoed).alias("code"))
+
+
 @register
 def strip_tags(spark, folder):
-    echoed = F.concat(F.lit("### Instruction:\nx\n\n###  Response:\n"), "html")
+    echoed = F.concat(F.lit(ECHO), "html")
     return tables.table(spark, folder, "pages").select(
         "page_id", strip_markup(echoed).alias("text")
     )
@@ -609,56 +722,200 @@ COMPACT_SQL = (
 
 @register
 def repair_code(spark, folder):
-    compact = _wide_docs(spark, folder).select(
+    compact = _docs(spark, folder).select(
         "doc_id", F.expr(corpus.by_template(corpus.SOURCES)).alias("source")
     )
     return compact.select("doc_id", repair_compact(F.expr(COMPACT_SQL)).alias("code"))
 
 
+def _answers(spark, folder) -> DataFrame:
+    """Answers that should hold words of the prompt or, every other one, their own first words."""
+    asked = F.array_distinct(F.split("instruction", " "))
+    own = F.slice(F.split("code", " "), 1, 3)
+    return _pairs(spark, folder).withColumn(
+        "expected", F.when(F.col("conv_id") % 2 == 0, own).otherwise(asked)
+    )
+
+
 @register
 def expected_hits(spark, folder):
-    wanted = F.array_distinct(F.split("instruction", " "))
-    answers = _pairs(spark, folder).withColumn("expected", wanted)
-    return evaluation.expected_hits(answers, "code", "expected").select(
+    return evaluation.expected_hits(_answers(spark, folder), "code", "expected").select(
         "conv_id", "turn", "hits", "wanted", "passed"
     )
 
 
 @register
 def expected_pass_rate(spark, folder):
-    wanted = F.array_distinct(F.split("instruction", " "))
-    answers = _pairs(spark, folder).withColumn("expected", wanted)
-    return evaluation.pass_rate(evaluation.expected_hits(answers, "code", "expected"), "turn")
+    checked = evaluation.expected_hits(_answers(spark, folder), "code", "expected")
+    return evaluation.pass_rate(checked, "turn")
 
 
 # ------------------------------------------------------------- streaming
 
 
-@register
-def stream_dedupe(spark, folder):
+def _arrivals(spark, folder) -> DataFrame:
+    """Documents as a stream; ids run against time, so most rows arrive late."""
     schema = _docs(spark, folder).schema
-    arrivals = incremental.read_arrivals(
-        spark, f"{folder}/documents.parquet*", schema
-    ).withColumn("arrived_at", F.timestamp_seconds(F.col("doc_id") + 1))
-    distinct = incremental.distinct_texts(
-        arrivals, "text", "doc_id", "arrived_at", "10000 days"
+    arrivals = incremental.read_arrivals(spark, f"{folder}/documents.parquet*", schema)
+    return arrivals.withColumn(
+        "arrived_at", F.timestamp_seconds(F.lit(4_000_000_000) - F.col("doc_id") * 86_400)
     )
-    out = scratch_path(spark, "stream")
-    incremental.run_available(distinct.select("code_hash", "text"), out, out + "-state")
-    return spark.read.schema("code_hash string, text string").parquet(out)
 
 
 @register
-def stream_clean(spark, folder):
-    schema = _docs(spark, folder).schema
-    arrivals = incremental.read_arrivals(spark, f"{folder}/documents.parquet*", schema)
-    arrived = arrivals.select(
+def stream_dedupe(spark, folder):
+    out = scratch_path(spark, "stream")
+    step = incremental.distinct_step("text", ["arrived_at", "doc_id"], out)
+    incremental.run_available(_arrivals(spark, folder), step, out + "-state")
+    return spark.read.schema("code_hash string, text string").parquet(out).drop(incremental.BATCH)
+
+
+def _cleaned_stream(spark, folder) -> str:
+    arrived = _arrivals(spark, folder).select(
         F.expr(corpus.FILE_PATH).alias("file_path"),
-        F.expr(corpus.by_template(corpus.SOURCES)).alias("source"),
-        F.timestamp_seconds(F.col("doc_id") + 1).alias("arrived_at"),
+        F.when(F.col("doc_id") % 50 == 3, F.lit(None).cast("string"))
+        .otherwise(F.expr(corpus.by_template(corpus.SOURCES))).alias("source"), "arrived_at",
     )
     stamped = cleaning.as_sources(arrived, "file_path", "source", keep=("arrived_at",))
-    cleaned = incremental.clean_arrivals(stamped, "arrived_at", "10000 days")
     out = scratch_path(spark, "stream")
-    incremental.run_available(cleaned.select("code_hash", "source"), out, out + "-state")
-    return spark.read.schema("code_hash string, source string").parquet(out)
+    incremental.run_available(stamped, incremental.clean_step(out), out + "-state")
+    return out
+
+
+@register
+def stream_clean(spark, folder):
+    files_ = f"{_cleaned_stream(spark, folder)}/files"
+    return spark.read.schema("code_hash string, source string").parquet(files_).drop(
+        incremental.BATCH
+    )
+
+
+@register
+def stream_rejects(spark, folder):
+    rejects = f"{_cleaned_stream(spark, folder)}/rejects"
+    return spark.read.schema("stage string, key string, reason string").parquet(rejects).drop(
+        incremental.BATCH
+    )
+
+
+@register
+def all_rejects(spark, folder):
+    """Every stage's input, kept rows and rejects; the rejects make up the difference."""
+    docs = _docs(spark, folder)
+    blank = _some_blank(spark, folder)
+    landed = ingest.landed(tables.odd_contents(docs))
+    cleaned = _cleaned_odd(spark, folder)
+    checked = samples.check(samples.extract(cleaning.cleaned_files(_cleaned(spark, folder))))
+    tokenised = _chosen_tokens(spark, folder)
+    built = formats.prompt_completion(blank)
+    n = F.count(F.lit(1))
+
+    def row(stage: str, rows: DataFrame, kept: Column, rejects: list[DataFrame]) -> DataFrame:
+        counts = [
+            rows.agg(n.alias("rows_in"), F.count_if(kept).alias("kept"), F.lit(0).alias("rejected"))
+        ] + [
+            r.agg(F.lit(0).alias("rows_in"), F.lit(0).alias("kept"), n.alias("rejected"))
+            for r in rejects
+        ]
+        whole = counts[0]
+        for more in counts[1:]:
+            whole = whole.unionByName(more)
+        return whole.agg(*[F.sum(c).alias(c) for c in ("rows_in", "kept", "rejected")]).select(
+            F.lit(stage).alias("stage"), "rows_in", "kept", "rejected"
+        )
+
+    failed = tokens.token_rejects(tokenised, "doc_id").filter("reason = 'tokenizer_error'")
+    stages = [
+        row("ingest", landed, F.col("reason").isNull(), [ingest.landing_rejects(landed)]),
+        row("clean", cleaned, F.col("outcome") == cleaning.PASSED, [cleaning.rejects(cleaned)]),
+        row("samples", checked, F.col("reason").isNull(), [samples.rejects(checked)]),
+        row("tokens", tokens.with_code(blank).join(
+            tokenised.filter("error is null").select("doc_id", F.lit(1).alias("_kept")),
+            "doc_id", "left",
+        ), F.col("_kept").isNotNull(), [tokens.blank_rejects(blank, "doc_id"), failed]),
+        row("format", built, (strip("prompt") != "") & (strip("completion") != ""),
+            [formats.empty_rejects(built, "doc_id", "prompt", "completion")]),
+    ]
+    whole = stages[0]
+    for more in stages[1:]:
+        whole = whole.unionByName(more)
+    return whole.withColumn("whole", F.col("rows_in") == F.col("kept") + F.col("rejected"))
+
+
+# --------------------------------------------- sources and sinks, there and back
+
+
+@register
+def source_tree(spark, folder):
+    """Files written as a tree and scanned again: path and bytes, nothing else of the tree."""
+    root = scratch_path(spark, "tree")
+    docs = _docs(spark, folder)
+    named = docs.select("source", F.concat(F.lit("x"), "doc_id").alias("name"), "text")
+    named.write.partitionBy("source").parquet(f"{root}/table")
+    found = files.source_tree(spark, root, "*.parquet")
+    return found.agg(
+        (F.count(F.lit(1)) > 0).alias("found"),
+        F.min(F.startswith("file_path", F.lit("table/source="))).alias("relative"),
+        F.min(F.octet_length("content") > 0).alias("filled"),
+    )
+
+
+@register
+def json_load(spark, folder):
+    path = scratch_path(spark, "json")
+    sinks.write_json_samples(_doc_samples(spark, folder), path)
+    return files.json_samples(spark, path).select(
+        "type", "instruction", F.md5("code").alias("code_md5")
+    )
+
+
+@register
+def manifest_table(spark, folder):
+    path = scratch_path(spark, "manifest")
+    sinks.write_table(cleaning.manifest(_cleaned(spark, folder)), path)
+    return files.manifest(spark, path).select(
+        "file_path", "line_count", F.size("imports").alias("n_imports")
+    )
+
+
+@register
+def token_table(spark, folder):
+    path = scratch_path(spark, "tokens")
+    sinks.write_table(tokens.tokenise(_doc_samples(spark, folder), ["source_line"]), path)
+    return files.token_table(spark, path).select(
+        "source_line", "type", "n_tokens", _joined_md5("input_ids").alias("ids_md5")
+    )
+
+
+@register
+def report_file(spark, folder):
+    path = scratch_path(spark, "report")
+    sinks.write_report(cleaning.outcome_counts(_cleaned(spark, folder)), path)
+    return spark.read.json(path)
+
+
+@register
+def cleaned_by_repository(spark, folder):
+    path = scratch_path(spark, "cleaned")
+    sinks.write_cleaned(cleaning.cleaned_files(_cleaned(spark, folder)), path)
+    return spark.read.parquet(path).select("repo", "file_path", F.md5("source").alias("source_md5"))
+
+
+@register
+def sample_rejects(spark, folder):
+    return samples.rejects(_checked(spark, folder)).select("stage", "key", "reason", "detail")
+
+
+@register
+def kept_eos(spark, folder):
+    tokenised = tokens.tokenise(_doc_samples(spark, folder), ["doc_id"], keep_eos=True)
+    return tokenised.select(
+        "doc_id", F.element_at("input_ids", -1).alias("last_id"), F.size("input_ids").alias("n_ids")
+    )
+
+
+@register
+def sft_text_stripped(spark, folder):
+    marked = _pairs(spark, folder).withColumn("code", with_end_marker("code"))
+    built = formats.marked_text(marked, EOS_TEXT, strip_marker=True)
+    return formats.drop_empty(built, "text").select("conv_id", "turn", "text")

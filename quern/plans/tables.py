@@ -21,13 +21,25 @@ def document_samples(docs: DataFrame) -> DataFrame:
         F.when(slot == 0, "completion").when(slot == 1, "bug_fix").otherwise("code_comment")
         .alias("type"),
         F.substring_index("text", "\n", 1).alias("instruction"),
-        F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("code"),
+        F.col("text").alias("code"),
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# original\n"), "text"))
         .alias("original_code"),
-        F.when(F.col("doc_id") % 3 == 0, F.lower("lang")).alias("fixed_code"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n# fixed"))).alias("fixed_code"),
     )
 
 
+BLANK_IDS = 1_000_000_000_000
+
+
+def with_blank_samples(samples: DataFrame) -> DataFrame:
+    """The samples, and for every seventh a further one that holds white space only."""
+    blank = samples.filter(F.col("doc_id") % 7 == 0).withColumns({
+        "doc_id": F.col("doc_id") + BLANK_IDS, "code": F.lit(" \n"),
+        "original_code": F.lit(None).cast("string"), "fixed_code": F.lit(""),
+    })
+    return samples.unionByName(blank)
+
+
 def dialogue_pairs(conversations: DataFrame) -> DataFrame:
     """Each user turn with the assistant turn right after it.  The join key (conversation, turn)
     is unique, so one huge conversation does not end up in one task."""
@@ -75,6 +87,47 @@ def encoded_contents(docs: DataFrame) -> DataFrame:
     )
 
 
+def odd_contents(docs: DataFrame) -> DataFrame:
+    """``encoded_contents`` and, for every fifth document, a file with a path that climbs out and
+    one whose contents are no base64."""
+    climbing = F.concat(F.lit("../"), "doc_id", F.lit(".py"))
+    broken = F.concat(F.lit("broken/"), "doc_id", F.lit(".py"))
+    some = docs.filter(F.col("doc_id") % 5 == 0)
+
+    def odd(path, content):
+        return some.select(
+            F.col("source").alias("repo"), path.alias("path"), F.lit("file").alias("type"),
+            F.lit("base64").alias("encoding"), content.alias("content"),
+        )
+    good = F.base64(F.encode("text", "UTF-8"))
+    return (
+        encoded_contents(docs).unionByName(odd(climbing, good))
+        .unionByName(odd(broken, F.lit("###")))
+    )
+
+
+def odd_lines(samples: DataFrame) -> DataFrame:
+    """Every sample as a JSON line, in order, each followed by a line of another kind."""
+    packed = F.to_json(F.struct("type", "instruction", "code"))
+    kind = F.col("source_line") % 10
+    single = F.lit("{'type': 'code_comment', 'instruction': 'single', 'code': 'quotes'}")
+    other = (
+        F.when(kind == 0, F.concat(packed, F.lit(" tail")))
+        .when(kind == 1, F.concat(packed, packed))
+        .when(kind == 2, single)
+        .when(kind == 3, F.concat(F.lit("\t"), packed))
+        .when(kind == 4, F.lit("\u3000"))
+        .when(kind == 5, F.lit("3"))
+        .when(kind == 6, F.lit('{"type": "\\x"}'))
+        .when(kind == 7, F.concat(packed, F.lit(","), packed))
+        .when(kind == 8, F.lit('["a", {"type": "b"}]'))
+        .otherwise(F.lit("  "))
+    )
+    return samples.select(
+        "source_line", F.posexplode(F.array(packed, other)).alias("place", "value")
+    )
+
+
 def raw_files(docs: DataFrame) -> DataFrame:
     """Documents as bytes of source files: UTF-8, Latin-1 with a declaration, UTF-8 with a byte
     order mark, and UTF-8 with other line ends."""

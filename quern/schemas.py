@@ -28,7 +28,10 @@ SAMPLE = _struct(
     type=T.StringType(), instruction=T.StringType(), code=T.StringType(),
     original_code=T.StringType(), fixed_code=T.StringType(),
 )
-TOKENISED = _struct(type=T.StringType(), input_ids=INTS, instruction=T.StringType())
+TOKENISED = _struct(
+    source_line=T.LongType(), type=T.StringType(), input_ids=INTS, instruction=T.StringType(),
+    n_tokens=T.IntegerType(), original_tokens=T.IntegerType(), truncated=T.BooleanType(),
+)
 EVAL_CASE = _struct(case_id=T.LongType(), instruction=T.StringType(), expected=STRINGS)
 LOSS = _struct(sample_id=T.LongType(), loss=T.DoubleType(), n_tokens=T.LongType())
 

@@ -24,6 +24,7 @@ def local_session(cores: str | int = 8, app: str = "quern", memory: str = "8g")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.minPartitionNum", str(cores))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,14 +56,3 @@ def spool(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Even out a scan that has fewer splits than the session has cores, ahead of CPU-heavy work.
-
-    Large inputs come in many splits and are left as they are, so no shuffle is added there.  Use
-    it right on a scan: counting the splits of such a plan runs no job.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, key)

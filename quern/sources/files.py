@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quern import schemas
+from quern.functions.text import strip
 from quern.operators.ordering import add_offsets
 from quern.session import spool
 
 CORRUPT = "_corrupt"
+JSON_SPACES = " \t\n\r"
 
 
 def source_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
@@ -32,8 +34,8 @@ def json_samples(spark: SparkSession, path: str, schema: T.StructType = schemas.
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.SAMPLE) -> DataFrame:
     """JSON lines with their 1-based line number over all files in path order.
 
-    Blank lines are dropped but counted; a line that is no JSON object keeps NULL fields and its
-    text in ``_corrupt``.  A line's number is its place in its input block plus the lines of all
+    Blank lines (Unicode white space) are dropped but counted; a line that is not exactly one JSON
+    object keeps NULL fields and its text in ``_corrupt``.  A line's number is its place in its input block plus the lines of all
     blocks before it, so nothing is sorted or counted in one task.
     """
     placed = spark.read.text(path).select(
@@ -42,16 +44,19 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.SA
         F.monotonically_increasing_id().alias("_place"),
     )
     lines = add_offsets(spool(placed, "lines"), ["_file", "_block"], "_place", "source_line")
-    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json(
-        "value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # A line is one object if it parses as the only element of an array: text after the object
+    # or a second object on the line breaks the array or makes it longer.
+    value = F.trim("value", F.lit(JSON_SPACES))
+    items = F.from_json(
+        F.concat(F.lit("["), value, F.lit("]")), T.ArrayType(schema), {"allowSingleQuotes": "false"}
     )
-    whole = F.startswith(F.trim("value"), F.lit("{"))
+    one = F.startswith(value, F.lit("{")) & (F.size("items") == 1)
     return (
-        lines.filter(F.trim("value", F.lit(" \t\r\n\f\x0b")) != "")
-        .select("source_line", "value", parsed.alias("item"))
-        .select("source_line", "item.*", F.when(~whole, F.col("value")).alias("_not_object"))
-        .withColumn(CORRUPT, F.coalesce(CORRUPT, "_not_object")).drop("_not_object")
+        lines.filter(strip("value") != "").withColumn("items", items)
+        .withColumn("item", F.when(one, F.get("items", F.lit(0))))
+        .select(
+            "source_line", "item.*", F.when(F.col("item").isNull(), F.col("value")).alias(CORRUPT)
+        )
     )
 
 
@@ -60,4 +65,5 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Token ids by source line, as the token job writes them."""
+    return spark.read.schema(schemas.TOKENISED).parquet(path)

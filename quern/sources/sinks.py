@@ -37,5 +37,7 @@ def write_cleaned(cleaned: DataFrame, path: str) -> None:
     _write_by_repo(cleaned.select("file_path", "source").withColumn("repo", folder), path)
 
 
-def append_rejects(rejects: DataFrame, path: str) -> None:
-    rejects.write.mode("append").partitionBy("stage").parquet(path)
+def write_rejects(rejects: DataFrame, path: str) -> None:
+    """Replaces the rejects of the stages that occur, so a job may run again."""
+    writer = rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("stage").parquet(path)

@@ -1,13 +1,22 @@
-"""Incremental runs: new files arrive as parquet, each distinct text leaves once."""
+"""Incremental runs: new files arrive as parquet, each distinct text leaves once.
+
+Each micro-batch is checked against the texts that earlier batches wrote, however long ago, so a
+file that arrives late is treated like any other.  A batch writes into folders of its own number and
+replaces them if it is run again, so a run that was cut off repeats without doubling rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quern.operators.cleaning import clean, cleaned_files
+from quern.operators.cleaning import clean, cleaned_files, rejects
+from quern.operators.ordering import keep_first
+from quern.session import spool
 
-SPREAD = 32
+BATCH = "batch"
 
 
 def read_arrivals(spark: SparkSession, files: str, schema: T.StructType) -> DataFrame:
@@ -15,41 +24,55 @@ def read_arrivals(spark: SparkSession, files: str, schema: T.StructType) -> Data
     return spark.readStream.schema(schema).parquet(files)
 
 
-def distinct_within(
-    arrivals: DataFrame, key: str, row_id: str, arrived_at: str, horizon: str
-) -> DataFrame:
-    """One row per key among rows that arrive within the horizon of each other.
-
-    Streams have no map-side fold, so a hot key is first thinned out over ``SPREAD`` slots by the
-    row's own id; at most one copy per slot goes on to the second step.
-    """
-    slot = F.pmod(F.xxhash64(row_id, arrived_at), F.lit(SPREAD))
-    return (
-        arrivals.withWatermark(arrived_at, horizon).withColumn("_slot", slot)
-        .dropDuplicatesWithinWatermark([key, "_slot"])
-        .dropDuplicatesWithinWatermark([key])
-        .drop("_slot")
-    )
+def _write_batch(df: DataFrame, path: str, number: int) -> None:
+    """The batch's own folder, whether there are rows or not, so the table can always be read."""
+    df.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
 
-def distinct_texts(
-    arrivals: DataFrame, text: str, row_id: str, arrived_at: str, horizon: str
+def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """Hashes of the texts that batches before this one wrote."""
+    if number == 0:
+        return spark.createDataFrame([], "code_hash string")
+    table = spark.read.schema(f"code_hash string, {BATCH} int").parquet(path)
+    return table.filter(F.col(BATCH) < number).drop(BATCH)
+
+
+def new_texts(
+    batch: DataFrame, text: str, order: list[str], out: str, number: int
 ) -> DataFrame:
-    hashed = arrivals.withColumn("code_hash", F.md5(text))
-    return distinct_within(hashed, "code_hash", row_id, arrived_at, horizon)
+    """Rows of the batch whose text no earlier row of the batch (by ``order``) and no earlier batch
+    has, with ``code_hash``.  Copies fold on the map side first."""
+    first = keep_first(batch.withColumn("code_hash", F.md5(text)), ["code_hash"], order)
+    return first.join(_earlier(batch.sparkSession, out, number), "code_hash", "left_anti")
+
+
+def distinct_step(text: str, order: list[str], out: str) -> Callable[[DataFrame, int], None]:
+    def step(batch: DataFrame, number: int) -> None:
+        _write_batch(new_texts(batch, text, order, out, number), out, number)
+    return step
 
 
-def clean_arrivals(sources: DataFrame, arrived_at: str, horizon: str) -> DataFrame:
-    """The batch cleaning job on a stream: (file_path, source, read_error, original_size, time)."""
-    stamped = cleaned_files(clean(sources, keep=(arrived_at,)))
-    return distinct_texts(stamped, "source", "file_path", arrived_at, horizon)
+def clean_step(out: str) -> Callable[[DataFrame, int], None]:
+    """Cleans a batch of (file_path, source, read_error, original_size, arrived_at): new texts go
+    to ``files``, what did not pass to ``rejects``, and the outcome of every row to ``outcomes``."""
+    def step(batch: DataFrame, number: int) -> None:
+        cleaned = spool(clean(batch, keep=("arrived_at",)), "cleaned")
+        order = ["arrived_at", "file_path"]
+        good = cleaned_files(cleaned).drop("outline")
+        _write_batch(new_texts(good, "source", order, f"{out}/files", number), f"{out}/files", number)
+        _write_batch(rejects(cleaned), f"{out}/rejects", number)
+        counts = cleaned.groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
+        _write_batch(counts, f"{out}/outcomes", number)
+    return step
 
 
-def run_available(stream: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+def run_available(
+    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
     """Process what is there and stop.  A run that was cut off continues from its checkpoint."""
     query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(output)
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return query

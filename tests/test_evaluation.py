@@ -29,14 +29,27 @@ def test_unigram_losses_equal_counting(spark, monkeypatch, heavy, same):
     texts_df = corpus_df if same else spark.createDataFrame(list(texts.items()), schema)
     seen = Counter(w for t in corpus.values() for w in t.split())
     mass = sum(seen.values()) + len(seen)
-    got = {r.id: r for r in evaluation.unigram_losses(texts_df, corpus_df, "id", "text").collect()}
+    given = None if same else corpus_df
+    got = {r.id: r for r in evaluation.unigram_losses(texts_df, "id", "text", given).collect()}
     assert set(got) == set(texts)
+    total = sum(r.loss * r.n_tokens for r in got.values())
+    n = sum(r.n_tokens for r in got.values())
+    whole = evaluation.unigram_perplexity(texts_df, "text", given).first()
+    assert whole.n_tokens == n and whole.mean_loss == pytest.approx(total / n)
     for key, text in texts.items():
         costs = [-math.log((seen[w] + 1) / mass) for w in text.split()]
         assert got[key].n_tokens == len(costs)
         assert got[key].loss == pytest.approx(sum(costs) / len(costs))
 
 
+def test_texts_without_words_keep_their_row(spark):
+    rows = [(1, "a b"), (2, " \n"), (3, None), (4, "")]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: (r.loss is None, r.n_tokens)
+           for r in evaluation.unigram_losses(texts, "id", "text").collect()}
+    assert got == {1: (False, 2), 2: (True, 0), 3: (True, 0), 4: (True, 0)}
+
+
 def test_expected(spark):
     rows = spark.createDataFrame(
         [(1, "def add(): return 1", ["add", "return"]), (2, "x", ["add", "x"]), (3, "y", [])],

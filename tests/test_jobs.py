@@ -144,22 +144,89 @@ def test_ingest(spark, tmp_path):
     assert landed[0].source == "x = 'é'\n" * 20
     after = {r.repo: r.updated_at for r in spark.read.parquet(f"{tmp_path}/out/state").collect()}
     assert after == {"o/new": now, "o/same": now, "o/gone": before, "o/empty": now}
+    rejects = spark.read.parquet(f"{tmp_path}/out/rejects").collect()
+    assert {(r.stage, r.key, r.reason) for r in rejects} == {
+        ("ingest", "o/new/../x.py", "refused_path"), ("ingest", "o/bad/a.py", "undecodable_content"),
+    }
 
 
 def test_incremental_clean(spark, tmp_path):
     body = "def f(a):\n" + "".join(f"    a = a + {i}\n" for i in range(12)) + "    return a\n"
+    out = f"{tmp_path}/out"
 
-    def arrive(day, texts):
-        rows = [(f"{day}_{i}.py", text, datetime(2025, 1, day)) for i, text in enumerate(texts)]
+    def arrive(name, day, texts):
+        rows = [(f"{name}_{i}.py", text, datetime(2025, 1, day)) for i, text in enumerate(texts)]
         spark.createDataFrame(rows, jobs.ARRIVAL_SCHEMA).coalesce(1).write.mode("append").parquet(
             f"{tmp_path}/in"
         )
-        jobs.incremental_clean_job(
-            spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", "10 days"
-        )
-        return spark.read.parquet(f"{tmp_path}/out")
-    assert arrive(1, [body, body, body + "#x\n", "def ("]).count() == 2
-    assert arrive(2, [body, body.replace("f(", "g(")]).count() == 3
-    out = arrive(2, [])
-    assert out.select("code_hash").distinct().count() == out.count() == 3
-    assert out.filter(F.col("source").endswith("# x\n")).count() == 1
+        jobs.incremental_clean_job(spark, f"{tmp_path}/in", out, f"{tmp_path}/state")
+        return spark.read.parquet(f"{out}/files")
+    assert arrive("a", 20, [body, body, body + "#x\n", "def (", None]).count() == 2
+    # Much older than everything seen so far, and still not lost.
+    late = arrive("b", 1, [body, body.replace("f(", "g("), "x = 1\n"])
+    assert late.count() == 3
+    files_ = arrive("c", 2, [])
+    assert files_.select("code_hash").distinct().count() == files_.count() == 3
+    assert files_.filter(F.col("source").endswith("# x\n")).count() == 1
+    rejects = {(r.key, r.reason) for r in spark.read.parquet(f"{out}/rejects").collect()}
+    assert rejects == {
+        ("a_3.py", "syntax_error"), ("a_4.py", "cleaning_error"), ("b_2.py", "too_short")
+    }
+    counted = spark.read.parquet(f"{out}/outcomes").agg(F.sum("files")).first()[0]
+    assert counted == 8
+
+
+def test_rejects_are_replaced_when_a_job_runs_again(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "bad.py").write_text("def (")
+    for _ in range(2):
+        jobs.clean_job(spark, f"{tmp_path}/raw", f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/rejects").count() == 1
+
+
+LINES = [
+    '{"code": "a"}', '{"code": "a"} tail', '{"code": "a"}{"code": "b"}', "{'code': 'a'}",
+    '\t{"code": "tab"}', '{"code": "a"}, {"code": "b"}', "3", "null", '"x"', "[]", '["a"]', "{}",
+    '{"code": "\\u00e9\\n"}', '{"code": "\\x"}', '{"code": }', '{"code": "a"',
+    ' {"code": "b"} \r', '{"code": null}',
+]
+
+
+def test_lines_are_read_as_python_reads_them(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("\n".join([*LINES, "\u3000", ""]), encoding="utf-8")
+    got = {r.source_line: r for r in files.json_lines(spark, str(tmp_path)).collect()}
+    assert len(got) == len(LINES)
+    for number, line in enumerate(LINES, 1):
+        try:
+            value = json.loads(line)
+        except ValueError:
+            value = None
+        row = got[number]
+        assert (row[files.CORRUPT] is None) == isinstance(value, dict), line
+        if isinstance(value, dict):
+            assert row.code == value.get("code")
+
+
+def test_evaluation_jobs(spark, stages, tmp_path):
+    table = f"{stages}/samples/samples"
+    stats = jobs.tokens_job(spark, table, f"{tmp_path}/tokens").first()
+    report = jobs.batches_job(spark, f"{tmp_path}/tokens/tokens", f"{tmp_path}/batches").first()
+    assert report.samples == stats.samples == spark.read.parquet(table).count()
+    assert jobs.masks_job(spark, table, f"{tmp_path}/masks").first().trained > 0
+    assert jobs.audit_job(spark, table, f"{tmp_path}/audit").first().kept_same == report.samples
+    losses = [(1, 1.0, 1), (2, 2.0, 3)]
+    spark.createDataFrame(losses, schemas.LOSS).write.parquet(f"{tmp_path}/losses")
+    told = jobs.perplexity_job(spark, f"{tmp_path}/losses", f"{tmp_path}/perplexity").first()
+    assert told.mean_loss == 1.75
+    (tmp_path / "cases.json").write_text(
+        '{"case_id": 1, "instruction": "i", "expected": ["a", "b"]}\n'
+        '{"case_id": 2, "instruction": "i", "expected": ["a"]}\n'
+    )
+    (tmp_path / "answers.json").write_text('{"case_id": 1, "answer": "xbxa"}\n')
+    rate = jobs.evaluate_job(
+        spark, f"{tmp_path}/cases.json", f"{tmp_path}/answers.json", f"{tmp_path}/evaluated"
+    ).first()
+    assert (rate.cases, rate.passed, rate.hits, rate.wanted) == (2, 1, 2, 3)
+    jobs.publish_job(spark, f"{stages}/clean", f"{tmp_path}/published")
+    published = spark.read.parquet(f"{tmp_path}/published")
+    assert published.filter("repo = 'src0'").count() > 0
