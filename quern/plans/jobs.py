@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quern import schemas
 from quern.operators import audit, cleaning, evaluation, formats, ingest, samples, selection, tokens
 from quern.operators.ordering import number_rows
-from quern.session import spool
+from quern.session import job, spool
 from quern.sources import files, sinks
 from quern.streaming import incremental
 
@@ -23,6 +23,7 @@ def _reject(rejects: DataFrame, out: str) -> None:
     sinks.write_rejects(rejects.withColumn("at", F.current_timestamp()), f"{out}/rejects")
 
 
+@job
 def ingest_job(
     spark: SparkSession, listing: str, contents: str, state: str, out: str,
     max_results: int = ingest.MAX_REPOS, **search,
@@ -54,22 +55,23 @@ def ingest_job(
     sinks.write_table(state_after, f"{out}/state")
 
 
+@job
 def clean_job(spark: SparkSession, raw: str, out: str) -> DataFrame:
     """Tree of ``*.py`` files to cleaned text, manifest, rejects and outcome counts."""
     sources = cleaning.read_sources(files.source_tree(spark, raw))
     cleaned = _stored(cleaning.clean(sources), f"{out}/files", ("outcome",))
     sinks.write_table(cleaning.manifest(cleaned), f"{out}/manifest")
     _reject(cleaning.rejects(cleaned).drop("at"), out)
-    outcomes = cleaning.outcome_counts(cleaned)
-    sinks.write_report(outcomes, f"{out}/outcomes")
-    return outcomes
+    return sinks.write_report(cleaning.outcome_counts(cleaned), f"{out}/outcomes")
 
 
+@job
 def publish_job(spark: SparkSession, cleaned: str, out: str) -> None:
     """Cleaned files under their relative path, in one folder per repository."""
     sinks.write_cleaned(cleaning.cleaned_files(spark.read.parquet(f"{cleaned}/files")), out)
 
 
+@job
 def samples_job(spark: SparkSession, cleaned: str, out: str) -> DataFrame:
     """Cleaned files to distinct samples with line numbers, rejects and counts.
 
@@ -86,9 +88,7 @@ def samples_job(spark: SparkSession, cleaned: str, out: str) -> DataFrame:
         f"{out}/samples_jsonl",
     )
     _reject(samples.rejects(checked).drop("at"), out)
-    counts = samples.sample_counts(checked)
-    sinks.write_table(counts, f"{out}/counts")
-    return counts
+    return _stored(samples.sample_counts(checked), f"{out}/counts")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -103,6 +103,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return files.json_lines(spark, path)
 
 
+@job
 def select_job(
     spark: SparkSession, jsonl: str, out: str, target: int = 1000, seed: int = 42,
     rules: selection.Rules = selection.Rules(),
@@ -117,10 +118,10 @@ def select_job(
     chosen = _stored(selection.select_balanced(pool, target, seed), f"{out}/chosen")
     sinks.write_json_samples(chosen.orderBy("shuffle_rank"), f"{out}/samples_jsonl")
     report = selection.selection_report(judged, pool, chosen, jsonl, out)
-    sinks.write_report(report, f"{out}/report")
-    return report
+    return sinks.write_report(report, f"{out}/report")
 
 
+@job
 def tokens_job(
     spark: SparkSession, jsonl: str, out: str, limit: int = tokens.MAX_TOKENS,
     keep_eos: bool = False,
@@ -134,10 +135,10 @@ def tokens_job(
         .unionByName(tokens.token_rejects(stored, "source_line")), out,
     )
     stats = tokens.token_stats(tokens.sizes(good, limit))
-    sinks.write_report(stats, f"{out}/stats")
-    return stats
+    return sinks.write_report(stats, f"{out}/stats")
 
 
+@job
 def batches_job(
     spark: SparkSession, table: str, out: str, rows: int = tokens.BATCH_ROWS, pad_id: int = 0
 ) -> DataFrame:
@@ -145,10 +146,10 @@ def batches_job(
     tokenised = files.token_table(spark, table)
     sinks.write_table(tokens.padded_batches(tokenised, "source_line", rows, pad_id), f"{out}/batches")
     report = tokens.length_report(tokenised)
-    sinks.write_report(report, f"{out}/report")
-    return report
+    return sinks.write_report(report, f"{out}/report")
 
 
+@job
 def masks_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
     """Samples to ids and labels of their completions, with an audit of the trained part."""
     lines = _lines(spark, jsonl).filter(F.col(files.CORRUPT).isNull())
@@ -157,26 +158,26 @@ def masks_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
         F.count(F.lit(1)).alias("samples"), F.sum("trained").alias("trained"),
         *[F.sum(n).alias(n) for n in ("newline_tokens", "space_tokens", "indent_tokens")],
     )
-    sinks.write_report(report, f"{out}/report")
-    return report
+    return sinks.write_report(report, f"{out}/report")
 
 
+@job
 def audit_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
     """Round trip of every sample through the tokenizer."""
     lines = _lines(spark, jsonl).filter(F.col(files.CORRUPT).isNull() & F.col("code").isNotNull())
     rows = _stored(audit.roundtrip(lines, ["source_line"], "code"), f"{out}/roundtrip")
     report = audit.roundtrip_summary(rows)
-    sinks.write_report(report, f"{out}/report")
-    return report
+    return sinks.write_report(report, f"{out}/report")
 
 
+@job
 def perplexity_job(spark: SparkSession, losses: str, out: str) -> DataFrame:
     """Weighted perplexity of a table of losses (sample_id, loss, n_tokens)."""
     report = evaluation.weighted_perplexity(spark.read.schema(schemas.LOSS).parquet(losses))
-    sinks.write_report(report, f"{out}/report")
-    return report
+    return sinks.write_report(report, f"{out}/report")
 
 
+@job
 def evaluate_job(spark: SparkSession, cases: str, answers: str, out: str) -> DataFrame:
     """Expected strings of cases (case_id, instruction, expected) in answers (case_id, answer)."""
     asked = spark.read.schema(schemas.EVAL_CASE).json(cases)
@@ -186,8 +187,7 @@ def evaluate_job(spark: SparkSession, cases: str, answers: str, out: str) -> Dat
         f"{out}/checked",
     )
     report = evaluation.pass_rate(checked)
-    sinks.write_report(report, f"{out}/report")
-    return report
+    return sinks.write_report(report, f"{out}/report")
 
 
 STYLES = {
@@ -197,6 +197,7 @@ STYLES = {
 }
 
 
+@job
 def format_job(spark: SparkSession, jsonl: str, out: str, style: str = "text") -> DataFrame:
     """Samples to training texts, rejects and counts; fails if no text is left."""
     build, columns = STYLES[style]
@@ -206,13 +207,13 @@ def format_job(spark: SparkSession, jsonl: str, out: str, style: str = "text") -
     kept.write.mode("overwrite").json(f"{out}/texts")
     _reject(formats.empty_rejects(built, "source_line", *columns), out)
     counts = formats.format_counts(built, *columns)
-    sinks.write_report(counts, f"{out}/counts")
-    return counts
+    return sinks.write_report(counts, f"{out}/counts")
 
 
 ARRIVAL_SCHEMA = "file_path string, source string, arrived_at timestamp"
 
 
+@job
 def incremental_clean_job(spark: SparkSession, arrivals: str, out: str, checkpoint: str) -> None:
     """Clean what has arrived since the last run: new texts, rejects and outcomes."""
     stream = spark.readStream.schema(ARRIVAL_SCHEMA).parquet(arrivals)

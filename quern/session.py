@@ -9,6 +9,10 @@ lets the readers prune columns.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +50,37 @@ def shared_folder(spark: SparkSession) -> str:
     return fresh
 
 
+_OPEN: ContextVar[list[str] | None] = ContextVar("_OPEN", default=None)
+
+
+@contextmanager
+def handovers(spark: SparkSession) -> Iterator[None]:
+    """Hand-over tables made inside are deleted at the end.  For code that has read them by then."""
+    made: list[str] = []
+    token = _OPEN.set(made)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def job(run: Callable) -> Callable:
+    """A job from paths to paths, without leftovers in the shared folder."""
+    @wraps(run)
+    def inside(spark: SparkSession, *args, **kwargs):
+        with handovers(spark):
+            return run(spark, *args, **kwargs)
+    return inside
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/quern/{label}-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/quern/{label}-{uuid4().hex}"
+    if (made := _OPEN.get()) is not None:
+        made.append(path)
+    return path
 
 
 def spool(df: DataFrame, label: str) -> DataFrame:

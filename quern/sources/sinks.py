@@ -15,9 +15,10 @@ def write_json_samples(samples: DataFrame, path: str) -> None:
     samples.select(*SAMPLE_COLUMNS).write.mode("overwrite").json(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """One JSON object; the report is one row."""
+def write_report(report: DataFrame, path: str) -> DataFrame:
+    """One JSON object; the report is one row.  Returns a reader of what was written."""
     report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return report.sparkSession.read.schema(report.schema).json(path)
 
 
 def _write_by_repo(files: DataFrame, path: str) -> None:

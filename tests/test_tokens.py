@@ -86,10 +86,17 @@ def test_any_tokenizer_can_be_plugged_in(spark):
     df = samples_of(spark, [
         ("code_comment", "i", "def f ( ) x", None, None), ("code_comment", "i", "boom", None, None),
     ])
-    done = tokens.tokenise_with(df, load, eos_id=9, key=["id"], limit=4).collect()
-    assert [(r.id, r.input_ids, r.truncated, r.original_tokens) for r in done] == [
-        (0, [1, 2, 3, 4], True, 6)
+    made = tokens.tokenise_with(df, load, eos_id=9, key=["id"], limit=4)
+    done = sorted(made.collect(), key=lambda r: r.id)
+    assert [(r.id, r.input_ids, r.truncated, r.original_tokens, r.error) for r in done] == [
+        (0, [1, 2, 3, 4], True, 6, None), (1, None, None, None, "ValueError: boom"),
     ]
+    rejects = {(r.key, r.reason): r.detail for r in tokens.token_rejects(made, "id").collect()}
+    assert rejects == {
+        ("0", "cut_to_limit"): "4 of 6 tokens", ("1", "tokenizer_error"): "ValueError: boom"
+    }
+    stats = tokens.token_stats(made).first()
+    assert (stats.samples, stats.errors, stats.truncated) == (1, 1, 1)
     with pytest.raises(ValueError):
         tokens.tokenise_with(df, load, eos_id=None)
 
@@ -159,7 +166,10 @@ def test_masked_samples(spark):
 def test_roundtrip(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
     rows = audit.roundtrip(df, ["id"], "text").orderBy("id").collect()
-    assert all(r.same for r in rows)
+    assert all(r.kept_same for r in rows)
+    assert [r.same for r in rows] == [len(text.encode()) <= 2048 for text in TEXTS]
+    summary = audit.roundtrip_summary(audit.roundtrip(df, ["id"], "text")).first()
+    assert (summary.texts, summary.kept_same, summary.same_share) == (6, 6, 1.0)
     assert [r.cut for r in rows] == [False, False, False, True, True, False]
     assert rows[1].has_newline and rows[1].has_indent
 
