@@ -91,3 +91,64 @@ WITH v AS (
 )
 SELECT * FROM r WHERE "rank" <= 10
 """
+
+
+def _spans_sql() -> str:
+    """All matches of each rule with their places, from the matches and the gaps between them."""
+    flat = [
+        (place, rule.kind, rule.pattern.replace("(?ai:", "(?i:").replace("'", "''"), rule.group, rule.least)
+        for place, rule in enumerate(secret_scan.RULES)
+    ]
+    return " UNION ALL ".join(
+        f"SELECT doc_id, {place} AS place, '{kind}' AS kind, {least} AS least, "
+        f"regexp_extract_all(text, '{pattern}') AS found, "
+        f"regexp_extract_all(text, '{pattern}', {group}) AS inner_found, "
+        f"string_split_regex(text, '{pattern}') AS gaps FROM documents WHERE text IS NOT NULL"
+        for place, kind, pattern, group, least in flat
+    )
+
+
+ORACLES["op3_secret_scan"] = f"""
+WITH matched AS ({_spans_sql()}),
+each_one AS (SELECT *, unnest(range(1, len(found) + 1)) AS j FROM matched WHERE len(found) > 0),
+spans AS (
+    SELECT doc_id, place, kind, begun, begun + length(found[j]) AS ended
+    FROM (SELECT *, CAST(list_sum(list_transform(gaps[1:j], lambda g: length(g)))
+        + coalesce(list_sum(list_transform(found[1:j - 1], lambda f: length(f))), 0) AS BIGINT) AS begun
+      FROM each_one)
+    WHERE length(inner_found[j]) >= least
+),
+named AS (SELECT *, kind || ':' || begun || ':' || ended AS name FROM spans)
+SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
+  count(*) FILTER (place = 2) AS n_hex,
+  sha256(coalesce(string_agg(name, ',' ORDER BY begun, place) FILTER (place < 3), '')) AS base_sha256,
+  coalesce(string_agg(name, ',' ORDER BY begun, place), '') AS spans
+FROM documents LEFT JOIN named USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+words AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n FROM split
+),
+windows AS (
+    SELECT doc_id, pos, word, CASE WHEN pos + 12 <= n THEN string_agg(word, ' ') OVER (
+        PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) END AS win
+    FROM words
+),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows WHERE win IS NOT NULL GROUP BY win),
+hits AS (
+    SELECT doc_id, pos, word, coalesce(first < doc_id, false) AS hit
+    FROM windows LEFT JOIN firsts USING (win)
+),
+covered AS (
+    SELECT *, bool_or(hit) OVER (
+        PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+    FROM hits
+)
+SELECT doc_id, count(pos) AS n_words, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents LEFT JOIN covered USING (doc_id) GROUP BY doc_id
+"""

@@ -18,9 +18,10 @@ folder; only counts reach the driver.  Exact copies share a fingerprint, so a gr
 node, whatever its size.
 
 Cases: NULL and blank texts have fingerprint zero and are linked like any others; texts of one or
-two words are one shingle; repeated rows and equal ids give one row each with the same group; a row
-with NULL id keeps its row and never names a group unless all ids of it are NULL; texts are read
-whole; an empty table gives an empty result.
+two words are one shingle; ids are integers; rows that share an id are one document, whose texts are
+linked, and give a row each; a row with NULL id keeps its row and never names a group unless all ids
+of it are NULL; texts are read whole; an empty table gives an empty result; other columns are ignored,
+or kept if whole documents are asked for.
 """
 
 from __future__ import annotations
@@ -204,9 +205,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, ``fp`` and ``component_id``, the smallest id of its group."""
     made = spool(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = spool(
-        made.groupBy("fp").agg(F.coalesce(F.min(id_col), F.lit(None)).alias("rep")), "classes"
-    )
+    reps = spool(made.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
     roots = components(stars_of(reps.filter(F.col("rep").isNotNull())))
     named = spool(
         reps.join(roots, reps["rep"] == roots["v"], "left")
