@@ -4,16 +4,16 @@ The vectors are dealt by a hash of their id into shards of bounded size.  Each s
 forest over all of its rows: a tree splits a node at the hyperplane half way between two of its rows
 chosen at random, and a node whose rows fall to one side (copies) is halved at random, so every row
 is in one leaf of every tree.  A query searches all trees of a shard through one shared priority
-queue, which always opens the nearest node of all trees, until leaves with ``search_rows`` rows are
-open; their distinct rows are scored exactly.  The shards' best rows are then ranked.
+queue, which always opens the nearest node of all trees, until the open leaves hold
+``search_rows`` rows and ``search_share`` times the shard's rows more; their distinct rows are scored
+exactly.  The shards' best rows are then ranked.
 
 Trees split by angle.  Inner products of vectors of unequal length are led back to angles by one more
 dimension that lifts all rows of a shard to the same length.
 
 Cases: vectors that are NULL, zero, empty or hold NULL or non-finite components take no part, neither
 do rows with NULL id; rows that repeat an id count once (the smallest vector); a query never finds
-itself; ties go to the smaller id; shards of up to ``search_rows`` rows are searched whole; an empty
-table gives an empty result; other columns are ignored.
+itself; ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ TREES = 12
 LEAF_ROWS = 128
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 4_096
-# Rows met per query and shard.  High, since vectors without any structure need it: on 64
-# independent dimensions half of a shard must be scored for a recall of 0.9.
-SEARCH_ROWS = 11_000
+# Rows met per query and shard: some, and a share of the shard's rows.  The share is high, since
+# vectors without any structure need it: on 64 independent dimensions about half of the rows must be
+# scored for a recall of 0.9.  (A row met in several trees counts each time, but is scored once.)
+SEARCH_ROWS = 500
+SEARCH_SHARE = 0.85
 MARGINS_AT_ONCE = 256
 
 
@@ -118,19 +120,16 @@ def _lift(rows: np.ndarray) -> np.ndarray:
     return np.column_stack([rows, np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))])
 
 
-def _match(k: int, trees: int, leaf_rows: int, search_rows: int):
+def _match(k: int, trees: int, leaf_rows: int, search_rows: int, search_share: float):
     def run(query_ids, query_rows, ids, rows):
-        forest = Forest(_lift(rows), trees, leaf_rows) if len(rows) > search_rows else None
+        forest = Forest(_lift(rows), trees, leaf_rows)
+        wanted = search_rows + int(search_share * len(rows))
         places, found, scores = [], [], []
         for start in range(0, len(query_ids), MARGINS_AT_ONCE):
             part = query_rows[start:start + MARGINS_AT_ONCE]
-            if forest is not None:
-                # The lifted dimension of a query is zero.
-                margins = part @ forest.normal[:, :-1].T
+            margins = part @ forest.normal[:, :-1].T  # the lifted dimension of a query is zero
             for i, query in enumerate(part):
-                near = np.arange(len(ids)) if forest is None else forest.gather(
-                    margins[i].tolist(), search_rows, len(ids)
-                )
+                near = forest.gather(margins[i].tolist(), wanted, len(ids))
                 near = near[ids[near] != query_ids[start + i]]
                 score = rows[near] @ query
                 kept = best_of(score, ids[near], k)
@@ -144,12 +143,13 @@ def _match(k: int, trees: int, leaf_rows: int, search_rows: int):
 
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES,
-    leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, id_col: str = "vec_id",
+    leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS,
+    search_share: float = SEARCH_SHARE, id_col: str = "vec_id",
     vector_col: str = "embedding", query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """About the ``k`` largest inner products of each query; ``is_query`` may use column ``id``."""
     kept = usable(vectors, id_col, vector_col, zero_ok=False)
     return ranked_search(
-        kept.filter(is_query), kept, _match(k, trees, leaf_rows, search_rows), k, "double",
-        query_block, shard_rows,
+        kept.filter(is_query), kept, _match(k, trees, leaf_rows, search_rows, search_share), k,
+        "double", query_block, shard_rows,
     )

@@ -102,7 +102,7 @@ def test_forest_recall_when_it_searches_a_part():
     centres = rng.normal(size=(40, 32))
     rows = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 0.4
     ids = np.arange(4000)
-    place, found, _ = vector_forest._match(20, 10, 32, 1200)(ids[:50], rows[:50], ids, rows)
+    place, found, _ = vector_forest._match(20, 10, 32, 200, 0.3)(ids[:50], rows[:50], ids, rows)
     hits = 0
     for q in range(50):
         full = rows @ rows[q]
