@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.session import spool
 
+# Key rows of a range partition.
+SHARD_ROWS = 1_000_000
 # Rows of well under 200 bytes each.
 BROADCAST_SHARDS = 1_000_000
 
@@ -85,9 +87,17 @@ def add_offsets(
     return numbered.drop(*shard, within, "_shift")
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
-    """1-based position of each row in the given order, without sorting in one task."""
+def number_rows(
+    df: DataFrame, order: Sequence[str], name: str = "row_no", rows: int | None = None
+) -> DataFrame:
+    """1-based position of each row in the given order, without sorting in one task.
+
+    Callers that know the number of rows (of a stored table) pass it; range partitions then hold
+    about ``SHARD_ROWS`` rows, however many there are.
+    """
     shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        shards = max(shards, -(-rows // SHARD_ROWS))
     placed = (
         df.repartitionByRange(shards, *order).sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())

@@ -176,17 +176,18 @@ def model_inputs(tokenised: DataFrame, key: Sequence[str] = ()) -> DataFrame:
 
 
 def padded_batches(
-    tokenised: DataFrame, key: str, rows: int = BATCH_ROWS, pad_id: int = 0
+    tokenised: DataFrame, key: str, rows: int = BATCH_ROWS, pad_id: int = 0,
+    total: int | None = None,
 ) -> DataFrame:
     """Batches of consecutive rows, each padded to its longest row.
 
     Row numbers and batch lengths are worked out on (key, length) alone; the ids move once, to
-    meet their target length.
+    meet their target length.  ``total`` is the number of rows, if it is known.
     """
     length = F.col("n_tokens") if "n_tokens" in tokenised.columns else F.size("input_ids")
     lengths = tokenised.select(key, length.alias("n_tokens"))
     batch = F.floor((F.col("row_no") - 1) / rows)
-    numbered = number_rows(lengths, [key]).select(key, "n_tokens", batch.alias("batch_id"))
+    numbered = number_rows(lengths, [key], rows=total).select(key, "n_tokens", batch.alias("batch_id"))
     longest = F.max("n_tokens").over(Window.partitionBy("batch_id"))
     plan = numbered.select(key, "batch_id", longest.alias("pad_to"))
     padding = F.col("pad_to") - F.size("input_ids")

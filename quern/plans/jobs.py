@@ -81,7 +81,8 @@ def samples_job(spark: SparkSession, cleaned: str, out: str) -> DataFrame:
     sources = cleaning.cleaned_files(spark.read.parquet(f"{cleaned}/files"))
     checked = _stored(samples.check(samples.extract(sources)), f"{out}/checked")
     distinct = spool(samples.distinct_samples(checked), "distinct")
-    numbers = number_rows(distinct.select(*samples.ORDER), samples.ORDER, "source_line")
+    keys = distinct.select(*samples.ORDER)
+    numbers = number_rows(keys, samples.ORDER, "source_line", distinct.count())
     numbered = _stored(distinct.join(numbers, samples.ORDER), f"{out}/samples")
     sinks.write_json_samples(
         numbered.repartitionByRange("source_line").sortWithinPartitions("source_line"),
@@ -144,7 +145,8 @@ def batches_job(
 ) -> DataFrame:
     """A token table to padded batches with masks, and a report of its lengths."""
     tokenised = files.token_table(spark, table)
-    sinks.write_table(tokens.padded_batches(tokenised, "source_line", rows, pad_id), f"{out}/batches")
+    batches = tokens.padded_batches(tokenised, "source_line", rows, pad_id, tokenised.count())
+    sinks.write_table(batches, f"{out}/batches")
     report = tokens.length_report(tokenised)
     return sinks.write_report(report, f"{out}/report")
 
