@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import LONG_KEY, tokenizer_path
-from quern.llm.pieces import MARK, segments_of, vocabulary
+from quern.llm.pieces import MARK, PieceFinder, segments_of, vocabulary
 
 UNDETERMINED = "und"
 MAX_LANGUAGES = 512
@@ -90,59 +90,22 @@ def learn(
 
 # A language whose share of the forward value has vanished in double precision.
 LEAST = -700.0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(codes: np.ndarray) -> np.ndarray:
-    x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-
-
-def _codes(texts: list[str]) -> np.ndarray:
-    """Code points of texts of one length, a row each."""
-    flat = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
-    return flat.reshape(len(texts), -1)
 
 
 class PieceProbabilities:
-    """Finds pieces in many strings at once, by hashes of their substrings."""
-
     def __init__(self, path: str, logs: np.ndarray):
         self.words, self.logs = vocabulary(path), logs
-        pieces = sorted(self.words.ids, key=len)
-        hashes = np.empty(len(pieces), np.uint64)
-        self.lengths = sorted(set(map(len, pieces)))
-        for length in self.lengths:
-            chosen = [i for i, piece in enumerate(pieces) if len(piece) == length]
-            columns = _mixed(_codes([pieces[i] for i in chosen]))
-            value = np.zeros(len(chosen), np.uint64)
-            for column in columns.T:
-                value = value * _BASE + column
-            hashes[chosen] = value
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.piece_ids = np.array([self.words.ids[pieces[i]] for i in order])
+        self.finder = PieceFinder(self.words)
         # One more row for "no piece", whose probability is zero.
         self.probs = np.vstack([np.exp(logs), np.zeros(logs.shape[1])])
         self.none = len(logs)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.piece_ids[at], self.none)
-
     def score(self, strings: list[str]) -> np.ndarray:
         """Log of each string's probability, summed over its segmentations, per language.  The
         strings have one length, and all advance together, one end position at a time."""
-        codes = _codes(strings)
+        codes, found = self.finder.find(strings)
         count, size = codes.shape
-        mixed, n_langs = _mixed(codes), self.logs.shape[1]
-        table, found = self.probs, {}
-        hashes = np.zeros_like(mixed)
-        for length in range(1, min(size, self.words.longest) + 1):
-            width = size - length + 1
-            hashes = hashes[:, :width] * _BASE + mixed[:, length - 1:]
-            if length in self.lengths or length == 1:
-                found[length] = self.find(hashes)
+        table, n_langs = self.probs, self.logs.shape[1]
         strange = found[1] == self.none
         if strange.any():  # characters without a piece are spelled in bytes
             chars, place = np.unique(codes[strange], return_inverse=True)
@@ -175,7 +138,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.row_of: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.languages)))
+        self.filled, self.rows = 0, np.zeros((1024, len(self.languages)))
         self.atom_of: dict[str, np.ndarray] = {}
 
     def learn_segments(self, segments: list[str]) -> None:
@@ -193,7 +156,7 @@ class Scorer:
         sizes = np.array([len(atoms) for atoms in cut])
         values = np.array([self.atom_of[atom] for atoms in cut for atom in atoms])
         made = np.add.reduceat(values, np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
-        first = len(self.row_of)
+        first, self.filled = self.filled, self.filled + len(segments)
         while len(self.rows) < first + len(segments):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
         self.rows[first:first + len(segments)] = made
@@ -216,7 +179,12 @@ class Scorer:
         shares = 1.0 / np.exp(totals - top).sum(axis=1)
         for i, language, share in zip(chosen, best.tolist(), shares.tolist(), strict=True):
             langs[i], scores[i] = self.languages[language], share
-        if len(self.row_of) > MEMO or any(len(segment) > LONG_KEY for segment in missing):
+        for segment in missing:
+            if len(segment) > LONG_KEY:  # long strings are not kept
+                del self.row_of[segment]
+                for atom in self.atoms(segment):
+                    self.atom_of.pop(atom, None)
+        if self.filled > MEMO:
             self.forget()
         return langs, scores
 

@@ -46,24 +46,24 @@ class Vocabulary:
         # Neighbours inside a piece.  Between two characters that are no such pair every
         # segmentation has a boundary.
         self.pairs = {piece[i:i + 2] for piece in self.ids for i in range(len(piece) - 1)}
-        # Lengths that occur per first character: most substrings need no lookup.
-        lengths: dict[str, set[int]] = {}
-        for piece in self.ids:
-            lengths.setdefault(piece[0], set()).add(len(piece))
-        self.lengths = {char: sorted(found) for char, found in lengths.items()}
+        # Every beginning of a piece: its id, or -1 if it is no piece itself.  A walk over longer and
+        # longer substrings ends at the first that begins no piece.
+        self.beginnings: dict[str, int] = {
+            piece[:size]: -1 for piece in self.ids for size in range(1, len(piece))
+        } | self.ids
 
     def edges(self, segment: str) -> list[list[tuple[int, int]]]:
         """Per start: (end, id) of each piece there; id -1 is a character without a piece."""
-        n, ids, lengths = len(segment), self.ids, self.lengths
+        n, beginnings = len(segment), self.beginnings
         made = []
-        for i, char in enumerate(segment):
+        for i in range(n):
             here = []
-            for length in lengths.get(char, ()):
-                if i + length > n:
+            for end in range(i + 1, n + 1):
+                found = beginnings.get(segment[i:end])
+                if found is None:
                     break
-                found = ids.get(segment[i:i + length])
-                if found is not None:
-                    here.append((i + length, found))
+                if found >= 0:
+                    here.append((end, found))
             if not here or here[0][0] != i + 1:
                 here.insert(0, (i + 1, -1))
             made.append(here)
@@ -89,6 +89,51 @@ class Vocabulary:
         return [self.byte_ids[byte] for byte in char.encode()]
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of texts of one length, a row each."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+    return flat.reshape(len(texts), -1)
+
+
+class PieceFinder:
+    """Finds pieces in many strings at once, by 64-bit hashes of their substrings."""
+
+    def __init__(self, words: Vocabulary):
+        pieces = sorted(words.ids, key=len)
+        hashes = np.empty(len(pieces), np.uint64)
+        self.lengths, self.longest, self.none = set(map(len, pieces)), words.longest, words.size
+        for length in self.lengths:
+            chosen = [i for i, piece in enumerate(pieces) if len(piece) == length]
+            value = np.zeros(len(chosen), np.uint64)
+            for column in _mixed(_codes([pieces[i] for i in chosen])).T:
+                value = value * _BASE + column
+            hashes[chosen] = value
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.piece_ids = np.array([words.ids[pieces[i]] for i in order])
+
+    def find(self, strings: list[str]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Of strings of one length, their code points and, per length, the id of the piece that
+        starts at each place; ``none`` stands for no piece."""
+        codes = _codes(strings)
+        mixed, found = _mixed(codes), {}
+        hashes = np.zeros_like(mixed)
+        for length in range(1, min(codes.shape[1], self.longest) + 1):
+            hashes = hashes[:, :codes.shape[1] - length + 1] * _BASE + mixed[:, length - 1:]
+            if length in self.lengths or length == 1:
+                at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+                found[length] = np.where(self.hashes[at] == hashes, self.piece_ids[at], self.none)
+        return codes, found
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)

@@ -31,10 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quern.llm.common import Memo, tokenizer_path
-from quern.llm.pieces import MARK, Vocabulary, segments_of, vocabulary
+from quern.llm.common import LONG_KEY, Memo, tokenizer_path
+from quern.llm.pieces import MARK, PieceFinder, Vocabulary, segments_of, vocabulary
 
 N_BEST = 8
+MEMO = 500_000
 
 
 class Search:
@@ -101,23 +102,24 @@ def _best_and_loss(words: Vocabulary, segment: str) -> tuple[float, bytes, float
     The forward pass keeps the two best scores of each position, and prefers the smaller start as
     the search does.
     """
-    size, ids, scores, lengths = len(segment), words.ids, words.scores, words.lengths
+    size, find, scores = len(segment), words.beginnings.get, words.scores
     nothing = float("-inf")
     best, second = [0.0] + [nothing] * size, [nothing] * (size + 1)
     back: list = [None] * (size + 1)
-    for start, char in enumerate(segment):
+    for start in range(size):
         one, two, alone = best[start], second[start], True
-        for length in lengths.get(char, ()):
-            end = start + length
-            if end > size:
-                break
-            piece = ids.get(segment[start:end])
+        for end in range(start + 1, size + 1):
+            piece = find(segment[start:end])
             if piece is None:
+                break
+            if piece < 0:
                 continue
-            alone = alone and length > 1
+            if end == start + 1:
+                alone = False
             total = one + scores[piece]
             if total > best[end]:
-                second[end] = max(best[end], two + scores[piece])
+                other = two + scores[piece]
+                second[end] = best[end] if best[end] > other else other
                 best[end], back[end] = total, (start, piece)
             elif total > second[end]:
                 second[end] = total
@@ -136,23 +138,97 @@ def _best_and_loss(words: Vocabulary, segment: str) -> tuple[float, bytes, float
     return best[size], np.array(found, "<i4").tobytes(), best[size] - second[size]
 
 
+def _best_and_losses(
+    words: Vocabulary, finder: PieceFinder, strings: list[str]
+) -> list[tuple[float, bytes, float]]:
+    """``_best_and_loss`` of many strings of one length, which advance together."""
+    codes, found = finder.find(strings)
+    count, size = codes.shape
+    nothing = float("-inf")
+    # Two more ids: no piece, and a character that is spelled in bytes.
+    scores = np.array([*words.scores, nothing, words.unknown_score])
+    strange = found[1] == finder.none
+    found[1][strange] = finder.none + 1
+    best, second = np.full((size + 1, count), nothing), np.full((size + 1, count), nothing)
+    piece, step = np.zeros((size + 1, count), np.int32), np.zeros((size + 1, count), np.int32)
+    best[0] = 0.0
+    for end in range(1, size + 1):
+        one, two = best[end], second[end]
+        for length in range(min(end, finder.longest), 0, -1):  # smaller starts first
+            ids = found[length][:, end - length] if length in found else None
+            if ids is None or (ids == finder.none).all():
+                continue
+            total = best[end - length] + scores[ids]
+            other = second[end - length] + scores[ids]
+            better = total > one
+            two[:] = np.where(better, np.maximum(one, other), np.maximum(two, total))
+            one[better] = total[better]
+            piece[end, better], step[end, better] = ids[better], length
+    row, at = np.arange(count), np.full(count, size)
+    ids, used = np.zeros((count, size), "<i4"), np.zeros(count, np.int64)
+    while (at > 0).any():
+        going = at > 0
+        used[going] += 1
+        ids[row[going], size - used[going]] = piece[at[going], row[going]]
+        at = at - np.where(going, step[at, row], 0)
+    packed = [ids[i, size - n:].tobytes() for i, n in enumerate(used.tolist())]
+    for i in np.flatnonzero(strange.any(axis=1)).tolist():
+        packed[i] = _best_and_loss(words, strings[i])[1]
+    return list(zip(best[size].tolist(), packed, (best[size] - second[size]).tolist(), strict=True))
+
+
 class Encoder:
     def __init__(self, path: str):
         self.words = vocabulary(path)
+        self.finder = PieceFinder(self.words)
         self.searches = Memo(lambda segment: Search(self.words, segment), 100_000)
-        self.atoms = Memo(lambda atom: _best_and_loss(self.words, atom), 300_000)
-        self.firsts = Memo(self.first, 300_000)
-
-    def first(self, segment: str) -> tuple[float, bytes, float]:
-        atoms = [self.atoms[atom] for atom in self.words.atoms(segment)]
-        if len(atoms) == 1:
-            return atoms[0]
-        scores, ids, losses = zip(*atoms, strict=True)
-        return sum(scores), b"".join(ids), min(losses)
+        self.forget()
+
+    def forget(self) -> None:
+        self.atoms: dict[str, tuple[float, bytes, float]] = {}
+        self.firsts: dict[str, tuple[float, bytes, float]] = {}
+
+    def learn(self, segments: set[str]) -> None:
+        """Puts the best paths of new segments into the memo.  Nothing spans two atoms of a
+        segment, so its best path joins theirs."""
+        if len(self.firsts) > MEMO:
+            self.forget()
+        cut = {segment: self.words.atoms(segment) for segment in segments if segment not in self.firsts}
+        by_length: dict[int, list[str]] = {}
+        for atom in {atom for atoms in cut.values() for atom in atoms if atom not in self.atoms}:
+            by_length.setdefault(len(atom), []).append(atom)
+        for size, strings in by_length.items():
+            if size > LONG_KEY:
+                self.atoms.update((atom, _best_and_loss(self.words, atom)) for atom in strings)
+                continue
+            for start in range(0, len(strings), 10_000):
+                part = strings[start:start + 10_000]
+                made = _best_and_losses(self.words, self.finder, part)
+                self.atoms.update(zip(part, made, strict=True))
+        for segment, atoms in cut.items():
+            if len(atoms) == 1:
+                self.firsts[segment] = self.atoms[atoms[0]]
+            else:
+                scores, ids, losses = zip(*map(self.atoms.__getitem__, atoms), strict=True)
+                self.firsts[segment] = sum(scores), b"".join(ids), min(losses)
+
+    def encode_all(self, texts: list[str], n: int = N_BEST) -> list[list[tuple[float, bytes]]]:
+        """The ``n`` best (score, packed ids) of each text."""
+        cut = [segments_of(text) for text in texts]
+        segments = set().union(*cut)
+        self.learn(segments)
+        made = [self.encode_segments(found, n) for found in cut]
+        for segment in segments:
+            if len(segment) > LONG_KEY:  # long strings are not kept
+                self.firsts.pop(segment, None)
+                for atom in self.words.atoms(segment):
+                    self.atoms.pop(atom, None)
+        return made
 
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
-        """The ``n`` best (score, packed ids) of a text."""
-        segments = segments_of(text)
+        return self.encode_all([text], n)[0]
+
+    def encode_segments(self, segments: list[str], n: int) -> list[tuple[float, bytes]]:
         firsts = [self.firsts[segment] for segment in segments]
         total = sum([first[0] for first in firsts])
         parts = [first[1] for first in firsts]
@@ -210,11 +286,14 @@ def encode_documents(
     """Per document: ``ids`` and ``scores`` of its n best segmentations, best first."""
     path = path or tokenizer_path(vocabulary_file)
 
-    def rows(text: str | None) -> tuple:
-        if text is None:
-            return None, None
-        made = encoder(path).encode(text, n)
-        return [np.frombuffer(ids, "<i4") for _, ids in made], [score for score, _ in made]
+    def rows(texts: list[str | None]) -> list[list]:
+        made = encoder(path).encode_all([text or "" for text in texts], n)
+        ids = [[np.frombuffer(ids, "<i4") for _, ids in paths] for paths in made]
+        scores = [[score for score, _ in paths] for paths in made]
+        return [
+            [None if text is None else x for text, x in zip(texts, column, strict=True)]
+            for column in (ids, scores)
+        ]
 
     kinds = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.float64())]
     return _per_document(docs, rows, ["ids", "scores"], kinds, id_col, text_col)
@@ -227,8 +306,9 @@ def decode_documents(
     """(id, text) of lists of ids; NULL stays NULL."""
     path = path or tokenizer_path(vocabulary_file)
 
-    def rows(ids: list[int] | None) -> tuple:
-        return (None if ids is None else decode(vocabulary(path), ids),)
+    def rows(lists: list[list[int] | None]) -> list[list]:
+        words = vocabulary(path)
+        return [[None if ids is None else decode(words, ids) for ids in lists]]
 
     return _per_document(coded, rows, ["text"], [pa.string()], id_col, ids_col)
 
@@ -241,16 +321,19 @@ def encoding_digest(
     lists, and whether all of them decode to the text."""
     path = path or tokenizer_path(vocabulary_file)
 
-    def rows(text: str | None) -> tuple:
-        made = encoder(path).encode(text or "", n)
-        best = made[0][1]
-        words = encoder(path).words
-        plain = (text or "").replace(MARK, " ")
-        same = all(decode_packed(words, ids) == plain for _, ids in made)
-        return (
-            len(best) // 4, zlib.crc32(best), [score for score, _ in made],
-            zlib.crc32(b"".join(ids for _, ids in made)), same,
-        )
+    def rows(texts: list[str | None]) -> list[list]:
+        plain = [(text or "").replace(MARK, " ") for text in texts]
+        words, made = encoder(path).words, encoder(path).encode_all(plain, n)
+        return [
+            [len(paths[0][1]) // 4 for paths in made],
+            [zlib.crc32(paths[0][1]) for paths in made],
+            [[score for score, _ in paths] for paths in made],
+            [zlib.crc32(b"".join(ids for _, ids in paths)) for paths in made],
+            [
+                all(decode_packed(words, ids) == text for _, ids in paths)
+                for text, paths in zip(plain, made, strict=True)
+            ],
+        ]
 
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.bool_()]
     names = ["n_pieces", "ids_crc32", "scores", "nbest_crc32", "round_trip"]
@@ -263,13 +346,14 @@ def decode_packed(words: Vocabulary, ids: bytes) -> str:
 
 
 def _per_document(df, rows, names, kinds, id_col, value_col) -> DataFrame:
+    """``rows`` turns a list of values into one list per column."""
     from pyspark.sql.pandas.types import from_arrow_type
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                made = list(zip(*map(rows, part.column(1).to_pylist()), strict=True))
+                made = rows(part.column(1).to_pylist())
                 arrays = [pa.array(c, k) for c, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[id_col, *names])
 
