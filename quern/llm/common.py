@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 LONG_KEY = 96
 
@@ -58,20 +60,12 @@ def map_texts(
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    fields = DataFrameSchema(df.sparkSession, schema)
+    fields = StructType.fromDDL(schema)
     names = fields.names
     kinds = [to_arrow_type(field.dataType) for field in fields.fields[1:]]
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, fields)
 
 
-def DataFrameSchema(spark: SparkSession, schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema)
-
-
 def blocks_for(size: int, block: int) -> int:
     """How many blocks of a fixed size hold ``size``; at least one."""
     return max(1, math.ceil(size / block))

@@ -2,7 +2,6 @@
 
 import hashlib
 import itertools
-import math
 import random
 import re
 
@@ -190,8 +189,10 @@ def test_trigram_queries():
     assert query("[0-9a-f]{16,}") is True
     assert query("(abc|x.z)") is True
     assert query("(abc|bcd)e?") == ("or", (
-        ("and", ("abc", "bce")), "abc", ("and", ("bcd", "cde")), "bcd")) or query("(abc|bcd)e?")[0] == "or"
-    assert query("a.cde*fgh") == ("and", ("fgh",)) or "fgh" in secret_scan.trigrams_of(query("a.cde*fgh"))
+        "abc", ("and", ("abc", "bce")), "bcd", ("and", ("bcd", "cde"))
+    ))
+    assert query("a.cde*fgh") == "fgh"
+    assert query("[Aa][Bb]C") == "abc"
 
 
 def test_every_match_satisfies_its_query():
@@ -287,4 +288,3 @@ def test_quality_of_documents(spark, data, documents):
     assert [(r.p_keep, r.keep) for r in odd.collect()] == [(0, False)] * 3 + [(1, True)]
     whole = quality_classifier.quality(documents([None, "a b"]), None, whole=True).collect()
     assert [(r.doc_id, r.text, r.batch) for r in whole] == [(2, "a b", 1)]
-    assert math.isclose(sum(kept.values()), sum(kept.values()))
