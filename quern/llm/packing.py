@@ -60,8 +60,8 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = byte_alphabet()
-        self.words = Memo(self.word_ids, 500_000)
-        self.pre_tokens = Memo(self.merged_ids, 400_000)
+        self.words = Memo(self.word_ids, 350_000)
+        self.pre_tokens = Memo(self.merged_ids, 300_000)
 
     def merged_ids(self, pre_token: str) -> bytes:
         written = pre_token.encode().decode("latin-1").translate(self.alphabet)

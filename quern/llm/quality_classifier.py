@@ -56,7 +56,7 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % BUCKETS
 
 
-_prefix_bucket = Memo(lambda prefix: _bucket("p:" + prefix), 200_000)
+_prefix_bucket = Memo(lambda prefix: _bucket("p:" + prefix), 100_000)
 
 
 def _word_buckets(word: str) -> tuple[int, ...]:
@@ -64,7 +64,7 @@ def _word_buckets(word: str) -> tuple[int, ...]:
     return tuple(_prefix_bucket[plain[:size]] for size in PREFIXES)
 
 
-_of_word = Memo(_word_buckets, 400_000)
+_of_word = Memo(_word_buckets, 250_000)
 
 
 @lru_cache(maxsize=4096)
