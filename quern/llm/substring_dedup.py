@@ -22,7 +22,7 @@ steps read that one exchange.
 
 Hashes travel as packed arrays, one row per batch and bucket, and are folded per batch first, so a
 passage in a third of all documents sends one entry per batch.  No pairs of documents are formed,
-and nothing passes through the driver but one sum.  Windows are compared by 128 bits of hash.
+and nothing passes through the driver but one sum.  Windows are compared by 96 bits of hash.
 
 Cases: NULL or blank texts have no words; texts shorter than a window lose nothing; equal ids
 (repeated rows) are one document and never remove from each other; a NULL id counts as larger than
@@ -50,7 +50,7 @@ LAST_ID = np.iinfo(np.int64).max
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _PACKED = "_bucket int, _batch int, _packed binary"
 _U = np.uint64
-_word_hash = Memo(xxhash.xxh64_intdigest, 300_000)
+_word_hash = Memo(xxhash.xxh64_intdigest, 150_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -94,11 +94,11 @@ class Batch:
         return place[fits], doc[fits]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place, document and the two hash lanes of every window."""
+        """Place, document and the two hash lanes (64 and 32 bits) of every window."""
         place, doc = self.starts(WINDOW)
         return (
             place, doc, _rolling(self.hashes, WINDOW, 0x9E3779B97F4A7C15)[place],
-            _rolling(_mix(self.hashes), WINDOW, 0xD6E8FEB86659FD93)[place],
+            _rolling(_mix(self.hashes), WINDOW, 0xD6E8FEB86659FD93)[place].astype(np.uint32),
         )
 
 
@@ -217,7 +217,13 @@ def _extend(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str, bucke
     one, two, ids = one[heads], two[heads], ids[heads]
 
     def pack(part: slice) -> bytes:
-        return one[part].tobytes() + two[part].tobytes() + ids[part].tobytes()
+        # Ids of a batch and bucket usually lie close enough for 32 bits above the smallest.
+        least = ids[part].min()
+        above = (ids[part] - least).astype(_U)
+        wide = above.max() >> _U(32) > 0
+        head = np.array([len(above), least, wide], "<i8").tobytes()
+        above = above if wide else above.astype(np.uint32)
+        return head + one[part].tobytes() + two[part].tobytes() + above.tobytes()
 
     return _rows(
         docs.column("_batch")[0].as_py(), (one % _U(buckets)).astype(np.int64), pack, len(one)
@@ -228,10 +234,11 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     """For each batch the windows that another batch holds in a smaller document."""
     ones, twos, all_ids, owner = [], [], [], []
     for row, packed in enumerate(table.column("_packed").to_pylist()):
-        size = len(packed) // 24
-        ones.append(np.frombuffer(packed, "<u8", size))
-        twos.append(np.frombuffer(packed, "<u8", size, 8 * size))
-        all_ids.append(np.frombuffer(packed, "<i8", size, 16 * size))
+        size, least, wide = np.frombuffer(packed, "<i8", 3).tolist()
+        ones.append(np.frombuffer(packed, "<u8", size, 24))
+        twos.append(np.frombuffer(packed, "<u4", size, 24 + 8 * size))
+        above = np.frombuffer(packed, "<u8" if wide else "<u4", size, 24 + 12 * size)
+        all_ids.append((above.astype(_U) + np.array(least).astype(_U)).astype(np.int64))
         owner.append(np.full(size, row, np.int32))
     one, two, ids, owner = (np.concatenate(x) for x in (ones, twos, all_ids, owner))
     order = np.lexsort((ids, two, one))
@@ -253,8 +260,14 @@ def _removed(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str) -> t
     start, doc, one, two = batch.windows()
     ids = batch.ids[doc]
     named = answers.column("_packed").to_pylist()
-    far = [np.frombuffer(p, "<u8").reshape(2, -1) for p in named] or [np.zeros((2, 0), _U)]
-    far_one, far_two = np.concatenate(far, axis=1)
+    sizes = [len(packed) // 12 for packed in named]
+    far_one = np.concatenate([
+        np.zeros(0, _U), *(np.frombuffer(p, "<u8", n) for p, n in zip(named, sizes, strict=True))
+    ])
+    far_two = np.concatenate([
+        np.zeros(0, np.uint32),
+        *(np.frombuffer(p, "<u4", n, 8 * n) for p, n in zip(named, sizes, strict=True)),
+    ])
     # The answers join the batch's windows under an id below all others.
     all_one, all_two = np.r_[one, far_one], np.r_[two, far_two]
     all_ids = np.r_[ids, np.full(len(far_one), np.iinfo(np.int64).min)]
