@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import (
-    exact_top_k, packing, secret_scan, simhash_dedup, substring_dedup, vector_forest,
+    exact_top_k, near_copies, packing, secret_scan, simhash_dedup, substring_dedup, vector_forest,
 )
 from quern.llm.common import table, tokenizer_path
 from quern.llm.queries import ORACLES, QUERIES
@@ -343,6 +343,65 @@ def test_near_copies_of_odd_tables(spark, documents):
     assert simhash_dedup.near_duplicates(documents(["a"]).limit(0)).count() == 0
 
 
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard_groups(texts):
+    sets = [plain_shingles(text) for text in texts]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) / len(a | b) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def edited_texts(seed=8):
+    """Copies with a few edited words: near by Jaccard, mostly out of reach of two bits."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(15):
+        words = [f"W{rng.randint(0, 900)}" for _ in range(rng.randint(60, 400))]
+        for _ in range(rng.randint(2, 12)):
+            copy = list(words)
+            for _ in range(rng.randint(0, len(words) // 40)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 900)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_stage_keeps_one_of_edited_copies(spark, documents):
+    import corpus_pipeline
+    texts = edited_texts() + near_texts()
+    want = jaccard_groups(texts)
+    ids = random.Random(4).sample(range(10_000), len(texts))
+    heads = {min(i for i, r in zip(ids, want) if r == root) for root in set(want)}
+    kept = corpus_pipeline.near_copies(spark, documents(texts, ids), "").collect()
+    assert {r.doc_id for r in kept} == heads and len(kept) == len(heads)
+    assert len(simhash_dedup.keep_one(documents(texts, ids)).collect()) > len(heads)
+
+
+def test_stage_keeps_rows_of_repeated_ids_apart(spark, documents):
+    texts = ["a b c"] * 3 + ["d e f", "d e f", None, " ", "g h i"]
+    kept = near_copies.keep_one(documents(texts, [5, 5, None, None, None, 5, 6, 5])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == [
+        ("5", "a b c"), ("5", "g h i"), ("None", "d e f")]
+    assert len(kept) == 4
+    assert near_copies.keep_one(documents(["a"]).limit(0)).count() == 0
+
+
+def test_tiles_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(near_copies, "TILE", 7)
+    monkeypatch.setattr(near_copies, "CODES", 64)
+    texts = [t for t in edited_texts(3) if t]
+    label = near_copies.link_components([near_copies.shingles(t) for t in texts])
+    want = jaccard_groups(texts)
+    first = {r: want.index(r) for r in want}
+    assert label.tolist() == [first[r] for r in want]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
