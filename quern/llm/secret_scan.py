@@ -50,9 +50,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+# A key block goes through its END line, whatever stands between them but another block's marker.
+# Without one it goes on with the lines of base64, also where line ends are spaces or written as \n;
+# a last line may be short.  No look-around and no references, so that SQL can have the same pattern.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:"
+    r"[^-]*(?:(?:-{1,4}[^-]|-{5,}[^-BE])[^-]*)*-{5,}END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:(?:[\x20\t\r\n]|\\[rn])+(?:(?:Proc-Type|DEK-Info):[^\n\\]*|[A-Za-z0-9+/]{16,}={0,2}))*"
+    r"(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*[A-Za-z0-9+/]{1,15}(?:={1,2}|\r?(?m:$)))?)"
+)
 # Publicly documented credential formats.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),

@@ -252,6 +252,27 @@ def test_redaction(spark, documents):
     assert rows[0].n_words == 2
 
 
+def test_whole_key_blocks_are_redacted(spark, documents):
+    begin, end = (f"-----{side} RSA PRIVATE " + "KEY-----" for side in ("BEGIN", "END"))
+    lines = ["MIIEvQ" + "aB3+/" * 11 + "xyz"] * 3
+    body = "\n".join([*lines, "Qw9=="])
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    texts = [
+        f"a {begin}\n{body}\n{end} b", f"a {begin}\r\n{info}{body}\n{end}\nb",
+        f"a {begin}\n{body}\nb c", f"a {begin}\n{info}{body}", f"a {begin}\n{lines[0]}\nQw9a\nb c",
+        f'k = "{begin}\\n{lines[0]}\\n{lines[1]}\\n{end}\\n"', f'k = "{begin}\\n{lines[0]}\\nQw9="',
+        f"a {begin} {' '.join(lines)} b c", f"{begin}\n{body}\n{end}\nmid\n{begin}\n{body}\n{end}",
+        f"the line {begin} is a head\nb\n{begin}\n{body}\n{end} c", f"{begin}\n" * 3000,
+    ]
+    rows = secret_scan.redact_secrets(documents(texts)).orderBy("doc_id").collect()
+    mask = "<SECRET>"
+    assert [r.text for r in rows] == [
+        f"a {mask} b", f"a {mask}\nb", f"a {mask}\nb c", f"a {mask}", f"a {mask}\nb c",
+        f'k = "{mask}\\n"', f'k = "{mask}"', f"a {mask} b c", f"{mask}\nmid\n{mask}",
+        f"the line {mask} is a head\nb\n{mask} c", f"{mask}\n" * 3000,
+    ]
+
+
 # ---------------------------------------------------------------- quality
 
 
