@@ -5,11 +5,13 @@ weights of hashed text features that all grades share, and ordered thresholds be
 ``P(grade <= k) = logistic(threshold[k] - score)``.  From these follow the expected grade and the
 tail probability ``P(grade >= keep)``, by which documents are selected.
 
-Features are the first three and four letters of each distinct word of the whole text, without case
-and outer marks, and a few shares (capitals, repeated neighbours, words with symbols, table bars) in
+Features are each distinct word of the whole text, without case and outer marks, its first three and
+four letters, the runs of two and three characters within long words and in scripts that put no blanks
+between words, and a few shares (capitals, repeated neighbours, words with symbols, table bars) in
 steps, each hashed to one of ``BUCKETS`` weights.  Beginnings of words stand in for all forms of a
-word.  They count by presence, divided by the fourth root of their number, so long texts neither
-drown a telling word nor pile up chance; shares count fully.
+word, whole words tell those apart that begin alike, and runs reach all of a text without blanks.
+They count by presence, divided by the fourth root of their number, so long texts neither drown a
+telling word nor pile up chance; shares count fully.
 
 Ratings here: the grades of ``labels`` are 0 (toxic), 1 (poor quality), 2 (good).  Toxic is the lowest,
 so that any number of toxic words can pull a text down.
@@ -27,7 +29,9 @@ columns are ignored, or kept if whole documents are asked for.
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -47,6 +51,8 @@ RATE = 0.1
 PENALTY = 1e-4
 STEPS = 10
 PREFIXES = (3, 4)
+LONG = 16
+GRAMS = (2, 3)
 SHARES = 6
 LEAST_DOCUMENTS = 10
 OUTER = ".,;:!?\"'()[]{}<>*#$%&|~^_=+-/\\`"
@@ -56,15 +62,31 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % BUCKETS
 
 
+# Thai to Burmese, Khmer, kana, Chinese characters and their extensions.
+_UNSPACED = re.compile(
+    "[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]"
+)
+
 _prefix_bucket = Memo(lambda prefix: _bucket("p:" + prefix), 100_000)
 
 
 def _word_buckets(word: str) -> tuple[int, ...]:
     plain = word.strip(OUTER).lower()
-    return tuple(_prefix_bucket[plain[:size]] for size in PREFIXES)
+    return (_bucket("w:" + plain), *(_prefix_bucket[plain[:size]] for size in PREFIXES))
 
 
 _of_word = Memo(_word_buckets, 250_000)
+_gram_bucket = Memo(lambda gram: _bucket("g:" + gram), 100_000)
+
+
+def _gram_buckets(word: str) -> Iterator[int]:
+    """Runs of characters of a long word, or of one in a script without blanks; else none."""
+    plain = word.strip(OUTER).lower()
+    if len(plain) > LONG or _UNSPACED.search(plain):
+        for size in GRAMS:
+            yield from (_gram_bucket[gram] for gram in {
+                plain[i:i + size] for i in range(len(plain) - size + 1)
+            })
 
 
 @lru_cache(maxsize=4096)
@@ -99,7 +121,11 @@ def features(text: str | None) -> list[int]:
         _share(name, math.ceil(STEPS * value / total)) for name, value in shares.items()
     ]
     steps.append(_share("words", min(12, total.bit_length())))
-    return [*set(chain.from_iterable(map(_of_word.__getitem__, counts))), *steps]
+    found = set(chain.from_iterable(map(_of_word.__getitem__, counts)))
+    for word in counts:
+        if len(word) > LONG or not word.isascii():
+            found.update(_gram_buckets(word))
+    return [*found, *steps]
 
 
 def values_of(sizes: np.ndarray) -> np.ndarray:

@@ -298,6 +298,25 @@ def test_ordinal_gradient_by_differences():
     assert (predicted == np.array(grades)).mean() > 0.97
 
 
+@pytest.mark.parametrize("parts, old, new, blank", [
+    ("天地玄黄宇宙洪荒日月盈昃", "洪荒", "荒毒", ""), ("กขคงจฉชซญดตถ", "จฉ", "ฉฆ", ""), ("abcdefghij", "ef", "zf", ""),
+    (["understand", "workers", "belong", "streams"], "understand", "understood", " "),
+])
+def test_marks_beyond_the_beginnings_of_words(parts, old, new, blank):
+    """A mark deep in a text without blanks, or in the end of a word, separates grades."""
+    rng = random.Random(7)
+
+    def text(grade):
+        drawn = blank.join([*(rng.choice(parts) for _ in range(40)), old, *(rng.choice(parts) for _ in range(9))])
+        return drawn if grade else drawn.replace(old, new)
+    grades = np.array([2 * rng.randint(0, 1) for _ in range(600)])
+    found = [quality_classifier.features(text(grade)) for grade in grades]
+    fitted, held = found[:400], found[400:]
+    model = quality_classifier.fit(
+        np.array(list(itertools.chain.from_iterable(fitted))), np.array(list(map(len, fitted))), grades[:400])
+    assert ((model.grades(held)[:, 1] >= 0.6) == (grades[400:] == 2)).mean() > 0.95
+
+
 def test_quality_of_documents(spark, data, documents):
     rows = QUERIES["op5_quality_classifier"](spark, "/root/testdata/sf0.1")
     grades = quality_classifier.label_grades(table(spark, "/root/testdata/sf0.1", "labels"))
