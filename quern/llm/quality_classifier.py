@@ -22,7 +22,7 @@ by a hash of the id.  Only their feature hashes are collected, and only features
 
 Cases: texts that are NULL or hold no word get expected grade 0, probability 0 and are not kept;
 ratings with NULLs or of unknown documents are not used, and of several for one document the smallest
-grade counts; without ratings every text with words is kept; repeated rows give repeated rows; other
+grade counts; of several rows of one rated id one text is used for fitting; without ratings every text with words is kept; repeated rows give repeated rows; other
 columns are ignored, or kept if whole documents are asked for.
 """
 
@@ -230,9 +230,10 @@ def fit_on(
                 [pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["found", "grade"]
             )
 
-    rated = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(
-        text_col, F.col("grade").cast("int")
-    )
+    # One text per id, however many rows share it.
+    rated = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).groupBy(id_col).agg(
+        F.max(text_col).alias(text_col), F.first("grade").cast("int").alias("grade")
+    ).select(text_col, "grade")
     rows = rated.mapInArrow(run, "found array<int>, grade int").filter(F.size("found") > 0).toArrow()
     if not rows.num_rows:
         return None

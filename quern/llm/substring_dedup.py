@@ -10,7 +10,8 @@ window of ``BLOCK`` words.  Only around such hits are repeats extended: the full
 compared across documents, and runs of windows that repeat add up to maximal repeats.
 
 How it runs.  Documents are dealt once, by a hash of their id, into batches of bounded text; three
-steps read that one exchange.
+steps read that one exchange.  Rows of an id (or of NULL) that fills a batch alone are folded if they
+are equal and spread over the batches, which compare by id.
 
 1. *Probe*: a batch sends the distinct hashes of its rolling blocks, split by hash into buckets;
    each says if it is an indexed block and if two documents of the batch hold it.  A bucket answers
@@ -22,7 +23,7 @@ steps read that one exchange.
 
 Hashes travel as packed arrays, one row per batch and bucket, and are folded per batch first, so a
 passage in a third of all documents sends one entry per batch.  No pairs of documents are formed,
-and nothing passes through the driver but one sum.  Windows are compared by 96 bits of hash.
+and nothing passes through the driver but one sum and if such an id exists.  Windows are compared by 96 bits of hash.
 
 Cases: NULL or blank texts have no words; texts shorter than a window lose nothing; equal ids
 (repeated rows) are one document and never remove from each other; a NULL id counts as larger than
@@ -40,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quern.llm.common import Memo, blocks_for
+from quern.session import spool
 
 WINDOW = 13
 BLOCK = 7
@@ -332,18 +334,34 @@ def _cut(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str) -> pa.Ta
 # ---------------------------------------------------------------- the plan
 
 
-def _deal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Documents with the batch they belong to, and the number of buckets."""
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def _deal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, bool]:
+    """Documents with the batch they belong to, the number of buckets, and if rows were folded.
+
+    Rows of an id that fills a batch alone, or of a NULL id that does, are folded if they are equal,
+    with their number in ``_copies``, and dealt by all their columns.
+    """
+    sizes = docs.groupBy(id_col).agg(F.sum(F.octet_length(text_col)).alias("size"), F.count(F.lit(1)).alias("n"))
+    sizes = spool(sizes, "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
     batches = blocks_for(total, BATCH_BYTES)
-    dealt = docs.withColumn(
-        "_batch", F.pmod(F.xxhash64(F.col(id_col), F.lit("batch")), F.lit(batches)).cast("int")
+    place = lambda *by: F.pmod(F.xxhash64(*by, F.lit("batch")), F.lit(batches)).cast("int")
+    large = sizes.filter((F.col("n") > 1) & (F.col("size") > BATCH_BYTES)).select(F.col(id_col).alias("_large"))
+    buckets = blocks_for(total, BUCKET_BYTES)
+    if not large.limit(1).count():
+        return docs.withColumn("_batch", place(id_col)), buckets, False
+    same = docs[id_col].eqNullSafe(large["_large"])  # at most one id per batch
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    alone = docs.join(F.broadcast(large), same, "left_anti").withColumns(
+        {"_copies": F.lit(1).cast("long"), "_batch": place(id_col)}
     )
-    return dealt, blocks_for(total, BUCKET_BYTES)
+    shared = docs.join(F.broadcast(large), same, "left_semi").groupBy(*columns).agg(
+        F.count(F.lit(1)).alias("_copies")
+    ).withColumn("_batch", place(*columns))
+    return alone.unionByName(shared), buckets, True
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, finish, schema: T.StructType) -> DataFrame:
-    dealt, buckets = _deal(docs, id_col, text_col)
+    dealt, buckets, folded = _deal(docs, id_col, text_col)
     by_batch = dealt.groupBy("_batch")
     probes = by_batch.applyInArrow(lambda t: _probe(t, id_col, text_col, buckets), _PACKED)
     hits = probes.groupBy("_bucket").applyInArrow(_answer_probes, _PACKED)
@@ -355,12 +373,21 @@ def _run(docs: DataFrame, id_col: str, text_col: str, finish, schema: T.StructTy
     def done(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.Table.from_batches([], schema=to_arrow)
-        return finish(t, answers, id_col, text_col)
+        made = finish(t, answers, id_col, text_col)
+        if folded and "_copies" not in made.column_names:
+            made = made.append_column("_copies", t.column("_copies"))
+        return made
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    names = schema.names
+    if folded:
+        schema = T.StructType([*schema.fields]).add("_copies", "long")
     to_arrow = to_arrow_schema(schema)
-    return by_batch.cogroup(repeats.groupBy("_batch")).applyInArrow(done, schema)
+    made = by_batch.cogroup(repeats.groupBy("_batch")).applyInArrow(done, schema)
+    if folded:
+        made = made.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*names)
+    return made
 
 
 def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

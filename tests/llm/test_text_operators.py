@@ -317,6 +317,15 @@ def test_marks_beyond_the_beginnings_of_words(parts, old, new, blank):
     assert ((model.grades(held)[:, 1] >= 0.6) == (grades[400:] == 2)).mean() > 0.95
 
 
+def test_one_text_per_rated_id_is_fitted(spark, documents, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda flat, sizes_, grade: sizes.append(len(sizes_)))
+    docs = documents(["a b"] * 50 + ["c d", "e f"], [1] * 50 + [2, 3])
+    ratings = spark.createDataFrame([(1, 0), (2, 2), (3, 1)], "doc_id long, grade int")
+    quality_classifier.fit_on(docs, ratings)
+    assert sizes == [3]
+
+
 def test_quality_of_documents(spark, data, documents):
     rows = QUERIES["op5_quality_classifier"](spark, "/root/testdata/sf0.1")
     grades = quality_classifier.label_grades(table(spark, "/root/testdata/sf0.1", "labels"))

@@ -263,6 +263,36 @@ def test_equal_ids_are_one_document(spark, documents):
     assert substring_dedup.repeat_digest(documents([""]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared", [7, None])
+def test_rows_of_one_id_fill_several_batches(spark, documents, monkeypatch, shared):
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 900)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 700)
+    texts = passages(5)
+    texts += texts[:2] * 20
+    ids = [shared if i % 3 else 100 + i for i in range(len(texts))]
+    docs = documents(texts, ids)
+    dealt = substring_dedup._deal(docs, "doc_id", "text")[0].collect()
+    own = [r for r in dealt if r.doc_id == shared]
+    assert len({r._batch for r in own}) > 5 and sum(r._copies for r in own) == ids.count(shared)
+    assert len({r.text for r in own}) == len(own)
+    firsts = {}
+    for i, text in zip(ids, texts):
+        words = (text or "").encode().split()
+        for k in range(len(words) - 12):
+            key = tuple(words[k:k + 13])
+            firsts[key] = min(firsts.get(key, 10**9), 10**9 if i is None else i)
+    want = []
+    for i, text in zip(ids, texts):
+        words, gone = (text or "").encode().split(), set()
+        for k in range(len(words) - 12):
+            if firsts[tuple(words[k:k + 13])] < (10**9 if i is None else i):
+                gone.update(range(k, k + 13))
+        want.append((str(i), " ".join(w.decode() for k, w in enumerate(words) if k not in gone)))
+    rows = substring_dedup.remove_repeats(docs).collect()
+    assert sorted((str(r.doc_id), " ".join(w.decode() for w in (r.text or "").encode().split())) for r in rows) == sorted(want)
+    assert substring_dedup.repeat_digest(docs).count() == len(texts)
+
+
 # ---------------------------------------------------------------- near copies
 
 
