@@ -43,6 +43,7 @@ SHINGLE = 3
 BLOCKS = 5
 AGREED = BLOCKS - RADIUS
 SEED = 42
+ROW = "_row"
 
 _U = np.uint64
 _shingle_hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -202,15 +203,31 @@ def components(edges: DataFrame) -> DataFrame:
         edges = moved.select("v", "m")
 
 
+def _links_of_ids(made: DataFrame, id_col: str) -> DataFrame:
+    """Links (v, m) with v > m between the fingerprints of rows that share an id."""
+    several = made.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        F.min("fp").alias("m"), F.max("fp").alias("most")
+    ).filter("m < most").select("_id", "m")
+    return several.join(made, made[id_col] == several["_id"]).filter("fp > m").select(
+        F.col("fp").alias("v"), "m"
+    ).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its id, ``fp`` and ``component_id``, the smallest id of its group."""
+    """Per document: its id, ``fp`` and ``component_id``, the smallest id of its group.
+
+    The nodes are the distinct fingerprints themselves, so that one whose ids are all NULL links too.
+    """
     made = spool(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = spool(made.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
-    roots = components(stars_of(reps.filter(F.col("rep").isNotNull())))
-    named = spool(
-        reps.join(roots, reps["rep"] == roots["v"], "left")
-        .select("fp", F.coalesce("root", "rep").alias("component_id")), "groups",
+    reps = spool(made.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+    stars = stars_of(reps.select("fp", F.col("fp").alias("rep")))
+    roots = components(stars.unionByName(_links_of_ids(made, id_col)))
+    nodes = spool(
+        reps.join(roots, reps["fp"] == roots["v"], "left")
+        .select("fp", "least", F.coalesce("root", "fp").alias("node")), "nodes",
     )
+    names = nodes.groupBy("node").agg(F.min("least").alias("component_id"))
+    named = spool(nodes.join(names, "node").select("fp", "component_id"), "groups")
     return made.join(named, "fp").select(id_col, "fp", "component_id")
 
 
@@ -221,8 +238,24 @@ def fingerprint_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The same rows with a stored number."""
+    return spool(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def heads(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The numbered rows that head their group in ``found`` (number, id, node), without the number.
+
+    The smallest id heads a group; NULL comes last, and of one id the first row.
+    """
+    chosen = found.groupBy("node").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", ROW)).alias("head")
+    ).select(F.col(f"head.{ROW}").alias(ROW))
+    return rows.join(chosen, ROW, "left_semi").drop(ROW)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that head their group; the other members go.  Rows with a NULL id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    others = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(others, docs[id_col] == others["_gone"], "left_anti")
+    """One row of each group, with its own columns.  Rows are told apart by number, not by id."""
+    rows = numbered(docs)
+    found = near_duplicates(rows, ROW, text_col).select(ROW, F.col("component_id").alias("node"))
+    return heads(rows, rows.select(ROW, F.col(id_col).alias("id")).join(found, ROW))

@@ -373,6 +373,23 @@ def test_near_copies_of_odd_tables(spark, documents):
     assert simhash_dedup.near_duplicates(documents(["a"]).limit(0)).count() == 0
 
 
+def test_near_copies_of_repeated_and_null_ids(spark, documents):
+    kept = simhash_dedup.keep_one(documents(["a b c"] * 3 + ["d e f"] * 2, [5, 5, None, None, None])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("5", "a b c"), ("None", "d e f")]
+    # Two texts within two bits of a third, whose id is NULL, but not of each other.
+    rng, prints = random.Random(1), {}
+    words = [f"w{i}" for i in range(400)]
+    for _ in range(400):
+        copy = list(words)
+        copy[rng.randrange(400)] = f"x{rng.randint(0, 99)}"
+        prints[simhash_dedup.fingerprint(" ".join(copy))] = " ".join(copy)
+    near = lambda a, b: (a ^ b).bit_count() <= 2
+    a, b, c = next((a, b, c) for b in prints for a in prints for c in prints
+                   if near(a, b) and near(b, c) and not near(a, c))
+    found = simhash_dedup.near_duplicates(documents([prints[a], prints[b], prints[c]], [1, None, 3]))
+    assert {r.component_id for r in found.collect()} == {1}
+
+
 def plain_shingles(text):
     words = (text or "").encode().lower().split()
     return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
