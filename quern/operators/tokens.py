@@ -55,6 +55,18 @@ def line_rejects(samples: DataFrame, key: str, corrupt: str) -> DataFrame:
     ))
 
 
+def rejects_of(samples: DataFrame, key: str, stage: str, reason: str) -> DataFrame:
+    """Rejects of ``stage`` for all of ``samples``, with one reason."""
+    return samples.select(*_reject(key, reason, _about())).withColumn("stage", F.lit(stage))
+
+
+def undecodable_rejects(lines: DataFrame, key: str, corrupt: str, stage: str) -> DataFrame:
+    """The lines that are no JSON object."""
+    return lines.filter(F.col(corrupt).isNotNull()).select(
+        *_reject(key, "json_decode_error", F.substring(corrupt, 1, 80))
+    ).withColumn("stage", F.lit(stage))
+
+
 def token_rejects(tokenised: DataFrame, key: str) -> DataFrame:
     """Samples the tokenizer failed on, and samples that were cut (those stay in the table)."""
     failed = F.col("error").isNotNull() if "error" in tokenised.columns else F.lit(False)

@@ -154,8 +154,14 @@ def batches_job(
 @job
 def masks_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
     """Samples to ids and labels of their completions, with an audit of the trained part."""
-    lines = _lines(spark, jsonl).filter(F.col(files.CORRUPT).isNull())
-    masked = _stored(formats.completion_masks(lines, ["source_line"]), f"{out}/masked")
+    lines = spool(_lines(spark, jsonl), "lines")
+    good = lines.filter(F.col(files.CORRUPT).isNull())
+    masked = _stored(formats.completion_masks(good, ["source_line"]), f"{out}/masked")
+    left_out = good.join(masked.select("source_line"), "source_line", "left_anti")
+    _reject(
+        tokens.undecodable_rejects(lines, "source_line", files.CORRUPT, "masks")
+        .unionByName(tokens.rejects_of(left_out, "source_line", "masks", "other_type")), out,
+    )
     report = audit.trained_part(masked, ["source_line"]).agg(
         F.count(F.lit(1)).alias("samples"), F.sum("trained").alias("trained"),
         *[F.sum(n).alias(n) for n in ("newline_tokens", "space_tokens", "indent_tokens")],
@@ -166,8 +172,14 @@ def masks_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
 @job
 def audit_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
     """Round trip of every sample through the tokenizer."""
-    lines = _lines(spark, jsonl).filter(F.col(files.CORRUPT).isNull() & F.col("code").isNotNull())
-    rows = _stored(audit.roundtrip(lines, ["source_line"], "code"), f"{out}/roundtrip")
+    lines = spool(_lines(spark, jsonl), "lines")
+    good = lines.filter(F.col(files.CORRUPT).isNull())
+    coded = good.filter(F.col("code").isNotNull())
+    rows = _stored(audit.roundtrip(coded, ["source_line"], "code"), f"{out}/roundtrip")
+    _reject(
+        tokens.undecodable_rejects(lines, "source_line", files.CORRUPT, "audit")
+        .unionByName(tokens.rejects_of(good.filter("code is null"), "source_line", "audit", "no_code")), out,
+    )
     report = audit.roundtrip_summary(rows)
     return sinks.write_report(report, f"{out}/report")
 

@@ -230,3 +230,18 @@ def test_evaluation_jobs(spark, stages, tmp_path):
     jobs.publish_job(spark, f"{stages}/clean", f"{tmp_path}/published")
     published = spark.read.parquet(f"{tmp_path}/published")
     assert published.filter("repo = 'src0'").count() > 0
+
+
+def test_masks_and_audit_write_what_they_leave_out(spark, tmp_path):
+    rows = [{"type": "code_comment", "instruction": "i", "code": "c d"},
+            {"type": "code_comment", "instruction": "i"}, {"type": "x", "instruction": "i", "code": " "}]
+    (tmp_path / "a.jsonl").write_text("\n".join([*map(json.dumps, rows), "not json"]) + "\n")
+    for job, table in ((jobs.masks_job, "masked"), (jobs.audit_job, "roundtrip")):
+        out = f"{tmp_path}/{table}"
+        job(spark, f"{tmp_path}/a.jsonl", out)
+        kept = {str(r.source_line) for r in spark.read.parquet(f"{out}/{table}").collect()}
+        rejects = spark.read.parquet(f"{out}/rejects").collect()
+        reasons = {r.key: r.reason for r in rejects}
+        assert len(rejects) == len(reasons) and reasons["4"] == "json_decode_error"
+        assert kept | set(reasons) == {"1", "2", "3", "4"} and not kept & set(reasons)
+    assert reasons == {"2": "no_code", "4": "json_decode_error"}
