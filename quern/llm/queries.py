@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm import (
-    exact_top_k, language_id, packing, quality_classifier, secret_scan, sentence_pieces,
-    simhash_dedup, substring_dedup, token_counts, vector_forest,
+    exact_top_k, importance_resampling, language_id, packing, quality_classifier, secret_scan,
+    sentence_pieces, simhash_dedup, substring_dedup, token_counts, vector_codes, vector_forest,
 )
 from quern.llm.common import table
 
@@ -75,6 +75,18 @@ def op10_simhash_dedup(spark, folder):
     return simhash_dedup.fingerprint_digest(table(spark, folder, "documents"))
 
 
+@register
+def op12_importance_resampling(spark, folder):
+    return importance_resampling.resample(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
+@register
+def op13_vector_codes(spark, folder):
+    return vector_codes.vector_codes(table(spark, folder, "embeddings"))
+
+
 ORACLES["op6_exact_top_k"] = """
 WITH v AS (
     SELECT vec_id AS id, list_transform(embedding, lambda c: floor(CAST(c AS DOUBLE) * 1024)) AS x
@@ -152,3 +164,113 @@ SELECT doc_id, count(pos) AS n_words, count(*) FILTER (gone) AS n_removed,
   sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM documents LEFT JOIN covered USING (doc_id) GROUP BY doc_id
 """
+
+# crc32 byte by byte with the usual table, which is worked out from its polynomial.
+ORACLES["op12_importance_resampling"] = r"""
+WITH crc AS MATERIALIZED (
+    SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, b:
+        CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) AS v
+      FROM (SELECT unnest(range(256)) AS i))
+),
+texts AS (
+    SELECT 's' AS side, doc_id AS id, text FROM documents
+    UNION ALL SELECT 't', item_id, text FROM benchmark
+),
+words AS (
+    SELECT side, id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+    FROM (SELECT side, id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts)
+),
+features AS MATERIALIZED (
+    SELECT side, id, word AS f FROM words
+    UNION ALL SELECT * FROM (SELECT side, id, word || ' ' || lead(word) OVER (
+        PARTITION BY side, id ORDER BY pos) AS f FROM words) WHERE f IS NOT NULL
+),
+buckets AS MATERIALIZED (
+    SELECT f, xor(list_reduce(
+        list_transform(range(len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT),
+        lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)), crc
+),
+sides AS (
+    SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t
+    FROM features JOIN buckets USING (f) GROUP BY bucket
+),
+whole AS (SELECT count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM features),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(((x.t + 1) * (w.s + 10000))::DOUBLE
+        / ((x.s + 1) * (w.t + 10000))::DOUBLE)) AS BIGINT) AS gain
+    FROM sides x, whole w
+),
+weights AS (
+    SELECT id AS doc_id, count(*) AS n_features,
+      CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+    FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 's' GROUP BY id
+),
+scores AS (
+    SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+        (('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))
+        AS BIGINT) AS score,
+      coalesce(n_features, 0) >= 39 AS able
+    FROM documents LEFT JOIN weights USING (doc_id)
+),
+ranked AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+      count(*) OVER () AS n FROM scores WHERE able
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS "rank"
+FROM scores LEFT JOIN ranked USING (doc_id)
+"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds one after the other; products of whole numbers are exact in doubles."""
+    assigned = """a{r} AS MATERIALIZED (
+    SELECT id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+      SELECT p.id, p.part, c.entry,
+        list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e) AS d
+      FROM p JOIN c{r} c USING (part)) GROUP BY id, part
+)"""
+    replaced = """c{n} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (
+      SELECT part, entry, list(v ORDER BY pos) AS e FROM (
+        SELECT part, entry, pos, floor(sum(v) / count(*)) AS v FROM (
+          SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS pos
+          FROM a{r} JOIN p USING (id, part)) GROUP BY part, entry, pos) GROUP BY part, entry
+    ) m USING (part, entry)
+)"""
+    steps = [f"{assigned.format(r=r)},\n{replaced.format(r=r, n=r + 1)}" for r in range(rounds)]
+    return f"""
+WITH v AS (
+    SELECT vec_id AS id, label, list_transform(embedding, lambda c: floor(CAST(c AS DOUBLE) * 1024)) AS x,
+      len(embedding) // 4 AS size
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+p AS MATERIALIZED (
+    SELECT id, part, list_slice(x, part * size + 1, part * size + size) AS x
+    FROM v, (SELECT unnest(range(4)) AS part)
+),
+c0 AS MATERIALIZED (
+    SELECT part, entry, x AS e FROM p JOIN (
+      SELECT id, row_number() OVER (ORDER BY id) - 1 AS entry FROM v ORDER BY id LIMIT 256) USING (id)
+),
+{','.join(steps)},
+{assigned.format(r=rounds)},
+codes AS (
+    SELECT id, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code,
+      CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY id
+),
+books AS (
+    SELECT sha256(string_agg(CAST(CAST(w AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS h
+    FROM (SELECT part, entry, unnest(e) AS w, generate_subscripts(e, 1) AS pos FROM c{rounds})
+)
+SELECT id AS vec_id, code, error,
+  CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM codes JOIN v USING (id), books
+"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
