@@ -160,7 +160,7 @@ def test_many_labels_are_salted(spark, monkeypatch):
     assert sorted(map(tuple, codes.vector_codes(df, entries=3).collect())) == want
 
 
-@pytest.mark.parametrize("scale", [1, 1 << 22])
+@pytest.mark.parametrize("scale", [1, 1 << 16])
 def test_equal_average_search_is_exact_and_prunes(scale):
     rng = np.random.default_rng(1)
     centres = rng.integers(-400, 400, (256, 1)) * scale
