@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm import (
-    exact_top_k, importance_resampling, language_id, packing, quality_classifier, secret_scan,
-    sentence_pieces, simhash_dedup, substring_dedup, token_counts, vector_codes, vector_forest,
+    exact_top_k, importance_resampling, language_id, packing, quality_classifier, repeated_bytes,
+    secret_scan, sentence_pieces, simhash_dedup, substring_dedup, token_counts, vector_codes,
+    vector_forest,
 )
 from quern.llm.common import table
 
@@ -75,6 +76,11 @@ def op10_simhash_dedup(spark, folder):
     return simhash_dedup.fingerprint_digest(table(spark, folder, "documents"))
 
 
+@register
+def op11_repeated_bytes(spark, folder):
+    return repeated_bytes.byte_digest(table(spark, folder, "documents"))
+
+
 @register
 def op12_importance_resampling(spark, folder):
     return importance_resampling.resample(
@@ -274,3 +280,38 @@ FROM codes JOIN v USING (id), books
 
 
 ORACLES["op13_vector_codes"] = _codes_sql()
+
+# Strings are cut from stretches of 256 bytes and the 99 that follow, so long texts stay cheap.
+ORACLES["op11_repeated_bytes"] = """
+WITH raw AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+sized AS (SELECT doc_id, h, len(h) // 2 AS n FROM raw),
+chunks AS (
+    SELECT doc_id, c * 256 AS base, substr(h, c * 512 + 1, 710) AS piece, n
+    FROM (SELECT *, unnest(range((n + 255) // 256)) AS c FROM sized)
+),
+strings AS MATERIALIZED (
+    SELECT doc_id, base + k AS start, md5(substr(piece, 2 * k + 1, 200)) AS s
+    FROM (SELECT *, unnest(range(256)) AS k FROM chunks) WHERE base + k + 100 <= n
+),
+firsts AS (SELECT s, min((doc_id, start)) AS p FROM strings GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT doc_id, start FROM strings JOIN firsts USING (s) WHERE (doc_id, start) > p),
+edges AS (
+    SELECT doc_id, start, start + 100 AS stop,
+      coalesce(lag(start + 100) OVER (PARTITION BY doc_id ORDER BY start) < start, true) AS fresh
+    FROM gone
+),
+spans AS (
+    SELECT doc_id, min(start) AS a, max(stop) AS b FROM (
+      SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM edges)
+    GROUP BY doc_id, span
+),
+listed AS (
+    SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone FROM spans GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(
+    range(len(a) + 1), lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE b[i] END) + 1,
+      2 * ((CASE WHEN i = len(a) THEN n ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE b[i] END)))), '')
+  END)) AS kept_sha256
+FROM sized LEFT JOIN listed USING (doc_id)
+"""
