@@ -23,21 +23,30 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from quern.llm.common import Memo, tokenizer_path
+from quern.llm.common import LONG_KEY, tokenizer_path
 from quern.llm.token_counts import byte_alphabet
 from quern.session import spool
 
 WINDOW = 2048
 END_ID = 1
 ROUNDS = 150
+# Bytes of text whose words are made distinct together, and pre-tokens of one merging call.
+BLOCK_BYTES = 16 << 20
+MERGED = 1000
+# Marks that are a pre-token of their own after a word.
+MARKS = tuple(".,;:!?")
 
 _COMMON = re.compile("[\x21-\x7e\xa1-ɏ]*")
 # Fixed value: the pre-token expression of the vocabulary, for lower-case text without white space.
@@ -47,11 +56,36 @@ _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}
 # ---------------------------------------------------------------- tokens
 
 
+class Halves:
+    """Keeps values in two dictionaries: when the newer one is full it replaces the older one, so what
+    is in use stays.  Long keys are never kept."""
+
+    def __init__(self, limit: int):
+        self.half, self.new, self.old = limit // 2, {}, {}
+
+    def known(self, keys: list[str]) -> list[bytes | None]:
+        found = list(map(self.new.get, keys))
+        if self.old:
+            for i, value in enumerate(found):
+                if value is None and (value := self.old.get(keys[i])) is not None:
+                    found[i] = value
+                    self.keep(keys[i], value)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) <= LONG_KEY:
+            if len(self.new) >= self.half:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
+
+
 class WordTokens:
-    """Ids of a vocabulary that drops white space, as packed 32-bit numbers.
+    """Ids of a vocabulary that drops white space.
 
-    Words between blanks and line ends are independent, so their ids are kept in a bounded memo.
-    Words of common Latin letters are cut into pre-tokens here; others go to the library whole.
+    Words between blanks and line ends are independent.  Those of a block of texts are made distinct
+    in Arrow; what is not known yet is cut into pre-tokens (words of common Latin letters; others go
+    to the library whole), and all missing pre-tokens are merged in a few calls.  Words that a block
+    holds once are not kept.
     """
 
     def __init__(self, path: str):
@@ -60,25 +94,95 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = byte_alphabet()
-        self.words = Memo(self.word_ids, 350_000)
-        self.pre_tokens = Memo(self.merged_ids, 300_000)
-
-    def merged_ids(self, pre_token: str) -> bytes:
-        written = pre_token.encode().decode("latin-1").translate(self.alphabet)
-        return packed([token.id for token in self.tokenizer.model.tokenize(written)])
-
-    def word_ids(self, word: str) -> bytes:
-        if _COMMON.fullmatch(word):
-            return b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKEN.findall(word.lower())))
-        return self.whole_ids(word)
+        self.line_end = self.alphabet[ord("\n")]
+        self.merger = Tokenizer(self.tokenizer.model)  # takes pre-tokens in the visible alphabet
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words, self.pre_tokens = Halves(250_000), Halves(200_000)
 
     def whole_ids(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def ids(self, text: str) -> bytes:
-        if any(token in text for token in self.special):
-            return self.whole_ids(text)
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+    def merged(self, pre_tokens: list[str]) -> list[bytes]:
+        """Ids of each pre-token; its last id is the only one that ends a word."""
+        made: list[bytes] = []
+        for start in range(0, len(pre_tokens), MERGED):
+            part = "\n".join(pre_tokens[start:start + MERGED]).encode().decode("latin-1")
+            part = part.translate(self.alphabet).split(self.line_end)
+            encoded = self.merger.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            made += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return made
+
+    def word_ids(self, words: list[str], counts: list[int]) -> list[bytes]:
+        """Ids of distinct words, which occur so often in the block."""
+        table = self.words.known(words)
+        missing = [i for i, ids in enumerate(table) if ids is None]
+        single: list[tuple[int, str]] = []
+        several: list[tuple[int, list[str]]] = []
+        for i in missing:
+            word = words[i]
+            if not _COMMON.fullmatch(word):
+                table[i] = self.whole_ids(word)
+            elif word.isalpha():
+                single.append((i, word.lower()))
+            elif word[-1:] in MARKS and word[:-1].isalpha():
+                several.append((i, [word[:-1].lower(), word[-1]]))
+            else:
+                several.append((i, _PRE_TOKEN.findall(word.lower())))
+        names = list(dict.fromkeys(chain(
+            map(itemgetter(1), single), chain.from_iterable(map(itemgetter(1), several)))))
+        made = self.pre_tokens.known(names)
+        new = [i for i, ids in enumerate(made) if ids is None]
+        for i, ids in zip(new, self.merged([names[i] for i in new]), strict=True):
+            made[i] = ids
+            self.pre_tokens.keep(names[i], ids)
+        known = dict(zip(names, made, strict=True))
+        for i, name in single:
+            table[i] = known[name]
+        for i, parts in several:
+            table[i] = b"".join([known[part] for part in parts])
+        for i in missing:
+            if counts[i] > 1:
+                self.words.keep(words[i], table[i])
+        return table
+
+    def block_ids(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a block of bounded size; the texts are not NULL."""
+        special = np.zeros(len(texts), bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(special), pa.scalar("", texts.type), texts)
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        words = coded.dictionary.to_pylist()
+        table = self.word_ids(words, np.bincount(index, minlength=len(words)).tolist())
+        sizes = np.array([len(ids) for ids in table], np.int64) // 4
+        length = sizes[index]
+        ends = np.cumsum(length)
+        ids = np.frombuffer(b"".join(table), "<u4")
+        begin = (np.cumsum(sizes) - sizes)[index]
+        ids = ids[np.repeat(begin - ends + length, length) + np.arange(length.sum())].tobytes()
+        edge = (np.r_[0, ends][split.offsets.to_numpy()] * 4).tolist()
+        return [
+            self.whole_ids(texts[row].as_py()) if special[row] else ids[a:b]
+            for row, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))
+        ]
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, NULL being the empty one, in blocks of bounded size."""
+        texts = texts.fill_null("")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(texts):
+            done = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, done + BLOCK_BYTES, side="right")))
+            yield from self.block_ids(texts.slice(start, stop - start))
+            start = stop
 
 
 def packed(ids: list[int]) -> bytes:
@@ -104,8 +208,8 @@ def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, window:
         for batch in batches:
             rows: list[tuple] = []
             owners = []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = tokens.ids(text or "") + end
+            for row, ids in enumerate(tokens.ids(batch.column(1))):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start:4 * (start + window)]
