@@ -53,6 +53,11 @@ def shared_folder(spark: SparkSession) -> str:
 _OPEN: ContextVar[list[str] | None] = ContextVar("_OPEN", default=None)
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def handovers(spark: SparkSession) -> Iterator[None]:
     """Hand-over tables made inside are deleted at the end.  For code that has read them by then."""
@@ -63,8 +68,7 @@ def handovers(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN.reset(token)
         for path in made:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            delete_table(spark, path)
 
 
 def job(run: Callable) -> Callable:
