@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import near_copies as near, packing, quality_classifier, secret_scan, substring_dedup
+from quern.llm import packing, quality_classifier, secret_scan, simhash_dedup, substring_dedup
 from quern.llm.common import table
-from quern.session import spool
+from quern.session import delete_table, handovers, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,8 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8."""
-    return near.keep_one(docs)
+    """One document of each group of near copies, by fingerprints of three-word shingles that differ
+    in at most two bits."""
+    return simhash_dedup.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Pieces of what all stages keep.  A stage's own tables are deleted when its result is written,
+    and that when the next one's is; the last stage's are left, since the result reads them."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = spool(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with handovers(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            delete_table(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
