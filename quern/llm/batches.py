@@ -26,7 +26,7 @@ LAST_ID = np.iinfo(np.int64).max
 
 
 def deal(
-    docs: DataFrame, id_col: str, text_col: str, whole: bool = False, batch_bytes: int = BATCH_BYTES
+    docs: DataFrame, id_col: str, text_col: str, whole: bool = False, batch_bytes: int | None = None
 ) -> tuple[DataFrame, int]:
     """(batch, id, text, copies[, row]) and the number of text bytes.
 
@@ -34,6 +34,7 @@ def deal(
     are folded if they are equal, ``copies`` says how many they were, and dealt by all their
     columns.  With ``whole``, ``row`` holds all columns of the document.
     """
+    batch_bytes = batch_bytes or BATCH_BYTES
     own = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([own.alias("row")] if whole else [])

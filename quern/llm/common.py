@@ -69,3 +69,11 @@ def map_texts(
 def blocks_for(size: int, block: int) -> int:
     """How many blocks of a fixed size hold ``size``; at least one."""
     return max(1, math.ceil(size / block))
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has, in whatever case."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from quern.llm.common import unused_name
 from quern.operators.ordering import number_rows
 from quern.session import spool
 
@@ -266,9 +267,7 @@ def draw_documents(
     docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings
 ) -> DataFrame:
     """The drawn documents, with their own columns.  Rows are told apart by number, not by id."""
-    row = "row"
-    while row in docs.columns:
-        row += "_"
+    row = unused_name(docs, "row")
     rows = spool(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = resample(rows, target, id_col=id_col, text_col=text_col, keep=(row,), **settings)
     drawn = found.filter(F.col("rank").isNotNull()).select(row)

@@ -29,24 +29,23 @@ from quern.llm.common import LONG_KEY, tokenizer_path
 from quern.llm.pieces import MARK, PieceFinder, segments_of, vocabulary
 
 UNDETERMINED = "und"
-MAX_LANGUAGES = 512
 MEMO = 400_000
 
 
 # ---------------------------------------------------------------- learning
 
 
-def sample_labelled(docs: DataFrame, id_col: str, lang_col: str, per_language: int) -> DataFrame:
+def sample_labelled(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int
+) -> DataFrame:
     """About ``per_language`` documents of each language, the same ones in every run."""
-    sizes = docs.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_n"))
-    rows = sizes.limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.lit(0.0)
-    for row in rows:
-        share = F.when(F.col(lang_col) == row[0], F.lit(per_language / row[1])).otherwise(share)
+    sizes = docs.groupBy(F.col(lang_col).alias("name")).agg(F.count(F.lit(1)).alias("rows"))
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 30))
-    return docs.filter(place < share * F.lit(float(1 << 30)))
+    chosen = docs.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # One row per language: far less than the learned table, which the driver holds anyway.
+    return chosen.join(F.broadcast(sizes), F.col("lang") == F.col("name")).filter(
+        place < F.lit(float(per_language << 30)) / F.col("rows")
+    ).select("text", "lang")
 
 
 def piece_counts(sample: DataFrame, text_col: str, lang_col: str, path: str) -> DataFrame:
@@ -77,8 +76,8 @@ def learn(
     It is bounded by the number of languages times the size of the vocabulary.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sample = sample_labelled(labelled, id_col, lang_col, sample_per_language)
-    counted = piece_counts(sample, text_col, lang_col, path).toPandas()
+    sample = sample_labelled(labelled, id_col, text_col, lang_col, sample_per_language)
+    counted = piece_counts(sample, "text", "lang", path).toPandas()
     languages = sorted(set(counted["lang"]))
     counts = np.full((vocabulary(path).size, len(languages)), smoothing)
     column = {lang: i for i, lang in enumerate(languages)}
@@ -244,7 +243,9 @@ def predict_language(
 
 
 def held_out(id_col: str) -> Column:
-    return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    """A NULL id is not held out, and nothing is learned from its row (see ``language_predictions``)."""
+    hashed = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(hashed, F.lit(False)).alias("held_out")
 
 
 def language_predictions(
@@ -254,7 +255,7 @@ def language_predictions(
     """Learn from the documents that are not held out, predict every document."""
     path = tokenizer_path(vocabulary_file)
     languages, logs = learn(
-        docs.filter(~held_out(id_col)), path, sample_per_language,
+        docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)), path, sample_per_language,
         id_col=id_col, text_col=text_col, lang_col=lang_col,
     )
     return predict_language(docs, languages, logs, path, id_col, text_col, (held_out(id_col),))

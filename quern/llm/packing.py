@@ -43,7 +43,7 @@ WINDOW = 2048
 END_ID = 1
 ROUNDS = 150
 # Bytes of text whose words are made distinct together, and pre-tokens of one merging call.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MERGED = 1000
 # Marks that are a pre-token of their own after a word.
 MARKS = tuple(".,;:!?")

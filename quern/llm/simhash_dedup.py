@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from quern.llm.common import unused_name
 from quern.session import spool
 
 BITS = 64
@@ -43,7 +44,6 @@ SHINGLE = 3
 BLOCKS = 5
 AGREED = BLOCKS - RADIUS
 SEED = 42
-ROW = "_row"
 
 _U = np.uint64
 _shingle_hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -238,24 +238,15 @@ def fingerprint_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The same rows with a stored number."""
-    return spool(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
-def heads(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The numbered rows that head their group in ``found`` (number, id, node), without the number.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, with its own columns.  Rows are told apart by a stored number, not by id.
 
     The smallest id heads a group; NULL comes last, and of one id the first row.
     """
-    chosen = found.groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull(), "id", ROW)).alias("head")
-    ).select(F.col(f"head.{ROW}").alias(ROW))
-    return rows.join(chosen, ROW, "left_semi").drop(ROW)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with its own columns.  Rows are told apart by number, not by id."""
-    rows = numbered(docs)
-    found = near_duplicates(rows, ROW, text_col).select(ROW, F.col("component_id").alias("node"))
-    return heads(rows, rows.select(ROW, F.col(id_col).alias("id")).join(found, ROW))
+    row = unused_name(docs, "row")
+    rows = spool(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, row, text_col).select(F.col(row).alias("n"), F.col("component_id").alias("node"))
+    named = rows.select(F.col(row).alias("n"), F.col(id_col).alias("id")).join(found, "n")
+    heads = named.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "n")).alias("head"))
+    return rows.join(heads.select(F.col("head.n").alias(row)), row, "left_semi").select(*[
+        F.col(f"`{name}`") for name in docs.columns])

@@ -39,20 +39,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quern.llm.common import Memo, blocks_for
-from quern.session import spool
+from quern.llm.batches import BUCKET_BYTES, LAST_ID, copied, deal
+from quern.llm.common import blocks_for
 
 WINDOW = 13
 BLOCK = 7
-BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
-LAST_ID = np.iinfo(np.int64).max
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _PACKED = "_bucket int, _batch int, _packed binary"
 _U = np.uint64
-_word_hash = Memo(xxhash.xxh64_intdigest, 150_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,17 +71,15 @@ def _rolling(words: np.ndarray, size: int, base: int) -> np.ndarray:
 class Batch:
     """The words of a batch of documents, one after another."""
 
-    def __init__(self, docs: pa.Table, id_col: str, text_col: str):
+    def __init__(self, docs: pa.Table):
         self.ids = np.array(
-            [LAST_ID if i is None else i for i in docs.column(id_col).to_pylist()], np.int64
+            [LAST_ID if i is None else i for i in docs.column("id").to_pylist()], np.int64
         )
-        self.words = [
-            (text or "").encode().split() for text in docs.column(text_col).to_pylist()
-        ]
+        self.words = [(text or "").encode().split() for text in docs.column("text").to_pylist()]
         self.sizes = np.array([len(words) for words in self.words], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.hashes = np.fromiter(
-            (h for words in self.words for h in map(_word_hash.__getitem__, words)),
+            (h for words in self.words for h in map(xxhash.xxh64_intdigest, words)),
             _U, int(self.sizes.sum()),
         )
 
@@ -138,8 +133,8 @@ def _rows(batch: int, buckets: np.ndarray, pack, total: int) -> pa.Table:
 # ---------------------------------------------------------------- step 1: probe
 
 
-def _probe(docs: pa.Table, id_col: str, text_col: str, buckets: int) -> pa.Table:
-    batch = Batch(docs, id_col, text_col)
+def _probe(docs: pa.Table, buckets: int) -> pa.Table:
+    batch = Batch(docs)
     place, doc, bucket, key = _block_keys(batch, buckets)
     first = (batch.ends - batch.sizes)[doc]
     joined = (bucket.astype(_U) << _U(32)) | key.astype(_U)
@@ -158,7 +153,7 @@ def _probe(docs: pa.Table, id_col: str, text_col: str, buckets: int) -> pa.Table
     def pack(part: slice) -> bytes:
         return np.bincount(flags[part], minlength=4).astype("<u4").tobytes() + key[part].tobytes()
 
-    return _rows(docs.column("_batch")[0].as_py(), bucket, pack, len(key))
+    return _rows(docs.column("batch")[0].as_py(), bucket, pack, len(key))
 
 
 def _answer_probes(table: pa.Table) -> pa.Table:
@@ -195,10 +190,10 @@ def _reply(table: pa.Table, owner: np.ndarray, pack) -> pa.Table:
 # ---------------------------------------------------------------- step 2: extend
 
 
-def _extend(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str, buckets: int) -> pa.Table:
+def _extend(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not answers.num_rows or not docs.num_rows:
         return _rows(0, np.zeros(0, np.int64), None, 0)
-    batch = Batch(docs, id_col, text_col)
+    batch = Batch(docs)
     place, _, bucket, key = _block_keys(batch, buckets)
     hits = np.concatenate([
         (_U(b) << _U(32)) | np.frombuffer(packed, "<u4").astype(_U) for b, packed in
@@ -228,7 +223,7 @@ def _extend(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str, bucke
         return head + one[part].tobytes() + two[part].tobytes() + above.tobytes()
 
     return _rows(
-        docs.column("_batch")[0].as_py(), (one % _U(buckets)).astype(np.int64), pack, len(one)
+        docs.column("batch")[0].as_py(), (one % _U(buckets)).astype(np.int64), pack, len(one)
     )
 
 
@@ -256,9 +251,9 @@ def _answer_windows(table: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- step 3: finish
 
 
-def _removed(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str) -> tuple[Batch, np.ndarray]:
+def _removed(docs: pa.Table, answers: pa.Table) -> tuple[Batch, np.ndarray]:
     """The batch, and which of its words are removed."""
-    batch = Batch(docs, id_col, text_col)
+    batch = Batch(docs)
     start, doc, one, two = batch.windows()
     ids = batch.ids[doc]
     named = answers.column("_packed").to_pylist()
@@ -291,8 +286,8 @@ def _removed(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str) -> t
     return batch, np.cumsum(covered)[:-1] > 0
 
 
-def _digest(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str) -> pa.Table:
-    batch, gone = _removed(docs, answers, id_col, text_col)
+def _digest(docs: pa.Table, answers: pa.Table) -> dict[str, list]:
+    batch, gone = _removed(docs, answers)
     removed, digests, at = [], [], 0
     for words in batch.words:
         flags = gone[at:at + len(words)]
@@ -301,10 +296,10 @@ def _digest(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str) -> pa
         if removed[-1]:
             words = [word for word, flag in zip(words, flags.tolist(), strict=True) if not flag]
         digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-    return pa.table({
-        id_col: docs.column(id_col), "n_words": pa.array(batch.sizes, pa.int64()),
-        "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
-    })
+    return {
+        "id": docs.column("id"), "copies": docs.column("copies"), "n_words": batch.sizes,
+        "n_removed": removed, "kept_sha256": digests,
+    }
 
 
 def cut_text(text: str, gone: np.ndarray) -> str:
@@ -319,85 +314,52 @@ def cut_text(text: str, gone: np.ndarray) -> str:
     return b"".join([*parts, raw[at:]]).decode()
 
 
-def _cut(docs: pa.Table, answers: pa.Table, id_col: str, text_col: str) -> pa.Table:
-    batch, gone = _removed(docs, answers, id_col, text_col)
-    texts, at = docs.column(text_col).to_pylist(), 0
+def _cut(docs: pa.Table, answers: pa.Table) -> dict[str, list]:
+    batch, gone = _removed(docs, answers)
+    texts, at = docs.column("text").to_pylist(), 0
     for i, words in enumerate(batch.words):
         flags = gone[at:at + len(words)]
         at += len(words)
         if flags.any():
             texts[i] = cut_text(texts[i], flags)
-    place = docs.column_names.index(text_col)
-    return docs.set_column(place, text_col, pa.array(texts, docs.schema.field(text_col).type)).drop(["_batch"])
+    return {"row": docs.column("row"), "copies": docs.column("copies"), "kept": texts}
 
 
 # ---------------------------------------------------------------- the plan
 
 
-def _deal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, bool]:
-    """Documents with the batch they belong to, the number of buckets, and if rows were folded.
-
-    Rows of an id that fills a batch alone, or of a NULL id that does, are folded if they are equal,
-    with their number in ``_copies``, and dealt by all their columns.
-    """
-    sizes = docs.groupBy(id_col).agg(F.sum(F.octet_length(text_col)).alias("size"), F.count(F.lit(1)).alias("n"))
-    sizes = spool(sizes, "sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    batches = blocks_for(total, BATCH_BYTES)
-    place = lambda *by: F.pmod(F.xxhash64(*by, F.lit("batch")), F.lit(batches)).cast("int")
-    large = sizes.filter((F.col("n") > 1) & (F.col("size") > BATCH_BYTES)).select(F.col(id_col).alias("_large"))
+def _run(dealt: DataFrame, total: int, finish, schema: T.StructType) -> DataFrame:
     buckets = blocks_for(total, BUCKET_BYTES)
-    if not large.limit(1).count():
-        return docs.withColumn("_batch", place(id_col)), buckets, False
-    same = docs[id_col].eqNullSafe(large["_large"])  # at most one id per batch
-    columns = [F.col(f"`{name}`") for name in docs.columns]
-    alone = docs.join(F.broadcast(large), same, "left_anti").withColumns(
-        {"_copies": F.lit(1).cast("long"), "_batch": place(id_col)}
-    )
-    shared = docs.join(F.broadcast(large), same, "left_semi").groupBy(*columns).agg(
-        F.count(F.lit(1)).alias("_copies")
-    ).withColumn("_batch", place(*columns))
-    return alone.unionByName(shared), buckets, True
-
-
-def _run(docs: DataFrame, id_col: str, text_col: str, finish, schema: T.StructType) -> DataFrame:
-    dealt, buckets, folded = _deal(docs, id_col, text_col)
-    by_batch = dealt.groupBy("_batch")
-    probes = by_batch.applyInArrow(lambda t: _probe(t, id_col, text_col, buckets), _PACKED)
+    by_batch = dealt.groupBy("batch")
+    probes = by_batch.applyInArrow(lambda t: _probe(t, buckets), _PACKED)
     hits = probes.groupBy("_bucket").applyInArrow(_answer_probes, _PACKED)
     windows = by_batch.cogroup(hits.groupBy("_batch")).applyInArrow(
-        lambda t, answers: _extend(t, answers, id_col, text_col, buckets), _PACKED
+        lambda t, answers: _extend(t, answers, buckets), _PACKED
     )
     repeats = windows.groupBy("_bucket").applyInArrow(_answer_windows, _PACKED)
+    arrow = to_arrow_schema(schema)
 
     def done(t: pa.Table, answers: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.Table.from_batches([], schema=to_arrow)
-        made = finish(t, answers, id_col, text_col)
-        if folded and "_copies" not in made.column_names:
-            made = made.append_column("_copies", t.column("_copies"))
-        return made
+        return pa.table(finish(t, answers), schema=arrow) if t.num_rows else arrow.empty_table()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    names = schema.names
-    if folded:
-        schema = T.StructType([*schema.fields]).add("_copies", "long")
-    to_arrow = to_arrow_schema(schema)
-    made = by_batch.cogroup(repeats.groupBy("_batch")).applyInArrow(done, schema)
-    if folded:
-        made = made.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*names)
-    return made
+    return by_batch.cogroup(repeats.groupBy("_batch")).applyInArrow(done, schema)
 
 
 def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: words, removed words, and a digest of the words that stay."""
-    chosen = docs.select(id_col, text_col)
-    schema = T.StructType([chosen.schema[id_col]]).add("n_words", "long").add(
+    dealt, total = deal(docs, id_col, text_col)
+    schema = T.StructType([dealt.schema["id"]]).add("copies", "long").add("n_words", "long").add(
         "n_removed", "long").add("kept_sha256", "string")
-    return _run(chosen, id_col, text_col, _digest, schema)
+    made = _run(dealt, total, _digest, schema)
+    return copied(made, F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns, with the repeated passages cut out of the text."""
-    return _run(docs, id_col, text_col, _cut, docs.schema)
+    dealt, total = deal(docs, id_col, text_col, whole=True)
+    schema = T.StructType([dealt.schema["row"]]).add("copies", "long").add("kept", "string")
+    made = _run(dealt, total, _cut, schema)
+    return copied(made, *[
+        F.col("kept").alias(name) if name == text_col else F.col("row").getField(name).alias(name)
+        for name in docs.columns
+    ])

@@ -150,8 +150,7 @@ NAMES = "batch string, copies int, row int"
 
 def test_query_on_odd_tables(spark, documents, monkeypatch):
     monkeypatch.setattr(rb, "BUCKET_BYTES", 2000)
-    real = rb.deal
-    monkeypatch.setattr(rb, "deal", lambda *a, **k: real(*a, **k, batch_bytes=1500))
+    monkeypatch.setattr(batches, "BATCH_BYTES", 1500)
     texts = corpus(2, "abc de") + [None, "", "x" * 700, None] + ["same text " * 30] * 40
     ids = [*range(20), *[7] * 5, None, 3, 4, None, *[None] * 30, *[11] * 10]
     docs = documents(texts, ids, NAMES).repartition(4)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import (
-    exact_top_k, near_copies, packing, secret_scan, simhash_dedup, substring_dedup, vector_forest,
+    batches, exact_top_k, packing, secret_scan, simhash_dedup, substring_dedup, vector_forest,
 )
 from quern.llm.common import table, tokenizer_path
 from quern.llm.queries import ORACLES, QUERIES
@@ -229,7 +229,7 @@ def passages(seed=1):
 
 @pytest.mark.parametrize("sizes", [(1 << 22, 1 << 24), (900, 700)])
 def test_passages_equal_plain_windows(spark, documents, monkeypatch, sizes):
-    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", sizes[0])
+    monkeypatch.setattr(batches, "BATCH_BYTES", sizes[0])
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", sizes[1])
     texts = passages()
     ids = random.Random(3).sample(range(10_000), len(texts))
@@ -254,6 +254,16 @@ def test_removal_keeps_rows_columns_and_clean_texts(spark, documents):
             assert r.text == texts[r.doc_id - 1]
 
 
+def test_clashing_columns_stay(spark, documents, monkeypatch):
+    monkeypatch.setattr(batches, "BATCH_BYTES", 900)
+    texts = passages(5) + ["same word " * 60] * 20
+    docs = documents(texts, [7 if i % 3 else i for i in range(len(texts))],
+                     "_batch string, _copies long, copies int").withColumn("row", F.lit("r"))
+    made = substring_dedup.remove_repeats(docs)
+    assert made.columns == docs.columns and made.count() == len(texts)
+    assert made.select("_batch", "row").distinct().collect() == [("x", "r")]
+
+
 def test_equal_ids_are_one_document(spark, documents):
     passage = " ".join(f"p{i}" for i in range(30))
     rows = substring_dedup.repeat_digest(documents([passage, passage, passage], [7, 7, 9])).collect()
@@ -265,15 +275,15 @@ def test_equal_ids_are_one_document(spark, documents):
 
 @pytest.mark.parametrize("shared", [7, None])
 def test_rows_of_one_id_fill_several_batches(spark, documents, monkeypatch, shared):
-    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 900)
+    monkeypatch.setattr(batches, "BATCH_BYTES", 900)
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 700)
     texts = passages(5)
     texts += texts[:2] * 20
     ids = [shared if i % 3 else 100 + i for i in range(len(texts))]
     docs = documents(texts, ids)
-    dealt = substring_dedup._deal(docs, "doc_id", "text")[0].collect()
-    own = [r for r in dealt if r.doc_id == shared]
-    assert len({r._batch for r in own}) > 5 and sum(r._copies for r in own) == ids.count(shared)
+    dealt = batches.deal(docs, "doc_id", "text")[0].collect()
+    own = [r for r in dealt if r.id == shared]
+    assert len({r.batch for r in own}) > 5 and sum(r.copies for r in own) == ids.count(shared)
     assert len({r.text for r in own}) == len(own)
     firsts = {}
     for i, text in zip(ids, texts):
@@ -390,63 +400,24 @@ def test_near_copies_of_repeated_and_null_ids(spark, documents):
     assert {r.component_id for r in found.collect()} == {1}
 
 
-def plain_shingles(text):
-    words = (text or "").encode().lower().split()
-    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def jaccard_groups(texts):
-    sets = [plain_shingles(text) for text in texts]
-    root = list(range(len(sets)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a == b or len(a & b) / len(a | b) >= 0.8:
-                root = [root[j] if r == root[i] else r for r in root]
-    return root
-
-
-def edited_texts(seed=8):
-    """Copies with a few edited words: near by Jaccard, mostly out of reach of two bits."""
-    rng = random.Random(seed)
-    texts = []
-    for _ in range(15):
-        words = [f"W{rng.randint(0, 900)}" for _ in range(rng.randint(60, 400))]
-        for _ in range(rng.randint(2, 12)):
-            copy = list(words)
-            for _ in range(rng.randint(0, len(words) // 40)):
-                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 900)}"
-            texts.append(" ".join(copy))
-    return texts
-
-
-def test_stage_keeps_one_of_edited_copies(spark, documents):
+def test_stage_keeps_one_of_each_group(spark, documents):
     import corpus_pipeline
-    texts = edited_texts() + near_texts()
-    want = jaccard_groups(texts)
+    texts = near_texts()
     ids = random.Random(4).sample(range(10_000), len(texts))
-    heads = {min(i for i, r in zip(ids, want) if r == root) for root in set(want)}
-    kept = corpus_pipeline.near_copies(spark, documents(texts, ids), "").collect()
-    assert {r.doc_id for r in kept} == heads and len(kept) == len(heads)
-    assert len(simhash_dedup.keep_one(documents(texts, ids)).collect()) > len(heads)
+    want = groups({i: plain_fingerprint(text) for i, text in zip(ids, texts)})
+    docs = documents(texts, ids, "row string, ROW_ int, node long")
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
 def test_stage_keeps_rows_of_repeated_ids_apart(spark, documents):
     texts = ["a b c"] * 3 + ["d e f", "d e f", None, " ", "g h i"]
-    kept = near_copies.keep_one(documents(texts, [5, 5, None, None, None, 5, 6, 5])).collect()
+    kept = simhash_dedup.keep_one(documents(texts, [5, 5, None, None, None, 5, 6, 5])).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == [
         ("5", "a b c"), ("5", "g h i"), ("None", "d e f")]
     assert len(kept) == 4
-    assert near_copies.keep_one(documents(["a"]).limit(0)).count() == 0
-
-
-def test_tiles_equal_all_pairs(monkeypatch):
-    monkeypatch.setattr(near_copies, "TILE", 7)
-    monkeypatch.setattr(near_copies, "CODES", 64)
-    texts = [t for t in edited_texts(3) if t]
-    label = near_copies.link_components([near_copies.shingles(t) for t in texts])
-    want = jaccard_groups(texts)
-    first = {r: want.index(r) for r in want}
-    assert label.tolist() == [first[r] for r in want]
+    assert simhash_dedup.keep_one(documents(["a"]).limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- pipeline
