@@ -29,14 +29,18 @@ def parser() -> argparse.ArgumentParser:
     one = job("tokens", "jsonl", "out")
     one.add_argument("--limit", type=int, default=jobs.tokens.MAX_TOKENS)
     one.add_argument("--keep-eos", action="store_true")
+    one.add_argument("--vocabulary")
+    one.add_argument("--eos", default=jobs.EOS)
     one = job("format", "jsonl", "out")
     one.add_argument("--style", choices=sorted(jobs.STYLES), default="text")
     job("publish", "cleaned", "out")
     one = job("batches", "table", "out")
     one.add_argument("--rows", type=int, default=jobs.tokens.BATCH_ROWS)
     one.add_argument("--pad-id", type=int, default=0)
-    job("masks", "jsonl", "out")
-    job("audit", "jsonl", "out")
+    one = job("masks", "jsonl", "out")
+    one.add_argument("--vocabulary")
+    one.add_argument("--rule", choices=jobs.vocabulary_rules(), default="mask")
+    job("audit", "jsonl", "out").add_argument("--vocabulary")
     job("perplexity", "losses", "out")
     job("evaluate", "cases", "answers", "out")
     job("incremental-clean", "arrivals", "out", "checkpoint")

@@ -32,14 +32,16 @@ def roundtrip(texts: DataFrame, key: Sequence[str], text: str, limit: int = MAX_
     )
 
 
-def roundtrip_summary(rows: DataFrame) -> DataFrame:
-    def count(name: str) -> Column:
-        return F.count_if(name).alias(name)
-    return rows.agg(
-        F.count(F.lit(1)).alias("texts"), *[count(n) 
-          for n in ("same", "kept_same", "cut", "has_newline", "has_indent")],
+def roundtrip_totals() -> list[Column]:
+    counted = ("same", "kept_same", "cut", "has_newline", "has_indent")
+    return [
+        F.count(F.lit(1)).alias("texts"), *[F.count_if(name).alias(name) for name in counted],
         F.round(F.avg(F.when(~F.col("cut"), F.col("same").cast("int"))), 6).alias("same_share"),
-    )
+    ]
+
+
+def roundtrip_summary(rows: DataFrame) -> DataFrame:
+    return rows.agg(*roundtrip_totals())
 
 
 def format_token_counts(tokens: Column | str) -> Column:

@@ -133,14 +133,18 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-def outcome_counts(cleaned: DataFrame) -> DataFrame:
+def outcome_totals() -> list[Column]:
     """Totals per outcome; outcomes that did not occur show up with 0."""
     outcome = F.col("outcome")
-    return cleaned.agg(
+    return [
         F.count(F.lit(1)).alias("total"),
         *[_count(outcome == name).alias(name) for name in OUTCOMES],
         _count(outcome != PASSED).alias("skipped"),
-    )
+    ]
+
+
+def outcome_counts(cleaned: DataFrame) -> DataFrame:
+    return cleaned.agg(*outcome_totals())
 
 
 def import_counts(cleaned: DataFrame) -> DataFrame:

@@ -20,6 +20,11 @@ def of_type(samples: DataFrame, sample_type: str = SAMPLE_TYPE) -> DataFrame:
     return samples.filter(F.col("type") == sample_type)
 
 
+def of_other_type(samples: DataFrame, sample_type: str = SAMPLE_TYPE) -> DataFrame:
+    """What ``of_type`` leaves out, a type of NULL included."""
+    return samples.filter(~F.col("type").eqNullSafe(F.lit(sample_type)))
+
+
 def _or_empty(samples: DataFrame, **texts: Column) -> DataFrame:
     filled_in = both_filled("instruction", "code")
     return samples.withColumns(
@@ -70,21 +75,29 @@ def empty_rejects(formatted: DataFrame, key: str, *columns: str) -> DataFrame:
     )
 
 
-def format_counts(formatted: DataFrame, *columns: str) -> DataFrame:
+def format_totals(*columns: str) -> list[Column]:
     """Rows before, skipped and kept by ``drop_empty``."""
     kept = F.lit(True)
     for name in columns:
         kept = kept & (strip(F.col(name)) != "")
-    return formatted.agg(
+    return [
         F.count(F.lit(1)).alias("before"), F.count_if(~kept).alias("skipped"),
         F.count_if(kept).alias("kept"),
-    )
+    ]
 
 
-def require_rows(formatted: DataFrame) -> DataFrame:
-    """Fails early if nothing is left to train on."""
-    if formatted.isEmpty():
+def format_counts(formatted: DataFrame, *columns: str) -> DataFrame:
+    return formatted.agg(*format_totals(*columns))
+
+
+def require_some(kept: int) -> None:
+    """Fails if nothing is left to train on."""
+    if not kept:
         raise ValueError("no sample with both an instruction and code is left")
+
+
+def require_rows(formatted: DataFrame) -> DataFrame:
+    require_some(not formatted.isEmpty())
     return formatted
 
 
@@ -107,10 +120,13 @@ def completion_masks(
     )
 
 
-def mask_counts(masked: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+def mask_counts(
+    masked: DataFrame, key: Sequence[str] = (), keep: Sequence[str] = ()
+) -> DataFrame:
+    """Sizes of ids, labels and mask.  ``keep`` names further columns to carry along."""
     trained = F.filter("labels", lambda label: label != byte_tokens.IGNORED)
     return masked.select(
         *key, F.size("input_ids").alias("n_ids"), "prompt_tokens",
         F.size(trained).alias("trained"), (F.size("labels") - F.size(trained)).alias("masked"),
-        F.size("attention_mask").alias("mask_length"), "prompt_is_prefix",
+        F.size("attention_mask").alias("mask_length"), "prompt_is_prefix", *keep,
     )

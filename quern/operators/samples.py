@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.functions import pysource
 from quern.functions.naming import class_instruction, file_instruction, function_instruction
@@ -148,6 +148,29 @@ def build_samples(files: DataFrame, **limits: int) -> DataFrame:
 
 
 FILE_REASONS = ["empty_or_unreadable_file", "ast_parse_failed", "file_too_small", "file_too_large"]
+REASONS = [
+    *FILE_REASONS, "too_long_skipped", "code_too_short", "instruction_too_short",
+    "invalid_python_after_build",
+]
+
+
+def reason_totals() -> list[Column]:
+    """Checked rows by reason, for ``counts_of``."""
+    reason = F.col("reason")
+    return [
+        F.count_if(reason.isNull()).alias("accepted"),
+        *[F.count_if(reason == name).alias(name) for name in REASONS],
+    ]
+
+
+def counts_of(spark: SparkSession, totals: dict[str, int], written: int) -> DataFrame:
+    """``sample_counts`` from totals by reason and the number of distinct samples."""
+    told = {name: totals[name] for name in REASONS} | {
+        "written": written, "duplicate": totals["accepted"] - written,
+        "generated": sum(n for name, n in totals.items() if name not in FILE_REASONS),
+    }
+    rows = [(SAMPLE_TYPE, outcome, n) for outcome, n in told.items() if n]
+    return spark.createDataFrame(rows, "type string, outcome string, samples long")
 
 
 def sample_counts(checked: DataFrame) -> DataFrame:

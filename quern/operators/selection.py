@@ -241,6 +241,14 @@ def select_balanced(
     return pool.join(keys, "source_line").orderBy("shuffle_rank")
 
 
+def rejects(judged: DataFrame) -> DataFrame:
+    """Lines that a rule left out, by line number."""
+    return judged.filter(F.col("reason").isNotNull()).select(
+        F.lit("select").alias("stage"), F.col("source_line").cast("string").alias("key"), "reason",
+        F.lit(None).cast("string").alias("detail"),
+    )
+
+
 def skip_reasons(judged: DataFrame) -> DataFrame:
     return (
         judged.filter(F.col("reason").isNotNull()).groupBy("reason")

@@ -43,6 +43,11 @@ def _about() -> Column:
     return F.concat_ws(": ", "type", F.substring("instruction", 1, 80))
 
 
+def blank_total() -> Column:
+    """How many samples have no text."""
+    return F.count_if(strip(code_by_type()) == "").alias("skipped")
+
+
 def blank_rejects(samples: DataFrame, key: str) -> DataFrame:
     return with_code(samples).filter("is_blank").select(*_reject(key, "blank_code", _about()))
 
@@ -69,7 +74,7 @@ def undecodable_rejects(lines: DataFrame, key: str, corrupt: str, stage: str) ->
 
 def token_rejects(tokenised: DataFrame, key: str) -> DataFrame:
     """Samples the tokenizer failed on, and samples that were cut (those stay in the table)."""
-    failed = F.col("error").isNotNull() if "error" in tokenised.columns else F.lit(False)
+    failed = failed_rows(tokenised)
     detail = F.col("error") if "error" in tokenised.columns else F.lit(None).cast("string")
     reason = F.when(failed, "tokenizer_error").when(F.col("truncated"), "cut_to_limit")
     cut = F.format_string("%s of %s tokens", "n_tokens", "original_tokens")
@@ -143,20 +148,28 @@ def sizes(samples: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     )
 
 
-def token_stats(sized: DataFrame) -> DataFrame:
+def stat_totals(blank: Column, failed: Column) -> list[Column]:
     """Count, total, longest, shortest and mean length; skipped, failed and cut rows."""
     def zero(c: Column) -> Column:
         return F.coalesce(c, F.lit(0))
-    failed = F.col("error").isNotNull() if "error" in sized.columns else F.lit(False)
-    blank = F.col("is_blank") if "is_blank" in sized.columns else F.lit(False)
     kept = F.when(~blank & ~failed, F.col("n_tokens"))
-    return sized.agg(
+    return [
         F.count(kept).alias("samples"), zero(F.sum(kept)).alias("total_tokens"),
         zero(F.max(kept)).alias("max_tokens"), zero(F.min(kept)).alias("min_tokens"),
         F.round(zero(F.avg(kept)), 2).alias("avg_tokens"),
         F.count_if(blank).alias("skipped"), F.count_if(failed).alias("errors"),
         F.count_if(F.col("truncated") & kept.isNotNull()).alias("truncated"),
-    )
+    ]
+
+
+def failed_rows(tokenised: DataFrame) -> Column:
+    """Rows the tokenizer failed on; the byte-level one never does."""
+    return F.col("error").isNotNull() if "error" in tokenised.columns else F.lit(False)
+
+
+def token_stats(sized: DataFrame) -> DataFrame:
+    blank = F.col("is_blank") if "is_blank" in sized.columns else F.lit(False)
+    return sized.agg(*stat_totals(blank, failed_rows(sized)))
 
 
 def type_counts(sized: DataFrame) -> DataFrame:

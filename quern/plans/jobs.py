@@ -7,13 +7,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern import schemas
-from quern.operators import audit, cleaning, evaluation, formats, ingest, samples, selection, tokens
+from quern.operators import (
+    audit, cleaning, evaluation, formats, ingest, samples, selection, tokens, vocabulary as merging,
+)
 from quern.operators.ordering import number_rows
 from quern.session import job, spool
 from quern.sources import files, sinks
 from quern.streaming import incremental
 
 
+EOS = "<|endoftext|>"
+
+
+def vocabulary_rules() -> tuple[str, ...]:
+    return merging.vocabulary.RULES
+
+
 def _stored(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     sinks.write_table(df, path, partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -59,10 +68,11 @@ def ingest_job(
 def clean_job(spark: SparkSession, raw: str, out: str) -> DataFrame:
     """Tree of ``*.py`` files to cleaned text, manifest, rejects and outcome counts."""
     sources = cleaning.read_sources(files.source_tree(spark, raw))
-    cleaned = _stored(cleaning.clean(sources), f"{out}/files", ("outcome",))
+    counted = sinks.Counted(cleaning.clean(sources), *cleaning.outcome_totals())
+    cleaned = _stored(counted.rows, f"{out}/files", ("outcome",))
     sinks.write_table(cleaning.manifest(cleaned), f"{out}/manifest")
     _reject(cleaning.rejects(cleaned).drop("at"), out)
-    return sinks.write_report(cleaning.outcome_counts(cleaned), f"{out}/outcomes")
+    return sinks.write_report(counted.report(), f"{out}/outcomes")
 
 
 @job
@@ -79,17 +89,20 @@ def samples_job(spark: SparkSession, cleaned: str, out: str) -> DataFrame:
     sorted within its range partitions once, to write the lines.
     """
     sources = cleaning.cleaned_files(spark.read.parquet(f"{cleaned}/files"))
-    checked = _stored(samples.check(samples.extract(sources)), f"{out}/checked")
-    distinct = spool(samples.distinct_samples(checked), "distinct")
+    counted = sinks.Counted(samples.check(samples.extract(sources)), *samples.reason_totals())
+    checked = _stored(counted.rows, f"{out}/checked")
+    once = sinks.Counted(samples.distinct_samples(checked), F.count(F.lit(1)).alias("n"))
+    distinct = spool(once.rows, "distinct")
     keys = distinct.select(*samples.ORDER)
-    numbers = number_rows(keys, samples.ORDER, "source_line", distinct.count())
+    written = once.counts()["n"]
+    numbers = number_rows(keys, samples.ORDER, "source_line", written)
     numbered = _stored(distinct.join(numbers, samples.ORDER), f"{out}/samples")
     sinks.write_json_samples(
         numbered.repartitionByRange("source_line").sortWithinPartitions("source_line"),
         f"{out}/samples_jsonl",
     )
     _reject(samples.rejects(checked).drop("at"), out)
-    return _stored(samples.sample_counts(checked), f"{out}/counts")
+    return _stored(samples.counts_of(spark, counted.counts(), written), f"{out}/counts")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -115,6 +128,7 @@ def select_job(
     judged = spool(selection.without_rejected_text(judged.select(
         "source_line", "type", "instruction", "code", "reason", "shape", "score"
     )), "judged")
+    _reject(selection.rejects(judged), out)
     pool = spool(selection.candidates(judged), "pool")
     chosen = _stored(selection.select_balanced(pool, target, seed), f"{out}/chosen")
     sinks.write_json_samples(chosen.orderBy("shuffle_rank"), f"{out}/samples_jsonl")
@@ -125,18 +139,23 @@ def select_job(
 @job
 def tokens_job(
     spark: SparkSession, jsonl: str, out: str, limit: int = tokens.MAX_TOKENS,
-    keep_eos: bool = False,
+    keep_eos: bool = False, vocabulary: str | None = None, eos: str = EOS,
 ) -> DataFrame:
-    """Samples to token ids, their statistics and rejects."""
+    """Samples to token ids, their statistics and rejects.  Ids are bytes, or those of a vocabulary
+    file with the end token ``eos``."""
     lines = spool(_lines(spark, jsonl), "lines")
-    good = lines.filter(F.col(files.CORRUPT).isNull())
-    stored = _stored(tokens.tokenise(good, ["source_line"], limit, keep_eos), f"{out}/tokens")
+    good = sinks.Counted(lines.filter(F.col(files.CORRUPT).isNull()), tokens.blank_total())
+    if vocabulary is None:
+        made = tokens.tokenise(good.rows, ["source_line"], limit, keep_eos)
+    else:
+        made = merging.tokenise(good.rows, vocabulary, eos, ["source_line"], limit)
+    counted = sinks.Counted(made, *tokens.stat_totals(F.lit(False), tokens.failed_rows(made)))
+    stored = _stored(counted.rows, f"{out}/tokens")
     _reject(
         tokens.line_rejects(lines, "source_line", files.CORRUPT)
         .unionByName(tokens.token_rejects(stored, "source_line")), out,
     )
-    stats = tokens.token_stats(tokens.sizes(good, limit))
-    return sinks.write_report(stats, f"{out}/stats")
+    return sinks.write_report(counted.report(**good.counts()), f"{out}/stats")
 
 
 @job
@@ -152,17 +171,29 @@ def batches_job(
 
 
 @job
-def masks_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
-    """Samples to ids and labels of their completions, with an audit of the trained part."""
+def masks_job(
+    spark: SparkSession, jsonl: str, out: str, vocabulary: str | None = None, rule: str = "mask"
+) -> DataFrame:
+    """Samples to ids and labels of their completions, with an audit of the trained part.  With a
+    vocabulary, ``rule`` says what becomes of tokens that span the end of the prompt."""
     lines = spool(_lines(spark, jsonl), "lines")
     good = lines.filter(F.col(files.CORRUPT).isNull())
-    masked = _stored(formats.completion_masks(good, ["source_line"]), f"{out}/masked")
+    key = ["source_line"]
+    made = (
+        formats.completion_masks(good, key) if vocabulary is None
+        else merging.completion_masks(good, vocabulary, key, rule=rule)
+    )
+    masked = _stored(made, f"{out}/masked")
     left_out = good.join(masked.select("source_line"), "source_line", "left_anti")
     _reject(
         tokens.undecodable_rejects(lines, "source_line", files.CORRUPT, "masks")
         .unionByName(tokens.rejects_of(left_out, "source_line", "masks", "other_type")), out,
     )
-    report = audit.trained_part(masked, ["source_line"]).agg(
+    trained = (
+        audit.trained_part(masked, key) if vocabulary is None
+        else merging.trained_part(masked, vocabulary, key)
+    )
+    report = trained.agg(
         F.count(F.lit(1)).alias("samples"), F.sum("trained").alias("trained"),
         *[F.sum(n).alias(n) for n in ("newline_tokens", "space_tokens", "indent_tokens")],
     )
@@ -170,18 +201,24 @@ def masks_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
 
 
 @job
-def audit_job(spark: SparkSession, jsonl: str, out: str) -> DataFrame:
+def audit_job(
+    spark: SparkSession, jsonl: str, out: str, vocabulary: str | None = None
+) -> DataFrame:
     """Round trip of every sample through the tokenizer."""
     lines = spool(_lines(spark, jsonl), "lines")
     good = lines.filter(F.col(files.CORRUPT).isNull())
     coded = good.filter(F.col("code").isNotNull())
-    rows = _stored(audit.roundtrip(coded, ["source_line"], "code"), f"{out}/roundtrip")
+    made = (
+        audit.roundtrip(coded, ["source_line"], "code") if vocabulary is None
+        else merging.roundtrip(coded, vocabulary, ["source_line"], "code")
+    )
+    counted = sinks.Counted(made, *audit.roundtrip_totals())
+    _stored(counted.rows, f"{out}/roundtrip")
     _reject(
         tokens.undecodable_rejects(lines, "source_line", files.CORRUPT, "audit")
         .unionByName(tokens.rejects_of(good.filter("code is null"), "source_line", "audit", "no_code")), out,
     )
-    report = audit.roundtrip_summary(rows)
-    return sinks.write_report(report, f"{out}/report")
+    return sinks.write_report(counted.report(), f"{out}/report")
 
 
 @job
@@ -215,13 +252,19 @@ STYLES = {
 def format_job(spark: SparkSession, jsonl: str, out: str, style: str = "text") -> DataFrame:
     """Samples to training texts, rejects and counts; fails if no text is left."""
     build, columns = STYLES[style]
-    lines = _lines(spark, jsonl).filter(F.col(files.CORRUPT).isNull())
-    built = _stored(build(lines).select("source_line", *columns), f"{out}/built")
-    kept = formats.require_rows(formats.drop_empty(built, *columns).select(*columns))
+    lines = spool(_lines(spark, jsonl), "lines")
+    good = lines.filter(F.col(files.CORRUPT).isNull())
+    counted = sinks.Counted(build(good).select("source_line", *columns), *formats.format_totals(*columns))
+    built = _stored(counted.rows, f"{out}/built")
+    kept = formats.drop_empty(built, *columns).select(*columns)
     kept.write.mode("overwrite").json(f"{out}/texts")
-    _reject(formats.empty_rejects(built, "source_line", *columns), out)
-    counts = formats.format_counts(built, *columns)
-    return sinks.write_report(counts, f"{out}/counts")
+    _reject(
+        tokens.undecodable_rejects(lines, "source_line", files.CORRUPT, "format")
+        .unionByName(tokens.rejects_of(formats.of_other_type(good), "source_line", "format", "other_type"))
+        .unionByName(formats.empty_rejects(built, "source_line", *columns)), out,
+    )
+    formats.require_some(counted.counts()["kept"])
+    return sinks.write_report(counted.report(), f"{out}/counts")
 
 
 ARRIVAL_SCHEMA = "file_path string, source string, arrived_at timestamp"
@@ -232,4 +275,4 @@ def incremental_clean_job(spark: SparkSession, arrivals: str, out: str, checkpoi
     """Clean what has arrived since the last run: new texts, rejects and outcomes."""
     stream = spark.readStream.schema(ARRIVAL_SCHEMA).parquet(arrivals)
     sources = cleaning.as_sources(stream, "file_path", "source", keep=("arrived_at",))
-    incremental.run_available(sources, incremental.clean_step(out), checkpoint)
+    incremental.run_clean(sources, out, checkpoint)

@@ -919,4 +919,6 @@ n AS (
 SELECT stage, rows_in, kept, rows_in - kept AS rejected, true AS whole FROM n""",
     "stream_clean": f"""
 WITH {FILES} SELECT DISTINCT md5(clean) AS code_hash, clean AS source FROM cleaned""",
+    "vocabulary_windows": """
+SELECT doc_id, md5(text) AS text_md5, true AS "within" FROM documents WHERE text <> ''""",
 }

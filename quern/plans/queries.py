@@ -16,7 +16,7 @@ from quern.functions.text import (
     collapse_spaces, redact, sample_json_length, seeded_rank, strip, with_end_marker,
 )
 from quern.operators import (
-    audit, cleaning, evaluation, formats, ingest, samples, selection, tokens,
+    audit, cleaning, evaluation, formats, ingest, samples, selection, tokens, vocabulary,
 )
 from quern.operators.ordering import first_rows, keep_first, number_rows, top_per_group
 from quern.plans import corpus, tables
@@ -590,9 +590,9 @@ def format_rejects(spark, folder):
 @register
 def completion_mask(spark, folder):
     masked = formats.completion_masks(_doc_samples(spark, folder), ["doc_id"])
-    return formats.mask_counts(masked, ["doc_id"]).join(masked.select(
-        "doc_id", _joined_md5("input_ids").alias("ids_md5"), _joined_md5("labels").alias("labels_md5")
-    ), "doc_id")
+    return formats.mask_counts(masked, ["doc_id"], keep=("input_ids", "labels")).withColumns(
+        {"ids_md5": _joined_md5("input_ids"), "labels_md5": _joined_md5("labels")}
+    ).drop("input_ids", "labels")
 
 
 @register
@@ -750,6 +750,56 @@ def expected_pass_rate(spark, folder):
     return evaluation.pass_rate(checked, "turn")
 
 
+# ------------------------------------------------- a merging vocabulary
+
+
+@register
+def vocabulary_labels(spark, folder):
+    """Labels of continued documents: many a token spans the end of the prompt."""
+    path = tables.public_vocabulary()
+    continued = tables.continuations(_docs(spark, folder))
+    masked = vocabulary.labels(continued, path, ["doc_id"], "prompt", "completion")
+    counts = formats.mask_counts(masked, ["doc_id"], keep=("straddling", "input_ids", "labels"))
+    return counts.withColumns(
+        {"ids_md5": _joined_md5("input_ids"), "labels_md5": _joined_md5("labels")}
+    ).drop("input_ids", "labels")
+
+
+@register
+def vocabulary_masks(spark, folder):
+    """Labels of fenced dialogue turns, and what of them is trained."""
+    path, key = tables.public_vocabulary(), ["conv_id", "turn"]
+    masked = vocabulary.completion_masks(_pairs(spark, folder), path, key)
+    return vocabulary.trained_part(masked, path, key)
+
+
+@register
+def vocabulary_roundtrip(spark, folder):
+    return vocabulary.roundtrip(_docs(spark, folder), tables.public_vocabulary(), ["doc_id"], "text", 1024)
+
+
+@register
+def vocabulary_windows(spark, folder):
+    """Windows of 100 ids, joined again: what each text is cut into adds up to it."""
+    path = tables.public_vocabulary()
+    cut = vocabulary.windows(_docs(spark, folder), path, ["doc_id"], "text", 100)
+    parts = F.array_sort(F.collect_list(F.struct("place", "text")))
+    return cut.groupBy("doc_id").agg(
+        F.md5(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("text_md5"),
+        (F.max(F.size("ids")) <= 100).alias("within"),
+    )
+
+
+@register
+def vocabulary_tokens(spark, folder):
+    made = vocabulary.tokenise(
+        _doc_samples(spark, folder), tables.public_vocabulary(), "<|endoftext|>", ["doc_id"])
+    return made.select(
+        "doc_id", "type", "n_tokens", "original_tokens", "truncated",
+        _joined_md5("input_ids").alias("ids_md5"),
+    )
+
+
 # ------------------------------------------------------------- streaming
 
 
@@ -765,9 +815,11 @@ def _arrivals(spark, folder) -> DataFrame:
 @register
 def stream_dedupe(spark, folder):
     out = scratch_path(spark, "stream")
-    step = incremental.distinct_step("text", ["arrived_at", "doc_id"], out)
-    incremental.run_available(_arrivals(spark, folder), step, out + "-state")
-    return spark.read.schema("code_hash string, text string").parquet(out).drop(incremental.BATCH)
+    arrivals = _arrivals(spark, folder)
+    incremental.run_distinct(arrivals, "text", ["arrived_at", "doc_id"], out, out + "-state")
+    return spark.read.schema("code_hash string, text string").parquet(f"{out}/files").drop(
+        incremental.BATCH
+    )
 
 
 def _cleaned_stream(spark, folder) -> str:
@@ -778,7 +830,7 @@ def _cleaned_stream(spark, folder) -> str:
     )
     stamped = cleaning.as_sources(arrived, "file_path", "source", keep=("arrived_at",))
     out = scratch_path(spark, "stream")
-    incremental.run_available(stamped, incremental.clean_step(out), out + "-state")
+    incremental.run_clean(stamped, out, out + "-state")
     return out
 
 

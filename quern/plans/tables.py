@@ -141,3 +141,22 @@ def raw_files(docs: DataFrame) -> DataFrame:
         .otherwise(F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8"))
         .alias("content"),
     )
+
+
+def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary file, which every worker has."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+CONTINUED_SHARE = 0.4
+
+
+def continuations(docs: DataFrame) -> DataFrame:
+    """Documents as a prompt and its continuation.  The border lies anywhere, also within words."""
+    border = F.floor(F.length("text") * CONTINUED_SHARE).cast("int")
+    return docs.select(
+        "doc_id", F.substr("text", F.lit(1), border).alias("prompt"),
+        F.substr("text", border + 1).alias("completion"),
+    )

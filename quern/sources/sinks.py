@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 SAMPLE_COLUMNS = ["type", "instruction", "code"]
 
 
+class Counted:
+    """A table that is counted in the pass that writes it.
+
+    ``rows`` must be written once, with no shuffle in between: the counts then come from the tasks
+    that wrote, each of which Spark counts once even if it ran again.
+    """
+
+    def __init__(self, df: DataFrame, *counts: Column):
+        self.seen, self.spark = Observation(), df.sparkSession
+        self.rows = df.observe(self.seen, *counts)
+        self.schema = df.agg(*counts).schema
+
+    def counts(self) -> dict:
+        """What was counted; waits for the write."""
+        return self.seen.get
+
+    def report(self, **more) -> DataFrame:
+        """The counts as a table of one row.  ``more`` replaces counts of these names."""
+        told = self.counts() | more
+        return self.spark.createDataFrame([[told[name] for name in self.schema.names]], self.schema)
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 

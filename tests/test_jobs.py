@@ -5,8 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+import scans
 from quern import schemas
 from quern.__main__ import main, parser
+from quern.operators import cleaning, samples, tokens
 from quern.plans import corpus, jobs, tables
 from quern.sources import files
 
@@ -245,3 +247,50 @@ def test_masks_and_audit_write_what_they_leave_out(spark, tmp_path):
         assert len(rejects) == len(reasons) and reasons["4"] == "json_decode_error"
         assert kept | set(reasons) == {"1", "2", "3", "4"} and not kept & set(reasons)
     assert reasons == {"2": "no_code", "4": "json_decode_error"}
+
+
+def located(found, folder):
+    return [rows for scan, rows in found if f"{folder}]" in scan or f"{folder}," in scan or f"{folder}/" in scan]
+
+
+def test_reports_are_counted_while_writing(spark, stages, tree, tmp_path):
+    """A job's table is read for its further outputs, never for its report."""
+    report = []
+    found = scans.scans_of(
+        spark, lambda: report.append(jobs.clean_job(spark, str(tree[0]), f"{tmp_path}/clean").first()))
+    assert len(located(found, "clean/files")) == 2  # manifest and rejects
+    cleaned = spark.read.parquet(f"{tmp_path}/clean/files")
+    assert report[0] == cleaning.outcome_counts(cleaned).first()
+
+    report.clear()
+    found = scans.scans_of(
+        spark, lambda: report.append(jobs.samples_job(spark, f"{tmp_path}/clean", f"{tmp_path}/samples").collect()))
+    assert len(located(found, "samples/checked")) == 2  # distinct samples and rejects
+    checked = spark.read.parquet(f"{tmp_path}/samples/checked")
+    assert sorted(report[0]) == sorted(samples.sample_counts(checked).collect())
+
+    report.clear()
+    source = f"{tmp_path}/samples/samples"
+    found = scans.scans_of(
+        spark, lambda: report.append(jobs.tokens_job(spark, source, f"{tmp_path}/tokens", 500).first()))
+    assert len(located(found, "tokens/tokens")) == 1  # rejects
+    lines = spark.read.parquet(source).withColumns(
+        {name: F.lit(None).cast("string") for name in ("original_code", "fixed_code")})
+    want = tokens.token_stats(tokens.sizes(lines, 500)).first()
+    assert report[0].asDict() == want.asDict() and want.truncated > 0
+
+
+def test_format_and_select_write_what_they_leave_out(spark, tmp_path):
+    rows = [{"type": "code_comment", "instruction": "i", "code": "c d"}, {"type": "x", "code": "c"},
+            {"code": "c"}, {"type": "code_comment", "instruction": "i", "code": " "}]
+    (tmp_path / "a.jsonl").write_text("\n".join([*map(json.dumps, rows), "not json"]) + "\n")
+    report = jobs.format_job(spark, f"{tmp_path}/a.jsonl", f"{tmp_path}/texts").first()
+    assert (report.before, report.skipped, report.kept) == (2, 1, 1)
+    reasons = {r.key: r.reason for r in spark.read.parquet(f"{tmp_path}/texts/rejects").collect()}
+    assert reasons == {"2": "other_type", "3": "other_type", "4": "empty_text", "5": "json_decode_error"}
+    report = jobs.select_job(spark, f"{tmp_path}/a.jsonl", f"{tmp_path}/select").first()
+    rejects = spark.read.parquet(f"{tmp_path}/select/rejects").groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in rejects} == {k: v for k, v in report.skip_reasons.items() if v}
+    (tmp_path / "b.jsonl").write_text(json.dumps(rows[3]) + "\n")
+    with pytest.raises(ValueError):
+        jobs.format_job(spark, f"{tmp_path}/b.jsonl", f"{tmp_path}/none")

@@ -14,7 +14,11 @@ def con(data):
     return compare.connect(data)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# SQL cannot encode with a vocabulary; tests/test_vocabulary.py compares with the library.
+WITHOUT_SQL = {"vocabulary_labels", "vocabulary_masks", "vocabulary_roundtrip", "vocabulary_tokens"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, con, data, name):
     got = compare.spark_rows(QUERIES[name](spark, data))
     assert got[1]
@@ -22,7 +26,7 @@ def test_same_rows_as_sql(spark, con, data, name):
 
 
 def test_every_query_has_sql():
-    assert set(ORACLES) == set(QUERIES)
+    assert set(ORACLES) | WITHOUT_SQL == set(QUERIES) and not WITHOUT_SQL & set(ORACLES)
 
 
 def test_entry(spark):
