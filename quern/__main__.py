@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     one = job("ingest", "listing", "contents", "state", "out")
     one.add_argument("--max-results", type=int, default=jobs.ingest.MAX_REPOS)
     job("clean", "raw", "out")
+    job("clean-changed", "raw", "out")
     job("samples", "cleaned", "out")
     one = job("select", "jsonl", "out")
     one.add_argument("--target", type=int, default=1000)

@@ -249,3 +249,18 @@ def code_files(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.expr(FILE_PATH).alias("file_path"), F.expr(by_template(SOURCES)).alias("source")
     )
+
+
+def earlier_files(docs: DataFrame) -> DataFrame:
+    """The code corpus before it changed: of every 7th file another text, of every 13th none yet."""
+    changed = F.col("doc_id") % 7 == 0
+    source = F.expr(by_template(SOURCES))
+    return docs.filter(F.col("doc_id") % 13 != 0).select(
+        F.expr(FILE_PATH).alias("file_path"),
+        F.when(changed, F.concat(source, F.lit("# earlier\n"))).otherwise(source).alias("source"),
+    )
+
+
+def later_files(docs: DataFrame) -> DataFrame:
+    """The code corpus after it changed: every 11th file is gone."""
+    return code_files(docs.filter(F.col("doc_id") % 11 != 0))

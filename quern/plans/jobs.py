@@ -4,19 +4,23 @@ outputs from that table, so nothing expensive runs twice.  Rows that a stage lea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quern import schemas
 from quern.operators import (
-    audit, cleaning, evaluation, formats, ingest, samples, selection, tokens, vocabulary as merging,
+    audit, changes, cleaning, evaluation, formats, ingest, samples, selection, tokens,
+    vocabulary as merging,
 )
 from quern.operators.ordering import number_rows
 from quern.session import job, spool
-from quern.sources import files, sinks
+from quern.sources import files, sinks, versions
 from quern.streaming import incremental
 
 
 EOS = "<|endoftext|>"
+# Paths of files to clean, well under 1000 bytes each.
+BROADCAST_PATHS = 100_000
+MANIFEST_OF_RUNS = T.StructType([*schemas.MANIFEST.fields, schemas.INPUTS["run"]])
 
 
 def vocabulary_rules() -> tuple[str, ...]:
@@ -41,11 +45,30 @@ def ingest_job(
 
     A repository without Python files is recorded too; one with a file that failed to decode is
     not, so it is tried again.  Contents are joined and decoded once; files, rejects and state
-    derive from that table.
+    derive from that table and appear together, as a version below ``out``.  ``state`` is a state
+    table, or the root of earlier versions, which may be ``out`` itself.
     """
+    with versions.publication(spark, out) as (path, _):
+        _ingest(spark, listing, contents, _known_state(spark, state), path, max_results, search)
+
+
+def _known_state(spark: SparkSession, state: str) -> DataFrame:
+    """A state table, or that of the newest version below a root; nothing before the first one."""
+    reader = spark.read.schema(schemas.CRAWL_STATE)
+    newest = versions.current(spark, state)
+    if newest is not None:
+        return reader.parquet(f"{newest}/state")
+    if versions.is_empty(spark, state):
+        return spark.createDataFrame([], schemas.CRAWL_STATE)
+    return reader.parquet(state)
+
+
+def _ingest(
+    spark: SparkSession, listing: str, contents: str, known: DataFrame, out: str, max_results: int,
+    search: dict,
+) -> None:
     listed = spark.read.schema(schemas.REPO_LISTING).parquet(listing)
     wanted = ingest.top_repos(listed, max_results=max_results, **search)
-    known = spark.read.schema(schemas.CRAWL_STATE).parquet(state)
     changed = spool(
         ingest.changed_repos(wanted, known).select("repo", "updated_at"), "changed"
     )
@@ -75,10 +98,71 @@ def clean_job(spark: SparkSession, raw: str, out: str) -> DataFrame:
     return sinks.write_report(counted.report(), f"{out}/outcomes")
 
 
+def clean_changes(spark: SparkSession, contents: DataFrame, out: str) -> DataFrame:
+    """A version of the cleaned tree (file_path, content) below ``out``, from what changed.
+
+    Files are told by path, length and content hash.  New and changed ones are cleaned into
+    ``texts`` of this run; what is known of the others moves on, and their texts stay where an
+    earlier run wrote them; files that are gone are left out.  Inputs, manifest, rejects and report
+    appear together.
+    """
+    before = versions.current(spark, out)
+
+    def known(name: str, schema) -> DataFrame:
+        if before is None:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{before}/{name}")
+
+    with versions.publication(spark, out) as (path, run):
+        current = spool(changes.fingerprints(contents), "fingerprints")
+        compared = sinks.Counted(
+            changes.compare(current, known("inputs", schemas.INPUTS)), *changes.change_totals())
+        stored = _stored(compared.rows, f"{path}/changes")
+        told = compared.counts()
+        dirty = changes.of_kind(stored, changes.NEW, changes.CHANGED)
+        if told[changes.NEW] + told[changes.CHANGED] <= BROADCAST_PATHS:
+            dirty = F.broadcast(dirty)
+        sources = cleaning.read_sources(contents.join(dirty, "file_path", "left_semi"))
+        fresh = _stored(cleaning.clean(sources), f"{out}/texts/run={run}", ("outcome",))
+        same = changes.of_kind(stored, changes.UNCHANGED).toDF("same_path")
+        this_run = F.lit(run).cast("int").alias("run")
+
+        def merged(name: str, schema, made: DataFrame, key: str = "file_path") -> DataFrame:
+            old = known(name, schema).join(same, F.col(key) == F.col("same_path"), "left_semi")
+            return old.unionByName(made.select(*schema.names))
+
+        inputs = fresh.select("file_path", "outcome", this_run).join(current, "file_path")
+        totals = sinks.Counted(merged("inputs", schemas.INPUTS, inputs), *cleaning.outcome_totals())
+        sinks.write_table(totals.rows, f"{path}/inputs")
+        sinks.write_table(
+            merged("manifest", MANIFEST_OF_RUNS, cleaning.manifest(fresh).withColumn("run", this_run)),
+            f"{path}/manifest")
+        sinks.write_table(
+            merged("rejects", schemas.REJECTS, cleaning.rejects(fresh), "key"), f"{path}/rejects")
+        report = totals.report().withColumns({kind: F.lit(told[kind]) for kind in changes.KINDS})
+        return sinks.write_report(report, f"{path}/report")
+
+
+def cleaned_texts(spark: SparkSession, cleaned: str) -> DataFrame:
+    """Cleaned files of ``clean_job``, or of the newest version of ``clean_changes``."""
+    newest = versions.current(spark, cleaned)
+    if newest is None:
+        return cleaning.cleaned_files(spark.read.parquet(f"{cleaned}/files"))
+    live = spark.read.schema(MANIFEST_OF_RUNS).parquet(f"{newest}/manifest").select("file_path", "run")
+    texts = spark.read.parquet(f"{cleaned}/texts")
+    return cleaning.cleaned_files(texts.join(live, ["file_path", "run"], "left_semi")).drop("run")
+
+
+@job
+def clean_changed_job(spark: SparkSession, raw: str, out: str) -> DataFrame:
+    """``clean_job`` that cleans only the files that changed since the last run into ``out``."""
+    return clean_changes(spark, files.source_tree(spark, raw), out)
+
+
 @job
 def publish_job(spark: SparkSession, cleaned: str, out: str) -> None:
     """Cleaned files under their relative path, in one folder per repository."""
-    sinks.write_cleaned(cleaning.cleaned_files(spark.read.parquet(f"{cleaned}/files")), out)
+    sinks.write_cleaned(cleaned_texts(spark, cleaned), out)
 
 
 @job
@@ -88,7 +172,7 @@ def samples_job(spark: SparkSession, cleaned: str, out: str) -> DataFrame:
     Line numbers are worked out on the order key alone and joined to the samples, whose text is
     sorted within its range partitions once, to write the lines.
     """
-    sources = cleaning.cleaned_files(spark.read.parquet(f"{cleaned}/files"))
+    sources = cleaned_texts(spark, cleaned)
     counted = sinks.Counted(samples.check(samples.extract(sources)), *samples.reason_totals())
     checked = _stored(counted.rows, f"{out}/checked")
     once = sinks.Counted(samples.distinct_samples(checked), F.count(F.lit(1)).alias("n"))

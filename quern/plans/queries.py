@@ -19,9 +19,9 @@ from quern.operators import (
     audit, cleaning, evaluation, formats, ingest, samples, selection, tokens, vocabulary,
 )
 from quern.operators.ordering import first_rows, keep_first, number_rows, top_per_group
-from quern.plans import corpus, tables
-from quern.session import scratch_path, spool
-from quern.sources import files, sinks
+from quern.plans import corpus, jobs, tables
+from quern.session import handovers, scratch_path, spool
+from quern.sources import files, sinks, versions
 from quern.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +195,22 @@ def _cleaned(spark, folder) -> DataFrame:
     return cleaning.clean(_sources(spark, folder))
 
 
+@register
+def clean_changed(spark, folder):
+    """The corpus cleaned, changed, and cleaned again by its manifest: what became of every file,
+    which run cleaned it, and its text."""
+    docs, out = _docs(spark, folder), scratch_path(spark, "changes")
+    with handovers(spark):
+        for files_ in (corpus.earlier_files(docs), corpus.later_files(docs)):
+            contents = files_.select("file_path", F.encode("source", "UTF-8").alias("content"))
+            jobs.clean_changes(spark, contents, out)
+    now = versions.current(spark, out)
+    compared = spark.read.parquet(f"{now}/changes")
+    inputs = spark.read.parquet(f"{now}/inputs").select("file_path", "outcome", "run")
+    texts = jobs.cleaned_texts(spark, out).select("file_path", F.md5("source").alias("clean_md5"))
+    return compared.join(inputs, "file_path", "left").join(texts, "file_path", "left")
+
+
 @register
 def read_sources(spark, folder):
     return cleaning.read_sources(tables.raw_files(_docs(spark, folder))).select(

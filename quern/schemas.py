@@ -24,6 +24,15 @@ MANIFEST = _struct(
     line_count=T.IntegerType(), function_count=T.IntegerType(), imports=STRINGS,
     cleaned_at=T.TimestampType(), python_version=T.StringType(),
 )
+# What a run knows of every file of a tree; ``run`` is the one that cleaned it.
+INPUTS = _struct(
+    file_path=T.StringType(), original_size=T.LongType(), content_md5=T.StringType(),
+    outcome=T.StringType(), run=T.IntegerType(),
+)
+REJECTS = _struct(
+    stage=T.StringType(), key=T.StringType(), reason=T.StringType(), detail=T.StringType(),
+    at=T.TimestampType(),
+)
 SAMPLE = _struct(
     type=T.StringType(), instruction=T.StringType(), code=T.StringType(),
     original_code=T.StringType(), fixed_code=T.StringType(),

@@ -10,7 +10,7 @@ from quern import schemas
 from quern.__main__ import main, parser
 from quern.operators import cleaning, samples, tokens
 from quern.plans import corpus, jobs, tables
-from quern.sources import files
+from quern.sources import files, sinks, versions
 
 
 @pytest.fixture(scope="module")
@@ -141,12 +141,13 @@ def test_ingest(spark, tmp_path):
     jobs.ingest_job(
         spark, f"{tmp_path}/listing", f"{tmp_path}/contents", f"{tmp_path}/state", f"{tmp_path}/out"
     )
-    landed = spark.read.parquet(f"{tmp_path}/out/files").collect()
+    out = versions.current(spark, f"{tmp_path}/out")
+    landed = spark.read.parquet(f"{out}/files").collect()
     assert {(r.repo, r.path) for r in landed} == {("o/new", "a/b.py"), ("o/bad", "b.py")}
     assert landed[0].source == "x = 'é'\n" * 20
-    after = {r.repo: r.updated_at for r in spark.read.parquet(f"{tmp_path}/out/state").collect()}
+    after = {r.repo: r.updated_at for r in spark.read.parquet(f"{out}/state").collect()}
     assert after == {"o/new": now, "o/same": now, "o/gone": before, "o/empty": now}
-    rejects = spark.read.parquet(f"{tmp_path}/out/rejects").collect()
+    rejects = spark.read.parquet(f"{out}/rejects").collect()
     assert {(r.stage, r.key, r.reason) for r in rejects} == {
         ("ingest", "o/new/../x.py", "refused_path"), ("ingest", "o/bad/a.py", "undecodable_content"),
     }
@@ -294,3 +295,102 @@ def test_format_and_select_write_what_they_leave_out(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text(json.dumps(rows[3]) + "\n")
     with pytest.raises(ValueError):
         jobs.format_job(spark, f"{tmp_path}/b.jsonl", f"{tmp_path}/none")
+
+
+# ------------------------------------------------------------- versions
+
+
+def test_a_run_that_was_cut_off_leaves_the_old_version_whole(spark, tmp_path, monkeypatch):
+    now, later = datetime(2025, 6, 1), datetime(2025, 7, 1)
+    code = base64.encodebytes(b"x = 1\n" * 20).decode()
+    root = f"{tmp_path}/out"
+
+    def run(name, updated):
+        rows = [("o/a", updated, 500, 50, updated, "Python")]
+        spark.createDataFrame(rows, schemas.REPO_LISTING).write.parquet(f"{tmp_path}/listing-{name}")
+        files_ = [("o/a", f"{name}.py", "file", "base64", code), ("o/a", f"../{name}.py", "file", "base64", code)]
+        spark.createDataFrame(files_, schemas.REPO_CONTENTS).write.parquet(f"{tmp_path}/contents-{name}")
+        again(name)
+
+    def again(name):
+        jobs.ingest_job(spark, f"{tmp_path}/listing-{name}", f"{tmp_path}/contents-{name}", root, root)
+
+    def seen():
+        at = versions.current(spark, root)
+        tables_ = [spark.read.parquet(f"{at}/{name}") for name in ("files", "rejects", "state")]
+        return ([r.path for r in tables_[0].collect()], [r.key for r in tables_[1].collect()],
+                [r.updated_at for r in tables_[2].collect()])
+
+    run("first", now)
+    old = (["first.py"], ["o/a/../first.py"], [now])
+    assert seen() == old
+    for stop in ("write_landed", "write_rejects"):
+        write = getattr(sinks, stop)
+
+        def cut_off(*args):
+            write(*args)
+            raise RuntimeError("cut off")
+        monkeypatch.setattr(sinks, stop, cut_off)
+        with pytest.raises(RuntimeError):
+            run(stop, later)
+        monkeypatch.setattr(sinks, stop, write)
+        assert seen() == old and versions.published(spark, root) == [1]
+    again("write_landed")
+    assert seen() == (["write_landed.py"], ["o/a/../write_landed.py"], [later])
+    assert versions.published(spark, root) == [1, 2]
+
+
+def test_only_changed_files_are_cleaned(spark, tmp_path):
+    raw, out = tmp_path / "raw", f"{tmp_path}/out"
+    body = "".join(f"name_{i} = {i}\n" for i in range(12))
+    (raw / "a").mkdir(parents=True)
+    for name, text in (("same.py", body), ("edit.py", body), ("gone.py", body), ("bad.py", "def ("),
+                       ("mended.py", "def ("), ("a/deep.py", body)):
+        (raw / name).write_text(text)
+    first = jobs.clean_changed_job(spark, str(raw), out).first()
+    assert (first.total, first.passed, first.syntax_error, first.new, first.unchanged) == (6, 4, 2, 6, 0)
+    (raw / "edit.py").write_text(body.replace("11", "12"))  # of the same length
+    (raw / "gone.py").unlink()
+    (raw / "mended.py").write_text(body)
+    (raw / "new.py").write_text("x = 1\n")
+    (raw / "notes.txt").write_text(body)
+    (raw / "same.py").touch()
+    second = jobs.clean_changed_job(spark, str(raw), out).first()
+    assert (second.new, second.changed, second.deleted, second.unchanged) == (1, 2, 1, 3)
+    assert (second.total, second.passed, second.syntax_error, second.too_short) == (6, 4, 1, 1)
+    at = versions.current(spark, out)
+    cleaned = spark.read.parquet(f"{out}/texts/run=2")
+    assert sorted(r.file_path for r in cleaned.collect()) == ["edit.py", "mended.py", "new.py"]
+    manifest = {r.file_path: r.run for r in spark.read.parquet(f"{at}/manifest").collect()}
+    assert manifest == {"same.py": 1, "a/deep.py": 1, "edit.py": 2, "mended.py": 2}
+    rejects = {r.key: r.reason for r in spark.read.parquet(f"{at}/rejects").collect()}
+    assert rejects == {"bad.py": "syntax_error", "new.py": "too_short"}
+    texts = {r.file_path: r.source for r in jobs.cleaned_texts(spark, out).collect()}
+    assert set(texts) == set(manifest) and texts["edit.py"] == body.replace("11", "12")
+    third = jobs.clean_changed_job(spark, str(raw), out).first()
+    assert (third.unchanged, third.new, third.changed, third.deleted, third.total) == (6, 0, 0, 0, 6)
+    counts = {r.outcome: r.samples for r in jobs.samples_job(spark, out, f"{tmp_path}/samples").collect()}
+    assert counts == {"file_too_small": 4}
+
+
+def test_a_cut_off_cleaning_is_cleaned_again(spark, tmp_path, monkeypatch):
+    raw, out = tmp_path / "raw", f"{tmp_path}/out"
+    body = "".join(f"name_{i} = {i}\n" for i in range(12))
+    raw.mkdir()
+    (raw / "a.py").write_text(body)
+    jobs.clean_changed_job(spark, str(raw), out)
+    (raw / "b.py").write_text(body)
+    write = sinks.write_table
+
+    def cut_off(df, path, *more):
+        if path.endswith("manifest"):
+            raise RuntimeError("cut off")
+        write(df, path, *more)
+    monkeypatch.setattr(sinks, "write_table", cut_off)
+    with pytest.raises(RuntimeError):
+        jobs.clean_changed_job(spark, str(raw), out)
+    monkeypatch.setattr(sinks, "write_table", write)
+    assert [r.file_path for r in jobs.cleaned_texts(spark, out).collect()] == ["a.py"]
+    report = jobs.clean_changed_job(spark, str(raw), out).first()
+    assert (report.new, report.unchanged) == (1, 1)
+    assert sorted(r.file_path for r in jobs.cleaned_texts(spark, out).collect()) == ["a.py", "b.py"]
