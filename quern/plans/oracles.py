@@ -925,8 +925,8 @@ SELECT doc_id, md5(text) AS text_md5, true AS "within" FROM documents WHERE text
 WITH {FILES}
 SELECT file_path, CASE WHEN doc_id % 11 = 0 THEN 'deleted' WHEN doc_id % 13 = 0 THEN 'new'
     WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change,
-  CASE WHEN doc_id % 11 = 0 THEN NULL WHEN k = 2 THEN 'syntax_error' WHEN k = 3 THEN 'too_short'
-    ELSE 'passed' END AS outcome,
+  CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 10 = 2 THEN 'syntax_error'
+    WHEN doc_id % 10 = 3 THEN 'too_short' ELSE 'passed' END AS outcome,
   CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 OR doc_id % 7 = 0 THEN 2 ELSE 1 END AS run,
   CASE WHEN doc_id % 11 <> 0 THEN md5(clean) END AS clean_md5
 FROM files LEFT JOIN cleaned USING (doc_id, file_path)
