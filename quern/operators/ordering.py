@@ -87,6 +87,13 @@ def add_offsets(
     return numbered.drop(*shard, within, "_shift")
 
 
+def before_totals(counts: DataFrame, order: Sequence[str], n: str, name: str) -> DataFrame:
+    """A stored table (order, total of ``n`` over all rows before).  It has one row per input range."""
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return spool(
+        counts.select(*order, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(name)), "totals")
+
+
 def number_rows(
     df: DataFrame, order: Sequence[str], name: str = "row_no", rows: int | None = None
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from quern import schemas
 from quern.functions.text import strip
 from quern.operators.ordering import add_offsets
 from quern.session import spool
+from quern.sources import lines
 
 CORRUPT = "_corrupt"
 JSON_SPACES = " \t\n\r"
@@ -31,19 +32,31 @@ def json_samples(spark: SparkSession, path: str, schema: T.StructType = schemas.
     return spark.read.schema(schema).json(path)
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.SAMPLE) -> DataFrame:
-    """JSON lines with their 1-based line number over all files in path order.
+def numbered_text(spark: SparkSession, path: str, name: str = "source_line") -> DataFrame:
+    """(value, line number from 1 on over all files in path order).
 
-    Blank lines (Unicode white space) are dropped but counted; a line that is not exactly one JSON
-    object keeps NULL fields and its text in ``_corrupt``.  A line's number is its place in its input block plus the lines of all
-    blocks before it, so nothing is sorted or counted in one task.
+    Stores that Arrow reads are read twice, once to count lines, and nothing is stored but one row
+    per range.  From others, which only Spark reads, the lines are stored with their place in an
+    input block; a line's number is that plus the lines of all blocks before.
     """
+    uri = lines.qualified(spark, path)
+    if lines.readable(uri):
+        return lines.numbered_lines(spark, uri, name)
     placed = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_place"),
     )
-    lines = add_offsets(spool(placed, "lines"), ["_file", "_block"], "_place", "source_line")
+    return add_offsets(spool(placed, "lines"), ["_file", "_block"], "_place", name)
+
+
+def json_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.SAMPLE) -> DataFrame:
+    """JSON lines with their 1-based line number over all files in path order.
+
+    Blank lines (Unicode white space) are dropped but counted; a line that is not exactly one JSON
+    object keeps NULL fields and its text in ``_corrupt``.
+    """
+    numbered = numbered_text(spark, path)
     # A line is one object if it parses as the only element of an array: text after the object
     # or a second object on the line breaks the array or makes it longer.
     value = F.trim("value", F.lit(JSON_SPACES))
@@ -52,7 +65,7 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.SA
     )
     one = F.startswith(value, F.lit("{")) & (F.size("items") == 1)
     return (
-        lines.filter(strip("value") != "").withColumn("items", items)
+        numbered.filter(strip("value") != "").withColumn("items", items)
         .withColumn("item", F.when(one, F.get("items", F.lit(0))))
         .select(
             "source_line", "item.*", F.when(F.col("item").isNull(), F.col("value")).alias(CORRUPT)
