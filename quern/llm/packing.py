@@ -84,8 +84,8 @@ class WordTokens:
 
     Words between blanks and line ends are independent.  Those of a block of texts are made distinct
     in Arrow; what is not known yet is cut into pre-tokens (words of common Latin letters; others go
-    to the library whole), and all missing pre-tokens are merged in a few calls.  Words that a block
-    holds once are not kept.
+    to the library whole), and all missing pre-tokens are merged in a few calls.  What a block
+    holds once is not kept.
     """
 
     def __init__(self, path: str):
@@ -99,7 +99,7 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words, self.pre_tokens = Halves(250_000), Halves(200_000)
+        self.words, self.pre_tokens = Halves(350_000), Halves(350_000)
 
     def whole_ids(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -125,7 +125,9 @@ class WordTokens:
         several: list[tuple[int, list[str]]] = []
         for i in missing:
             word = words[i]
-            if not _COMMON.fullmatch(word):
+            if word.isascii() and word.isalpha():
+                single.append((i, word.lower()))
+            elif not _COMMON.fullmatch(word):
                 table[i] = self.whole_ids(word)
             elif word.isalpha():
                 single.append((i, word.lower()))
@@ -133,13 +135,17 @@ class WordTokens:
                 several.append((i, [word[:-1].lower(), word[-1]]))
             else:
                 several.append((i, _PRE_TOKEN.findall(word.lower())))
-        names = list(dict.fromkeys(chain(
-            map(itemgetter(1), single), chain.from_iterable(map(itemgetter(1), several)))))
+        uses = Counter(chain(
+            map(itemgetter(1), single), chain.from_iterable(map(itemgetter(1), several))))
+        for i, name in single:
+            uses[name] += counts[i] - 1
+        names = list(uses)
         made = self.pre_tokens.known(names)
         new = [i for i, ids in enumerate(made) if ids is None]
         for i, ids in zip(new, self.merged([names[i] for i in new]), strict=True):
             made[i] = ids
-            self.pre_tokens.keep(names[i], ids)
+            if uses[names[i]] > 1:
+                self.pre_tokens.keep(names[i], ids)
         known = dict(zip(names, made, strict=True))
         for i, name in single:
             table[i] = known[name]
