@@ -1,13 +1,14 @@
 """Secret scans through a trigram index.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that every match must
-contain.  The trigrams that any rule needs are indexed: for each block of documents (one Arrow
-batch) there is a posting list per trigram.  A rule's query intersects and unites posting lists,
-and only the documents that remain are searched with the expression.  Rules without a mandatory
-trigram search every document.  Blocks are independent, so nothing is shuffled and no index grows
-with the corpus.
+contain.  A block of documents is indexed in one pass over its bytes, whatever the number of rules:
+every trigram of the texts that some rule asks for goes to that trigram's posting list.  A rule's
+query intersects and unites posting lists, and only the documents that remain are searched with the
+expression.  Rules without a mandatory trigram search every document.  Blocks are independent, so
+nothing is shuffled and no index grows with the corpus.
 
-Trigrams are compared in lower case, which can only add candidates.
+Trigrams are three bytes, with A to Z in lower case, which can only add candidates.  What an
+expression matches in either case beyond ASCII counts as no trigram.
 
 Cases: NULL is the empty text (no spans); texts are searched whole; matches of one kind never
 overlap, those of different kinds may; equal starts are ordered by the rules' order; repeated rows
@@ -18,16 +19,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from re import _constants as codes, _parser as parser
 
 from quern.llm.common import map_texts
 
-MAX_STRINGS = 24
-MAX_CLASS = 4
+MAX_STRINGS = 64
+MAX_CLASS = 8
+# Bytes of text that are indexed together; a longer text is a block of its own.
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -93,13 +98,18 @@ def _of_strings(strings: set[str]):
     ])
 
 
+def _folded(code: int) -> str:
+    """Only ASCII has a lower case here, in expressions as in texts."""
+    return chr(code).lower() if code < 128 else chr(code)
+
+
 def _class_strings(items) -> set[str] | None:
     chars: set[str] = set()
     for code, value in items:
         if code is codes.LITERAL:
-            chars.add(chr(value).lower())
+            chars.add(_folded(value))
         elif code is codes.RANGE and value[1] - value[0] < 2 * MAX_CLASS:
-            chars.update(chr(c).lower() for c in range(value[0], value[1] + 1))
+            chars.update(map(_folded, range(value[0], value[1] + 1)))
         else:
             return None
     return chars if len(chars) <= MAX_CLASS else None
@@ -126,11 +136,11 @@ def _describe(tree) -> tuple[set[str] | None, object]:
 
 def _describe_item(code, value) -> tuple[set[str] | None, object]:
     if code is codes.LITERAL:
-        return {chr(value).lower()}, True
+        return {_folded(value)}, True
     if code is codes.IN:
         return _class_strings(value), True
     if code is codes.SUBPATTERN:
-        return _describe(value[3])
+        return (None, True) if _folds_unicode(value[1]) else _describe(value[3])
     if code is codes.BRANCH:
         made = [_describe(branch) for branch in value[1]]
         if all(exact is not None for exact, _ in made):
@@ -151,8 +161,15 @@ def _describe_item(code, value) -> tuple[set[str] | None, object]:
     return None, True
 
 
+def _folds_unicode(flags: int) -> bool:
+    return bool(flags & re.IGNORECASE) and not flags & re.ASCII
+
+
 def trigram_query(pattern: str):
-    exact, query = _describe(parser.parse(pattern))
+    tree = parser.parse(pattern)
+    if _folds_unicode(tree.state.flags):
+        return True
+    exact, query = _describe(tree)
     return _of_strings(exact) if exact is not None else query
 
 
@@ -162,38 +179,75 @@ def trigrams_of(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
 
 
-def candidates(query, postings: dict[str, set[int]]) -> set[int] | None:
+def candidates(query, postings: dict[str, np.ndarray]) -> np.ndarray | None:
     """Documents that satisfy the query; None means all."""
     if query is True:
         return None
     if isinstance(query, str):
         return postings[query]
     parts = [candidates(part, postings) for part in query[1]]
-    return set.intersection(*parts) if query[0] == "and" else set.union(*parts)
+    return reduce(np.intersect1d if query[0] == "and" else np.union1d, parts)
 
 
 # ---------------------------------------------------------------- the scan
 
 
+def byte_trigrams(gram: str) -> list[int]:
+    """Three bytes each as one number; a trigram beyond ASCII has more than three bytes."""
+    raw = gram.encode()
+    return [raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2] for i in range(len(raw) - 2)]
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(rule, re.compile(rule.pattern), trigram_query(rule.pattern)) for rule in rules]
-        self.trigrams = sorted(set().union(*(trigrams_of(query) for _, _, query in self.rules)))
-
-    def postings(self, texts: list[str]) -> dict[str, set[int]]:
-        folded = [text.lower() for text in texts]
+        grams = set().union(*(trigrams_of(query) for _, _, query in self.rules))
+        self.grams = {gram: byte_trigrams(gram) for gram in grams}
+        wanted = sorted({code for found in self.grams.values() for code in found})
+        self.place = {code: place for place, code in enumerate(wanted, 1)}
+        self.number = np.zeros(1 << 24, np.uint16)  # of each trigram, 0 if no rule asks for it
+        self.number[wanted] = np.arange(1, len(wanted) + 1)
+
+    def postings(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """For each trigram the texts that hold it, in order."""
+        raw = [text.encode().lower() for text in texts]
+        data = np.frombuffer(b"\0\0".join(raw) + b"\0\0", np.uint8).astype(np.uint32)
+        number = self.number[data[:-2] << 16 | data[1:-1] << 8 | data[2:]]
+        at = np.flatnonzero(number)
+        starts = np.cumsum([0] + [len(r) + 2 for r in raw[:-1]])
+        text = np.searchsorted(starts, at, side="right") - 1
+        entries = np.unique(number[at].astype(np.int64) * len(texts) + text)
+        lists = np.split(entries % max(len(texts), 1), np.searchsorted(
+            entries, np.arange(1, len(self.place) + 1) * len(texts)))
         return {
-            gram: {place for place, text in enumerate(folded) if gram in text}
-            for gram in self.trigrams
+            gram: reduce(np.intersect1d, [lists[self.place[code]] for code in found])
+            for gram, found in self.grams.items()
         }
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Per text: (start, place of the rule, end), sorted."""
+        found: list[list] = []
+        for start, stop in self.blocks(texts):
+            found += self.block_spans(texts[start:stop])
+        return found
+
+    @staticmethod
+    def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+        start, size = 0, 0
+        for place, text in enumerate(texts):
+            if size and size + len(text) > BLOCK_BYTES:
+                yield start, place
+                start, size = place, 0
+            size += len(text)
+        if texts:
+            yield start, len(texts)
+
+    def block_spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         postings = self.postings(texts)
         found: list[list] = [[] for _ in texts]
         for place, (rule, pattern, query) in enumerate(self.rules):
             chosen = candidates(query, postings)
-            for i in range(len(texts)) if chosen is None else sorted(chosen):
+            for i in range(len(texts)) if chosen is None else chosen.tolist():
                 found[i] += [
                     (match.start(), place, match.end()) for match in pattern.finditer(texts[i])
                     if match.end(rule.group) - match.start(rule.group) >= rule.least

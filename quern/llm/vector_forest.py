@@ -29,11 +29,14 @@ TREES = 12
 LEAF_ROWS = 128
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 4_096
-# Rows met per query and shard: some, and a share of the shard's rows.  The share is high, since
-# vectors without any structure need it: on 64 independent dimensions about half of the rows must be
-# scored for a recall of 0.9.  (A row met in several trees counts each time, but is scored once.)
+# Rows met per query and shard: as many as a sample of the shard's queries needs to find this share of
+# their nearest rows, tried in these steps of the shard's rows.  (A row met in several trees counts
+# each time, but is scored once.)  Vectors without any structure need a large part: on 64 independent
+# dimensions about half of the rows must be scored for a recall of 0.9.
+RECALL = 0.95
+SAMPLE_QUERIES = 32
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.85, 1.2, 2.0, 4.0)
 SEARCH_ROWS = 500
-SEARCH_SHARE = 0.85
 MARGINS_AT_ONCE = 256
 
 
@@ -120,17 +123,46 @@ def _lift(rows: np.ndarray) -> np.ndarray:
     return np.column_stack([rows, np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))])
 
 
-def _match(k: int, trees: int, leaf_rows: int, search_rows: int, search_share: float):
+def rows_to_meet(
+    forest: Forest, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray,
+    k: int, recall: float,
+) -> int:
+    """How many rows a search must meet so that the sampled queries find ``recall`` of their ``k``
+    nearest rows of the shard, which are worked out by brute force."""
+    sample = np.unique(np.linspace(0, len(queries) - 1, SAMPLE_QUERIES).astype(int))
+    nearest_rows = []
+    for i in sample:
+        score = rows @ queries[i]
+        score[ids == query_ids[i]] = -np.inf
+        nearest_rows.append(np.argpartition(-score, min(k, len(score) - 1))[:k])
+    margins = queries[sample] @ forest.normal[:, :-1].T
+    for share in SHARES:
+        wanted = max(k, int(share * len(rows)))
+        hits = sum(
+            np.isin(near, forest.gather(margin.tolist(), wanted, len(ids))).sum()
+            for near, margin in zip(nearest_rows, margins, strict=True)
+        )
+        if hits >= recall * sum(map(len, nearest_rows)):
+            return wanted
+    return int(SHARES[-1] * len(rows)) + k
+
+
+def _match(k: int, trees: int, leaf_rows: int, search_rows: int, search_share: float | None):
     def run(query_ids, query_rows, ids, rows):
         forest = Forest(_lift(rows), trees, leaf_rows)
-        wanted = search_rows + int(search_share * len(rows))
+        wanted = (
+            rows_to_meet(forest, rows, ids, query_rows, query_ids, k, RECALL) if search_share is None
+            else search_rows + int(search_share * len(rows))
+        )
         places, found, scores = [], [], []
+        run.scored = 0
         for start in range(0, len(query_ids), MARGINS_AT_ONCE):
             part = query_rows[start:start + MARGINS_AT_ONCE]
             margins = part @ forest.normal[:, :-1].T  # the lifted dimension of a query is zero
             for i, query in enumerate(part):
                 near = forest.gather(margins[i].tolist(), wanted, len(ids))
                 near = near[ids[near] != query_ids[start + i]]
+                run.scored += len(near)
                 score = rows[near] @ query
                 kept = best_of(score, ids[near], k)
                 places.append(np.full(len(kept), start + i))
@@ -144,7 +176,7 @@ def _match(k: int, trees: int, leaf_rows: int, search_rows: int, search_share: f
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES,
     leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS,
-    search_share: float = SEARCH_SHARE, id_col: str = "vec_id",
+    search_share: float | None = None, id_col: str = "vec_id",
     vector_col: str = "embedding", query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """About the ``k`` largest inner products of each query; ``is_query`` may use column ``id``."""

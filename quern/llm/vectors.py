@@ -17,13 +17,16 @@ from quern.llm.common import blocks_for
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, zero_ok: bool) -> DataFrame:
-    """(id, x) of vectors that are not NULL and have finite components only, as doubles."""
+    """(id, x) of vectors that are not NULL and have finite components only.  Floats stay floats, so
+    that half the bytes are shuffled; tasks calculate in doubles."""
     finite = F.forall(
         "x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     )
-    kept = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")
-    ).filter(F.col("id").isNotNull() & (F.size("x") > 0) & finite)
+    plain = vectors.schema[vector_col].dataType.simpleString() in ("array<float>", "array<double>")
+    vector = F.col(vector_col) if plain else F.col(vector_col).cast("array<double>")
+    kept = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("x")).filter(
+        F.col("id").isNotNull() & (F.size("x") > 0) & finite
+    )
     return kept if zero_ok else kept.filter(F.exists("x", lambda c: c != 0.0))
 
 

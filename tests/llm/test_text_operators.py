@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -180,6 +182,68 @@ def test_languages_of_odd_texts(spark, documents):
     assert language_id.language_predictions(odd.limit(0)).count() == 0
 
 
+def plain_language(text, languages, logs, words):
+    """Sums over all segmentations of every line, one end after the other."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    totals = []
+    for j in range(len(languages)):
+        total = 0.0
+        for line in text.split("\n"):
+            marked = "▁" + line.replace(" ", "▁")
+            if marked == "▁":
+                continue
+            forward = [0.0] + [-math.inf] * len(marked)
+            for end in range(1, len(marked) + 1):
+                parts = []
+                for start in range(max(0, end - words.longest), end):
+                    piece = words.ids.get(marked[start:end])
+                    if piece is not None:
+                        parts.append(forward[start] + logs[piece, j])
+                if not marked[end - 1:end] in words.ids:
+                    parts.append(forward[end - 1] + sum(logs[i, j] for i in words.unknown_ids(marked[end - 1])))
+                top = max(parts)
+                forward[end] = top + math.log(sum(math.exp(p - top) for p in parts))
+            total += forward[-1]
+        totals.append(total)
+    top = max(totals)
+    share = 1 / sum(math.exp(t - top) for t in totals)
+    return languages[totals.index(top)], share
+
+
+def test_predictions_equal_plain_forward_sums(spark, data):
+    from quern.llm.pieces import vocabulary
+    docs = table(spark, data, "documents")
+    path = tokenizer_path("piece_bpe_32k.model")
+    languages, logs = language_id.learn(docs, path)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    texts = [None, "", "1 2", "a", "é", "𝔘x", "line\n\nother line", *[t[:300].strip() for t in texts if t and "  " not in t[:300]]]
+    langs, scores = language_id.Scorer(path, languages, logs).predict(texts)
+    for text, lang, score in zip(texts, langs, scores):
+        want = plain_language(text, languages, logs, vocabulary(path))
+        assert lang == want[0] and abs(score - want[1]) < 1e-6, text
+    assert len(texts) > 30
+
+
+def test_equal_languages_tie_to_the_first(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    from quern.llm.pieces import vocabulary
+    logs = np.full((vocabulary(path).size, 3), -5.0)
+    langs, scores = language_id.Scorer(path, ["a", "b", "c"], logs).predict(["some text"])
+    assert langs == ["a"] and abs(scores[0] - 1 / 3) < 1e-9
+
+
+def test_many_languages_and_null_ids(spark, documents):
+    texts = [f"word{i % 700} other{i % 700}" for i in range(1400)]
+    docs = documents(texts, [None, *range(1, 1400)]).withColumn(
+        "lang", F.concat(F.lit("l"), F.element_at(F.split(F.element_at(F.split("text", " "), 1), "d"), 2)))
+    rows = language_id.language_predictions(docs).collect()
+    assert len(rows) == 1400 and all(r.held_out is not None for r in rows)
+    assert [r.held_out for r in rows if r.doc_id is None] == [False]
+    learned, _ = language_id.learn(docs, tokenizer_path("piece_bpe_32k.model"))
+    assert len(learned) == 700 and len({r.lang_pred for r in rows}) > 100
+
+
 # ---------------------------------------------------------------- secrets
 
 
@@ -214,6 +278,29 @@ def test_every_match_satisfies_its_query():
     assert sum(map(bool, found)) > 100
 
 
+def test_postings_are_the_texts_own_trigrams():
+    rules = (secret_scan.Rule("a", "Straße[0-9]+"), secret_scan.Rule("b", "x(abc|bcd)y"),
+             secret_scan.Rule("c", "(?i:kelvin)"), secret_scan.Rule("d", "(?ai:ABC)"))
+    scanner = secret_scan.Scanner(rules)
+    assert [query is True for _, _, query in scanner.rules] == [False, False, True, False]
+    texts = ["", "Straße7", "strAßE", "xABCy", "xabcy", "ab", "c" * 9 + "bcd", "\0", "KELVIN", "\u212aelvin"]
+    postings = scanner.postings(texts)
+    for gram, found in postings.items():
+        assert found.tolist() == [
+            i for i, text in enumerate(texts) if gram.encode() in text.encode().lower()], gram
+    kinds = [[scanner.rules[place][0].kind for _, place, _ in spans] for spans in scanner.spans(texts)]
+    assert kinds == [[], ["a"], [], ["d"], ["b", "d"], [], [], [], ["c"], ["c"]]
+    assert scanner.spans([]) == []
+    queries = {rule.kind: query for rule, _, query in secret_scan.scanner(secret_scan.RULES).rules}
+    assert queries["code_host"] is not True and queries["chat"] is not True and queries["hex"] is True
+
+
+def test_secret_digest_of_odd_tables(spark, documents):
+    assert secret_scan.secret_digest(documents(["a"]).limit(0)).count() == 0
+    rows = secret_scan.secret_digest(documents(["f" * 16, "f" * 16, None], [4, 4, None], "spans string, n_hex int, x int"))
+    assert sorted((str(r.doc_id), r.n_hex) for r in rows.collect()) == [("4", 1), ("4", 1), ("None", 0)]
+
+
 def base_spans(text):
     rules = [
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -317,6 +404,57 @@ def test_marks_beyond_the_beginnings_of_words(parts, old, new, blank):
     assert ((model.grades(held)[:, 1] >= 0.6) == (grades[400:] == 2)).mean() > 0.95
 
 
+def plain_features(text):
+    words = (text or "").split()
+    if not words:
+        return [], []
+
+    def bucket(name):
+        return zlib.crc32(name.encode()) % quality_classifier.BUCKETS
+    found = set()
+    for word in words:
+        plain = word.strip(quality_classifier.OUTER).lower()
+        found |= {bucket("w:" + plain), bucket("p:" + plain[:3]), bucket("p:" + plain[:4])}
+        if len(plain) > 16 or quality_classifier._UNSPACED.search(plain):
+            found |= {bucket("g:" + plain[i:i + n]) for n in (2, 3) for i in range(len(plain) - n + 1)}
+    total = len(words)
+    shares = [
+        ("capitals", sum(w.isupper() for w in words)),
+        ("symbols", sum(not w[-1].isalnum() and w[-1] not in ".,;:?" for w in words)),
+        ("bars", sum(w == "|" for w in words)),
+        ("repeats", sum(a == b for a, b in zip(words, words[1:]))), ("distinct", len(set(words))),
+    ]
+    steps = [bucket(f"s:{name}:{math.ceil(10 * value / total)}") for name, value in shares]
+    return sorted(found), [*steps, bucket(f"s:words:{min(12, total.bit_length())}")]
+
+
+def test_grades_equal_a_plain_sum_of_weights(spark, documents):
+    rng = np.random.default_rng(0)
+    model = quality_classifier.Model(rng.normal(size=quality_classifier.BUCKETS), np.array([-0.4, 0.7]))
+    texts = [None, "", " \n", "a", "The CAT | sat sat, on! it", "x" * 40 + " y", "中文字符 テスト", "word " * 30_000,
+             "p. q; (r) \"s\"", "Über ßtraße ſ"] * 2
+    rows = quality_classifier.quality(documents(texts, more="keep string, expected_grade int, p_keep int"), model)
+    for row in rows.collect():
+        found, steps = plain_features(texts[row.doc_id - 1])
+        tails = [0.0, 0.0]
+        if steps:
+            scale = (len(found) + len(steps)) ** -0.25
+            score = sum(scale * model.weights[i] for i in found) + sum(model.weights[i] for i in steps)
+            tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert abs(row.expected_grade - sum(tails)) < 1e-9 and abs(row.p_keep - tails[1]) < 1e-9
+        assert row.keep == (tails[1] >= 0.6)
+    assert quality_classifier.quality(documents(["a"]).limit(0), model).count() == 0
+
+
+def test_ratings_with_nulls_and_none_at_all(spark, documents):
+    labels = spark.createDataFrame(
+        [(1, 1, 0), (1, 0, 0), (2, None, 1), (3, 1, None), (None, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {(r.doc_id, r.grade) for r in quality_classifier.label_grades(labels).collect()} == {(1, 1), (4, 0)}
+    docs = documents(["a b", "c d"])
+    assert quality_classifier.fit_on(docs, quality_classifier.label_grades(labels.limit(0))) is None
+    assert quality_classifier.fit_on(docs.limit(0), quality_classifier.label_grades(labels)) is None
+
+
 def test_one_text_per_rated_id_is_fitted(spark, documents, monkeypatch):
     sizes = []
     monkeypatch.setattr(quality_classifier, "fit", lambda flat, sizes_, grade: sizes.append(len(sizes_)))

@@ -84,6 +84,21 @@ def test_bounds_prune_and_stay_exact():
         order = np.lexsort((ids, -full))[:10]
         assert found[place == q].tolist() == order.tolist()
         assert score[place == q].tolist() == full[order].tolist()
+    assert match.products < 0.75 * 20 * rows.size
+
+
+def test_clustered_vectors_need_few_products():
+    rng = np.random.default_rng(5)
+    centres = np.eye(64)[:16] * 900
+    rows = np.floor(centres[rng.integers(0, 16, 4000)] + rng.normal(size=(4000, 64)) * 20)
+    ids, match = np.arange(4000), exact_top_k._match(10)
+    own = np.arange(0, 4000, 13)
+    place, found, score = match(ids[own], rows[own], ids, rows)
+    full = rows[own] @ rows.T
+    full[np.arange(len(own)), own] = -np.inf
+    for q, line in enumerate(full):
+        assert found[place == q].tolist() == np.lexsort((ids, -line))[:10].tolist()
+    assert match.products < 0.5 * len(own) * rows.size
 
 
 def test_forest_on_odd_vectors(spark):
@@ -111,6 +126,23 @@ def test_forest_recall_when_it_searches_a_part():
     assert hits / 1000 >= 0.9
 
 
+def test_forest_follows_a_recall_target():
+    """On clustered rows a small part is scored, on structureless ones as much as recall takes."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32)) * 3
+    clustered = centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 32)) * 0.2
+    for rows, most in ((clustered, 0.3), (rng.normal(size=(4000, 64)), 1.0)):
+        ids = np.arange(4000)
+        own = ids[::40]
+        match = vector_forest._match(20, 10, 32, 0, None)
+        place, found, _ = match(own, rows[own], ids, rows)
+        full = rows[own] @ rows.T
+        full[np.arange(len(own)), own] = -np.inf
+        hits = sum(len(set(found[place == q]) & set(np.argsort(-line)[:20])) for q, line in enumerate(full))
+        assert hits / (20 * len(own)) >= 0.9
+        assert match.scored <= most * len(own) * len(rows)
+
+
 def test_forest_handles_copies():
     rows = np.vstack([np.ones((500, 8)), np.eye(8)])
     forest = vector_forest.Forest(vector_forest._lift(rows), 3, 16)
