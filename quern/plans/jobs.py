@@ -12,7 +12,7 @@ from quern.operators import (
     vocabulary as merging,
 )
 from quern.operators.ordering import number_rows
-from quern.session import job, spool
+from quern.session import job, spool, spread
 from quern.sources import files, sinks, versions
 from quern.streaming import incremental
 
@@ -172,7 +172,7 @@ def samples_job(spark: SparkSession, cleaned: str, out: str) -> DataFrame:
     Line numbers are worked out on the order key alone and joined to the samples, whose text is
     sorted within its range partitions once, to write the lines.
     """
-    sources = cleaned_texts(spark, cleaned)
+    sources = spread(cleaned_texts(spark, cleaned))
     counted = sinks.Counted(samples.check(samples.extract(sources)), *samples.reason_totals())
     checked = _stored(counted.rows, f"{out}/checked")
     once = sinks.Counted(samples.distinct_samples(checked), F.count(F.lit(1)).alias("n"))

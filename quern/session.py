@@ -35,6 +35,20 @@ def local_session(cores: str | int = 8, app: str = "quern", memory: str = "8g")
     return spark
 
 
+SPREAD = "quern.spread"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over as many partitions as the session's setting ``quern.spread`` says, if it is set.
+
+    For tables in a few files or row groups that CPU-heavy stages read: a scan has at most one task
+    per row group.  It costs a shuffle of the columns in use.  Nothing derives the number from the
+    data; tables in many files don't need it.
+    """
+    partitions = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(partitions)) if partitions else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for hand-over tables: the cluster's own setting, or a fresh one in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", "")
