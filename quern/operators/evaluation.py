@@ -132,3 +132,103 @@ def pass_rate(checked: DataFrame, *by: str) -> DataFrame:
         F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"),
         F.sum("hits").alias("hits"), F.sum("wanted").alias("wanted"),
     )
+
+
+# ---------------------------------------------------------------- bigrams
+
+# Used if the corpus has no bigram that occurs once, or none that occurs twice.
+DISCOUNT = 0.75
+START = ""
+
+
+def bigrams(texts: DataFrame, key: Column | str, text: str) -> DataFrame:
+    """(key, prev, token) of every word; the first word of a text follows ``START``."""
+    parts = F.filter(F.split(col(text), f"(?U)[{SPACE_CLASS}]+"), lambda word: word != "")
+    pairs = F.arrays_zip(
+        F.concat(F.array(F.lit(START)), parts).alias("prev"), parts.alias("token"))
+    return texts.select(key, F.explode(pairs).alias("_pair")).select(
+        key, "_pair.prev", "_pair.token").filter(F.col("token").isNotNull())
+
+
+def bigram_model(corpus: DataFrame, text: str) -> dict[str, DataFrame]:
+    """Counts for interpolated Kneser-Ney: ``pairs`` (prev, token, seen), ``contexts`` (prev, total,
+    followers), ``continuations`` (token, precursors), and one row each of ``totals`` (distinct pairs,
+    discount) and ``known`` (distinct words).
+
+    Everything folds before it is shuffled, so neither a frequent pair nor a context that a third of
+    all words follow reaches a task whole.
+    """
+    pairs = spool(
+        bigrams(corpus, F.lit(0).alias("_"), text).groupBy("prev", "token")
+        .agg(F.count(F.lit(1)).alias("seen")), "pairs",
+    )
+    n = F.count(F.lit(1))
+    contexts = pairs.groupBy("prev").agg(F.sum("seen").alias("total"), n.alias("followers"))
+    continuations = pairs.groupBy("token").agg(n.alias("precursors"))
+    once, twice = F.count_if(F.col("seen") == 1), F.count_if(F.col("seen") == 2)
+    discount = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(DISCOUNT)
+    return {
+        "pairs": pairs, "contexts": contexts, "continuations": continuations,
+        "totals": pairs.agg(n.alias("kinds"), discount.alias("discount")),
+        "known": continuations.agg(n.alias("known")),
+    }
+
+
+def _with_frequent(rows: DataFrame, table: DataFrame, on: list[str], uses: str, total: Column) -> DataFrame:
+    """Inner join of ``rows`` and ``table``, which has every key of the rows once and says in ``uses``
+    how many rows have it.  Keys with 1/HEAVY of all rows or more are few by definition and are
+    broadcast; only the others are shuffled."""
+    is_heavy = F.col(uses) * HEAVY >= total
+    heavy = F.broadcast(table.filter(is_heavy).drop(uses))
+    light = table.filter(~is_heavy).drop(uses)
+    return rows.join(heavy, on).unionByName(
+        rows.join(heavy.select(*on), on, "left_anti").join(light, on))
+
+
+def bigram_costs(used: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """(prev, token, uses, cost) of the distinct bigrams in ``used`` (prev, token, uses): the negative
+    log-likelihood of the word after the one before.
+
+    A seen pair gives up the discount, which its context deals out by continuation: by how many words
+    a word has followed.  That in turn gives up the discount to all known words and one unknown one.
+    """
+    n = F.count(F.lit(1))
+    kinds, discount = (model["totals"].select(name).scalar() for name in ("kinds", "discount"))
+    known = model["known"].scalar()
+    contexts = spool(
+        used.groupBy("prev").agg(n.alias("rows")).join(model["contexts"], "prev", "left"), "contexts")
+    continuations = spool(
+        used.groupBy("token").agg(n.alias("rows")).join(model["continuations"], "token", "left"),
+        "continuations")
+    all_rows = contexts.agg(F.sum("rows")).scalar()
+    rows = used.join(model["pairs"], ["prev", "token"], "left")
+    rows = _with_frequent(rows, contexts, ["prev"], "rows", all_rows)
+    rows = _with_frequent(rows, continuations, ["token"], "rows", all_rows)
+    lower = F.try_divide(
+        F.greatest(F.coalesce("precursors", F.lit(0)) - discount, F.lit(0.0))
+        + discount * known / (known + 1), kinds,
+    )
+    higher = (
+        F.greatest(F.coalesce("seen", F.lit(0)) - discount, F.lit(0.0)) / F.col("total")
+        + discount * F.col("followers") / F.col("total") * lower
+    )
+    return rows.select("prev", "token", "uses", (-F.log(F.coalesce(higher, lower))).alias("cost"))
+
+
+def bigram_losses(texts: DataFrame, key: str, text: str, corpus: DataFrame | None = None) -> DataFrame:
+    """Mean negative log-likelihood per text under interpolated Kneser-Ney bigrams of ``corpus`` (the
+    texts themselves, if it is not given): (key, loss, n_tokens).  A text without words, and every
+    text if the corpus has no word, has loss NULL."""
+    own = spool(
+        bigrams(texts, key, text).groupBy(key, "prev", "token").agg(F.count(F.lit(1)).alias("n")),
+        "bigrams",
+    )
+    used = own.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("uses"))
+    costs = spool(bigram_costs(used, bigram_model(texts if corpus is None else corpus, text)), "costs")
+    all_rows = costs.agg(F.sum("uses")).scalar()
+    joined = _with_frequent(own, costs, ["prev", "token"], "uses", all_rows)
+    every = texts.select(key, F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("n"))
+    return joined.select(key, (F.col("cost") * F.col("n")).alias("cost"), "n").unionByName(every).groupBy(key).agg(
+        F.when(F.count_if(F.col("cost").isNull()) == 0, F.try_divide(F.sum("cost"), F.sum("n")))
+        .alias("loss"), F.sum("n").alias("n_tokens"),
+    )

@@ -494,6 +494,41 @@ losses AS (
 )
 """.replace("BLANK_IDS", str(BLANK_IDS))
 
+HELD_OUT_LOSSES = r"""
+split AS (
+  SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS w FROM documents
+),
+pairs AS (
+  SELECT doc_id, doc_id % 5 = 0 AS held_out, unnest(w) AS token,
+    unnest(list_concat([''], w)[1:len(w)]) AS prev FROM split
+),
+seen AS (SELECT prev, token, count(*) AS c FROM pairs WHERE NOT held_out GROUP BY ALL),
+contexts AS (SELECT prev, sum(c) AS total, count(*) AS followers FROM seen GROUP BY prev),
+continuations AS (SELECT token, count(*) AS precursors FROM seen GROUP BY token),
+totals AS (
+  SELECT count(*) AS kinds, count(DISTINCT token) AS known,
+    coalesce(CASE WHEN count(*) FILTER (c = 2) > 0 THEN nullif(count(*) FILTER (c = 1), 0)
+      / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2)) END, 0.75)::DOUBLE AS d FROM seen
+),
+vocabulary AS (SELECT token, count(*) AS n FROM pairs WHERE NOT held_out GROUP BY token),
+mass AS (SELECT sum(n) + count(*) AS mass FROM vocabulary),
+lower_order AS (
+  SELECT p.*, c, total, followers, d,
+    (greatest(coalesce(precursors, 0) - d, 0) + d * known / (known + 1)) / kinds AS low,
+    -ln((coalesce(n, 0) + 1) / mass) AS one
+  FROM pairs p LEFT JOIN seen USING (prev, token) LEFT JOIN contexts USING (prev)
+    LEFT JOIN continuations USING (token) LEFT JOIN vocabulary USING (token), totals, mass
+),
+costs AS (
+  SELECT doc_id, held_out, one, -ln(coalesce(
+    greatest(coalesce(c, 0) - d, 0) / total + d * followers / total * low, low)) AS two FROM lower_order
+),
+losses AS (
+  SELECT doc_id, doc_id % 5 = 0 AS held_out, avg(one) AS one, avg(two) AS two, count(token) AS n_tokens
+  FROM documents LEFT JOIN (SELECT doc_id, one, two, 1 AS token FROM costs) USING (doc_id) GROUP BY doc_id
+)
+"""
+
 # ------------------------------------------------------- generated texts
 
 
@@ -931,4 +966,14 @@ SELECT file_path, CASE WHEN doc_id % 11 = 0 THEN 'deleted' WHEN doc_id % 13 = 0
   CASE WHEN doc_id % 11 <> 0 THEN md5(clean) END AS clean_md5
 FROM files LEFT JOIN cleaned USING (doc_id, file_path)
 WHERE doc_id % 11 <> 0 OR doc_id % 13 <> 0""",
+    "bigram_losses": f"""
+WITH {HELD_OUT_LOSSES} SELECT doc_id, held_out, round(two, 6) AS loss, n_tokens FROM losses""",
+    "perplexity_held_out": f"""
+WITH {HELD_OUT_LOSSES},
+both_ AS (SELECT 'unigram' AS model, held_out, one AS loss, n_tokens FROM losses
+  UNION ALL SELECT 'bigram', held_out, two, n_tokens FROM losses)
+SELECT model, held_out, CAST(sum(n_tokens) AS BIGINT) AS n_tokens,
+  round(sum(loss * n_tokens) / sum(n_tokens), 6) AS mean_loss,
+  round(exp(sum(loss * n_tokens) / sum(n_tokens)), 3) AS perplexity
+FROM both_ GROUP BY model, held_out""",
 }

@@ -693,6 +693,35 @@ def perplexity_batch_mean(spark, folder):
     return _rounded(evaluation.batch_perplexity(batches))
 
 
+def _held_out_losses(spark, folder) -> DataFrame:
+    """Losses of all documents under models of those that are not held out."""
+    docs = _docs(spark, folder).select("doc_id", "text")
+    fitted = docs.filter(F.col("doc_id") % 5 != 0)
+    one = evaluation.unigram_losses(docs, "doc_id", "text", fitted)
+    two = evaluation.bigram_losses(docs, "doc_id", "text", fitted)
+    return one.withColumn("model", F.lit("unigram")).unionByName(
+        two.withColumn("model", F.lit("bigram"))
+    ).withColumn("held_out", F.col("doc_id") % 5 == 0)
+
+
+@register
+def bigram_losses(spark, folder):
+    rows = _held_out_losses(spark, folder)
+    return rows.filter("model = 'bigram'").select(
+        "doc_id", "held_out", F.round("loss", 6).alias("loss"), "n_tokens")
+
+
+@register
+def perplexity_held_out(spark, folder):
+    rows = _held_out_losses(spark, folder)
+    n = F.sum("n_tokens")
+    mean = F.sum(F.col("loss") * F.col("n_tokens")) / n
+    return rows.groupBy("model", "held_out").agg(
+        n.alias("n_tokens"), F.round(mean, 6).alias("mean_loss"),
+        F.round(F.exp(mean), 3).alias("perplexity"),
+    )
+
+
 # Generated-looking text: byte-pair marks, glued words, deep and ragged spacing.
 GENERATED_SQL = (
     "concat('ĠĠclassAĊĠĠĠĠdefrun(x,Ġ ĠyĠ)ĊĊĊĊ', "

@@ -84,3 +84,74 @@ def test_top_repos(spark):
 
 def test_strip_keeps_inner_space(values):
     assert values(strip, ["\x85 a b\x1c"]) == ["a b"]
+
+
+# ------------------------------------------------------------- bigrams
+
+
+def plain_bigram_model(corpus):
+    """p(word | word before) by interpolated Kneser-Ney, from plain counting."""
+    seen = Counter()
+    for text in corpus:
+        words = (text or "").split()
+        seen.update(zip(["", *words], words))
+    once, twice = (sum(c == n for c in seen.values()) for n in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.75
+    total, followers, precursors = Counter(), Counter(), Counter()
+    for (prev, word), c in seen.items():
+        total[prev] += c
+        followers[prev] += 1
+        precursors[word] += 1
+    known = len(precursors)
+
+    def p(prev, word):
+        low = (max(precursors[word] - d, 0) + d * known / (known + 1)) / len(seen)
+        if not total[prev]:
+            return low
+        return max(seen[prev, word] - d, 0) / total[prev] + d * followers[prev] / total[prev] * low
+    return p, set(precursors), set(total)
+
+
+CORPUS = ["the cat sat on the mat", "the cat ate the rat", "a cat sat\non a mat", "the " * 30, None, " ",
+          "on the mat the cat sat", "rat\u3000cat"]
+
+
+@pytest.mark.parametrize("heavy", [3, 10_000])
+@pytest.mark.parametrize("same", [True, False])
+def test_bigram_losses_equal_counting(spark, monkeypatch, heavy, same):
+    monkeypatch.setattr(evaluation, "HEAVY", heavy)
+    texts = CORPUS if same else ["the cat sat", "unknown words here", "the unknown the cat", "", None, "mat on"]
+    p, _, _ = plain_bigram_model(CORPUS)
+    schema = "id int, text string"
+    corpus_df = spark.createDataFrame(list(enumerate(CORPUS)), schema)
+    texts_df = corpus_df if same else spark.createDataFrame(list(enumerate(texts)), schema)
+    got = {r.id: r for r in evaluation.bigram_losses(
+        texts_df, "id", "text", None if same else corpus_df).collect()}
+    assert set(got) == set(range(len(texts)))
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        costs = [-math.log(p(prev, word)) for prev, word in zip(["", *words], words)]
+        assert got[i].n_tokens == len(words)
+        if words:
+            assert got[i].loss == pytest.approx(sum(costs) / len(costs))
+        else:
+            assert got[i].loss is None
+
+
+def test_bigram_probabilities_add_up():
+    p, words, contexts = plain_bigram_model(CORPUS)
+    for prev in [*contexts, "never seen"]:
+        assert sum(p(prev, word) for word in [*words, "unknown"]) == pytest.approx(1)
+
+
+def test_empty_corpus_gives_no_losses(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    rows = evaluation.bigram_losses(texts, "id", "text", texts.limit(0)).collect()
+    assert {(r.id, r.loss, r.n_tokens) for r in rows} == {(1, None, 2), (2, None, 0)}
+
+
+def test_bigrams_predict_held_out_documents_better(spark, data):
+    from quern.plans.queries import QUERIES
+    told = {(r.model, r.held_out): r.perplexity for r in QUERIES["perplexity_held_out"](spark, data).collect()}
+    assert told["bigram", True] < told["unigram", True]
+    assert told["bigram", False] < told["unigram", False]
