@@ -140,7 +140,7 @@ def _import_roots(node):
     return [node.module.partition(".")[0]] if node.module else []
 
 
-def _outline(text, tree):
+def outline_of(text, tree):
     """Counts, imports and the definitions of one source, in the parser's breadth-first order."""
     lines, offsets = text.splitlines(), _Offsets(text)
     functions, classes, roots, n_functions = [], [], set(), 0
@@ -168,7 +168,7 @@ def _outline(text, tree):
 
 def _outline_or_error(text):
     try:
-        return _outline(text, ast.parse(text))
+        return outline_of(text, ast.parse(text))
     except Exception as exc:
         return dict(error=_problem(exc))
 
@@ -197,7 +197,7 @@ def _cleaner(min_code_lines):
                 facts["text"] = tidied
             if not same_lines:
                 facts["line_count"] = _code_lines(_tokens(tidied))
-            return facts | _outline(tidied, tree)
+            return facts | outline_of(tidied, tree)
         except Exception as exc:
             return facts | dict(error=_problem(exc), failed=True)
     return clean

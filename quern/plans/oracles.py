@@ -721,7 +721,10 @@ SELECT 'ingest' AS stage, source || '/../' || doc_id || '.py' AS key, 'refused_p
 UNION ALL
 SELECT 'ingest', source || '/broken/' || doc_id || '.py', 'undecodable_content', NULL
 FROM documents WHERE doc_id % 5 = 0""",
-    "source_tree": "SELECT true AS found, true AS relative, true AS filled",
+    "source_tree": f"""
+WITH {FILES}, tree AS (
+  SELECT file_path, source FROM files UNION ALL SELECT 'deep/er/' || file_path, source FROM files)
+SELECT file_path, {bytes_of('source')} AS bytes, md5(source) AS content_md5 FROM tree""",
     "json_load": f"SELECT type, instruction, md5(code) AS code_md5 FROM ({DOC_SAMPLES})",
     "import_counts": """
 SELECT module, count(*) AS files FROM (
@@ -977,3 +980,7 @@ SELECT model, held_out, CAST(sum(n_tokens) AS BIGINT) AS n_tokens,
   round(exp(sum(loss * n_tokens) / sum(n_tokens)), 3) AS perplexity
 FROM both_ GROUP BY model, held_out""",
 }
+
+# The same results by SQL text over a table function.
+ORACLES["function_samples_sql"] = ORACLES["function_samples"]
+ORACLES["class_samples_sql"] = ORACLES["class_samples"]

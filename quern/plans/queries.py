@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.functions import bytes as byte_tokens
+from quern.functions import bytes as byte_tokens, sql
 from quern.functions.generated import (
     clean_generated, clean_response as response, repair_compact, strip_markup,
 )
@@ -292,6 +292,24 @@ def class_samples(spark, folder):
     )
 
 
+def _cleaned_texts(spark, folder) -> DataFrame:
+    return cleaning.cleaned_files(_cleaned(spark, folder)).select("file_path", "source")
+
+
+@register
+def function_samples_sql(spark, folder):
+    """``function_samples`` as SQL text over a table function."""
+    return sql.function_samples(
+        _cleaned_texts(spark, folder), samples.FUNCTIONS_PER_FILE, samples.MIN_INSTRUCTION_CHARS,
+        samples.SEED,
+    )
+
+
+@register
+def class_samples_sql(spark, folder):
+    return sql.class_samples(_cleaned_texts(spark, folder), samples.CLASSES_PER_FILE, samples.SEED)
+
+
 @register
 def build_samples(spark, folder):
     return samples.distinct_samples(_checked(spark, folder)).select(
@@ -944,17 +962,15 @@ def all_rejects(spark, folder):
 
 @register
 def source_tree(spark, folder):
-    """Files written as a tree and scanned again: path and bytes, nothing else of the tree."""
-    root = scratch_path(spark, "tree")
-    docs = _docs(spark, folder)
-    named = docs.select("source", F.concat(F.lit("x"), "doc_id").alias("name"), "text")
-    named.write.partitionBy("source").parquet(f"{root}/table")
-    found = files.source_tree(spark, root, "*.parquet")
-    return found.agg(
-        (F.count(F.lit(1)) > 0).alias("found"),
-        F.min(F.startswith("file_path", F.lit("table/source="))).alias("relative"),
-        F.min(F.octet_length("content") > 0).alias("filled"),
-    )
+    """The cleaned corpus written as a tree of files, with other files among them, and scanned again:
+    every path and the hash of its bytes."""
+    root, docs = scratch_path(spark, "tree"), _docs(spark, folder)
+    code = corpus.code_files(docs)
+    deep = code.select(F.concat(F.lit("deep/er/"), "file_path").alias("file_path"), "source")
+    other = code.select(F.concat("file_path", F.lit(".txt")).alias("file_path"), "source")
+    sinks.write_tree(code.unionByName(deep).unionByName(other), root)
+    return files.source_tree(spark, root).select(
+        "file_path", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("content_md5"))
 
 
 @register

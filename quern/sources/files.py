@@ -8,14 +8,22 @@ from quern import schemas
 from quern.functions.text import strip
 from quern.operators.ordering import add_offsets
 from quern.session import spool
-from quern.sources import lines
+from quern.sources import lines, trees
 
 CORRUPT = "_corrupt"
 JSON_SPACES = " \t\n\r"
 
 
 def source_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
-    """All files below ``root`` that match: (file_path relative to root, content)."""
+    """All files below ``root`` whose name matches: (file_path relative to root, content).
+
+    From a store that Arrow doesn't read, Spark's own source reads them, which leaves out empty files
+    and those whose name begins with ``_`` or ``.``.
+    """
+    uri = lines.qualified(spark, root)
+    if lines.readable(uri):
+        spark.dataSource.register(trees.Tree)
+        return spark.read.format(trees.Tree.name()).option("path", uri).option("pattern", pattern).load()
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern).load(root)

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from quern.functions.text import path_stays_inside
+from quern.sources import lines
+
 SAMPLE_COLUMNS = ["type", "instruction", "code"]
 
 
@@ -64,3 +72,34 @@ def write_rejects(rejects: DataFrame, path: str) -> None:
     """Replaces the rejects of the stages that occur, so a job may run again."""
     writer = rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("stage").parquet(path)
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Texts (file_path, source) as single files below ``root``, each under its relative path; returns
+    their number.  A path that would leave the root is an error.
+
+    Every task writes its own files with Arrow's file systems, whole and under their final name, so
+    a task that runs again writes the same.  The store must be one that Arrow writes.
+    """
+    uri = lines.qualified(files.sparkSession, root)
+    if not lines.readable(uri):
+        raise ValueError(f"{uri} is in a store that Arrow does not write")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = pa.fs.FileSystem.from_uri(uri)
+        made: set[str] = set()
+        for batch in batches:
+            for path, source, inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not inside:
+                    raise ValueError(f"{path} leaves the root")
+                name = posixpath.normpath(f"{top}/{path}")
+                folder = posixpath.dirname(name)
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(name) as out:
+                    out.write((source or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = files.select("file_path", "source", path_stays_inside("file_path").alias("inside"))
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

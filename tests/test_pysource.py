@@ -32,7 +32,7 @@ def test_code_lines(source, lines):
 
 def test_imports():
     tree = ast.parse("from .foo.bar import x\nfrom . import y\nimport a.b, c as d\n")
-    outline = pysource._outline("x\n" * 3, tree)
+    outline = pysource.outline_of("x\n" * 3, tree)
     assert outline["imports"] == ["a", "c", "foo"]
 
 
@@ -76,7 +76,7 @@ def test_offsets_cut_the_same_segments_as_the_parser(library):
             if "\f" in text:
                 continue
             tree = ast.parse(text)
-            outline = pysource._outline(text, tree)
+            outline = pysource.outline_of(text, tree)
             for kind, key in [(ast.FunctionDef, "functions"), (ast.ClassDef, "classes")]:
                 nodes = [n for n in ast.walk(tree) if isinstance(n, kind)]
                 for d, node in list(zip(outline[key], nodes, strict=True))[:5]:
