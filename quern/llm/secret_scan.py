@@ -32,7 +32,7 @@ from quern.llm.common import map_texts
 MAX_STRINGS = 64
 MAX_CLASS = 8
 # Bytes of text that are indexed together; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ combined best-first.  Segments recur, so their searches are kept, up to a bound.
 Scores of the public vocabulary are whole numbers, so sums are exact.  Among equal scores the order
 is fixed by the lattice (later boundaries first), and the same in every run.
 
-Cases: NULL gives NULL arrays and an empty text one segmentation without pieces; texts with fewer
+Cases: NULL gives NULL arrays, and in the digest what the empty text gives: one segmentation without pieces; texts with fewer
 than N segmentations give all; very long texts and texts without blanks are searched whole; decoding
 gives back the text (the visible blank mark itself, if a text holds it, comes back as a blank); repeated rows give
 repeated rows; other columns are ignored.

@@ -475,3 +475,14 @@ def test_quality_of_documents(spark, data, documents):
     assert [(r.p_keep, r.keep) for r in odd.collect()] == [(0, False)] * 3 + [(1, True)]
     whole = quality_classifier.quality(documents([None, "a b"]), None, whole=True).collect()
     assert [(r.doc_id, r.text, r.batch) for r in whole] == [(2, "a b", 1)]
+
+
+def test_digests_of_empty_tables_and_clashing_columns(spark, documents):
+    names = "n_pieces string, n_tokens int, scores int"
+    docs = documents(["the cat", "the cat", None, ""], [3, 3, None, 4], names)
+    for digest in (sentence_pieces.encoding_digest, token_counts.token_counts):
+        rows = digest(docs).collect()
+        assert len(rows) == 4 and digest(docs.limit(0)).count() == 0
+        same = [tuple(r)[1:] for r in rows if r.doc_id == 3]
+        assert same[0] == same[1]
+        assert [tuple(r)[1:] for r in rows if r.doc_id is None] == [tuple(r)[1:] for r in rows if r.doc_id == 4]

@@ -200,6 +200,22 @@ def test_packing(spark, data, documents):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_of_repeated_rows(spark, documents):
+    texts = ["same words here"] * 30 + ["long text " * 3000] * 2 + [None]
+    docs = documents(texts, [7] * 30 + [8, 8, None], "length string, part int, ids int")
+    rows = packing.pack_documents(docs, window=64).collect()
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+    assert sum(r.length for r in rows) == want
+    assert sum(r.start == 0 for r in rows if r.doc_id == 7) == 30
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert sum(n < 64 for n in filled.values()) <= 1 and max(filled.values()) <= 64
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(1)
     for histogram in (
@@ -477,3 +493,25 @@ def test_pipeline_stages(spark, data):
     whole = corpus_pipeline.run(spark, data).collect()
     assert {(r.doc_id, r.start, r.length, r.ids_crc32) for r in whole} and {
         r.doc_id for r in whole} == kept_ids
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+    schema = "doc_id long, text string, lang string, source string, n_chars long, batch string, ROW int, copies int, id int"
+    good = " ".join(f"plain{i} words{i} follow{i}" for i in range(60))
+    rows = [(i, f"{good} {i} token = abcdefghijklmnop{i}", "en", "s", 1, "b", 1, 2, 3) for i in range(6)]
+    rows += [(None, good, None, None, None, None, None, None, None)] * 3 + [(50, None, "en", "s", 0, "b", 1, 2, 3)]
+    rows += [(7, good + " seven", "en", "s", 1, "b", 1, 2, 3)] * 2
+    labels = "doc_id long, quality int, toxic int"
+    for name, docs, rated in (("odd", rows, [(1, 1, 0), (None, 1, 0), (2, None, 0)]), ("none", [], []), ("unrated", rows, [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(rated, labels).write.parquet(f"{folder}/labels.parquet")
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        assert bool(pieces) == bool(docs)
+        kept = table(spark, folder, "documents")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, folder)
+            assert kept.columns == [f.strip().split(" ")[0] for f in schema.split(",")]
+        assert kept.filter(F.contains("text", F.lit("abcdefghijklmnop"))).count() == 0
+        assert kept.count() == len({(r.doc_id) for r in pieces}) or None in {r.doc_id for r in pieces}
