@@ -163,11 +163,11 @@ def fit(
     """Maximum likelihood by Adam.  ``flat`` holds the features of all documents in a row."""
     value = values_of(sizes)
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    used, place, held = np.unique(flat, return_inverse=True, return_counts=True)
-    common = held >= least_documents  # rarer features keep weight 0
-    used, renamed = used[common], np.cumsum(common) - 1
-    kept = common[place]
-    place, rows, value = renamed[place[kept]], rows[kept], value[kept]
+    held = np.bincount(flat, minlength=BUCKETS)
+    common = (held > 0) & (held >= least_documents)  # rarer features keep weight 0
+    used, renamed = np.flatnonzero(common), np.cumsum(common) - 1
+    kept = common[flat]
+    place, rows, value = renamed[flat[kept]], rows[kept], value[kept]
     # Thresholds are a first one and the logarithms of the gaps, so they stay ordered.
     at_most = [np.clip((grade <= k).mean(), 1e-3, 1 - 1e-3) for k in range(n_grades - 1)]
     start = np.maximum.accumulate(np.log(at_most) - np.log1p(np.negative(at_most)))
