@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quern import schemas
 
+# Fixed value: tokens that do not make a line a code line.
 QUIET_TOKENS = frozenset({
     tokenize.ENCODING, tokenize.ENDMARKER, tokenize.INDENT, tokenize.DEDENT,
     tokenize.NEWLINE, tokenize.NL, tokenize.COMMENT,

@@ -191,7 +191,7 @@ def samples_job(spark: SparkSession, cleaned: str, out: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Samples with their line number: a table of ``samples_job``, or JSON lines of any origin."""
-    if path.rstrip("/").endswith("samples"):
+    if files.holds_parquet(spark, path):
         table = spark.read.parquet(path)
         extra = [f.name for f in schemas.SAMPLE.fields if f.name not in table.columns]
         missing = {name: F.lit(None).cast("string") for name in [*extra, files.CORRUPT]}

@@ -35,6 +35,14 @@ def source_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFr
     return files.select(relative.alias("file_path"), "content")
 
 
+def holds_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is a parquet table, by the names of its files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(folder) and any(
+        status.getPath().getName().endswith(".parquet") for status in system.listStatus(folder))
+
+
 def json_samples(spark: SparkSession, path: str, schema: T.StructType = schemas.SAMPLE) -> DataFrame:
     """JSON lines with a declared schema, so the files are read once."""
     return spark.read.schema(schema).json(path)

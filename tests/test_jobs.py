@@ -297,6 +297,15 @@ def test_format_and_select_write_what_they_leave_out(spark, tmp_path):
         jobs.format_job(spark, f"{tmp_path}/b.jsonl", f"{tmp_path}/none")
 
 
+def test_tables_and_json_lines_are_told_by_their_files(spark, stages, tmp_path):
+    table = spark.read.parquet(f"{stages}/samples/samples").limit(40)
+    table.write.parquet(f"{tmp_path}/any-name")
+    (tmp_path / "samples").mkdir()
+    (tmp_path / "samples" / "x.jsonl").write_text('{"type": "code_comment", "code": "c"}\n')
+    assert jobs.tokens_job(spark, f"{tmp_path}/any-name", f"{tmp_path}/a").first().samples == 40
+    assert jobs.tokens_job(spark, f"{tmp_path}/samples", f"{tmp_path}/b").first().samples == 1
+
+
 # ------------------------------------------------------------- versions
 
 
