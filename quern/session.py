@@ -67,9 +67,19 @@ def shared_folder(spark: SparkSession) -> str:
 _OPEN: ContextVar[list[str] | None] = ContextVar("_OPEN", default=None)
 
 
-def delete_table(spark: SparkSession, path: str) -> None:
+def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    system, folder = _folder(spark, path)
+    system.delete(folder, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, folder = _folder(spark, path)
+    system.mkdirs(folder)
 
 
 @contextmanager

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quern.operators.cleaning import PASSED, clean, rejects
 from quern.operators.ordering import keep_first
+from quern.session import make_folder
 
 BATCH = "batch"
 LANDED = "landed"
@@ -137,6 +138,7 @@ def run_new_texts(
 ) -> StreamingQuery:
     """Each distinct text of ``landed`` once, in ``files``.  ``schema`` is that of what landed."""
     numbered = T.StructType([*schema.fields]).add(BATCH, "integer")
+    make_folder(spark, f"{out}/{LANDED}")  # nothing may have arrived yet
     landed = read_arrivals(spark, f"{out}/{LANDED}", numbered).filter(where)
     step = new_texts_step(numbered, order, columns, out)
     with keyed_state(spark):

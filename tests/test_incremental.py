@@ -98,3 +98,10 @@ def test_batches_without_new_texts(spark, tmp_path):
     arrive(spark, tmp_path, [])
     arrive(spark, tmp_path, [("b.py", variant(3), 5), ("c.py", BODY, 1)])
     assert sorted(r.file_path for r in clean(spark, tmp_path).collect()) == ["a.py", "b.py"]
+
+
+def test_nothing_has_arrived_yet(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    jobs.incremental_clean_job(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state")
+    arrive(spark, tmp_path, [("a.py", BODY, 5)])
+    assert [r.file_path for r in clean(spark, tmp_path).collect()] == ["a.py"]
