@@ -9,11 +9,13 @@ Interning.  The n-grams of a block of texts go into an open-addressed NumPy tabl
 xxhash64 of the n-gram's bytes; all n-grams probe together, claim free slots, and are done where key,
 length and bytes equal those of the slot's owner; the others move on to the next slot.  A slot stores
 its bucket and count, so crc32 runs once per distinct n-gram of the block; each occurrence keeps its
-slot's number and gathers the gain through it.
+slot's number and gathers what the slot stores through it.
 
-How it runs.  Two maps over the documents: counts, folded to at most one row per bucket and task, and
-weights.  Only the bucket totals (bounded by ``BUCKETS``) pass through the driver.  Ranks come from
-range partitions of scores and offsets, never from one task; identical rows are split by a salt.
+How it runs.  One map over the texts interns them.  It writes, to a table in the shared folder, every
+document's gathered buckets, two bytes each, and one row per task with the counts of its slots.  The
+gains follow from the counts, and a map over the stored buckets gathers them into weights, so no
+text is read twice.  Only the bucket totals (bounded by ``BUCKETS``) pass through the driver.  Ranks come
+from range partitions of scores and offsets, never from one task; identical rows are split by a salt.
 
 Cases: NULL and blank texts have no words, no features and weight 0; texts are read whole, a very
 long one as a block of its own; rows that repeat an id are scored each and share its noise; ties go
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.llm.common import unused_name
 from quern.operators.ordering import number_rows
@@ -159,21 +162,68 @@ def blocks_of(texts: list[str | None]) -> Iterator[list[str | None]]:
 # ---------------------------------------------------------------- counts and gains
 
 
-def bucket_counts(
-    texts: DataFrame, text_col: str, order: int = ORDER, buckets: int = BUCKETS
-) -> np.ndarray:
-    """How many features of all texts fall into each bucket."""
+def _bucket_type(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
+def block_buckets(
+    texts: list[str | None], order: int, buckets: int
+) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words of each text, the buckets of its features, and the counts of all."""
+    grams = NGrams(texts, order)
+    table = Table(grams, buckets)
+    gathered = table.bucket[table.slot][np.argsort(grams.owner, kind="stable")]
+    packed = gathered.astype(_bucket_type(buckets))
+    ends = (np.cumsum(np.bincount(grams.owner, minlength=len(texts))) * packed.itemsize).tolist()
+    raw = packed.tobytes()
+    parts = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return grams.n_words, parts, table.counts(buckets)
+
+
+def interned(
+    docs: DataFrame, id_col: str, text_col: str, order: int, buckets: int, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, kept columns, n_words, features, counts): a row per document with the buckets of its
+    features, and a row per task with ``counts`` alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            words, features = [np.zeros(0, np.int64)], []
+            for block in blocks_of(batch.column(1).to_pylist()):
+                n_words, parts, counts = block_buckets(block, order, buckets)
+                words.append(n_words)
+                features += parts
+                total += counts
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), *batch.columns[2:], pa.array(np.concatenate(words)),
+                pa.array(features, pa.binary()), pa.nulls(batch.num_rows, pa.binary()),
+            ], names=schema.names)
+        empty = [pa.nulls(1, field.type) for field in to_arrow_schema(schema)][:-1]
+        yield pa.RecordBatch.from_arrays(
+            [*empty, pa.array([total.tobytes()], pa.binary())], names=schema.names)
+
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
+    schema = T.StructType([chosen.schema["id"], *chosen.schema.fields[2:]])
+    for name, kind in (("n_words", "long"), ("features", "binary"), ("counts", "binary")):
+        schema = schema.add(name, kind)
+    for field in schema.fields:
+        field.nullable = True
+    return chosen.mapInArrow(run, schema)
+
+
+def total_counts(stored: DataFrame, buckets: int) -> np.ndarray:
+    """How many features of all interned texts fall into each bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for block in blocks_of(batch.column(0).to_pylist()):
-                total += Table(NGrams(block, order), buckets).counts(buckets)
+            for packed in batch.column(0).to_pylist():
+                total += np.frombuffer(packed, np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"]
         )
 
-    folded = texts.select(text_col).mapInArrow(run, "bucket int, n long")
+    folded = stored.select("counts").filter("counts is not null").mapInArrow(run, "bucket int, n long")
     counts = np.zeros(buckets, np.int64)
     for row in folded.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most ``buckets``
         counts[row.bucket] = row.n
@@ -195,44 +245,28 @@ def noise(seed: str, name: str) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def block_weights(
-    texts: list[str | None], gains: np.ndarray, order: int = ORDER
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, features and weight of each text."""
-    grams = NGrams(texts, order)
-    table = Table(grams, len(gains))
-    features = np.bincount(grams.owner, minlength=len(texts))
-    total = np.zeros(len(texts), np.int64)
-    np.add.at(total, grams.owner, gains[table.bucket][table.slot])
-    return grams.n_words, features, total // np.maximum(features, 1)
-
-
-def scored(
-    docs: DataFrame, gains: np.ndarray, id_col: str, text_col: str, order: int, seed: str,
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """(id, kept columns, n_words, n_features, weight, score) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(gains)
+def scored(stored: DataFrame, gains: np.ndarray, seed: str) -> DataFrame:
+    """(id, kept columns, n_words, n_features, weight, score) of every interned document."""
+    shared = stored.sparkSession.sparkContext.broadcast(gains)
+    kind = _bucket_type(len(gains))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [
-                block_weights(block, shared.value, order)
-                for block in blocks_of(batch.column(1).to_pylist())
-            ] or [(np.zeros(0, np.int64),) * 3]
-            words, features, weight = (np.concatenate(x) for x in zip(*made, strict=True))
-            names = ["" if i is None else str(i) for i in batch.column(0).to_pylist()]
+            packed = batch.column("features").to_pylist()
+            features = np.array([len(p) for p in packed], np.int64) // np.dtype(kind).itemsize
+            found = np.cumsum(np.r_[0, shared.value[np.frombuffer(b"".join(packed), kind)]])
+            ends = np.cumsum(features)
+            weight = (found[ends] - found[ends - features]) // np.maximum(features, 1)
+            names = ["" if i is None else str(i) for i in batch.column("id").to_pylist()]
             score = weight + np.array([noise(seed, name) for name in names], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], *map(pa.array, (words, features, weight, score))],
-                names=schema.names,
-            )
+                [*batch.columns[:-1], *map(pa.array, (features, weight, score))], names=schema.names)
 
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
-    schema = T.StructType([chosen.schema["id"], *chosen.schema.fields[2:]])
-    for name in ("n_words", "n_features", "weight", "score"):
+    rows = stored.filter("counts is null").drop("counts")
+    schema = T.StructType(rows.schema.fields[:-1])
+    for name in ("n_features", "weight", "score"):
         schema = schema.add(name, "long")
-    return chosen.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- the draw
@@ -244,10 +278,10 @@ def resample(
     text_col: str = "text", target_col: str = "text", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per document: id, ``n_features``, ``weight``, ``score`` and ``rank`` in the draw, or NULL."""
-    gains = gains_of(
-        bucket_counts(docs, text_col, order, buckets), bucket_counts(target, target_col, order, buckets)
-    )
-    made = spool(scored(docs, gains, id_col, text_col, order, seed, keep), "scores")
+    stored = spool(interned(docs, id_col, text_col, order, buckets, keep), "interned")
+    aimed = interned(target, target_col, target_col, order, buckets)
+    gains = gains_of(total_counts(stored, buckets), total_counts(aimed, buckets))
+    made = spool(scored(stored, gains, seed), "scores")
     able = made.filter(F.col("n_words") >= least_words)
     n = able.count()
     ordered = able.withColumns({
