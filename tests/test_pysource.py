@@ -3,11 +3,13 @@ import glob
 import sysconfig
 import warnings
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quern import schemas
 from quern.functions import pysource
+from quern.functions.slices import slices
 from quern.operators import cleaning
 
 LIBRARY = sorted(glob.glob(sysconfig.get_paths()["stdlib"] + "/*.py"))
@@ -135,3 +137,44 @@ def test_reading_by_declaration(spark):
 
 def test_schema_matches_what_the_stage_returns():
     assert set(pysource._cleaner(0)("def f():\n    return 1\n", None)) <= set(schemas.CLEANED.names)
+
+
+def odd_variants(text):
+    yield text, None
+    yield text, text.replace("#", "#admin", 2)
+    yield text.replace("\n\n", "  \n\n", 3), None
+    yield text + "#end", None
+
+
+PLAIN = [
+    'x = """a\n# b  \n"""  # c\ny = 1\n', '"""a\n\nb"""; z = 2\n', "#!x\n#y\nx = 1", "s = '#x'\n", "é = 1  #ü\n",
+    '"""a\nb""" + """c\n\nd"""\n', "x = 1\n\n\n", "#coding: utf-8\nx = 1\n", "x = [\n  1,\n  # c\n]\n", "",
+]
+
+
+def test_plain_sources_are_cleaned_as_by_the_lexer(library, monkeypatch):
+    """Also that most of them are, since the lexer takes most of the time."""
+    plainly, cleaner = pysource._plainly_cleaned, pysource._cleaner(0)
+    own = [*PLAIN, 'x = f"{1}" #c\n', '"a""b"\n', '"a" B"b"\n', "x = 1 + \\\n  2\n", "if x:\n\ty = 1\n"]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for text, redacted in [pair for text in [*own, *library[::12]] for pair in odd_variants(text)]:
+            monkeypatch.setattr(pysource, "_plainly_cleaned", plainly)
+            got = cleaner(text, redacted)
+            monkeypatch.setattr(pysource, "_plainly_cleaned", lambda *_: None)
+            assert got == cleaner(text, redacted), text
+
+    def no_lexer(text):
+        raise AssertionError("the lexer was called")
+    monkeypatch.setattr(pysource, "_plainly_cleaned", plainly)
+    monkeypatch.setattr(pysource, "_tokens", no_lexer)
+    assert not any(cleaner(text, None)["failed"] for text in PLAIN)
+
+
+def test_batches_are_taken_in_slices(spark):
+    """Python holds the values of one slice, however large a batch is."""
+    seen = [len(part) for (part,) in slices(pa.array(["x"] * 1000))]
+    assert max(seen) <= 64 and sum(seen) == 1000
+    rows = spark.range(1000).repartition(1).select("id", F.concat(F.lit("x = "), "id").alias("source"))
+    told = rows.select("id", pysource.outline(F.col("source")).alias("o"), pysource.parses(F.col("source")).alias("p"))
+    assert told.filter("p and o.function_count = 0 and o.error is null").count() == 1000
