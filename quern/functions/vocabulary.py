@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from quern.functions.bytes import IGNORED
+from quern.functions.slices import slices
 
 # What happens to a token that begins in the prompt and ends in the completion.
 MASK, TRAIN, COUNT = "mask", "train", "count"
@@ -57,9 +58,10 @@ def _column(schema: str, rows: Callable[..., dict | None], *columns: Column) ->
     def run(batches):
         for batch in batches:
             arrays = batch if several else (batch,)
-            values = zip(*(array.to_pylist() for array in arrays), strict=True)
-            made = [None if None in row else rows(*row) for row in values]
-            yield pa.array(made, type=kind)
+            for part in slices(*arrays):
+                values = zip(*(array.to_pylist() for array in part), strict=True)
+                made = [None if None in row else rows(*row) for row in values]
+                yield pa.array(made, type=kind)
 
     several = len(columns) > 1
     given = Iterator[tuple[pa.Array, ...]] if several else Iterator[pa.Array]

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.bytes import byte_length, encode
+from quern.functions.slices import slices
 from quern.functions.text import filled, strip, text_or_empty
 from quern.operators.ordering import number_rows
 
@@ -120,7 +121,8 @@ def tokenise_with(
             except Exception as exc:
                 return {"error": f"{type(exc).__name__}: {exc}"}
         for part in parts:
-            yield pa.array([ids(text) for text in part.to_pylist()], type=made)
+            for (few,) in slices(part):
+                yield pa.array([ids(text) for text in few.to_pylist()], type=made)
 
     from collections.abc import Iterator
     batches.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
