@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions.prompts import prompt
 from quern.functions.text import SPACE_CLASS, col
-from quern.session import spool
+from quern.session import delete_table, dropping_shuffles, handovers, scratch_path, spool
 
 # At most this many tokens can each make up 1/HEAVY of the corpus, so at most this many rows
 # are broadcast.
@@ -45,14 +45,12 @@ def unigram_losses(
     """Mean negative log-likelihood per text under the word counts of ``corpus`` (the texts
     themselves, if it is not given): (key, loss, n_tokens).  A text without words has loss NULL.
 
-    Texts are split once, into a table of words per text.  Words that are frequent in the texts
-    would be hot join keys.  They are few by definition, so they are broadcast; only other words
-    are shuffled to meet their counts.
+    Words that are frequent in the texts would be hot join keys.  They are few by definition, so they
+    are broadcast; only other words are shuffled to meet their counts.  Texts are split again for
+    every step: a table of their words would be larger than they are.
     """
-    own = spool(
-        words(texts, key, text).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")), "words"
-    )
-    used = own.groupBy("token").agg(F.sum("n").alias("used"))
+    own = words(texts, key, text)
+    used = own.groupBy("token").agg(F.count(F.lit(1)).alias("used"))
     counts = spool(_vocabulary(used, corpus, text), "vocabulary")
     totals = counts.agg(_mass().alias("mass"), F.sum("used").alias("used"))
     mass, all_used = totals.select("mass").scalar(), totals.select("used").scalar()
@@ -63,7 +61,7 @@ def unigram_losses(
 
     def per_text(rows: DataFrame) -> DataFrame:
         return rows.groupBy(key).agg(
-            F.sum(_cost(F.col("seen"), mass) * F.col("n")).alias("cost"), F.sum("n").alias("n")
+            F.sum(_cost(F.col("seen"), mass)).alias("cost"), F.count(F.lit(1)).alias("n")
         )
     # At most HEAVY words, together no longer than HEAVY words of average length.
     heavy = F.broadcast(heavy)
@@ -139,6 +137,8 @@ def pass_rate(checked: DataFrame, *by: str) -> DataFrame:
 # Used if the corpus has no bigram that occurs once, or none that occurs twice.
 DISCOUNT = 0.75
 START = ""
+# A slice of the pairs is on disk at a time while it is shuffled.  Texts are split twice for each.
+SLICES = 8
 
 
 def bigrams(texts: DataFrame, key: Column | str, text: str) -> DataFrame:
@@ -150,27 +150,40 @@ def bigrams(texts: DataFrame, key: Column | str, text: str) -> DataFrame:
         key, "_pair.prev", "_pair.token").filter(F.col("token").isNotNull())
 
 
-def bigram_model(corpus: DataFrame, text: str) -> dict[str, DataFrame]:
-    """Counts for interpolated Kneser-Ney: ``pairs`` (prev, token, seen), ``contexts`` (prev, total,
-    followers), ``continuations`` (token, precursors), and one row each of ``totals`` (distinct pairs,
-    discount) and ``known`` (distinct words).
+def _slice() -> Column:
+    """The slice of all pairs that a pair falls into."""
+    return F.pmod(F.xxhash64("prev", "token"), F.lit(SLICES))
+
+
+def pair_counts(texts: DataFrame, corpus: DataFrame | None, text: str, part: int) -> DataFrame:
+    """(prev, token, seen, uses) of the pairs of a slice: occurrences in the corpus and in the texts."""
+    def of(table: DataFrame, seen: int, uses: int) -> DataFrame:
+        return bigrams(table, F.lit(0).alias("_"), text).filter(_slice() == part).select(
+            "prev", "token", F.lit(seen).alias("seen"), F.lit(uses).alias("uses"))
+    both = of(texts, 1, 1) if corpus is None else of(texts, 0, 1).unionByName(of(corpus, 1, 0))
+    return both.groupBy("prev", "token").agg(F.sum("seen").alias("seen"), F.sum("uses").alias("uses"))
+
+
+def bigram_model(pairs: DataFrame) -> dict[str, DataFrame]:
+    """Counts for interpolated Kneser-Ney from (prev, token, seen, uses): ``contexts`` (prev, total,
+    followers), ``continuations`` (token, precursors), both with how many ``rows`` ask for them, and one
+    row each of ``totals`` (distinct pairs, discount) and ``known`` (distinct words).
 
     Everything folds before it is shuffled, so neither a frequent pair nor a context that a third of
     all words follow reaches a task whole.
     """
-    pairs = spool(
-        bigrams(corpus, F.lit(0).alias("_"), text).groupBy("prev", "token")
-        .agg(F.count(F.lit(1)).alias("seen")), "pairs",
-    )
-    n = F.count(F.lit(1))
-    contexts = pairs.groupBy("prev").agg(F.sum("seen").alias("total"), n.alias("followers"))
-    continuations = pairs.groupBy("token").agg(n.alias("precursors"))
+    seen, rows = F.col("seen") > 0, F.count_if(F.col("uses") > 0).alias("rows")
+    contexts = spool(pairs.groupBy("prev").agg(
+        rows, F.sum("seen").alias("total"), F.count_if(seen).alias("followers")), "contexts")
+    continuations = spool(
+        pairs.groupBy("token").agg(rows, F.count_if(seen).alias("precursors")), "continuations")
     once, twice = F.count_if(F.col("seen") == 1), F.count_if(F.col("seen") == 2)
     discount = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(DISCOUNT)
     return {
-        "pairs": pairs, "contexts": contexts, "continuations": continuations,
-        "totals": pairs.agg(n.alias("kinds"), discount.alias("discount")),
-        "known": continuations.agg(n.alias("known")),
+        "contexts": contexts, "continuations": continuations,
+        "totals": spool(pairs.agg(
+            F.count_if(seen).alias("kinds"), discount.alias("discount"), F.sum("uses").alias("uses")), "totals"),
+        "known": continuations.agg(F.count_if(F.col("precursors") > 0).alias("known")),
     }
 
 
@@ -185,32 +198,26 @@ def _with_frequent(rows: DataFrame, table: DataFrame, on: list[str], uses: str,
         rows.join(heavy.select(*on), on, "left_anti").join(light, on))
 
 
-def bigram_costs(used: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
-    """(prev, token, uses, cost) of the distinct bigrams in ``used`` (prev, token, uses): the negative
+def bigram_costs(pairs: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """(prev, token, uses, cost) of the pairs (prev, token, seen, uses) that have uses: the negative
     log-likelihood of the word after the one before.
 
     A seen pair gives up the discount, which its context deals out by continuation: by how many words
     a word has followed.  That in turn gives up the discount to all known words and one unknown one.
     """
-    n = F.count(F.lit(1))
     kinds, discount = (model["totals"].select(name).scalar() for name in ("kinds", "discount"))
     known = model["known"].scalar()
-    contexts = spool(
-        used.groupBy("prev").agg(n.alias("rows")).join(model["contexts"], "prev", "left"), "contexts")
-    continuations = spool(
-        used.groupBy("token").agg(n.alias("rows")).join(model["continuations"], "token", "left"),
-        "continuations")
+    contexts, continuations = model["contexts"], model["continuations"]
     all_rows = contexts.agg(F.sum("rows")).scalar()
-    rows = used.join(model["pairs"], ["prev", "token"], "left")
-    rows = _with_frequent(rows, contexts, ["prev"], "rows", all_rows)
+    rows = _with_frequent(pairs.filter("uses > 0"), contexts, ["prev"], "rows", all_rows)
     rows = _with_frequent(rows, continuations, ["token"], "rows", all_rows)
     lower = F.try_divide(
-        F.greatest(F.coalesce("precursors", F.lit(0)) - discount, F.lit(0.0))
-        + discount * known / (known + 1), kinds,
+        F.greatest(F.col("precursors") - discount, F.lit(0.0)) + discount * known / (known + 1), kinds,
     )
+    total = F.nullif("total", F.lit(0))
     higher = (
-        F.greatest(F.coalesce("seen", F.lit(0)) - discount, F.lit(0.0)) / F.col("total")
-        + discount * F.col("followers") / F.col("total") * lower
+        F.greatest(F.col("seen") - discount, F.lit(0.0)) / total
+        + discount * F.col("followers") / total * lower
     )
     return rows.select("prev", "token", "uses", (-F.log(F.coalesce(higher, lower))).alias("cost"))
 
@@ -218,17 +225,33 @@ def bigram_costs(used: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
 def bigram_losses(texts: DataFrame, key: str, text: str, corpus: DataFrame | None = None) -> DataFrame:
     """Mean negative log-likelihood per text under interpolated Kneser-Ney bigrams of ``corpus`` (the
     texts themselves, if it is not given): (key, loss, n_tokens).  A text without words, and every
-    text if the corpus has no word, has loss NULL."""
-    own = spool(
-        bigrams(texts, key, text).groupBy(key, "prev", "token").agg(F.count(F.lit(1)).alias("n")),
-        "bigrams",
-    )
-    used = own.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("uses"))
-    costs = spool(bigram_costs(used, bigram_model(texts if corpus is None else corpus, text)), "costs")
-    all_rows = costs.agg(F.sum("uses")).scalar()
-    joined = _with_frequent(own, costs, ["prev", "token"], "uses", all_rows)
-    every = texts.select(key, F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("n"))
-    return joined.select(key, (F.col("cost") * F.col("n")).alias("cost"), "n").unionByName(every).groupBy(key).agg(
-        F.when(F.count_if(F.col("cost").isNull()) == 0, F.try_divide(F.sum("cost"), F.sum("n")))
-        .alias("loss"), F.sum("n").alias("n_tokens"),
+    text if the corpus has no word, has loss NULL.
+
+    Most pairs of a corpus are rare, so the pairs of all texts, shuffled, would take many times the
+    room of the texts.  They are dealt by hash into ``SLICES``, one worked through after the other; a
+    slice leaves its counts and, per text, its share of the loss.
+    """
+    spark = texts.sparkSession
+    counted, shares = scratch_path(spark, "pairs"), scratch_path(spark, "shares")
+    with dropping_shuffles(spark), handovers(spark):
+        for part in range(SLICES):
+            pair_counts(texts, corpus, text, part).write.parquet(f"{counted}/part={part}")
+        pairs = spark.read.schema("prev string, token string, seen long, uses long").parquet(counted)
+        model = bigram_model(pairs)
+        all_uses = model["totals"].select("uses").scalar()
+        for part in range(SLICES):
+            of_part = spark.read.parquet(f"{counted}/part={part}")
+            costs = spool(bigram_costs(of_part, model), "costs")
+            own = bigrams(texts, key, text).filter(_slice() == part)
+            share = _with_frequent(own, costs, ["prev", "token"], "uses", all_uses).groupBy(key).agg(
+                F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n"),
+                F.count_if(F.col("cost").isNull()).alias("unknown"))
+            share.write.parquet(f"{shares}/part={part}")
+    delete_table(spark, counted)
+    every = texts.select(
+        key, F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("unknown"))
+    made = spark.read.schema(share.schema).parquet(shares).select(*every.columns)
+    return made.unionByName(every).groupBy(key).agg(
+        F.when(F.sum("unknown") == 0, F.try_divide(F.sum("cost"), F.sum("n"))).alias("loss"),
+        F.sum("n").alias("n_tokens"),
     )

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from quern import session
 from quern.functions.text import strip
 from quern.operators import evaluation, ingest
 
@@ -138,6 +139,14 @@ def test_bigram_losses_equal_counting(spark, monkeypatch, heavy, same):
             assert got[i].loss is None
 
 
+def test_pairs_of_bigrams_are_not_left_on_disk(spark, tmp_path, monkeypatch):
+    """What stays for the result is one row per text and slice."""
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    texts = spark.createDataFrame([(i % 3, text) for i, text in enumerate(CORPUS)], "id int, text string")
+    assert evaluation.bigram_losses(texts, "id", "text").count() == 3
+    assert [path.name.partition("-")[0] for path in (tmp_path / "quern").iterdir()] == ["shares"]
+
+
 def test_bigram_probabilities_add_up():
     p, words, contexts = plain_bigram_model(CORPUS)
     for prev in [*contexts, "never seen"]:
