@@ -918,10 +918,13 @@ def all_rejects(spark, folder):
     """Every stage's input, kept rows and rejects; the rejects make up the difference."""
     docs = _docs(spark, folder)
     blank = _some_blank(spark, folder)
-    landed = ingest.landed(tables.odd_contents(docs))
-    cleaned = _cleaned_odd(spark, folder)
-    checked = samples.check(samples.extract(cleaning.cleaned_files(_cleaned(spark, folder))))
-    tokenised = _chosen_tokens(spark, folder)
+    # Each stage runs once; what is counted and listed of it is read from its table.
+    landed = spool(ingest.landed(tables.odd_contents(docs)).drop("source"), "landed")
+    cleaned = spool(_cleaned_odd(spark, folder).drop("source", "outline"), "cleaned")
+    checked = spool(
+        samples.check(samples.extract(cleaning.cleaned_files(_cleaned(spark, folder))))
+        .drop("code", "instruction"), "checked")
+    tokenised = spool(_chosen_tokens(spark, folder).drop("input_ids"), "tokenised")
     built = formats.prompt_completion(blank)
     n = F.count(F.lit(1))
 

@@ -68,3 +68,12 @@ def test_top_k_is_limited_before_the_shuffle(spark, data):
 def test_cleaning_parses_in_one_python_stage(spark, data):
     text = plan(QUERIES["clean_sources"](spark, data))
     assert text.count("ArrowEvalPython") == 1
+
+
+def test_stages_of_all_rejects_run_once(spark, data, monkeypatch):
+    """What is counted and listed of a stage is read from its table."""
+    from quern.plans import queries
+    made = []
+    monkeypatch.setattr(queries, "spool", lambda df, label: made.append(label) or df.limit(0))
+    queries.all_rejects(spark, data)
+    assert made == ["landed", "cleaned", "checked", "tokenised"]
