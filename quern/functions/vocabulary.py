@@ -6,7 +6,9 @@ texts give NULL.  Special strings inside texts are taken as the library takes th
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -69,6 +71,43 @@ def _column(schema: str, rows: Callable[..., dict | None], *columns: Column) ->
     return F.arrow_udf(run, f"struct<{schema}>").asNondeterministic()(*columns)
 
 
+# Where a text can be cut so that its head has the tokens that it has in the whole: before a blank between
+# letters or digits, at which the byte-level vocabularies always end a piece.
+CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+# Characters of a head for each token wanted; a head that holds too few tokens is doubled.
+CHARACTERS_PER_TOKEN = 4
+
+
+@lru_cache(maxsize=4)
+def splits_at_blanks(path: str) -> bool:
+    """If ``CUT`` holds for a vocabulary: it takes texts as they are, in pieces of its own byte-level
+    pattern, and has no further token that could span a blank."""
+    made = json.loads(load(path).to_str())
+    pieces = made["pre_tokenizer"] or {}
+    return (
+        made["normalizer"] is None and pieces.get("type") == "ByteLevel" and made["model"]["type"] == "BPE"
+        and pieces.get("use_regex", True) and not pieces.get("add_prefix_space", True)
+        and not any(
+            t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or " " in t["content"]
+            for t in made["added_tokens"])
+    )
+
+
+def encode_head(path: str, text: str, limit: int):
+    """The library's encoding of ``text``, of which more than the first ``limit`` tokens may be missing:
+    there are more than ``limit`` if the text has more.  Long texts are not encoded to their end."""
+    size = limit * CHARACTERS_PER_TOKEN
+    while size < len(text) and splits_at_blanks(path):
+        cut = CUT.search(text, size)
+        if cut is None:
+            break
+        made = load(path).encode(text[:cut.start()], add_special_tokens=False)
+        if len(made) > limit:
+            return made
+        size = 2 * cut.start()
+    return load(path).encode(text, add_special_tokens=False)
+
+
 # ------------------------------------------------------------- labels
 
 
@@ -80,9 +119,9 @@ def masked_tokens(ends: list[tuple[int, int]], border: int, rule: str) -> list[b
 
 
 def labelled(path: str, prompt: str, completion: str, limit: int, rule: str) -> dict:
-    whole = load(path).encode(prompt + completion, add_special_tokens=False)
+    whole = encode_head(path, prompt + completion, limit)
     ids, places = whole.ids[:limit], whole.offsets[:limit]
-    head = load(path).encode(prompt, add_special_tokens=False).ids[:limit]
+    head = encode_head(path, prompt, limit).ids[:limit]
     border = len(prompt)
     if rule == COUNT:
         masked = [i < len(head) for i in range(len(ids))]
@@ -167,14 +206,14 @@ FORMAT = "newline_tokens int, space_tokens int, indent_tokens int"
 def roundtrip(path: str, text: Column, limit: int) -> Column:
     """What becomes of a text that is encoded, cut to ``limit`` ids and decoded."""
     def rows(value: str) -> dict:
-        whole = load(path).encode(value, add_special_tokens=False)
+        whole = encode_head(path, value, limit)
         ids = whole.ids[:limit]
         back = load(path).decode(ids, skip_special_tokens=False)
-        partial = len(whole.ids) > limit and back.endswith(BROKEN) and not value.startswith(back)
+        partial = len(whole) > limit and back.endswith(BROKEN) and not value.startswith(back)
         kept = back.rstrip(BROKEN) if partial else back
         return {
             "n_tokens": len(ids), "decoded": back, "cut": len(ids) >= limit, "partial": partial,
-            "kept_same": value.startswith(kept) if len(whole.ids) > limit else value == back,
+            "kept_same": value.startswith(kept) if len(whole) > limit else value == back,
             **format_pieces(whole.tokens[:limit]),
         }
 

@@ -107,6 +107,36 @@ def test_roundtrip_that_loses_and_cuts_that_split(spark):
     assert not lost[1].same and not lost[1].kept_same  # lower case only
 
 
+class Counting:
+    """A tokenizer that notes how much it encodes."""
+    def __init__(self, made):
+        self.made, self.sizes = made, []
+
+    def __getattr__(self, name):
+        return getattr(self.made, name)
+
+    def encode(self, text, **options):
+        self.sizes.append(len(text))
+        return self.made.encode(text, **options)
+
+
+def test_long_texts_are_not_encoded_to_their_end(data, spark, library, monkeypatch):
+    counting = Counting(library)
+    monkeypatch.setattr(columns, "load", lambda path: counting)
+    assert columns.splits_at_blanks(PATH)
+    row = columns.labelled(PATH, "some words " * 100, "and more of them " * 20_000, 50, columns.MASK)
+    assert len(row["input_ids"]) == 50 and sum(counting.sizes) < 5_000
+    texts = [r.text for r in tables.documents(spark, data).collect() if r.text]
+    texts += ["a  b   c " * 300, "x" * 900, "1 2 3 " * 300, "é <|endoftext|> a " * 200, "it's we'll a b " * 99, "\n a b\t c" * 99]
+    for text in texts:
+        whole = library.encode(text, add_special_tokens=False)
+        for limit in (1, 7, 100, 1024):
+            head = columns.encode_head(PATH, text, limit)
+            assert head.ids[:limit] == whole.ids[:limit] and head.offsets[:limit] == whole.offsets[:limit]
+            assert (len(head) > limit) == (len(whole) > limit)
+    columns.splits_at_blanks.cache_clear()
+
+
 def test_windows_complete_characters(library):
     texts = ["日本語テキスト 👩‍👩‍👧‍👦 é", "plain words", "a�b 日��", "", "𝔘𝔫𝔦" * 4, "�" * 6]
     for text in texts:
