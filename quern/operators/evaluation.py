@@ -138,12 +138,12 @@ def pass_rate(checked: DataFrame, *by: str) -> DataFrame:
 DISCOUNT = 0.75
 START = ""
 # A slice of the pairs is on disk at a time while it is shuffled.  Texts are split twice for each.
-SLICES = 8
+SLICES = 4
 
 
 def bigrams(texts: DataFrame, key: Column | str, text: str) -> DataFrame:
     """(key, prev, token) of every word; the first word of a text follows ``START``."""
-    parts = F.filter(F.split(col(text), f"(?U)[{SPACE_CLASS}]+"), lambda word: word != "")
+    parts = F.array_remove(F.split(col(text), f"(?U)[{SPACE_CLASS}]+"), "")
     pairs = F.arrays_zip(
         F.concat(F.array(F.lit(START)), parts).alias("prev"), parts.alias("token"))
     return texts.select(key, F.explode(pairs).alias("_pair")).select(
