@@ -8,7 +8,7 @@ analysed.  The instruction texts are SQL functions, which Spark puts into the pl
 from __future__ import annotations
 
 import ast
-import warnings
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
@@ -22,8 +22,12 @@ KINDS = {
     "function": [("args", STRINGS), ("comments", T.StringType())],
     "class": [("methods", STRINGS)],
 }
-# Where the outline of a source keeps each kind.
-_OUTLINE = {"function": "functions", "class": "classes"}
+# What finds each kind, and what begins the line of one: a source without such a line has none.
+_FOUND = {"function": pysource.functions_of, "class": pysource.classes_of}
+_BEGUN = {
+    kind: re.compile(rf"(?:\A|[\n\r])[ \t\f]*{word}\b")
+    for kind, word in (("function", "def"), ("class", "class"))
+}
 
 
 class Definitions:
@@ -45,18 +49,19 @@ class Definitions:
         return AnalyzeResult(schema)
 
     def eval(self, source: str, kind: str):
-        if source is None:
-            return
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
+        if source is None or not _BEGUN[kind].search(source):
+            return []
+        with pysource.quiet():
+            try:
                 tree = ast.parse(source)
-        except Exception:
-            return
-        for one in pysource.outline_of(source, tree)[_OUTLINE[kind]]:
-            code = source[one["start"]:one["start"] + one["length"]].strip()
-            own = (one[name] for name, _ in KINDS[kind])
-            yield (one["ord"], one["name"], one["docstring"], one["top"], code, *own)
+            except Exception:
+                return []
+            own = [name for name, _ in KINDS[kind]]
+            return [
+                (one["ord"], one["name"], one["docstring"], one["top"],
+                 source[one["start"]:one["start"] + one["length"]].strip(), *(one[name] for name in own))
+                for one in _FOUND[kind](source, tree)
+            ]
 
 
 def _quoted(text: str) -> str:

@@ -1,5 +1,7 @@
 """The library in SQL text, and trees of files."""
 
+import ast
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,30 @@ def test_definitions_of_classes(spark, sources):
     assert {r.name: r.methods for r in rows.collect()} == {"A": ["one", "two"], "Empty": []}
 
 
+def test_sources_without_a_line_of_the_kind_are_not_parsed(monkeypatch):
+    parsed, parse = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda text: parsed.append(text) or parse(text))
+    found = sql.Definitions()
+    assert list(found.eval("def f(): pass\nx = 'class A'  # class B", "class")) == [] and not parsed
+    assert list(found.eval("class A: pass\nasync def f(): pass", "function")) == [] and not parsed
+    assert [row[1] for row in found.eval("class A: pass", "class")] == ["A"] and len(parsed) == 1
+
+
+@pytest.mark.parametrize("kind, word, end, node", [
+    ("class", "class", "", ast.ClassDef), ("function", "def", "()", ast.FunctionDef)])
+def test_no_definition_is_missed(kind, word, end, node):
+    one = f"{word} A{end}: pass"
+    texts = [one, f"\\\n{one}", f"\x0c{one}", f"{word}\\\n A{end}: pass", f"if 1:\n\t{one}", f"x = 1\r{one}"[6:],
+             f"x = '''\n'''\n{one}", f"@d\n{one}", f"{word} {word}_{end}: pass", f"x=1;{one}", f"if 1: {one}",
+             f"'''\n{one}\n'''", f"﻿{one}", f"x = 1 \\\n{one}", f"async {word} A{end}: pass", f"x = 1\x0c{one}"]
+    for text in texts:
+        try:
+            want = [n.name for n in ast.walk(ast.parse(text)) if isinstance(n, node)]
+        except SyntaxError:
+            want = []
+        assert [row[1] for row in sql.Definitions().eval(text, kind)] == want, text
+
+
 @pytest.mark.parametrize("call", [
     "definitions(f.source, 'module')", "definitions(f.source, f.file_path)", "definitions(1, 'class')"])
 def test_wrong_arguments_fail_when_analysed(spark, sources, call):
