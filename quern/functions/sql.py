@@ -1,8 +1,9 @@
 """The library in SQL text: functions and table functions that a session registers.
 
-``definitions(source, kind)`` is a Python table function over Arrow: with ``LATERAL`` it gives a row for
+``definitions(source, kind)`` is a Python table function: with ``LATERAL`` it gives a row for
 every function or class of a source.  ``analyze`` fixes its columns by the kind when the query is
-analysed.  The instruction texts are SQL functions, which Spark puts into the plan as expressions.
+analysed.  Its rows travel pickled, many sources at a time; over Arrow each source would be a batch of
+its own, which takes longer than parsing.  The instruction texts are SQL functions, which Spark puts into the plan as expressions.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ FUNCTIONS = {
 
 def register(spark: SparkSession) -> None:
     """Makes ``definitions`` and the functions above known to the session."""
-    spark.udtf.register("definitions", F.udtf(Definitions, useArrow=True))
+    spark.udtf.register("definitions", F.udtf(Definitions, useArrow=False))
     for signature, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS STRING RETURN {body}")
 

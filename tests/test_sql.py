@@ -71,6 +71,13 @@ def test_no_definition_is_missed(kind, word, end, node):
         assert [row[1] for row in sql.Definitions().eval(text, kind)] == want, text
 
 
+def test_definitions_do_not_travel_one_source_at_a_time(spark, sources):
+    queries = {"class": sql.class_samples(sources, 3, 42), "function": sql.function_samples(sources, 5, 5, 42)}
+    for kind, query in queries.items():
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan, kind
+
+
 @pytest.mark.parametrize("call", [
     "definitions(f.source, 'module')", "definitions(f.source, f.file_path)", "definitions(1, 'class')"])
 def test_wrong_arguments_fail_when_analysed(spark, sources, call):
