@@ -74,25 +74,34 @@ def strip_markup(c: Column | str) -> Column:
 def space_out(c: Column | str) -> Column:
     """Blanks after keywords, around operators and after commas and colons."""
     word = "[a-zA-Z0-9_]"
-    rules = [(k, f"({k})([A-Za-z_])", "$1 $2") for k in KEYWORDS]
+    # Patterns begin with a literal wherever they can, since a search tries every character.
+    rules = [(k, f"{k}([A-Za-z_])", f"{k} $1") for k in KEYWORDS]
     rules += [
         (":", r":([A-Za-z_])", ": $1"),
         (")(", r"\)\(", ") ("),
         (")->", r"\)->", ") -> "),
         ("->", r"->([A-Za-z_])", "-> $1"),
     ]
-    rules += [(op, rf"({word})\Q{op}\E({word})", f"$1 {op} $2") for op in OPERATORS]
+    # The word character on the left is one that the last match did not end with.
+    rules += [
+        (op, rf"\Q{op}\E(?<={word}\Q{op}\E)(?<!\G\Q{op}\E)({word})", f" {op} $1") for op in OPERATORS
+    ]
     rules += [
         (",", r",([A-Za-z_])", ", $1"),
         (",", r",([0-9])", ", $1"),
         ("if(", r"if\(", "if ("),
         ("elif(", r"elif\(", "elif ("),
         ("while(", r"while\(", "while ("),
-        # name=value: each run of word characters is tried once, from its start or from where the
-        # last match ended, which keeps the rule linear on text without blanks.
-        ("=", rf"(?:\G|(?<!{word}))([0-9]*+[a-zA-Z_]{word}*+)=([a-zA-Z0-9_\"'])", "$1 = $2"),
     ]
-    return replace_where(c, rules)
+    # name=value: each run of word characters is tried once, from its start or from where the
+    # last match ended, which keeps the rule linear on text without blanks.  Few texts still have
+    # what every match needs.
+    value = r"[a-zA-Z0-9_\"']"
+    assigned = rf"(?:\G|(?<!{word}))([0-9]*+[a-zA-Z_]{word}*+)=({value})"
+    return bind(replace_where(c, rules), lambda text: F.when(
+        F.contains(text, F.lit("=")) & F.rlike(text, F.lit(rf"=(?<={word}=)(?={value})")),
+        F.regexp_replace(text, assigned, "$1 = $2"),
+    ).otherwise(text))
 
 
 def break_one_liner(c: Column | str) -> Column:
@@ -115,7 +124,7 @@ def reindent(c: Column | str) -> Column:
     block = "|".join(word.rstrip() + r"\x20" if word.endswith(" ") else word for word in BLOCK_WORDS)
     header = rf"(?:class\x20|def\x20)[^\n]*|(?:{block})[^\n]*(?<=:)"
     flat = _chain(col(c), [
-        (rf"(?mdU)^{blanks}++|(?<!{blanks}){blanks}++$", ""),
+        (rf"(?mdU)^{blanks}++|{blanks}(?<!{blanks}{{2}}){blanks}*+$", ""),
         (r"\n{2,}", "\n"),
         (r"\A\n|\n\z", ""),
         (rf"\n(?={block})", "\n\n"),
@@ -123,9 +132,9 @@ def reindent(c: Column | str) -> Column:
     ])
     levelled = F.transform(
         F.split(flat, "\n\n\n"),
-        lambda piece, level: F.regexp_replace(
+        lambda piece, level: F.when(level == 0, piece).otherwise(F.regexp_replace(
             piece, F.lit(r"(?md)^(?=[^\n])"), F.repeat(F.lit("    "), level)
-        ),
+        )),
     )
     return F.array_join(levelled, "\n")
 

@@ -46,6 +46,37 @@ def test_assignment_rule_equals_the_plain_pattern(values):
     assert got == [plain.sub(r"\1\2 = \3", t) for t in texts]
 
 
+def test_rules_equal_the_plain_patterns(values):
+    word, rng = "[a-zA-Z0-9_]", random.Random(7)
+    parts = [*generated.KEYWORDS, *generated.OPERATORS, *"aB1_ \n:,()='\"é", "->"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)]
+    plain = [(rf"({k})([A-Za-z_])", r"\1 \2") for k in generated.KEYWORDS]
+    plain += [(r":([A-Za-z_])", r": \1"), (r"\)\(", ") ("), (r"\)->", ") -> "), (r"->([A-Za-z_])", r"-> \1")]
+    plain += [(rf"({word}){re.escape(op)}({word})", rf"\1 {op} \2") for op in generated.OPERATORS]
+    plain += [(r",([A-Za-z_])", r", \1"), (r",([0-9])", r", \1"), (r"if\(", "if ("), (r"elif\(", "elif ("),
+              (r"while\(", "while ("), (r"([a-zA-Z_][a-zA-Z0-9_]*)=([a-zA-Z0-9_\"'])", r"\1 = \2")]
+
+    def spaced(text):
+        for pattern, replacement in plain:
+            text = re.sub(pattern, replacement, text)
+        return text
+    assert values(generated.space_out, texts) == [spaced(t) for t in texts]
+
+
+def test_lines_are_stripped_at_both_ends(values):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(" \t\n\r\x0b\x1c\x85　abc", k=rng.randint(0, 14))) for _ in range(2000)]
+    want = ["\n".join(filter(None, (line.strip() for line in t.split("\n")))) for t in texts]
+    assert values(generated.reindent, texts) == want
+
+
+def test_patterns_of_words_and_operators_begin_with_their_literal(spark):
+    spaced = spark.createDataFrame([("x",)], "x string").select(generated.space_out(F.col("x")))
+    plan = spaced._jdf.queryExecution().logical().toString()
+    assert "(def)" not in plan and "def([A-Za-z_])" in plan
+    assert r"_])\Q+\E" not in plan and r"\Q+\E(?<=" in plan
+
+
 def test_repair(values):
     one_line = "defadd(a,b):returna+b"
     many = "classA:\ndeff(self):\n\nx=1\nif x:\ny=2\n"
