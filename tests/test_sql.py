@@ -49,11 +49,15 @@ def test_definitions_of_classes(spark, sources):
 
 def test_sources_without_a_line_of_the_kind_are_not_parsed(monkeypatch):
     parsed, parse = [], ast.parse
-    monkeypatch.setattr(ast, "parse", lambda text: parsed.append(text) or parse(text))
+    monkeypatch.setattr(ast, "parse", lambda text, *more: parsed.append(text) or parse(text, *more))
     found = sql.Definitions()
-    assert list(found.eval("def f(): pass\nx = 'class A'  # class B", "class")) == [] and not parsed
-    assert list(found.eval("class A: pass\nasync def f(): pass", "function")) == [] and not parsed
-    assert [row[1] for row in found.eval("class A: pass", "class")] == ["A"] and len(parsed) == 1
+    none = [*found.eval("def f(): pass\nx = 'class A'  # class B", "class"),
+            *found.eval("class A: pass\nasync def f(): pass", "function")]
+    before = len(parsed)
+    names = [row[1] for row in found.eval("class A: pass", "class")]
+    after = len(parsed)
+    monkeypatch.undo()
+    assert (none, before, names, after) == ([], 0, ["A"], 1)
 
 
 @pytest.mark.parametrize("kind, word, end, node", [
