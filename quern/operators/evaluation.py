@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from quern.functions import pairs
 from quern.functions.prompts import prompt
 from quern.functions.text import SPACE_CLASS, col
 from quern.session import delete_table, dropping_shuffles, handovers, scratch_path, spool
 
-# At most this many tokens can each make up 1/HEAVY of the corpus, so at most this many rows
-# are broadcast.
+# Nothing is broadcast by frequency any more; tests that set the share find that it changes nothing.
 HEAVY = 10_000
 
 
@@ -39,38 +42,95 @@ def _mass() -> Column:
     return F.sum("seen") + F.count_if(F.col("seen") > 0)
 
 
+@dataclass
+class CodedTexts:
+    """Texts as numbers of their words, in chunks, and the counts of these words, on the shared folder."""
+
+    texts: DataFrame
+    words: DataFrame
+    key: str
+    schema: T.StructType
+    word_buckets: int
+    pair_buckets: int
+    n: int
+    known: int
+    paths: tuple[str, str]
+
+    def drop(self) -> None:
+        for path in self.paths:
+            delete_table(self.texts.sparkSession, path)
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _buckets(size: int, each: int) -> int:
+    return max(1, -(-size // each))
+
+
+def code_texts(
+    texts: DataFrame, key: str, text: str, corpus: DataFrame | Column | None = None
+) -> CodedTexts:
+    """Texts and corpus, split into words once for all models.  The corpus is another table, those of
+    the texts that a condition picks, or all texts.  For whoever calls it to drop."""
+    spark, content = texts.sparkSession, col(text).cast("binary").alias("text")
+    fitted = F.lit(corpus is None) if not isinstance(corpus, Column) else F.coalesce(corpus, F.lit(False))
+    rows = texts.select(F.col(key).alias("key"), content, F.lit(True).alias("scored"), fitted.alias("fitted"))
+    if isinstance(corpus, DataFrame):
+        rows = rows.unionByName(corpus.select(
+            F.lit(None).cast(rows.schema["key"].dataType).alias("key"), content,
+            F.lit(False).alias("scored"), F.lit(True).alias("fitted")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    word_buckets = _buckets(size, pairs.WORD_BYTES)
+    kind = rows.schema["key"].dataType
+    schema = T.StructType.fromDDL(pairs.CODED).add("keys", T.ArrayType(kind))
+    arrow, numbers = to_arrow_schema(schema), _arrow(pairs.NUMBERED)
+    paths = scratch_path(spark, "texts"), scratch_path(spark, "words")
+    with dropping_shuffles(spark):
+        coded = _stored(rows.mapInArrow(lambda b: pairs.coded(b, word_buckets, arrow), schema), paths[0])
+        words = _stored(coded.filter("bucket is not null").select("chunk", "bucket", "words").groupBy(
+            "bucket").applyInArrow(lambda t: pairs.numbered(t, numbers), pairs.NUMBERED), paths[1])
+    counts = words.agg(F.sum("n"), F.sum("known")).first()
+    made = T.StructType().add(key, kind).add("cost", "double").add("n", "long").add("unknown", "long")
+    return CodedTexts(
+        coded.filter("bucket is null").select("chunk", "codes", "keys"), words.filter("bucket is not null"),
+        key, made, word_buckets, _buckets(size, pairs.PAIR_BYTES), counts[0] or 0, counts[1] or 0, paths)
+
+
+def _arrow(schema: str):
+    return to_arrow_schema(T.StructType.fromDDL(schema))
+
+
+def _per_text(shares: DataFrame, key: str) -> DataFrame:
+    return shares.groupBy(key).agg(
+        F.when(F.sum("unknown") == 0, F.try_divide(F.sum("cost"), F.sum("n"))).alias("loss"),
+        F.sum("n").alias("n_tokens"),
+    )
+
+
 def unigram_losses(
-    texts: DataFrame, key: str, text: str, corpus: DataFrame | None = None
+    texts: DataFrame, key: str, text: str, corpus: DataFrame | Column | None = None,
+    coded: CodedTexts | None = None,
 ) -> DataFrame:
     """Mean negative log-likelihood per text under the word counts of ``corpus`` (the texts
-    themselves, if it is not given): (key, loss, n_tokens).  A text without words has loss NULL.
+    themselves, if it is not given): (key, loss, n_tokens).  A text without words, and every text if
+    the corpus has no word, has loss NULL.
 
-    Words that are frequent in the texts would be hot join keys.  They are few by definition, so they
-    are broadcast; only other words are shuffled to meet their counts.  Texts are split again for
-    every step: a table of their words would be larger than they are.
+    A chunk of texts sends each of its words once to be counted, however often it comes, and gets the
+    count back; see ``functions.pairs``.  ``coded`` are the same texts from ``code_texts``, for several
+    models of them.
     """
-    own = words(texts, key, text)
-    used = own.groupBy("token").agg(F.count(F.lit(1)).alias("used"))
-    counts = spool(_vocabulary(used, corpus, text), "vocabulary")
-    totals = counts.agg(_mass().alias("mass"), F.sum("used").alias("used"))
-    mass, all_used = totals.select("mass").scalar(), totals.select("used").scalar()
-    heavy = counts.filter(F.col("used") * HEAVY >= all_used).drop("used")
-    rare = counts.filter(
-        (F.col("used") > 0) & (F.col("used") * HEAVY < all_used)
-    ).drop("used")
-
-    def per_text(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(key).agg(
-            F.sum(_cost(F.col("seen"), mass)).alias("cost"), F.count(F.lit(1)).alias("n")
-        )
-    # At most HEAVY words, together no longer than HEAVY words of average length.
-    heavy = F.broadcast(heavy)
-    common = per_text(own.join(heavy, "token"))
-    seldom = per_text(own.join(heavy, "token", "left_anti").join(rare, "token"))
-    every = texts.select(key, F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("n"))
-    return common.unionByName(seldom).unionByName(every).groupBy(key).agg(
-        F.try_divide(F.sum("cost"), F.sum("n")).alias("loss"), F.sum("n").alias("n_tokens")
-    )
+    spark, own = texts.sparkSession, coded or code_texts(texts, key, text, corpus)
+    shares, mass, arrow = scratch_path(spark, "shares"), own.n + own.known, to_arrow_schema(own.schema)
+    with dropping_shuffles(spark):
+        made = _stored(own.texts.groupBy("chunk").cogroup(
+            own.words.select("chunk", "bucket", "seen").groupBy("chunk")).applyInArrow(
+            lambda docs, told: pairs.word_costs(docs, told, mass, arrow), own.schema), shares)
+    if coded is None:
+        own.drop()
+    return _per_text(made, key)
 
 
 def unigram_perplexity(texts: DataFrame, text: str, corpus: DataFrame | None = None) -> DataFrame:
@@ -136,122 +196,60 @@ def pass_rate(checked: DataFrame, *by: str) -> DataFrame:
 
 # Used if the corpus has no bigram that occurs once, or none that occurs twice.
 DISCOUNT = 0.75
-START = ""
-# A slice of the pairs is on disk at a time while it is shuffled.  Texts are split twice for each.
-SLICES = 4
-
-
-def bigrams(texts: DataFrame, key: Column | str, text: str) -> DataFrame:
-    """(key, prev, token) of every word; the first word of a text follows ``START``."""
-    parts = F.array_remove(F.split(col(text), f"(?U)[{SPACE_CLASS}]+"), "")
-    pairs = F.arrays_zip(
-        F.concat(F.array(F.lit(START)), parts).alias("prev"), parts.alias("token"))
-    return texts.select(key, F.explode(pairs).alias("_pair")).select(
-        key, "_pair.prev", "_pair.token").filter(F.col("token").isNotNull())
-
-
-def _slice() -> Column:
-    """The slice of all pairs that a pair falls into."""
-    return F.pmod(F.xxhash64("prev", "token"), F.lit(SLICES))
-
 
-def pair_counts(texts: DataFrame, corpus: DataFrame | None, text: str, part: int) -> DataFrame:
-    """(prev, token, seen, uses) of the pairs of a slice: occurrences in the corpus and in the texts."""
-    def of(table: DataFrame, seen: int, uses: int) -> DataFrame:
-        return bigrams(table, F.lit(0).alias("_"), text).filter(_slice() == part).select(
-            "prev", "token", F.lit(seen).alias("seen"), F.lit(uses).alias("uses"))
-    both = of(texts, 1, 1) if corpus is None else of(texts, 0, 1).unionByName(of(corpus, 1, 0))
-    return both.groupBy("prev", "token").agg(F.sum("seen").alias("seen"), F.sum("uses").alias("uses"))
 
-
-def bigram_model(pairs: DataFrame) -> dict[str, DataFrame]:
-    """Counts for interpolated Kneser-Ney from (prev, token, seen, uses): ``contexts`` (prev, total,
-    followers), ``continuations`` (token, precursors), both with how many ``rows`` ask for them, and one
-    row each of ``totals`` (distinct pairs, discount) and ``known`` (distinct words).
-
-    Everything folds before it is shuffled, so neither a frequent pair nor a context that a third of
-    all words follow reaches a task whole.
-    """
-    seen, rows = F.col("seen") > 0, F.count_if(F.col("uses") > 0).alias("rows")
-    contexts = spool(pairs.groupBy("prev").agg(
-        rows, F.sum("seen").alias("total"), F.count_if(seen).alias("followers")), "contexts")
-    continuations = spool(
-        pairs.groupBy("token").agg(rows, F.count_if(seen).alias("precursors")), "continuations")
-    once, twice = F.count_if(F.col("seen") == 1), F.count_if(F.col("seen") == 2)
-    discount = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(DISCOUNT)
-    return {
-        "contexts": contexts, "continuations": continuations,
-        "totals": spool(pairs.agg(
-            F.count_if(seen).alias("kinds"), discount.alias("discount"), F.sum("uses").alias("uses")), "totals"),
-        "known": continuations.agg(F.count_if(F.col("precursors") > 0).alias("known")),
-    }
-
-
-def _with_frequent(rows: DataFrame, table: DataFrame, on: list[str], uses: str, total: Column) -> DataFrame:
-    """Inner join of ``rows`` and ``table``, which has every key of the rows once and says in ``uses``
-    how many rows have it.  Keys with 1/HEAVY of all rows or more are few by definition and are
-    broadcast; only the others are shuffled."""
-    is_heavy = F.col(uses) * HEAVY >= total
-    heavy = F.broadcast(table.filter(is_heavy).drop(uses))
-    light = table.filter(~is_heavy).drop(uses)
-    return rows.join(heavy, on).unionByName(
-        rows.join(heavy.select(*on), on, "left_anti").join(light, on))
-
-
-def bigram_costs(pairs: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
-    """(prev, token, uses, cost) of the pairs (prev, token, seen, uses) that have uses: the negative
-    log-likelihood of the word after the one before.
-
-    A seen pair gives up the discount, which its context deals out by continuation: by how many words
-    a word has followed.  That in turn gives up the discount to all known words and one unknown one.
-    """
-    kinds, discount = (model["totals"].select(name).scalar() for name in ("kinds", "discount"))
-    known = model["known"].scalar()
-    contexts, continuations = model["contexts"], model["continuations"]
-    all_rows = contexts.agg(F.sum("rows")).scalar()
-    rows = _with_frequent(pairs.filter("uses > 0"), contexts, ["prev"], "rows", all_rows)
-    rows = _with_frequent(rows, continuations, ["token"], "rows", all_rows)
-    lower = F.try_divide(
-        F.greatest(F.col("precursors") - discount, F.lit(0.0)) + discount * known / (known + 1), kinds,
-    )
-    total = F.nullif("total", F.lit(0))
-    higher = (
-        F.greatest(F.col("seen") - discount, F.lit(0.0)) / total
-        + discount * F.col("followers") / total * lower
-    )
-    return rows.select("prev", "token", "uses", (-F.log(F.coalesce(higher, lower))).alias("cost"))
-
-
-def bigram_losses(texts: DataFrame, key: str, text: str, corpus: DataFrame | None = None) -> DataFrame:
+def pair_counts(coded: CodedTexts) -> DataFrame:
+    """How often the corpus has the pairs of each chunk; for the words, how many kinds of pairs they
+    begin and end; and how many kinds come at all, once and twice."""
+    words, buckets = coded.word_buckets, coded.pair_buckets
+    sent, counted = "chunk long, bucket int, pairs binary", _arrow(pairs.COUNTED)
+    arrow = _arrow(sent)
+    return coded.texts.groupBy("chunk").cogroup(
+        coded.words.select("chunk", "bucket", "place").groupBy("chunk")).applyInArrow(
+        lambda docs, told: pairs.sent_pairs(docs, told, words, buckets, arrow), sent).groupBy(
+        "bucket").applyInArrow(lambda t: pairs.counted_pairs(t, words, counted), pairs.COUNTED)
+
+
+def bigram_model(counted: DataFrame) -> tuple[int, float]:
+    """Distinct pairs and the discount."""
+    kinds, once, twice = (n or 0 for n in counted.agg(F.sum("kinds"), F.sum("once"), F.sum("twice")).first())
+    return kinds, once / (once + 2 * twice) if once and twice else DISCOUNT
+
+
+def bigram_costs(coded: CodedTexts, counted: DataFrame) -> DataFrame:
+    """(key, cost, n, unknown) of the texts: the negative log-likelihood of their words after the ones
+    before."""
+    words, buckets, known = coded.word_buckets, coded.pair_buckets, coded.known
+    kinds, discount = bigram_model(counted)
+    stats, arrow = _arrow(pairs.STATS), to_arrow_schema(coded.schema)
+    told = coded.words.select("chunk", "bucket", "place").groupBy("bucket").cogroup(
+        counted.filter("word_bucket is not null").select("word_bucket", "stats").groupBy("word_bucket")
+    ).applyInArrow(lambda own, parts: pairs.told_stats(own, parts, stats), pairs.STATS)
+    answers = coded.words.select("chunk", "bucket", "place", "total").unionByName(
+        counted.filter("bucket is not null").select("chunk", "bucket", "seen"), allowMissingColumns=True
+    ).unionByName(told, allowMissingColumns=True)
+    return coded.texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        lambda docs, given: pairs.pair_costs(docs, given, words, buckets, kinds, known, discount, arrow),
+        coded.schema)
+
+
+def bigram_losses(
+    texts: DataFrame, key: str, text: str, corpus: DataFrame | Column | None = None,
+    coded: CodedTexts | None = None,
+) -> DataFrame:
     """Mean negative log-likelihood per text under interpolated Kneser-Ney bigrams of ``corpus`` (the
     texts themselves, if it is not given): (key, loss, n_tokens).  A text without words, and every
     text if the corpus has no word, has loss NULL.
 
-    Most pairs of a corpus are rare, so the pairs of all texts, shuffled, would take many times the
-    room of the texts.  They are dealt by hash into ``SLICES``, one worked through after the other; a
-    slice leaves its counts and, per text, its share of the loss.
+    Most pairs of a corpus are rare, so the pairs of all texts, shuffled as words, would take many
+    times the room of the texts.  They travel as numbers, each once per chunk of texts; see
+    ``functions.pairs``.  ``coded`` as for ``unigram_losses``.
     """
-    spark = texts.sparkSession
-    counted, shares = scratch_path(spark, "pairs"), scratch_path(spark, "shares")
+    spark, own = texts.sparkSession, coded or code_texts(texts, key, text, corpus)
+    shares = scratch_path(spark, "shares")
     with dropping_shuffles(spark), handovers(spark):
-        for part in range(SLICES):
-            pair_counts(texts, corpus, text, part).write.parquet(f"{counted}/part={part}")
-        pairs = spark.read.schema("prev string, token string, seen long, uses long").parquet(counted)
-        model = bigram_model(pairs)
-        all_uses = model["totals"].select("uses").scalar()
-        for part in range(SLICES):
-            of_part = spark.read.parquet(f"{counted}/part={part}")
-            costs = spool(bigram_costs(of_part, model), "costs")
-            own = bigrams(texts, key, text).filter(_slice() == part)
-            share = _with_frequent(own, costs, ["prev", "token"], "uses", all_uses).groupBy(key).agg(
-                F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n"),
-                F.count_if(F.col("cost").isNull()).alias("unknown"))
-            share.write.parquet(f"{shares}/part={part}")
-    delete_table(spark, counted)
-    every = texts.select(
-        key, F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("unknown"))
-    made = spark.read.schema(share.schema).parquet(shares).select(*every.columns)
-    return made.unionByName(every).groupBy(key).agg(
-        F.when(F.sum("unknown") == 0, F.try_divide(F.sum("cost"), F.sum("n"))).alias("loss"),
-        F.sum("n").alias("n_tokens"),
-    )
+        counted = _stored(pair_counts(own), scratch_path(spark, "pairs"))
+        made = _stored(bigram_costs(own, counted), shares)
+    if coded is None:
+        own.drop()
+    return _per_text(made, key)

@@ -714,9 +714,11 @@ def perplexity_batch_mean(spark, folder):
 def _held_out_losses(spark, folder) -> DataFrame:
     """Losses of all documents under models of those that are not held out."""
     docs = _docs(spark, folder).select("doc_id", "text")
-    fitted = docs.filter(F.col("doc_id") % 5 != 0)
-    one = evaluation.unigram_losses(docs, "doc_id", "text", fitted)
-    two = evaluation.bigram_losses(docs, "doc_id", "text", fitted)
+    fitted = F.col("doc_id") % 5 != 0
+    coded = evaluation.code_texts(docs, "doc_id", "text", fitted)
+    one = evaluation.unigram_losses(docs, "doc_id", "text", fitted, coded)
+    two = evaluation.bigram_losses(docs, "doc_id", "text", fitted, coded)
+    coded.drop()
     return one.withColumn("model", F.lit("unigram")).unionByName(
         two.withColumn("model", F.lit("bigram"))
     ).withColumn("held_out", F.col("doc_id") % 5 == 0)

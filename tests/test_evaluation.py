@@ -2,8 +2,10 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern import session
+from quern.functions import pairs
 from quern.functions.text import strip
 from quern.operators import evaluation, ingest
 
@@ -147,6 +149,80 @@ def test_pairs_of_bigrams_are_not_left_on_disk(spark, tmp_path, monkeypatch):
     assert [path.name.partition("-")[0] for path in (tmp_path / "quern").iterdir()] == ["shares"]
 
 
+def losses_by_counting(texts, corpus):
+    """Unigram and bigram loss of each text, by plain counting."""
+    p, _, _ = plain_bigram_model(corpus)
+    seen = Counter(word for text in corpus for word in (text or "").split())
+    mass = sum(seen.values()) + len(seen)
+    for text in texts:
+        words = (text or "").split()
+        one = [-math.log((seen[word] + 1) / mass) for word in words]
+        two = [-math.log(p(prev, word)) for prev, word in zip(["", *words], words)]
+        yield [sum(costs) / len(costs) if costs else None for costs in (one, two)]
+
+
+@pytest.mark.parametrize("given", ["table", "condition", "none"])
+def test_losses_over_many_chunks_and_buckets(spark, monkeypatch, given):
+    """Chunks and buckets of a few bytes, so that most words and pairs meet in others than their own."""
+    for name, size in (("CHUNK_BYTES", 30), ("WORD_BYTES", 50), ("PAIR_BYTES", 20)):
+        monkeypatch.setattr(pairs, name, size)
+    texts = CORPUS + [f"w{i % 7} the w{i % 5}\u2003w{i % 3} \x1c cat w{i % 7}" for i in range(60)]
+    corpus = [text for i, text in enumerate(texts) if given == "none" or i % 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    corpus_of = {"table": docs.filter("id % 3 != 0"), "condition": F.col("id") % 3 != 0, "none": None}[given]
+    one, two = ({r.id: r.loss for r in run(docs, "id", "text", corpus_of).collect()}
+                for run in (evaluation.unigram_losses, evaluation.bigram_losses))
+    expected = list(losses_by_counting(texts, corpus))
+    assert [one[i] for i in range(len(texts))] == [pytest.approx(x) for x, _ in expected]
+    assert [two[i] for i in range(len(texts))] == [pytest.approx(x) for _, x in expected]
+
+
+def test_losses_of_repeated_and_null_keys(spark):
+    texts = spark.createDataFrame(
+        [(None, "a b"), (None, "a"), (1, "b b"), (1, None), (2, "a b")], "id int, text string")
+    for run in (evaluation.unigram_losses, evaluation.bigram_losses):
+        # NULL is not in the corpus: the condition isn't true for it.
+        rows = {r.id: (r.n_tokens, r.loss) for r in run(texts, "id", "text", F.col("id") > 0).collect()}
+        assert {key: n for key, (n, _) in rows.items()} == {None: 3, 1: 2, 2: 2}
+        same = {r.id: r.loss for r in run(texts, "id", "text", texts.filter("id > 0")).collect()}
+        assert {key: loss for key, (_, loss) in rows.items()} == pytest.approx(same)
+
+
+def test_corpus_without_words_gives_no_unigram_losses(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    rows = evaluation.unigram_losses(texts, "id", "text", texts.limit(0)).collect()
+    assert {(r.id, r.loss, r.n_tokens) for r in rows} == {(1, None, 2), (2, None, 0)}
+
+
+def test_held_out_losses_read_every_text_twice(spark, tmp_path, monkeypatch):
+    """Once for the size of all, once to number the words, whatever the models and their buckets."""
+    from quern.plans import queries
+    read, texts = tmp_path / "read", spark.range(20).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c"), "id").alias("text"))
+
+    def noted(batches):
+        for batch in batches:
+            with open(read, "a") as file:
+                file.write("x" * batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(queries, "_docs", lambda *_: texts.mapInArrow(noted, texts.schema))
+    assert queries.QUERIES["perplexity_held_out"](spark, "").count() == 4
+    assert read.stat().st_size == 2 * 20
+
+
+def test_long_series_of_words_travel_once(spark):
+    """A chunk sends a word, and a pair of words, once, however often they come."""
+    texts = spark.createDataFrame([(i, "on and " * 5000) for i in range(8)], "id int, text string").coalesce(1)
+    coded = evaluation.code_texts(texts, "id", "text")
+    sent = coded.words.collect()
+    assert [len(pairs.unpack(row.place, "<u4")[0]) for row in sent] == [3]
+    counted = evaluation.pair_counts(coded)
+    told = counted.filter("bucket is not null").collect()
+    assert sorted(n for row in told for n in pairs.unpack(row.seen, "<i8")[0]) == [8, 39_992, 40_000]
+    coded.drop()
+
+
 def test_bigram_probabilities_add_up():
     p, words, contexts = plain_bigram_model(CORPUS)
     for prev in [*contexts, "never seen"]:
