@@ -192,6 +192,9 @@ def test_corpus_without_words_gives_no_unigram_losses(spark):
     texts = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
     rows = evaluation.unigram_losses(texts, "id", "text", texts.limit(0)).collect()
     assert {(r.id, r.loss, r.n_tokens) for r in rows} == {(1, None, 2), (2, None, 0)}
+    for run in (evaluation.unigram_losses, evaluation.bigram_losses):
+        assert run(texts.limit(0), "id", "text", texts).collect() == []
+        assert run(texts.limit(0), "id", "text").collect() == []
 
 
 def test_held_out_losses_read_every_text_twice(spark, tmp_path, monkeypatch):
